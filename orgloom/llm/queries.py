@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orgloom.llm import quality, sentencepieces, toxicity
 from orgloom.llm.common import table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_source
@@ -23,6 +25,33 @@ def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_of(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids()))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces, and of what they decode to."""
+    return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, part: int) -> DataFrame:
+    """Texts and labels of the rows outside the held-out part."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(~toxicity.held_out(F.col("doc_id"), parts, part))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _judged(scores: DataFrame, parts: int, part: int) -> DataFrame:
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out quarter."""
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 4, 2))
+    return _judged(toxicity.score(table(spark, sf_dir, "documents"), model), 4, 2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fifth."""
+    model = quality.fit(_labelled(spark, sf_dir, "quality", 5, 0))
+    return _judged(quality.score(table(spark, sf_dir, "documents"), model), 5, 0)
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed by bounded-space best fit; a row per piece."""
     return pack_online(table(spark, sf_dir, "documents"), _gpt_ids())
@@ -33,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex.temporary(spark).ingest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packed_token_ids, op8_online_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op8_online_packing, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
