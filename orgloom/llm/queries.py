@@ -8,18 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgloom.llm import quality, sentencepieces, toxicity
+from orgloom.llm import quality, sentencepieces, toxicity, url_filter, vptree
 from orgloom.llm.common import table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_source
 
 END_ID = 2
+#: How far the trees' pruning goes beyond exact search.
+VP_FACTOR = 4.0
 
 
 def _gpt_ids():
     return token_source(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), END_ID)
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20, among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index, shards = vptree.build_index(vectors, 20)
+    return vptree.search(index, shards, vectors.filter(F.col("vec_id") % 20 == 0), 20, VP_FACTOR)
+
+
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed by best fit decreasing; a row per piece, its checksum taken from the packed matrix."""
     return pieces_of(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids()))
@@ -57,12 +66,21 @@ def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"), _gpt_ids())
 
 
+#: Fixed rules of the URL query.
+URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"), url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by boosted trees learned from the URLs that rules decide."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents ingested into a new digest index."""
     return DigestIndex.temporary(spark).ingest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op8_online_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op8_online_packing, op9_url_filter, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
