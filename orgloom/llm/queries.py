@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgloom.llm import quality, sentencepieces, toxicity, url_filter, vptree
+from orgloom.llm import jaccard_join, quality, sentencepieces, toxicity, url_filter, vptree
 from orgloom.llm.common import table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_source
@@ -61,6 +61,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(table(spark, sf_dir, "documents"), model), 5, 0)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates and its number of links."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed by bounded-space best fit; a row per piece."""
     return pack_online(table(spark, sf_dir, "documents"), _gpt_ids())
@@ -80,7 +85,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex.temporary(spark).ingest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op8_online_packing, op9_url_filter, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
