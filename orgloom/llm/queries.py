@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgloom.llm import jaccard_join, quality, sentencepieces, toxicity, url_filter, vptree
+from orgloom.llm import jaccard_join, pii, quality, sentencepieces, toxicity, url_filter, vptree
 from orgloom.llm.common import table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_source
@@ -34,6 +34,12 @@ def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_of(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids()))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the patterns' spans, and those that the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's pieces, and of what they decode to."""
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -85,7 +91,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex.temporary(spark).ingest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op3_pii, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": r"""
