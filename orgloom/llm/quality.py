@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.toxicity import sampled
+
 STATS = ["chars", "words", "word_chars", "distinct_share", "top_share", "repeat_share", "upper_share", "digit_share", "mark_share", "bang_share", "bar_share", "line_words", "line_repeat", "short_lines", "end_share", "squeeze"]
 _UPPER, _DIGIT, _BAR = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|"
 _MARK = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'-")
@@ -143,11 +145,11 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tu
     return w, b
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_rows: int = 12_000, trees: int = 30, depth: int = 3, penalty: float = 4e-4) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled rows, those whose hashed key is smallest; only their statistics reach the
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 12_000, trees: int = 30, depth: int = 3, penalty: float = 4e-4) -> RuleEnsemble:
+    """Fit on at most ``max_rows`` labelled rows, those whose hashed id is smallest; only their statistics reach the
     driver. Rows without a label are ignored; with no rows, or one class only, there is no rule but the intercept."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).withColumn("hash_of_key", F.xxhash64(F.col(key_col).cast("string"))).orderBy("hash_of_key").limit(max_rows)
-    got = with_statistics(rows, key_col, text_col, {"y": F.col(label_col).cast("int")}).toPandas()
+    rows = sampled(docs, labels, label_col, max_rows).withColumn("doc_id", F.lit(0))
+    got = with_statistics(rows, extra={"y": F.col("y")}).toPandas().sort_values(STATS + ["y"], ignore_index=True)
     x, y = got[STATS].to_numpy(float), got["y"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         return RuleEnsemble([], [], 0.0 if len(y) == 0 else 20.0 * (2 * float(y[0]) - 1))

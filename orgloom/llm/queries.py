@@ -45,10 +45,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, part: int) -> DataFrame:
-    """Texts and labels of the rows outside the held-out part."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(~toxicity.held_out(F.col("doc_id"), parts, part))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, parts: int, part: int) -> DataFrame:
+    """The labels outside the held-out part."""
+    return table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id"), parts, part))
 
 
 def _judged(scores: DataFrame, parts: int, part: int) -> DataFrame:
@@ -57,14 +56,14 @@ def _judged(scores: DataFrame, parts: int, part: int) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels outside the held-out quarter."""
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 4, 2))
-    return _judged(toxicity.score(table(spark, sf_dir, "documents"), model), 4, 2)
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir, 4, 2))), 4, 2)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels outside the held-out fifth."""
-    model = quality.fit(_labelled(spark, sf_dir, "quality", 5, 0))
-    return _judged(quality.score(table(spark, sf_dir, "documents"), model), 5, 0)
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.fit(docs, _labels(spark, sf_dir, 5, 0))), 5, 0)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

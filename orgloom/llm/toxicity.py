@@ -8,6 +8,7 @@ score is then a sum over distinct words, a worker scores each frequent word once
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,6 @@ SIZES = (3, 4, 5)
 BITS = 20
 #: Words that a worker remembers the sums of; it only saves time.
 CACHE_WORDS = 200_000
-SCORES = "doc_id long, score double"
 
 
 def _ngrams(words: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,15 +66,26 @@ def _buckets(text: str | None, bits: int) -> np.ndarray:
     return np.concatenate([b[h] for b, _, h in _ngrams(words, bits)]).astype(np.int32)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 4000, bits: int = BITS, least_docs: int = 3, ridge: float = 1e-3) -> NgramModel:
-    """Fit on at most ``max_rows`` labelled rows of each class, the ones whose hashed key is smallest.
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, y`` of at most ``max_rows`` labelled documents, those whose hashed id is smallest.
+
+    Labels are sampled first, so what is broadcast to the scan of the texts has at most ``max_rows`` rows. Of rows
+    with one id the least text counts, and of an id's labels the largest.
+    """
+    ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    ids = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, least_docs: int = 3, ridge: float = 1e-3) -> NgramModel:
+    """Fit on at most ``max_rows`` labelled documents of each class, the ones whose hashed id is smallest.
 
     ``max_rows`` is the documented bound of what reaches the driver; the intercept is corrected to the classes' shares
-    among all labelled rows. Rows without a label are ignored, null texts count as empty; with no rows of either
-    class every score is that class's share.
+    among all labels. Rows without a label are ignored, null texts count as empty; with no rows of either class every
+    score is that class's share.
     """
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(key_col).cast("string")).alias("h"))
-    shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {r["y"]: r["n"] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares.get(0) or not shares.get(1):
         return NgramModel(np.zeros(1 << bits, np.float32), 20.0 if shares.get(1) else -20.0, bits)
 
@@ -83,9 +94,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", k
             sparse = [np.unique(_buckets(x, bits), return_counts=True) for x in b["text"]]
             yield pd.DataFrame({"y": b["y"], "f": [f.astype(np.int32).tobytes() for f, _ in sparse], "c": [np.minimum(c, 255).astype(np.uint8).tobytes() for _, c in sparse]})
 
-    parts = [rows.filter(F.col("y") == y).orderBy("h").limit(max_rows) for y in (0, 1)]
-    got = parts[0].unionByName(parts[1]).select("text", "y").mapInPandas(features, "y int, f binary, c binary").toPandas()
+    parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
+    got = parts[0].unionByName(parts[1]).mapInPandas(features, "y int, f binary, c binary").toPandas()
     y = got["y"].to_numpy(float)
+    if len(np.unique(y)) < 2:
+        return NgramModel(np.zeros(1 << bits, np.float32), float(np.log(shares[1] / shares[0])), bits)
     index = np.frombuffer(b"".join(got["f"]), np.int32)
     count = np.frombuffer(b"".join(got["c"]), np.uint8).astype(np.float32)
     doc = np.repeat(np.arange(len(y)), [len(f) // 4 for f in got["f"]])
@@ -128,23 +141,29 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     Null and repeated ids are carried as they are, other columns are ignored, an empty table gives no rows. The model
     that is broadcast has a fixed size, whatever the data.
     """
+    return with_score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "score")
+
+
+def with_score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:
+    """The rows as they are, with a ``score`` in place of any column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         known: dict[str, float] = {}
-        for b in batches:
-            split = [distinct_words(x) for x in b.iloc[:, 1]]
+        for texts in parts:
+            split = [distinct_words(x) for x in texts]
             new = list({w for words in split for w in words if w not in known})
             for i in range(0, len(new), 200_000):
                 part = new[i : i + 200_000]
                 known.update(zip(part, model.word_sums(part).tolist(), strict=True))
-            z = np.fromiter((sum(sorted(map(known.__getitem__, words))) for words in split), float, len(split)) + model.bias
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(z, -35, 35)))})
+            z = np.fromiter((math.fsum(map(known.__getitem__, words)) for words in split), float, len(split)) + model.bias
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
             if len(known) > CACHE_WORDS:
                 known = {}
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(task, SCORES)
+    return docs.withColumn("score", scores(F.col(text_col)))
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
