@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PAGE = "struct<title:string, text:string, links:array<struct<pos:int, href:string, text:string, alt:string, row:string, datetime:string>>, metas:array<struct<key:string, content:string>>, scripts:array<string>>"
+_S = T.StringType()
+
+
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+LINK = _struct(("pos", T.IntegerType()), ("href", _S), ("text", _S), ("alt", _S), ("row", _S), ("datetime", _S))
+PAGE = _struct(("title", _S), ("text", _S), ("links", T.ArrayType(LINK)), ("metas", T.ArrayType(_struct(("key", _S), ("content", _S)))), ("scripts", T.ArrayType(_S)))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ROWS = frozenset(("li", "article", "tr", "div"))
 _CHROME = frozenset(("script", "style", "nav", "footer", "header", "noscript"))
@@ -47,8 +57,8 @@ class _Page(HTMLParser):
             self.times.append((len(self.text), a["datetime"]))
         self.open.append((tag, len(self.text)))
         self.hidden += tag in self.drop
-        self.json = tag == "script" and "ld+json" in a.get("type", "")
-        if self.json:
+        if tag == "script":
+            self.json = "ld+json" in a.get("type", "")
             self.scripts.append("")
         if tag == "a" and "href" in a and not self.hidden:
             rows = [i for i, (t, _) in enumerate(self.open) if t in _ROWS]
@@ -75,7 +85,7 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "script":
-            if self.json:
+            if self.json or "JobPosting" in data:
                 self.scripts[-1] += data
         elif self.open and self.open[-1][0] == "title":
             self.title.append(data)
@@ -94,7 +104,7 @@ class _Page(HTMLParser):
                     self._close_row(link)
             link.setdefault("datetime", "")
             del link["start"]
-        return {"title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": self.links, "metas": self.metas, "scripts": self.scripts}
+        return {"title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": self.links, "metas": self.metas, "scripts": [x for x in self.scripts if x]}
 
 
 def read_page(html: str | None, drop: frozenset[str] = _CHROME) -> dict:
@@ -112,7 +122,9 @@ def parse_page(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([read_page(x) for x in part], columns=["title", "text", "links", "metas", "scripts"])
 
 
-POSTING = "array<struct<title:string, url:string, location:string, posted:string, deadline:string>>"
+POSTING = T.ArrayType(_struct(("title", _S), ("url", _S), ("location", _S), ("posted", _S), ("deadline", _S)))
+_TYPE = re.compile(r'"@type"\s*:\s*"JobPosting"')
+_TITLE = re.compile(r'"title"\s*:\s*"([^"]{5,120})"')
 
 
 def _text(x: object) -> str:
@@ -131,11 +143,15 @@ def _posting(item: dict) -> dict:
 
 
 def find_postings(script: str | None, nested: bool = True) -> list[dict]:
-    """The postings of a JSON-LD script: at any depth, the last met first, or only in its usual wrappers, in order."""
+    """The postings of a JSON-LD script: at any depth, the last met first, or only in its usual wrappers, in order.
+
+    A script that isn't valid gives, at any depth, the titles that stand near the type's name.
+    """
     try:
-        data = json.loads(script or "null")
+        data = json.loads((script or "null").strip())
     except ValueError:
-        return []
+        near = [m for part in _TYPE.split(script or "")[1:] if (m := _TITLE.search(part[:400]))] if nested else []
+        return [_posting({"title": m[1]}) for m in near]
     found: list[dict] = []
     if nested:
         todo = [data]

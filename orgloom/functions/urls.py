@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgloom.functions import vocab
 from orgloom.functions.rules import has_any
@@ -56,7 +57,7 @@ def search_link(query: Column) -> Column:
     return F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(query))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A relative address made absolute; null where either is null or they can't be joined."""
 

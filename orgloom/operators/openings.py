@@ -39,18 +39,6 @@ _STRONG_OPENING = ("officer", "adviser", "manager", "coordinator", "director", "
 _STRONG_LISTING = ("officer", "adviser", "advisor", "manager", "coordinator", "director", "intern", "analyst", "assistant", "head of")
 
 
-def script_titles(html: Column) -> Column:
-    """Titles of postings in a page's JSON-LD; scripts that aren't valid give titles that stand near the type's name."""
-    scripts = F.filter(
-        F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)),
-        lambda s: s.contains('"@type"') & s.contains("JobPosting"),
-    )
-    broken = F.filter(scripts, lambda s: F.try_parse_json(s).isNull())
-    pieces = F.flatten(F.transform(broken, lambda s: F.slice(F.split(s, r'"@type"\s*:\s*"JobPosting"'), 2, 10_000)))
-    near = F.filter(F.transform(pieces, lambda p: F.regexp_extract(F.substring(p, 1, 400), r'"title"\s*:\s*"([^"]{5,120})"', 1)), lambda t: t != "")
-    return near
-
-
 def detect(pages: DataFrame, key: str = "url", html: str = "text", ok: str = "ok", status: str = "status") -> DataFrame:
     """``state, count, titles, deadline, note`` of fetched pages.
 
@@ -65,10 +53,10 @@ def detect(pages: DataFrame, key: str = "url", html: str = "text", ok: str = "ok
     link = F.filter("parsed.links", lambda x: looks_like_opening(x["text"]) & (x["href"].rlike(_JOB_PATH) | has_any(F.lower(x["text"]), _STRONG_OPENING)))
     body = visible_text(page, BODY_CHROME)
     full = read.join(scripted, key, "left").withColumns({
-        "near": script_titles(page), "body": body, "linked": F.transform(link, lambda x: clean(x["text"])),
+        "body": body, "linked": F.transform(link, lambda x: clean(x["text"])),
         "scripted": F.coalesce("scripted", F.array().cast("array<string>")),
     })
-    given = distinct_titles(F.filter(F.transform(F.concat("scripted", "near"), clean), is_opening_title))
+    given = distinct_titles(F.filter(F.transform("scripted", clean), is_opening_title))
     full = full.withColumn("given", given).withColumn("titles", F.when(F.size("given") > 0, F.col("given")).otherwise(distinct_titles(F.col("linked"))))
     readable, some = F.coalesce(F.col(ok), F.lit(False)), F.size("titles") > 0
     structured = structured_deadline(page)
