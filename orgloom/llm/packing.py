@@ -27,7 +27,7 @@ class OpenBins:
     """At most ``most`` open bins; a bitset has the bit of every free space that an open bin has.
 
     The fullest bin that a piece fits into takes it. If none fits, a new bin opens, and if too many are open the
-    fullest closes first.
+    fullest closes first. A piece of the whole capacity opens and closes its own.
     """
 
     def __init__(self, capacity: int, most: int):
@@ -52,7 +52,7 @@ class OpenBins:
         else:
             free, at = self.capacity, self.made
             self.made += 1
-            if self.open >= self.most:
+            if length < self.capacity and self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
         left = free - length
         if left:
