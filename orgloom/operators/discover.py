@@ -26,47 +26,50 @@ _EMPTY = ("no current vacanc", "no open position", "no vacancies at this time",
 _LOCAL_BASES = ("brussels", "bruxelles", "brussel", "belgium", "belgique", "belgië", "leuven", "antwerp", "ghent", "liège", "liege", "namur", "mons", "bruges")
 
 
-def _path_points(path: Column) -> tuple[Column, Column]:
-    """Points of the first path pattern that fits, and whether any does."""
+def _path_points(path: Column) -> Column:
+    """Points of the first path pattern that fits; 0 if none does."""
     points = F.lit(0)
     for pattern, n in reversed(vocab.PATH_POINTS):
         points = F.when(path.rlike(pattern), n).otherwise(points)
-    return points, points > 0
-
-
-def owns_domain(organisation: Column, host: Column) -> tuple[Column, Column]:
-    """Whether a name's token is in the host's stem; whether an acronym of the name is the stem or a label."""
-    stem = label_stem(host)
-    by_name = F.exists(tokens(organisation), lambda t: stem.contains(t))
-    labels = F.transform(F.split(host, r"\."), lambda p: F.regexp_replace(p, "[^a-z0-9]", ""))
-    least = F.when(host.rlike(_OFFICIAL), 2).otherwise(3)
-    variants = name_variants(organisation)
-    alone = F.transform(F.filter(variants, lambda v: F.lower(v).rlike("^[a-z0-9]+$")), F.lower)
-    acronyms = F.array_union(F.transform(variants, initials), alone)
-    by_acronym = F.exists(acronyms, lambda a: (F.length(a) >= least) & ((a == stem) | F.array_contains(labels, a)))
-    return by_name, by_acronym
-
-
-def score_candidate(url: Column, title: Column, snippet: Column, rank: Column, organisation: Column, existing_url: Column, base: Column) -> dict[str, Column]:
-    """``score, reasons`` of a search result as an organisation's careers page; ``REJECTED`` for documents and portals."""
-    low = F.lower(url)
-    host = domain(low)
-    own, acronym = owns_domain(organisation, host)
-    portal = ~own & has_any(low, vocab.AGGREGATORS)
-    path = path_after(low, host)
-    old = domain(existing_url)
-    parts = F.split(host, r"\.")
+    return points
+
+
+def _owned(df: DataFrame) -> DataFrame:
+    """``c_named``: whether a name's token is in the host's stem, or an acronym of the name is the stem or a label."""
+    stem, host = F.col("c_stem"), F.col("c_host")
+    df = df.withColumns({
+        "c_own": F.exists(tokens(F.col("c_org")), lambda t: stem.contains(t)),
+        "c_labels": F.transform(F.split(host, r"\."), lambda p: F.regexp_replace(p, "[^a-z0-9]", "")),
+        "c_variants": name_variants(F.col("c_org")), "c_official": host.rlike(_OFFICIAL),
+    })
+    alone = F.transform(F.filter("c_variants", lambda v: F.lower(v).rlike("^[a-z0-9]+$")), F.lower)
+    df = df.withColumn("c_acronyms", F.array_union(F.transform("c_variants", initials), alone))
+    least = F.when(F.col("c_official"), 2).otherwise(3)
+    acronym = F.exists("c_acronyms", lambda a: (F.length(a) >= least) & ((a == stem) | F.array_contains("c_labels", a)))
+    return df.withColumn("c_named", F.col("c_own") | acronym)
+
+
+def score_candidates(df: DataFrame, url: Column, title: Column, snippet: Column, rank: Column, organisation: Column, existing_url: Column, base: Column) -> DataFrame:
+    """The rows with ``cand_score, cand_reasons`` of a search result as an organisation's careers page.
+
+    Documents and portals get ``REJECTED``. Steps are columns of their own, so that each is computed once.
+    """
+    keep = df.columns
+    df = df.withColumns({"c_low": F.lower(url), "c_org": organisation, "c_old": domain(existing_url), "c_base": F.lower(F.coalesce(base, F.lit(""))), "c_rank": F.coalesce(rank, F.lit(0)), "c_words": F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))})
+    df = df.withColumn("c_host", domain(F.col("c_low")))
+    df = df.withColumns({"c_stem": label_stem(F.col("c_host")), "c_path": path_after(F.col("c_low"), F.col("c_host")), "c_parts": F.split("c_host", r"\.")})
+    df = _owned(df)
+    low, host, path, old, parts = (F.col(f"c_{x}") for x in ("low", "host", "path", "old", "parts"))
     sub = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), ".")).otherwise("")
-    careers_sub = sub.rlike(_CAREERS_HOST)
-    points, on_path = _path_points(path)
-    on_ats = has_any(low, vocab.ATS_HOSTS)
-    official = host.rlike(_OFFICIAL)
-    same = (old != "") & (old == host)
     last_two = lambda h: F.substring_index(h, ".", -2)
-    related = (old != "") & (old != host) & (last_two(old) == last_two(host))
-    known, named = same | related, own | acronym
-    abroad = (has_any(host, vocab.FOREIGN_HINTS) | has_any(F.substring(path, 1, 40), vocab.FOREIGN_HINTS)) & ~has_any(F.lower(F.coalesce(base, F.lit(""))), vocab.FOREIGN_HINTS)
-    words = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))
+    df = df.withColumns({
+        "c_sub": sub.rlike(_CAREERS_HOST), "c_points": _path_points(path), "c_ats": has_any(low, vocab.ATS_HOSTS),
+        "c_same": (old != "") & (old == host), "c_related": (old != "") & (old != host) & (last_two(old) == last_two(host)),
+        "c_abroad": (has_any(host, vocab.FOREIGN_HINTS) | has_any(F.substring(path, 1, 40), vocab.FOREIGN_HINTS)) & ~has_any(F.col("c_base"), vocab.FOREIGN_HINTS),
+        "c_portal": ~F.col("c_own") & has_any(low, vocab.AGGREGATORS), "c_document": is_document(low),
+    })
+    careers_sub, points, on_ats, official, named = (F.col(f"c_{x}") for x in ("sub", "points", "ats", "official", "named"))
+    same, related = F.col("c_same"), F.col("c_related")
     terms = [Term(careers_sub, 5, "careers-shaped subdomain (+5)")]
     terms += [Term(points == n, n, f"careers-shaped path (+{n})") for n in sorted({n for _, n in vocab.PATH_POINTS}, reverse=True)]
     terms += [
@@ -77,51 +80,58 @@ def score_candidate(url: Column, title: Column, snippet: Column, rank: Column, o
         Term(~named & official, 3, "official domain (+3)"),
         Term(same, 5, "matches the known domain (+5)"),
         Term(related, 3, "matches the known domain (+3)"),
-        Term(~(named | known | on_ats | official), -10, "unrelated domain (-10)"),
-        Term(abroad, -8, "looks like an office abroad (-8)"),
-        Term((named | known) & has_any(low, vocab.HOME_HINTS), 2, "local domain signal (+2)"),
-        Term(has_any(words, ("job", "vacanc", "career", "emploi", "recruit")), 2, "search snippet mentions jobs (+2)"),
-        *[Term(F.coalesce(rank, F.lit(0)) == r, 3 - r, f"search rank #{r + 1} (+{3 - r})") for r in range(3)],
+        Term(~(named | same | related | on_ats | official), -10, "unrelated domain (-10)"),
+        Term(F.col("c_abroad"), -8, "looks like an office abroad (-8)"),
+        Term((named | same | related) & has_any(low, vocab.HOME_HINTS), 2, "local domain signal (+2)"),
+        Term(has_any(F.col("c_words"), ("job", "vacanc", "career", "emploi", "recruit")), 2, "search snippet mentions jobs (+2)"),
+        *[Term(F.col("c_rank") == r, 3 - r, f"search rank #{r + 1} (+{3 - r})") for r in range(3)],
     ]
-    shaped = careers_sub | on_path | on_ats
-    free = total(terms)
-    why = F.array_compact(F.concat(reasons(terms), F.array(F.when(~shaped, F.lit("no careers path or platform: capped below the threshold")))))
-    document = is_document(url)
-    return {
-        "score": F.when(document | portal, REJECTED).when(shaped, free).otherwise(F.least(free, F.lit(THRESHOLD - 1))),
-        "reasons": F.when(document, F.array(F.lit("a document, not a careers page"))).when(portal, F.array(F.lit("job portal, not the own page"))).otherwise(why),
-    }
-
-
-def verify_page(ok: Column, status: Column, url: Column, html: Column) -> dict[str, Column]:
-    """``score, reasons`` of the evidence on a fetched page; blocked pages count nothing, missing ones -50."""
-    text = F.lower(visible_text(html, VERIFY_CHROME))
-    title = F.lower(F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    hits = hit_count(text, vocab.BODY_HINTS)
-    careers_title = has_any(title, _TITLE_WORDS)
-    host, path = F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1), F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    careers_url = host.rlike(_CAREERS_HOST) | _path_points(F.lower(path))[1]
-    members, member_path = hit_count(text, vocab.MEMBER_HINTS), path.rlike(_MEMBER_PATH)
-    open_to = (hits == 0) & ~careers_title & ~careers_url
+    shaped = careers_sub | (points > 0) | on_ats
+    df = df.withColumns({"c_free": total(terms), "c_why": reasons(terms), "c_shaped": shaped})
+    free, document, portal = F.col("c_free"), F.col("c_document"), F.col("c_portal")
+    why = F.array_compact(F.concat("c_why", F.array(F.when(~F.col("c_shaped"), F.lit("no careers path or platform: capped below the threshold")))))
+    return df.select(
+        *keep,
+        F.when(document | portal, REJECTED).when(F.col("c_shaped"), free).otherwise(F.least(free, F.lit(THRESHOLD - 1))).alias("cand_score"),
+        F.when(document, F.array(F.lit("a document, not a careers page"))).when(portal, F.array(F.lit("job portal, not the own page"))).otherwise(why).alias("cand_reasons"),
+    )
+
+
+def verify_pages(df: DataFrame, ok: Column, status: Column, url: Column, html: Column) -> DataFrame:
+    """The rows with ``page_score, page_reasons`` of the evidence on a fetched page; blocked pages count nothing,
+    missing ones -50."""
+    keep = df.columns
+    df = df.withColumns({
+        "v_ok": F.coalesce(ok, F.lit(False)), "v_status": status, "v_text": F.lower(visible_text(html, VERIFY_CHROME)), "v_title": F.lower(F.trim(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))),
+        "v_host": F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1), "v_path": F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1),
+    })
+    text, title, path = F.col("v_text"), F.col("v_title"), F.col("v_path")
+    df = df.withColumns({
+        "v_hits": hit_count(text, vocab.BODY_HINTS), "v_titled": has_any(title, _TITLE_WORDS), "v_members": hit_count(text, vocab.MEMBER_HINTS), "v_member_path": path.rlike(_MEMBER_PATH),
+        "v_shaped": F.col("v_host").rlike(_CAREERS_HOST) | (_path_points(F.lower(path)) > 0), "v_empty": has_any(text, _EMPTY),
+    })
+    hits, members, member_path = F.col("v_hits"), F.col("v_members"), F.col("v_member_path")
+    open_to = (hits == 0) & ~F.col("v_titled") & ~F.col("v_shaped")
     strong = open_to & (members > 0) & (member_path | (members >= 3))
     terms = [
         *[Term(hits == n if n < 3 else hits >= 3, 2 * n, f"job signals in the text (+{2 * n})") for n in (1, 2, 3)],
-        Term(careers_title, 4, "page title says careers (+4)"),
-        Term(has_any(text, _EMPTY), 2, "lists no openings, still the right page (+2)"),
+        Term(F.col("v_titled"), 4, "page title says careers (+4)"),
+        Term(F.col("v_empty"), 2, "lists no openings, still the right page (+2)"),
         Term(strong, -6, "membership page, no job signal (-6)"),
         Term(open_to & (members > 0) & ~strong, -4, "membership page, no job signal (-4)"),
         Term(open_to & (members == 0) & member_path, -4, "membership-shaped address, no job signal (-4)"),
     ]
-    blocked = status.isin(0, 401, 403, 429) | status.isNull()
-    return {
-        "score": F.when(ok, total(terms)).when(blocked, 0).otherwise(-50),
-        "reasons": F.when(ok, reasons(terms)).when(blocked, F.array(F.lit("page blocks readers, not verified"))).otherwise(F.array(F.lit("fetch failed"))),
-    }
+    blocked = F.col("v_status").isin(0, 401, 403, 429) | F.col("v_status").isNull()
+    return df.select(
+        *keep,
+        F.when(F.col("v_ok"), total(terms)).when(blocked, 0).otherwise(-50).alias("page_score"),
+        F.when(F.col("v_ok"), reasons(terms)).when(blocked, F.array(F.lit("page blocks readers, not verified"))).otherwise(F.array(F.lit("fetch failed"))).alias("page_reasons"),
+    )
 
 
-def queries_for(organisation: Column, base: Column, languages: Column, existing_url: Column) -> Column:
-    """The search queries of an organisation, in order."""
-    variants, short = name_variants(organisation), clean_name(organisation)
+def queries_for(organisation: Column, base: Column, languages: Column, existing_url: Column, variants: Column | None = None) -> Column:
+    """The search queries of an organisation, in order; ``variants`` may give its name's variants as a column."""
+    variants, short = name_variants(organisation) if variants is None else variants, clean_name(organisation)
     longest = F.aggregate(variants, F.lit(""), lambda a, v: F.when(F.length(v) > F.length(a), v).otherwise(a))
     at, lang = F.lower(F.coalesce(base, F.lit(""))), F.upper(F.coalesce(languages, F.lit("")))
     local = (at == "") | has_any(at, _LOCAL_BASES)
@@ -154,10 +164,10 @@ def probe(orgs: DataFrame, fetches: DataFrame, key: str = "id") -> DataFrame:
     tried = orgs.withColumn("own_host", domain(home)).filter("own_host <> ''").select("*", paths)
     tried = tried.withColumn("probe_url", F.concat(F.lit("https://"), "own_host", "path"))
     got = tried.join(fetches.filter("ok").withColumnRenamed("url", "probe_url"), "probe_url")
-    where = F.coalesce(F.nullif("final_url", F.lit("")), "probe_url")
-    a = score_candidate(where, F.lit(""), F.lit(""), F.lit(0), F.col("organisation"), F.col("existing_url"), F.col("base"))
-    b = verify_page(F.col("ok"), F.col("status"), where, F.col("text"))
-    scored = got.select(key, "pos", where.alias("url"), (a["score"] + b["score"]).alias("score"), F.concat(a["reasons"], b["reasons"]).alias("reasons"))
+    got = got.withColumn("url", F.coalesce(F.nullif("final_url", F.lit("")), "probe_url"))
+    got = score_candidates(got, F.col("url"), F.lit(""), F.lit(""), F.lit(0), F.col("organisation"), F.col("existing_url"), F.col("base"))
+    got = verify_pages(got, F.col("ok"), F.col("status"), F.col("url"), F.col("text"))
+    scored = got.select(key, "pos", "url", (F.col("cand_score") + F.col("page_score")).alias("score"), F.concat("cand_reasons", "page_reasons").alias("reasons"))
     stop = F.min(F.when(F.col("score") >= HIGH, F.col("pos"))).over(Window.partitionBy(key))
     return choose(scored.withColumn("stop", stop).filter("stop IS NULL OR pos <= stop"), key).filter("confidence <> 'none'").withColumn("method", F.lit("homepage-probe"))
 
@@ -171,15 +181,16 @@ def discover(orgs: DataFrame, results: DataFrame, fetches: DataFrame, key: str =
 
     probed = probe(orgs, fetches, key)
     rest = orgs.join(probed.select(key), key, "left_anti")
-    asked = rest.select("*", F.posexplode(queries_for(F.col("organisation"), F.col("base"), F.col("languages"), F.col("existing_url"))).alias("query_pos", "query"))
+    named = rest.withColumn("variants", name_variants(F.col("organisation")))
+    asked = named.select("*", F.posexplode(queries_for(F.col("organisation"), F.col("base"), F.col("languages"), F.col("existing_url"), F.col("variants"))).alias("query_pos", "query")).drop("variants")
     found = asked.join(results, "query")
     detail = found.groupBy(key, "url").agg(F.min_by(F.struct("title", "snippet"), F.struct("query_pos", "rank")).alias("d"), F.min(F.struct("query_pos", "rank")).alias("at"))
     pool = pool_candidates(found, key, "query", "rank", "url").join(detail, [key, "url"]).join(rest, key).join(fetches.withColumnRenamed("text", "html"), "url", "left")
-    a = score_candidate(F.col("url"), F.col("d.title"), F.col("d.snippet"), F.col("rank"), F.col("organisation"), F.col("existing_url"), F.col("base"))
-    where = F.coalesce(F.nullif("final_url", F.lit("")), "url")
-    b = verify_page(F.coalesce("ok", F.lit(False)), F.col("status"), where, F.col("html"))
-    total_score = F.when(a["score"] <= REJECTED, REJECTED).otherwise(a["score"] + b["score"])
-    scored = pool.select(key, (F.col("at.query_pos") * 100 + F.col("at.rank")).alias("pos"), where.alias("url"), total_score.alias("score"), F.concat(a["reasons"], b["reasons"]).alias("reasons"))
+    pool = score_candidates(pool, F.col("url"), F.col("d.title"), F.col("d.snippet"), F.col("rank"), F.col("organisation"), F.col("existing_url"), F.col("base"))
+    pool = pool.withColumn("where", F.coalesce(F.nullif("final_url", F.lit("")), "url"))
+    pool = verify_pages(pool, F.col("ok"), F.col("status"), F.col("where"), F.col("html"))
+    total_score = F.when(F.col("cand_score") <= REJECTED, REJECTED).otherwise(F.col("cand_score") + F.col("page_score"))
+    scored = pool.select(key, (F.col("at.query_pos") * 100 + F.col("at.rank")).alias("pos"), F.col("where").alias("url"), total_score.alias("score"), F.concat("cand_reasons", "page_reasons").alias("reasons"))
     best = choose(scored, key).withColumn("method", F.lit("search+verify"))
     both = probed.unionByName(best)
     link = search_link(F.concat("organisation", F.lit(" jobs careers")))

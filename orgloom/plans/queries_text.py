@@ -188,7 +188,7 @@ Q.add(
 OWN = F.when(F.col("page_id") % 2 == 0, urls.label_stem(urls.domain(F.col("url")))).otherwise("zzqq")
 Q.add(
     "c3_score_candidate",
-    lambda t: t.pages.select("page_id", *[(F.array_join(v, "; ") if k == "reasons" else v).alias(k) for k, v in discover.score_candidate(F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/careers"))).otherwise(F.col("url")), F.lit("a job"), F.lit(""), (F.col("page_id") % 5).cast("int"), OWN, F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")).items()]).select("page_id", "score"),
+    lambda t: discover.score_candidates(t.pages.select("page_id", "url"), F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/careers"))).otherwise(F.col("url")), F.lit("a job"), F.lit(""), (F.col("page_id") % 5).cast("int"), OWN, F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")).select("page_id", F.col("cand_score").alias("score")),
     f"""WITH p AS (SELECT *, lower(CASE WHEN page_id % 4 = 0 THEN url || '/careers' ELSE url END) AS u, {DOMAIN_SQL} AS d FROM pages),
         q AS (SELECT *, substring(u, instr(u, d) + length(d)) AS path, page_id % 4 = 0 OR {' OR '.join(f"regexp_matches(substring(u, instr(u, d) + length(d)), '{p}')" for p, _ in vocab.PATH_POINTS)} AS shaped FROM p),
         s AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(path, '{p}') THEN {n}" for p, n in vocab.PATH_POINTS)} ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END
@@ -199,7 +199,7 @@ Q.add(
 )
 JOBBY = F.concat(F.when(F.col("page_id") % 3 == 0, "<p>Apply now. Job description. Full-time.</p>").when(F.col("page_id") % 3 == 1, "<p>Become a member</p>").otherwise(""), "html")
 Q.add(
-    "c4_verify_page", lambda t: t.pages.select("page_id", discover.verify_page(F.col("page_id") % 7 != 0, F.when(F.col("page_id") % 2 == 0, 403).otherwise(404), F.lit("https://x.example/about"), JOBBY)["score"].alias("score")),
+    "c4_verify_page", lambda t: discover.verify_pages(t.pages, F.col("page_id") % 7 != 0, F.when(F.col("page_id") % 2 == 0, 403).otherwise(404), F.lit("https://x.example/about"), JOBBY).select("page_id", F.col("page_score").alias("score")),
     f"""WITH v AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower({visible_sql("(CASE page_id % 3 WHEN 0 THEN '<p>Apply now. Job description. Full-time.</p>' WHEN 1 THEN '<p>Become a member</p>' ELSE '' END || html)", text.VERIFY_CHROME)}) AS v FROM pages),
         h AS (SELECT *, {' + '.join(f"CAST(contains(v, '{b}') AS INT)" for b in vocab.BODY_HINTS)} AS hits, {' + '.join(f"CAST(contains(v, '{b}') AS INT)" for b in vocab.MEMBER_HINTS)} AS members, regexp_matches(title, 'job|vacanc|career|carrière|emploi|work with us|vacature|empleo|recruit|karriere|stellen') AS titled FROM v)
         SELECT page_id, CAST(CASE WHEN page_id % 7 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 0 ELSE -50 END ELSE least(6, 2 * hits) + CASE WHEN titled THEN 4 ELSE 0 END + CASE WHEN hits = 0 AND NOT titled AND members > 0 THEN CASE WHEN members >= 3 THEN -6 ELSE -4 END ELSE 0 END END AS INT) AS score FROM h""",
