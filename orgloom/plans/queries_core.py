@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,12 @@ from orgloom.plans.registry import Queries
 
 Q = Queries()
 AS_OF = "2001-01-01"
-day = F.lit(AS_OF).cast("date")
+
+
+def day() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
 #: A profile over part names, standing in for titles.
 PARTS = Profile(
     topics=(("policy", ("widget", "gear"), 28, "policy role"), ("region", ("red", "blue"), 25, "region named"), ("research", ("ring",), 22, "research track"), ("adjacent", ("bolt", "plate"), 12, "adjacent area")),
@@ -45,7 +51,7 @@ Q.add(
 )
 Q.add(
     "a5_kpis",
-    lambda t: t.orders.agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("o_orderstatus") == "O").alias("hiring"), F.count_if((F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("hiring_fit"), F.count_if(F.col("o_orderdate").cast("date") >= F.date_sub(day, 7)).alias("this_week")),
+    lambda t: t.orders.agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("o_orderstatus") == "O").alias("hiring"), F.count_if((F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("hiring_fit"), F.count_if(F.col("o_orderdate").cast("date") >= F.date_sub(day(), 7)).alias("this_week")),
     f"SELECT count(*) AS shown, count(*) FILTER (o_orderstatus = 'O') AS hiring, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS hiring_fit, count(*) FILTER (CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 7) AS this_week FROM orders",
 )
 Q.add(
@@ -138,7 +144,7 @@ Q.add(
 )
 
 # Projection and predicates.
-SHAPE = T.StructType.fromDDL("name string, size int, note string, flag boolean, tags array<string>")
+SHAPE = T.StructType([T.StructField(n, t) for n, t in (("name", T.StringType()), ("size", T.IntegerType()), ("note", T.StringType()), ("flag", T.BooleanType()), ("tags", T.ArrayType(T.StringType())))])
 Q.add(
     "p1_conform", lambda t: conform(t.part.withColumn("name", F.col("p_name")), SHAPE, size=F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))).select("name", "note", "flag", F.size("tags").alias("n_tags"), "size"),
     "SELECT p_name AS name, '' AS note, false AS flag, 0 AS n_tags, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS size FROM part",
@@ -161,17 +167,22 @@ Q.add(
     "SELECT p_partkey, coalesce(TRY_CAST(split_part(p_brand, '#', 2) AS INT), 0) AS n, 0 AS bad, '' AS note, false AS flag FROM part",
 )
 Q.add(
-    "p6_derived_flags", lambda t: t.orders.select("o_orderkey", (F.size(F.filter(F.array("o_orderstatus"), lambda x: x == "O")) > 0).alias("has_new"), (F.col("o_orderpriority") != "").alias("has_careers"), views.within(F.to_date("o_orderdate"), day, 14).alias("page_changed")),
+    "p6_derived_flags", lambda t: t.orders.select("o_orderkey", (F.size(F.filter(F.array("o_orderstatus"), lambda x: x == "O")) > 0).alias("has_new"), (F.col("o_orderpriority") != "").alias("has_careers"), views.within(F.to_date("o_orderdate"), day(), 14).alias("page_changed")),
     f"SELECT o_orderkey, o_orderstatus = 'O' AS has_new, o_orderpriority <> '' AS has_careers, CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 14 AS page_changed FROM orders",
 )
 Q.add("p7_keyword", lambda t: t.part.filter(views.keyword(["p_name", "p_brand", "p_type"], "BOLT brand#1")).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'bolt brand#1')")
 Q.add("p8_pattern", lambda t: t.part.filter(views.pattern(["p_name", "p_type"], "^red|eco.*y$")).select("p_partkey"), "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)^red|eco.*y$') OR regexp_matches(p_type, '(?i)^red|eco.*y$')")
 Q.add("p9_membership", lambda t: t.documents.filter(F.col("lang").isin("en", "fr") & ~F.col("source").isin("src0", "src1")).select("doc_id"), "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source NOT IN ('src0', 'src1')")
 Q.add("p10_tri_state", lambda t: t.documents.join(t.labels, "doc_id", "left").filter(F.coalesce("quality", F.lit(-1)) != 0).select("doc_id", "quality"), "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, -1) <> 0")
-RECENT = F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate"))
-Q.add("p11_recency", lambda t: t.orders.filter(views.within(RECENT, day, 90, undated=True)).select("o_orderkey"), f"SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 90")
+
+
+def recent() -> Column:
+    return F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate"))
+
+
+Q.add("p11_recency", lambda t: t.orders.filter(views.within(recent(), day(), 90, undated=True)).select("o_orderkey"), f"SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 90")
 Q.add(
-    "p12_null_range", lambda t: t.orders.withColumn("age", F.datediff(day, RECENT)).filter("age <= 365 OR age IS NULL").select("o_orderkey", "age"),
+    "p12_null_range", lambda t: t.orders.withColumn("age", F.datediff(day(), recent())).filter("age <= 365 OR age IS NULL").select("o_orderkey", "age"),
     f"SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') END AS INT) AS age FROM orders WHERE o_orderkey % 5 = 0 OR date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') <= 365",
 )
 Q.add(
@@ -180,7 +191,7 @@ Q.add(
 )
 Q.add(
     "p19_labels",
-    lambda t: t.orders.select("o_orderkey", views.openings_label(F.when(F.col("o_orderstatus") == "O", "has_openings").when(F.col("o_orderstatus") == "F", "no_openings").otherwise("unknown"), (F.col("o_orderkey") % 3).cast("int")).alias("openings"), views.deadline_label(F.to_date("o_orderdate"), day).alias("deadline")),
+    lambda t: t.orders.select("o_orderkey", views.openings_label(F.when(F.col("o_orderstatus") == "O", "has_openings").when(F.col("o_orderstatus") == "F", "no_openings").otherwise("unknown"), (F.col("o_orderkey") % 3).cast("int")).alias("openings"), views.deadline_label(F.to_date("o_orderdate"), day()).alias("deadline")),
     f"""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 3) || ' open' ELSE 'hiring' END WHEN 'F' THEN 'none now' ELSE '?' END AS openings,
         CASE WHEN l < 0 THEN 'closed' WHEN l = 0 THEN 'today' WHEN l <= 7 THEN l || 'd left' ELSE strftime(d, '%d %b') END AS deadline
         FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '{AS_OF}', CAST(o_orderdate AS DATE)) AS l FROM orders)""",
@@ -221,7 +232,7 @@ def v1_ranked_orders(t):
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     terms = [rules.Term(F.col("o_orderpriority") == "1-URGENT", 28, "urgent"), rules.Term(F.col("o_totalprice") > 300000, 25, "large"), rules.Term(F.col("c_mktsegment") == "MACHINERY", 22, "machinery"), rules.Term(F.col("c_acctbal") < 0, -30, "in debt")]
     score = rules.clamp(rules.total(terms, 30), 0, 100)
-    out = joined.filter(views.keyword(["c_name", "n_name", "c_mktsegment"], "nation_1") & F.col("c_mktsegment").isin("MACHINERY", "BUILDING", "FURNITURE") & views.within(F.to_date("o_orderdate"), day, 1000))
+    out = joined.filter(views.keyword(["c_name", "n_name", "c_mktsegment"], "nation_1") & F.col("c_mktsegment").isin("MACHINERY", "BUILDING", "FURNITURE") & views.within(F.to_date("o_orderdate"), day(), 1000))
     out = out.select("o_orderkey", "c_name", "n_name", score.alias("fit_score"), rules.band(score, ((65, "strong"), (45, "possible")), "weak").alias("fit_band"), F.array_join(rules.reasons(terms), "; ").alias("reasons"), (F.col("o_orderstatus") == "O").alias("hiring"))
     return out.orderBy((F.col("hiring") & views.fits(F.col("fit_band"))).desc(), F.desc("hiring"), F.desc("fit_score"), "c_name", "o_orderkey")
 
@@ -243,7 +254,7 @@ CATALOGUE = lambda t: t.orders.join(t.customer, F.col("o_custkey") == F.col("c_c
     F.when(F.col("o_totalprice") > 300000, "strong").otherwise("weak").alias("fit_band"), F.col("o_totalprice").alias("fit_score"), F.col("o_orderpriority").alias("fit_best_title"),
 )
 Q.add(
-    "v1_organisations", lambda t: views.organisations(CATALOGUE(t), views.Filters(query="customer#0000", sectors=("MACHINERY",), reviewed=False, updated_within=400, openings="hide none", links="found"), day).drop("last_updated"),
+    "v1_organisations", lambda t: views.organisations(CATALOGUE(t), views.Filters(query="customer#0000", sectors=("MACHINERY",), reviewed=False, updated_within=400, openings="hide none", links="found"), day()).drop("last_updated"),
     f"""SELECT c_name || ' ' || o_orderkey AS organisation, c_mktsegment AS sector, false AS reviewed, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 3) || ' open' ELSE 'hiring' END ELSE '?' END AS openings,
         CASE WHEN o_totalprice > 300000 THEN '★ ' ELSE '' END || o_orderpriority AS best_opening, CASE WHEN l < 0 THEN 'closed' WHEN l = 0 THEN 'today' WHEN l <= 7 THEN l || 'd left' ELSE strftime(d, '%d %b') END AS deadline, 'https://x.example' AS careers_url
         FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '{AS_OF}', CAST(o_orderdate AS DATE)) AS l FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -266,7 +277,7 @@ JOBS = lambda t: t.orders.select(
     F.when(F.col("o_orderkey") % 2 == 0, F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd")).otherwise("").alias("deadline"), F.when(F.col("o_orderkey") % 3 == 0, "high").otherwise("low").alias("confidence"),
 )
 Q.add(
-    "v4_jobs", lambda t: views.jobs(JOBS(t).withColumn("posted", F.nullif("posted", F.lit(""))).withColumn("deadline", F.nullif("deadline", F.lit(""))), day, search="urgent|high", confidence=("high",), newest_days=400).select("o_orderkey", "age", "days_left"),
+    "v4_jobs", lambda t: views.jobs(JOBS(t).withColumn("posted", F.nullif("posted", F.lit(""))).withColumn("deadline", F.nullif("deadline", F.lit(""))), day(), search="urgent|high", confidence=("high",), newest_days=400).select("o_orderkey", "age", "days_left"),
     f"""SELECT o_orderkey, age, days_left FROM (SELECT o_orderkey, o_orderpriority, CAST(CASE WHEN o_orderkey % 5 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') END AS INT) AS age,
         CAST(CASE WHEN o_orderkey % 2 = 0 THEN date_diff('day', DATE '{AS_OF}', CAST(o_orderdate AS DATE) + 30) END AS INT) AS days_left FROM orders)
         WHERE regexp_matches(o_orderpriority, '(?i)urgent|high') AND o_orderkey % 3 = 0 AND (age <= 400 OR age IS NULL) AND (days_left >= 0 OR days_left IS NULL)""",
@@ -276,13 +287,13 @@ Q.add(
     "SELECT count(*) AS organisations, count(*) FILTER (o_orderkey % 2 = 0) AS found, count(*) FILTER (o_orderkey % 2 = 0) AS high, count(*) AS dated FROM orders JOIN customer ON o_custkey = c_custkey",
 )
 Q.add(
-    "v5_stale", lambda t: views.stale(CATALOGUE(t).withColumn("last_updated_trust", F.when(F.col("reviewed"), "low").otherwise("high")).withColumn("last_updated_age_days", F.datediff(day, F.col("last_updated").cast("date")))).select("organisation", "last_updated_age_days"),
+    "v5_stale", lambda t: views.stale(CATALOGUE(t).withColumn("last_updated_trust", F.when(F.col("reviewed"), "low").otherwise("high")).withColumn("last_updated_age_days", F.datediff(day(), F.col("last_updated").cast("date")))).select("organisation", "last_updated_age_days"),
     f"SELECT c_name || ' ' || o_orderkey AS organisation, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') AS INT) AS last_updated_age_days FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 ORDER BY 2 DESC, 1 LIMIT 40",
 )
 Q.add("v5_missing", lambda t: views.missing(CATALOGUE(t)).select("organisation", "sector"), "SELECT c_name || ' ' || o_orderkey AS organisation, c_mktsegment AS sector FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 <> 0")
 Q.add(
     "v6_whats_new",
-    lambda t: (lambda n, c: n.select("organisation", F.lit("new").alias("tab")).unionByName(c.select("organisation", F.lit("changed").alias("tab"))))(*views.whats_new(views.derive(CATALOGUE(t), day).withColumn("domain", F.lower("sector")).withColumn("openings_new_at", F.col("changed_at")), day, hidden=("building",), days=200)),
+    lambda t: (lambda n, c: n.select("organisation", F.lit("new").alias("tab")).unionByName(c.select("organisation", F.lit("changed").alias("tab"))))(*views.whats_new(views.derive(CATALOGUE(t), day()).withColumn("domain", F.lower("sector")).withColumn("openings_new_at", F.col("changed_at")), day(), hidden=("building",), days=200)),
     f"""SELECT c_name || ' ' || o_orderkey AS organisation, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'changed' END AS tab FROM orders JOIN customer ON o_custkey = c_custkey
         WHERE c_mktsegment <> 'BUILDING' AND ((o_orderkey % 4 = 0 AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 200) OR (o_orderkey % 4 <> 0 AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 14))""",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgloom.functions import urls
@@ -15,8 +15,15 @@ from orgloom.streaming import state
 
 Q = Queries()
 AS_OF = "2001-01-01"
-day = F.lit(AS_OF).cast("date")
-HALF = F.to_timestamp(F.lit("2024-01-15 00:00:00"))
+
+
+def day() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
+def half_time() -> Column:
+    return F.to_timestamp(F.lit("2024-01-15 00:00:00"))
+
 
 # Joins.
 Q.add("j1_current_version", lambda t: versions.with_current(t.customer, t.orders.withColumn("superseded", F.col("o_orderstatus") != "P"), "c_custkey", "o_custkey").select("c_custkey", "o_orderkey"), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
@@ -28,7 +35,7 @@ Q.add(
     "j3_split_by_key", lambda t: (lambda known, new: known.select("c_custkey", F.lit("update").alias("op")).unionByName(new.select("c_custkey", F.lit("create").alias("op"))))(*versions.split_by_key(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")),
     "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'update' ELSE 'create' END AS op FROM customer",
 )
-HALVES = lambda t: (t.events.filter(F.col("ts") < HALF), t.events.filter(F.col("ts") >= HALF))
+HALVES = lambda t: (t.events.filter(F.col("ts") < half_time()), t.events.filter(F.col("ts") >= half_time()))
 LAST = lambda e: versions.latest_per_key(e.select("user_id", "event_type", "ts", "event_id"), "user_id", [F.col("ts"), F.col("event_id")])
 LAST_SQL = "SELECT user_id, event_type FROM events WHERE ts {op} TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 BOTH_SQL = f"(SELECT coalesce(a.user_id, b.user_id) AS user_id, a.event_type AS old, b.event_type AS new FROM ({LAST_SQL.format(op='<')}) a FULL JOIN ({LAST_SQL.format(op='>=')}) b ON a.user_id = b.user_id)"
@@ -104,25 +111,25 @@ STORE_SQL = f"""h AS (SELECT user_id AS org, event_type AS url, lead(ts) OVER (P
     (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE ts < TIMESTAMP '2024-01-15') WHERE before IS NULL OR before <> event_type),
     n AS (SELECT user_id AS org, event_type AS new_url FROM ({LAST_SQL.format(op='>=')}) WHERE event_type <> 'error'), c AS (SELECT org, url FROM h WHERE NOT superseded)"""
 Q.add(
-    "m14_sync_versions", lambda t: versions.sync_versions(*store(t), "r1", HALF).groupBy("org", "url", "superseded", "action", "content_hash", "page_text").agg(F.count(F.lit(1)).alias("n")),
+    "m14_sync_versions", lambda t: versions.sync_versions(*store(t), "r1", half_time()).groupBy("org", "url", "superseded", "action", "content_hash", "page_text").agg(F.count(F.lit(1)).alias("n")),
     f"""WITH {STORE_SQL}, r AS (SELECT h.org, h.url, h.superseded OR (new_url IS NOT NULL AND new_url <> h.url) AS superseded, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url = h.url THEN 'patch' ELSE 'supersede' END AS action,
             CASE WHEN NOT h.superseded AND new_url = h.url THEN 'h' ELSE '' END AS content_hash, CASE WHEN NOT h.superseded AND new_url <> h.url THEN '' ELSE 'old' END AS page_text FROM h LEFT JOIN n ON h.org = n.org
         UNION ALL SELECT n.org, new_url, false, 'insert', 'h', '' FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url)
         SELECT org, url, superseded, action, content_hash, page_text, count(*) AS n FROM r GROUP BY ALL""",
 )
 Q.add(
-    "m15_one_organisation", lambda t: (lambda h, n: versions.sync_versions(h.filter("org = 7"), n.filter("org = 7"), "r1", HALF).groupBy("org", "url", "superseded", "action").agg(F.count(F.lit(1)).alias("n")))(*store(t)),
+    "m15_one_organisation", lambda t: (lambda h, n: versions.sync_versions(h.filter("org = 7"), n.filter("org = 7"), "r1", half_time()).groupBy("org", "url", "superseded", "action").agg(F.count(F.lit(1)).alias("n")))(*store(t)),
     f"""WITH {STORE_SQL}, r AS (SELECT h.org, h.url, h.superseded OR (new_url IS NOT NULL AND new_url <> h.url) AS superseded, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url = h.url THEN 'patch' ELSE 'supersede' END AS action FROM h LEFT JOIN n ON h.org = n.org
         UNION ALL SELECT n.org, new_url, false, 'insert' FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url) SELECT org, url, superseded, action, count(*) AS n FROM r WHERE org = 7 GROUP BY ALL""",
 )
 Q.add("m16_settings", lambda t: versions.upsert(t.nation.select("n_nationkey", "n_name"), t.region.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey", ["n_name"]), "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, CASE WHEN r_name IS NOT NULL AND r_name <> n_name THEN 'update' ELSE 'keep' END AS action FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
 Q.add(
     "m17_set_reviewed",
-    lambda t: versions.set_reviewed(t.customer.select("c_custkey", F.lit(True).alias("reviewed"), F.lit("u").alias("reviewed_url"), F.lit("d").alias("reviewed_page_date"), HALF.alias("reviewed_at")), "c_custkey", t.customer.filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("flag"), F.col("c_name").alias("url"), F.lit(None).cast("string").alias("page_date")), HALF).drop("reviewed_at"),
+    lambda t: versions.set_reviewed(t.customer.select("c_custkey", F.lit(True).alias("reviewed"), F.lit("u").alias("reviewed_url"), F.lit("d").alias("reviewed_page_date"), half_time().alias("reviewed_at")), "c_custkey", t.customer.filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("flag"), F.col("c_name").alias("url"), F.lit(None).cast("string").alias("page_date")), half_time()).drop("reviewed_at"),
     "SELECT c_custkey, c_custkey % 3 <> 0 OR c_custkey % 2 = 0 AS reviewed, CASE WHEN c_custkey % 3 <> 0 THEN 'u' WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS reviewed_url, CASE WHEN c_custkey % 3 <> 0 THEN 'd' ELSE '' END AS reviewed_page_date FROM customer",
 )
 Q.add(
-    "m18_mark_seen", lambda t: versions.clear_new(t.part.select("p_partkey", F.array("p_name").alias("openings_new_titles"), HALF.alias("openings_new_at")), t.part.filter("p_size > 25"), "p_partkey").select("p_partkey", F.array_join("openings_new_titles", ",").alias("titles"), F.col("openings_new_at").isNull().alias("seen")),
+    "m18_mark_seen", lambda t: versions.clear_new(t.part.select("p_partkey", F.array("p_name").alias("openings_new_titles"), half_time().alias("openings_new_at")), t.part.filter("p_size > 25"), "p_partkey").select("p_partkey", F.array_join("openings_new_titles", ",").alias("titles"), F.col("openings_new_at").isNull().alias("seen")),
     "SELECT p_partkey, CASE WHEN p_size > 25 THEN '' ELSE p_name END AS titles, p_size > 25 AS seen FROM part",
 )
 
@@ -132,7 +139,7 @@ def log_and_read(t: Tables) -> DataFrame:
     path = work_dir(t.spark, "checks")
     for part in range(2):
         batch = t.events.filter(F.col("event_id") % 2 == part).select("event_id", "user_id", F.when(F.col("event_type") == "error", "dead").otherwise(F.col("event_type")).alias("verdict"))
-        readers.append_events(versions.check_events(batch, HALF), path)
+        readers.append_events(versions.check_events(batch, half_time()), path)
     return t.spark.read.parquet(path).groupBy("user_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,20 +157,25 @@ Q.add(
 )
 
 # Pages. Careers pages written around the parts, as fetched and listed pages would be.
-PAGE = F.concat(
-    F.lit("<html><head><title>Careers</title></head><body><nav><a href='/x'>officer in nav</a></nav><ul><li><a href='/jobs/a-1/'>"), "p_name", F.lit(" officer</a> Posted 3 July 2000. Deadline 4 August 2000.</li>"),
-    F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"'), "p_brand", F.lit(' lead","validThrough":"2000-08-09"}</script>'))).otherwise(""),
-    F.lit("<li><a href='/about'>About us</a></li></ul></body></html>"),
-)
+
+
+def careers_page() -> Column:
+    return F.concat(
+        F.lit("<html><head><title>Careers</title></head><body><nav><a href='/x'>officer in nav</a></nav><ul><li><a href='/jobs/a-1/'>"), "p_name", F.lit(" officer</a> Posted 3 July 2000. Deadline 4 August 2000.</li>"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"'), "p_brand", F.lit(' lead","validThrough":"2000-08-09"}</script>'))).otherwise(""),
+        F.lit("<li><a href='/about'>About us</a></li></ul></body></html>"),
+    )
+
+
 EMPTY_PAGE = "<html><body><p>There are no current vacancies.</p></body></html>"
-FETCHED = lambda t: t.part.select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 5 == 0, EMPTY_PAGE).otherwise(PAGE).alias("text"), (F.col("p_partkey") % 7 != 0).alias("ok"), F.when(F.col("p_partkey") % 7 != 0, 200).otherwise(403).alias("status"))
+FETCHED = lambda t: t.part.select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 5 == 0, EMPTY_PAGE).otherwise(careers_page()).alias("text"), (F.col("p_partkey") % 7 != 0).alias("ok"), F.when(F.col("p_partkey") % 7 != 0, 200).otherwise(403).alias("status"))
 Q.add(
     "c12_openings", lambda t: openings.detect(FETCHED(t)).select("url", "state", "count", F.array_join("titles", "|").alias("titles"), "deadline", "note"),
     """SELECT 'https://p.example/' || p_partkey AS url, CASE WHEN k % 7 = 0 THEN 'unknown' WHEN k % 5 = 0 THEN 'no_openings' ELSE 'has_openings' END AS state, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 0 ELSE 1 END AS count,
         CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN p_brand || ' lead' ELSE p_name || ' officer' END AS titles, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN '' WHEN k % 3 = 0 THEN '2000-08-09' ELSE '2000-08-04' END AS deadline,
         CASE WHEN k % 7 = 0 THEN 'couldn''t read page (HTTP 403)' WHEN k % 5 = 0 THEN 'page says no openings right now' ELSE '' END AS note FROM (SELECT *, p_partkey AS k FROM part)""",
 )
-LISTED = lambda t: openings.listings(FETCHED(t).select("url", F.col("text").alias("html")), day)
+LISTED = lambda t: openings.listings(FETCHED(t).select("url", F.col("text").alias("html")), day())
 Q.add(
     "c15_listings", LISTED,
     """SELECT 'https://p.example/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' lead' ELSE p_name || ' officer' END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'https://p.example/' || p_partkey ELSE 'https://p.example/jobs/a-1/' END AS job_url, '' AS location,
@@ -205,8 +217,13 @@ def register(t: Tables) -> DataFrame:
 
 
 Q.add("s4_register", register, "SELECT p_name AS \"originalName\", 'GENT' AS city, CAST(p_size / 20 AS VARCHAR) AS \"membersFTE\" FROM part WHERE p_partkey % 2 = 0 AND p_size / 20 >= 1")
-XML = F.concat(F.lit('<r xmlns:n="urn:x"><a><n:t> </n:t></a><b><c><n:t> '), "p_name", F.lit(" </n:t></c></b><n:t>later</n:t></r>"))
-Q.add("s5_any_depth", lambda t: t.part.select("p_partkey", readers.first_element(XML, "t").alias("v"), readers.first_element(XML, "zz").alias("none")), "SELECT p_partkey, p_name AS v, '' AS none FROM part")
+
+
+def xml_text() -> Column:
+    return F.concat(F.lit('<r xmlns:n="urn:x"><a><n:t> </n:t></a><b><c><n:t> '), "p_name", F.lit(" </n:t></c></b><n:t>later</n:t></r>"))
+
+
+Q.add("s5_any_depth", lambda t: t.part.select("p_partkey", readers.first_element(xml_text(), "t").alias("v"), readers.first_element(xml_text(), "zz").alias("none")), "SELECT p_partkey, p_name AS v, '' AS none FROM part")
 FETCH_LOG = lambda t: t.events.select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("fetched_at"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", 200).alias("status"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("text"), F.when(F.col("event_id") % 2 == 0, "text/html").otherwise("image/png").alias("content_type"))
 Q.add(
     "s6_latest_fetch", lambda t: readers.latest_fetch(FETCH_LOG(t), F.to_timestamp(F.lit("2024-01-20 00:00:00")), 24 * 7).select("url", "ok", "status", "text"),
@@ -215,16 +232,29 @@ Q.add(
 Q.add("s7_rendered", lambda t: readers.rendered_or_fetched(t.part.select(F.col("p_partkey").alias("url"), F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("").alias("text")), t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("text"))), "SELECT p_partkey AS url, CASE WHEN p_size > 25 THEN p_name WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS text FROM part")
 Q.add("s8_search_fallback", lambda t: readers.search_results(t.events.select(F.col("user_id").alias("query"), F.when(F.col("event_type") == "signup", "main").otherwise("other").alias("engine"), "event_id"), "main", "other").select("query", "engine", "event_id"), "SELECT user_id AS query, CASE WHEN event_type = 'signup' THEN 'main' ELSE 'other' END AS engine, event_id FROM events WHERE event_type = 'signup' OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
 Q.add("s10_board_listing", lambda t: resolve.first_per_key(LISTED(t), ["job_url"], [F.asc("url")]).groupBy("method").agg(F.count(F.lit(1)).alias("n")), "SELECT method, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'jsonld' ELSE 'generic' END AS method, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE -1 END FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1")
-LEVER = F.concat(F.lit('[{"text":"'), "p_name", F.lit('","hostedUrl":"https://l.example/1","categories":{"location":"Brugge"}}]'))
-RECRUITEE = F.concat(F.lit('{"offers":[{"title":"'), "p_brand", F.lit('","url":"https://r.example/1","location":"Mons","published_at":"2001-02-03 04:05"}]}'))
+
+
+def lever() -> Column:
+    return F.concat(F.lit('[{"text":"'), "p_name", F.lit('","hostedUrl":"https://l.example/1","categories":{"location":"Brugge"}}]'))
+
+
+def recruitee() -> Column:
+    return F.concat(F.lit('{"offers":[{"title":"'), "p_brand", F.lit('","url":"https://r.example/1","location":"Mons","published_at":"2001-02-03 04:05"}]}'))
+
+
 Q.add(
-    "s11_platforms", lambda t: readers.platform_jobs(ATS(t), "greenhouse").unionByName(readers.platform_jobs(t.part.select(F.col("p_partkey").cast("string").alias("source_url"), LEVER.alias("body")), "lever")).unionByName(readers.platform_jobs(t.part.select(F.col("p_partkey").cast("string").alias("source_url"), RECRUITEE.alias("body")), "recruitee")),
+    "s11_platforms", lambda t: readers.platform_jobs(ATS(t), "greenhouse").unionByName(readers.platform_jobs(t.part.select(F.col("p_partkey").cast("string").alias("source_url"), lever().alias("body")), "lever")).unionByName(readers.platform_jobs(t.part.select(F.col("p_partkey").cast("string").alias("source_url"), recruitee().alias("body")), "recruitee")),
     """SELECT 'https://p.example/' || p_partkey AS source_url, p_name || ' x' AS title, 'https://a.example/1' AS url, 'Gent' AS location, '2000-05-06' AS posted, 'ats:greenhouse' AS method FROM part WHERE p_partkey % 4 = 0
         UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 'https://l.example/1', 'Brugge', '', 'ats:lever' FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'https://r.example/1', 'Mons', '2001-02-03', 'ats:recruitee' FROM part""",
 )
 Q.add("s12_anchored_jobs", lambda t: readers.anchored_jobs(FETCHED(t).select("url", F.col("text").alias("html"))), "SELECT 'https://p.example/' || p_partkey AS source_url, p_name || ' officer' AS title, 'https://p.example/jobs/a-1/' AS url, 'ats:teamtailor' AS method FROM part WHERE p_partkey % 5 <> 0")
-MEMBERS = F.concat(F.lit("<body><a href='https://www."), F.lower("p_type"), F.lit(".org/a'>"), "p_name", F.lit("</a><a href='https://"), F.lower("p_type"), F.lit(".org/b'>"), "p_name", F.lit(" union</a><a href='https://facebook.com/x'>f</a><a href='/onze-leden/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/'></a></body>"))
-DIRECTORY_PAGES = lambda t: t.part.select(F.concat(F.lit("https://d.example/"), F.col("p_partkey").cast("string")).alias("url"), MEMBERS.alias("html"))
+
+
+def members() -> Column:
+    return F.concat(F.lit("<body><a href='https://www."), F.lower("p_type"), F.lit(".org/a'>"), "p_name", F.lit("</a><a href='https://"), F.lower("p_type"), F.lit(".org/b'>"), "p_name", F.lit(" union</a><a href='https://facebook.com/x'>f</a><a href='/onze-leden/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/'></a></body>"))
+
+
+DIRECTORY_PAGES = lambda t: t.part.select(F.concat(F.lit("https://d.example/"), F.col("p_partkey").cast("string")).alias("url"), members().alias("html"))
 Q.add("s13_harvest", lambda t: readers.harvest(DIRECTORY_PAGES(t)), "SELECT 'https://d.example/' || p_partkey AS page, lower(p_type) || '.org' AS host, p_name || ' union' AS organisation, 'https://' || lower(p_type) || '.org' AS homepage FROM part")
 TITLED = " || ' ' || ".join(f"upper(substring(split_part(p_name, ' ', {i}), 1, 1)) || substring(split_part(p_name, ' ', {i}), 2)" for i in (1, 2))
 Q.add("s14_member_pages", lambda t: readers.member_pages(DIRECTORY_PAGES(t), "/onze-leden/"), f"SELECT 'https://d.example/' || p_partkey AS page, replace(p_name, ' ', '-') AS slug, {TITLED} AS organisation, 'https://d.example/onze-leden/' || replace(p_name, ' ', '-') || '/' AS homepage FROM part")
@@ -287,8 +317,8 @@ def _stream(t: Tables) -> DataFrame:
 def _folder(t: Tables) -> str:
     """The events as a folder that a file stream can watch: two batches of them."""
     path = work_dir(t.spark, "stream-in")
-    t.events.filter(F.col("ts") < HALF).coalesce(1).write.parquet(path)
-    t.events.filter(F.col("ts") >= HALF).coalesce(1).write.mode("append").parquet(path)
+    t.events.filter(F.col("ts") < half_time()).coalesce(1).write.parquet(path)
+    t.events.filter(F.col("ts") >= half_time()).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -321,14 +351,14 @@ def latest(t: Tables) -> DataFrame:
 
 Q.add("t3_latest_checks_stream", latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 Q.add("t4_expired", lambda t: t.events.groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", (F.col("last") < F.to_timestamp(F.lit("2024-01-30 00:00:00"))).alias("expired")), "SELECT user_id, max(ts) < TIMESTAMP '2024-01-30' AS expired FROM events GROUP BY 1")
-Q.add("t5_resumable", lambda t: discover.todo(t.events.select("event_id"), t.events.filter(F.col("ts") < HALF).select("event_id", F.when(F.col("event_type") == "error", "none").otherwise("high").alias("confidence")), "event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'error'")
+Q.add("t5_resumable", lambda t: discover.todo(t.events.select("event_id"), t.events.filter(F.col("ts") < half_time()).select("event_id", F.when(F.col("event_type") == "error", "none").otherwise("high").alias("confidence")), "event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'error'")
 
 
 def refreshed_twice(t: Tables) -> DataFrame:
     """A sync that runs again from its own result changes nothing."""
     history, new = store(t)
-    once = versions.sync_versions(history, new, "r1", HALF).drop("action")
-    return versions.sync_versions(once, new, "r2", HALF).groupBy("action", "superseded").agg(F.count(F.lit(1)).alias("n")).filter("action IN ('insert', 'supersede')")
+    once = versions.sync_versions(history, new, "r1", half_time()).drop("action")
+    return versions.sync_versions(once, new, "r2", half_time()).groupBy("action", "superseded").agg(F.count(F.lit(1)).alias("n")).filter("action IN ('insert', 'supersede')")
 
 
 Q.add("t6_idempotent_refresh", lambda t: refreshed_twice(t).agg(F.count(F.lit(1)).alias("changes")), "SELECT CAST(0 AS BIGINT) AS changes")

@@ -16,7 +16,10 @@ from orgloom.sources.readers import board_of
 
 Q = Queries()
 AS_OF = "2001-01-01"
-day = F.lit(AS_OF).cast("date")
+
+
+def day() -> Column:
+    return F.lit(AS_OF).cast("date")
 
 
 def lits(terms: tuple[str, ...]) -> str:
@@ -59,9 +62,14 @@ Q.add(
     "SELECT p_partkey, concat_ws('|', p_name || ' / ' || p_type, p_brand, p_name || ' / ' || p_type || ' ' || p_brand, p_name) AS v FROM part",
 )
 Q.add("f7_initials", lambda t: t.part.select("p_partkey", text.initials(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("acronym")), "SELECT p_partkey, lower(substring(p_name, 1, 1) || substring(split_part(p_name, ' ', 2), 1, 1) || substring(p_type, 1, 1) || 'b') AS acronym FROM part")
-LINK_TEXT = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Logo of "), "p_name")).when(F.col("p_partkey") % 4 == 1, "Read more here").when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" is a body "), F.repeat(F.lit("of long copy "), F.lit(6)))).otherwise(F.col("p_name"))
+
+
+def link_text() -> Column:
+    return F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Logo of "), "p_name")).when(F.col("p_partkey") % 4 == 1, "Read more here").when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" is a body "), F.repeat(F.lit("of long copy "), F.lit(6)))).otherwise(F.col("p_name"))
+
+
 Q.add(
-    "f8_tidy_name", lambda t: t.part.select("p_partkey", text.tidy_name(LINK_TEXT, F.concat(F.lit("my-"), F.lower("p_type"), F.lit(".example.org"))).alias("name")),
+    "f8_tidy_name", lambda t: t.part.select("p_partkey", text.tidy_name(link_text(), F.concat(F.lit("my-"), F.lower("p_type"), F.lit(".example.org"))).alias("name")),
     "SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'My ' || substring(p_type, 1, 1) || lower(substring(p_type, 2)) ELSE p_name END AS name FROM part",
 )
 Q.add("f9_places", lambda t: t.documents.select("doc_id", text.is_place(F.col("text")).alias("place")), f"SELECT doc_id, regexp_matches(lower(text), {lits(vocab.PLACES)}) AS place FROM documents")
@@ -89,20 +97,30 @@ Q.add("m9_titles", lambda t: t.part.select("p_partkey", F.array_join(distinct_ti
 # Links.
 Q.add("p14_member_link", lambda t: t.pages.select("page_id", urls.is_member_link(F.col("url"), F.lit("example.com")).alias("m")), f"SELECT page_id, NOT contains(h, 'example.com') AND regexp_full_match(h, '[a-z0-9.-]+\\.[a-z]{{2,}}') AND NOT regexp_matches(h, {lits(vocab.SKIP_HOSTS)}) AS m FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS h FROM pages)")
 Q.add("p15_document", lambda t: t.pages.select("page_id", urls.is_document(F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(""))).alias("d")), "SELECT page_id, regexp_matches(lower(url || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '' END), '\\.(pdf|docx?|xlsx?|pptx?|zip|rtf|odt)(\\?|#|$)') AS d FROM pages")
-TITLE = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " officer").when(F.col("p_partkey") % 3 == 1, " (12)").otherwise(" Policy login"))
+
+
+def title_text() -> Column:
+    return F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " officer").when(F.col("p_partkey") % 3 == 1, " (12)").otherwise(" Policy login"))
+
+
 TITLE_SQL = "lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' officer' WHEN 1 THEN ' (12)' ELSE ' Policy login' END)"
 Q.add(
-    "p16_titles", lambda t: t.part.select("p_partkey", text.looks_like_opening(TITLE).alias("opening"), text.looks_like_listing(TITLE).alias("listing")),
+    "p16_titles", lambda t: t.part.select("p_partkey", text.looks_like_opening(title_text()).alias("opening"), text.looks_like_listing(title_text()).alias("listing")),
     f"""SELECT p_partkey, length(t) BETWEEN 5 AND 140 AND NOT regexp_matches(t, '\\(\\s*\\d+\\s*\\)\\s*$') AND NOT regexp_matches(t, {lits(vocab.OPENING_NOISE)}) AND regexp_matches(t, {lits(vocab.OPENING_TITLE_WORDS)}) AS opening,
         length(t) BETWEEN 6 AND 140 AND NOT regexp_matches(t, '^({alternation(vocab.LISTING_NOISE)})') AND NOT regexp_matches(t, '\\(\\s*\\d+\\s*\\)\\s*$') AND regexp_matches(t, {lits(vocab.LISTING_TITLE_WORDS)}) AS listing FROM (SELECT p_partkey, {TITLE_SQL} AS t FROM part)""",
 )
-STATUS = F.element_at(F.array(*[F.lit(x) for x in (200, 301, 403, 404, 503, 429)]), (F.col("page_id") % 6 + 1).cast("int"))
+
+
+def status_code() -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in (200, 301, 403, 404, 503, 429)]), (F.col("page_id") % 6 + 1).cast("int"))
+
+
 Q.add(
-    "p18_link_verdict", lambda t: t.pages.select("page_id", urls.link_verdict(STATUS, F.col("url"), F.when(F.col("page_id") % 6 == 1, F.concat("url", F.lit("x"))).otherwise(F.concat("url", F.lit("/"))), F.col("page_id") % 50 == 49).alias("v")),
+    "p18_link_verdict", lambda t: t.pages.select("page_id", urls.link_verdict(status_code(), F.col("url"), F.when(F.col("page_id") % 6 == 1, F.concat("url", F.lit("x"))).otherwise(F.concat("url", F.lit("/"))), F.col("page_id") % 50 == 49).alias("v")),
     "SELECT page_id, CASE WHEN page_id % 50 = 49 THEN 'TIMEOUT' ELSE ['OK', 'REDIRECTED', 'BLOCKED', 'DEAD', 'BLOCKED', 'BLOCKED'][page_id % 6 + 1] END AS v FROM pages",
 )
 Q.add(
-    "s21_link_tally", lambda t: t.pages.select(urls.link_verdict(STATUS, F.col("url"), F.col("url"), F.lit(False)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")),
+    "s21_link_tally", lambda t: t.pages.select(urls.link_verdict(status_code(), F.col("url"), F.col("url"), F.lit(False)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")),
     "SELECT ['OK', 'OK', 'BLOCKED', 'DEAD', 'BLOCKED', 'BLOCKED'][page_id % 6 + 1] AS v, count(*) AS n FROM pages GROUP BY 1",
 )
 Q.add("p13_larger", lambda t: t.part.select("p_partkey", classify.is_larger(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise((F.col("p_size") / 25).cast("string")), F.when(F.col("p_partkey") % 5 == 0, "1").otherwise("")).alias("larger")), "SELECT p_partkey, (p_partkey % 3 <> 0 AND p_size / 25 >= 1) OR p_partkey % 5 = 0 AS larger FROM part")
@@ -113,71 +131,143 @@ Q.add(
 )
 
 # Dates, from orders' days written in many ways.
-D = F.to_date("o_orderdate")
+
+
+def order_day() -> Column:
+    return F.to_date("o_orderdate")
+
+
+def written() -> Column:
+    """A day written in a way that depends on the order."""
+    out = F.lit("closed 31/02/2026")
+    for i, way in enumerate(WAYS):
+        out = F.when(F.col("o_orderkey") % 6 == i, F.date_format(order_day(), way)).otherwise(out)
+    return out
+
+
 WAYS = ("'on 'yyyy-MM-dd", "d MMMM yyyy", "MMMM d, yyyy", "d/M/yyyy", "dd MMM. yyyy")
-WRITTEN: Column = F.lit("closed 31/02/2026")
-for i, way in enumerate(WAYS):
-    WRITTEN = F.when(F.col("o_orderkey") % 6 == i, F.date_format(D, way)).otherwise(WRITTEN)
+
+
 DAY_SQL = "strftime(o_orderdate, '%Y-%m-%d')"
-Q.add("d1_parse_date", lambda t: t.orders.select("o_orderkey", dates.parse_date(WRITTEN).alias("d")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE {DAY_SQL} END AS d FROM orders")
-AGO = F.when(F.col("o_orderkey") % 5 == 0, "Posted yesterday").when(F.col("o_orderkey") % 5 == 1, "new today").when(F.col("o_orderkey") % 5 == 2, "long ago").otherwise(F.concat((F.col("o_orderkey") % 20).cast("string"), F.when(F.col("o_orderkey") % 5 == 3, " Weeks ago").otherwise(" months ago")))
+Q.add("d1_parse_date", lambda t: t.orders.select("o_orderkey", dates.parse_date(written()).alias("d")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE {DAY_SQL} END AS d FROM orders")
+
+
+def ago() -> Column:
+    return F.when(F.col("o_orderkey") % 5 == 0, "Posted yesterday").when(F.col("o_orderkey") % 5 == 1, "new today").when(F.col("o_orderkey") % 5 == 2, "long ago").otherwise(F.concat((F.col("o_orderkey") % 20).cast("string"), F.when(F.col("o_orderkey") % 5 == 3, " Weeks ago").otherwise(" months ago")))
+
+
 Q.add(
-    "d2_relative", lambda t: t.orders.select("o_orderkey", dates.relative_date(AGO, day).alias("d"), dates.relative_date(AGO, day, ("day", "week", "month", "hour"), words=False).alias("b")),
+    "d2_relative", lambda t: t.orders.select("o_orderkey", dates.relative_date(ago(), day()).alias("d"), dates.relative_date(ago(), day(), ("day", "week", "month", "hour"), words=False).alias("b")),
     f"SELECT o_orderkey, coalesce(strftime(DATE '{AS_OF}' - n, '%Y-%m-%d'), '') AS d, coalesce(strftime(DATE '{AS_OF}' - n, '%Y-%m-%d'), '') AS b FROM (SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 3 THEN o_orderkey % 20 * 7 WHEN 4 THEN o_orderkey % 20 * 30 END AS INT) AS n FROM orders)",
 )
 Q.add(
-    "d3_next_deadline", lambda t: t.orders.filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select("o_orderkey", dates.next_deadline(F.concat(F.lit("Deadline "), F.date_format(D, "d MMMM"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(D, " yyyy")).otherwise("")), F.lit("2001-07-01").cast("date")).alias("d")),
+    "d3_next_deadline", lambda t: t.orders.filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select("o_orderkey", dates.next_deadline(F.concat(F.lit("Deadline "), F.date_format(order_day(), "d MMMM"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(order_day(), " yyyy")).otherwise("")), F.lit("2001-07-01").cast("date")).alias("d")),
     "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN make_date(2001, month(o_orderdate), day(o_orderdate)) < DATE '2001-06-01' THEN make_date(2002, month(o_orderdate), day(o_orderdate)) ELSE make_date(2001, month(o_orderdate), day(o_orderdate)) END, '%Y-%m-%d') AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)",
 )
-Q.add("d4_closing_date", lambda t: t.orders.select("o_orderkey", dates.closing_date(F.concat(F.lit("Position closing date: "), F.date_format(D, "MMM d, yyyy"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+Q.add("d4_closing_date", lambda t: t.orders.select("o_orderkey", dates.closing_date(F.concat(F.lit("Position closing date: "), F.date_format(order_day(), "MMM d, yyyy"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
 Q.add(
-    "d5_norm_deadline", lambda t: t.orders.select("o_orderkey", dates.norm_deadline(F.when(F.col("o_orderkey") % 4 == 0, F.date_format(D, "d.M.yy")).when(F.col("o_orderkey") % 4 == 1, "2026-99-99").when(F.col("o_orderkey") % 4 == 2, F.date_format(D, "d MMMM yyyy")).otherwise("3 Brumaire 1999")).alias("d")),
+    "d5_norm_deadline", lambda t: t.orders.select("o_orderkey", dates.norm_deadline(F.when(F.col("o_orderkey") % 4 == 0, F.date_format(order_day(), "d.M.yy")).when(F.col("o_orderkey") % 4 == 1, "2026-99-99").when(F.col("o_orderkey") % 4 == 2, F.date_format(order_day(), "d MMMM yyyy")).otherwise("3 Brumaire 1999")).alias("d")),
     "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '20%y-%m-%d') WHEN 1 THEN '2026-99-99' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS d FROM orders",
 )
-ROW = F.concat(F.lit("Policy Officer; Posted "), F.date_format(D, "d MMMM yyyy"), F.lit(". Deadline "), F.date_format(F.date_add(D, 30), "d MMMM yyyy"), F.lit("."))
-Q.add("d6_listing_dates", lambda t: t.orders.select("o_orderkey", *[c.alias(n) for c, n in zip(dates.listing_dates(ROW, day), ("posted", "deadline"), strict=True)]), f"SELECT o_orderkey, {DAY_SQL} AS posted, strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') AS deadline FROM orders")
-CUE = F.concat(F.lit("Dates: 01/01/1999. Apply by soon or date limite: "), F.date_format(D, "dd/MM/yyyy"), F.lit(" at noon"))
-Q.add("d7_near_cue", lambda t: t.orders.select("o_orderkey", dates.deadline_near_cue(CUE).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
-HEADER = F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-Q.add("d8_header_date", lambda t: t.orders.select("o_orderkey", dates.header_date(HEADER).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
-Q.add("k2_headers", lambda t: t.orders.select("o_orderkey", freshness.last_modified(F.create_map(F.lit("LAST-Modified"), HEADER, F.lit("etag"), F.lit("x"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
-Q.add("d9_age", lambda t: t.orders.select("o_orderkey", dates.age_days(F.when(F.col("o_orderkey") % 4 != 0, F.date_format(D, "yyyy-MM-dd")).otherwise("soon"), day).alias("age")), f"SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') END AS INT) AS age FROM orders")
+
+
+def listing_row() -> Column:
+    return F.concat(F.lit("Policy Officer; Posted "), F.date_format(order_day(), "d MMMM yyyy"), F.lit(". Deadline "), F.date_format(F.date_add(order_day(), 30), "d MMMM yyyy"), F.lit("."))
+
+
+Q.add("d6_listing_dates", lambda t: t.orders.select("o_orderkey", *[c.alias(n) for c, n in zip(dates.listing_dates(listing_row(), day()), ("posted", "deadline"), strict=True)]), f"SELECT o_orderkey, {DAY_SQL} AS posted, strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') AS deadline FROM orders")
+
+
+def cue_text() -> Column:
+    return F.concat(F.lit("Dates: 01/01/1999. Apply by soon or date limite: "), F.date_format(order_day(), "dd/MM/yyyy"), F.lit(" at noon"))
+
+
+Q.add("d7_near_cue", lambda t: t.orders.select("o_orderkey", dates.deadline_near_cue(cue_text()).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+
+
+def header() -> Column:
+    return F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+Q.add("d8_header_date", lambda t: t.orders.select("o_orderkey", dates.header_date(header()).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+Q.add("k2_headers", lambda t: t.orders.select("o_orderkey", freshness.last_modified(F.create_map(F.lit("LAST-Modified"), header(), F.lit("etag"), F.lit("x"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+Q.add("d9_age", lambda t: t.orders.select("o_orderkey", dates.age_days(F.when(F.col("o_orderkey") % 4 != 0, F.date_format(order_day(), "yyyy-MM-dd")).otherwise("soon"), day()).alias("age")), f"SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') END AS INT) AS age FROM orders")
 Q.add("d10_try_parse", lambda t: t.part.select("p_partkey", F.col("p_name").try_cast("date").isNull().alias("bad"), F.concat(F.lit("2001-01-"), F.lpad((F.col("p_partkey") % 40).cast("string"), 2, "0")).try_cast("date").alias("d")), "SELECT p_partkey, TRY_CAST(p_name AS DATE) IS NULL AS bad, TRY_CAST('2001-01-' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') AS DATE) AS d FROM part")
-VALID = F.concat(F.lit('<script>{"validThrough": "'), F.date_format(F.date_add(D, 9), "yyyy-MM-dd"), F.lit('T00:00","x":1,"validThrough":"'), F.date_format(D, "yyyy-MM-dd"), F.lit('"}</script>'))
-Q.add("a10_earliest", lambda t: t.orders.select("o_orderkey", dates.structured_deadline(VALID).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
-Q.add("x7_valid_through", lambda t: t.orders.select("o_orderkey", F.size(F.regexp_extract_all(VALID, F.lit(r'"validThrough"\s*:\s*"([^"]{6,40})"'), F.lit(1))).alias("n")), "SELECT o_orderkey, 2 AS n FROM orders")
-Q.add("c13_deadline", lambda t: t.orders.select("o_orderkey", F.coalesce(F.nullif(dates.structured_deadline(F.when(F.col("o_orderkey") % 2 == 0, VALID).otherwise("")), F.lit("")), dates.deadline_near_cue(CUE)).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+
+
+def valid_script() -> Column:
+    return F.concat(F.lit('<script>{"validThrough": "'), F.date_format(F.date_add(order_day(), 9), "yyyy-MM-dd"), F.lit('T00:00","x":1,"validThrough":"'), F.date_format(order_day(), "yyyy-MM-dd"), F.lit('"}</script>'))
+
+
+Q.add("a10_earliest", lambda t: t.orders.select("o_orderkey", dates.structured_deadline(valid_script()).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
+Q.add("x7_valid_through", lambda t: t.orders.select("o_orderkey", F.size(F.regexp_extract_all(valid_script(), F.lit(r'"validThrough"\s*:\s*"([^"]{6,40})"'), F.lit(1))).alias("n")), "SELECT o_orderkey, 2 AS n FROM orders")
+Q.add("c13_deadline", lambda t: t.orders.select("o_orderkey", F.coalesce(F.nullif(dates.structured_deadline(F.when(F.col("o_orderkey") % 2 == 0, valid_script()).otherwise("")), F.lit("")), dates.deadline_near_cue(cue_text())).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
 
 # Maps and JSON.
 Q.add("k1_settings", lambda t: t.part.select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(merged_settings({"policy": True, "region": True}, F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("region"), F.col("p_size") > 25))))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("s")), "SELECT p_partkey, 'policy=true,region=' || CASE WHEN p_partkey % 2 = 0 AND p_size <= 25 THEN 'false' ELSE 'true' END AS s FROM part")
 Q.add("k3_json_fields", lambda t: t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("v")), "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(json_extract(props, '$.k') AS INT) AS v FROM events")
-LD = F.concat(F.lit('{"@graph":[{"@type":"JobPosting","title":"'), "p_name", F.lit('","jobLocation":{"address":{"addressLocality":"Gent"}}},{"x":{"@type":"JobPosting","title":"'), "p_brand", F.lit('"}}]}'))
-Q.add("x1_nested_postings", lambda t: t.part.select("p_partkey", F.array_join(F.transform(postings(LD), lambda p: p["title"]), "|").alias("t")), "SELECT p_partkey, p_brand || '|' || p_name AS t FROM part")
-Q.add("x2_listed_postings", lambda t: t.part.select("p_partkey", F.explode(listed_postings(LD)).alias("p")).select("p_partkey", "p.title", "p.location"), "SELECT p_partkey, p_name AS title, 'Gent' AS location FROM part")
+
+
+def linked_data() -> Column:
+    return F.concat(F.lit('{"@graph":[{"@type":"JobPosting","title":"'), "p_name", F.lit('","jobLocation":{"address":{"addressLocality":"Gent"}}},{"x":{"@type":"JobPosting","title":"'), "p_brand", F.lit('"}}]}'))
+
+
+Q.add("x1_nested_postings", lambda t: t.part.select("p_partkey", F.array_join(F.transform(postings(linked_data()), lambda p: p["title"]), "|").alias("t")), "SELECT p_partkey, p_brand || '|' || p_name AS t FROM part")
+Q.add("x2_listed_postings", lambda t: t.part.select("p_partkey", F.explode(listed_postings(linked_data())).alias("p")).select("p_partkey", "p.title", "p.location"), "SELECT p_partkey, p_name AS title, 'Gent' AS location FROM part")
 Q.add("x3_anchors", lambda t: t.pages.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>'), F.lit(1)), " ").alias("hrefs")), "SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1), ' ') AS hrefs FROM pages")
 Q.add("x4_visible_text", lambda t: t.pages.select("page_id", F.sha2(text.visible_text(F.col("html")), 256).alias("h")), f"SELECT page_id, sha256({visible_sql('html', text.CHROME)}) AS h FROM pages")
 Q.add("c10_fingerprint", lambda t: t.pages.select("page_id", text.fingerprint(text.visible_text(F.col("html"))).alias("h")), f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(lower({visible_sql('html', text.CHROME)}), '{text.VOLATILE.replace(chr(39), chr(39) * 2)}', '', 'g'), '\\s+', ' ', 'g'))) AS h FROM pages")
-META = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<meta property="og:updated_time" content="'), F.date_format(D, "yyyy-MM-dd"), F.lit('T10:00">'))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('<script>{"dateModified" : "'), F.date_format(D, "yyyy-MM-dd"), F.lit('"}</script>'))).otherwise("<p>")
-Q.add("x5_own_dates", lambda t: t.orders.select("o_orderkey", freshness.meta_date(META).alias("meta"), freshness.jsonld_date(META).alias("jsonld")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN {DAY_SQL} ELSE '' END AS meta, CASE WHEN o_orderkey % 3 = 1 THEN {DAY_SQL} ELSE '' END AS jsonld FROM orders")
-BROKEN = F.concat(F.lit('{"@type":"JobPosting", "title":"'), "p_name", F.lit('"} {"@type" : "JobPosting","title": "'), "p_brand", F.lit('"}}'))
-Q.add("x6_broken_json", lambda t: t.part.select("p_partkey", F.array_join(F.transform(postings(BROKEN), lambda p: p["title"]), "|").alias("t")), "SELECT p_partkey, p_name || '|' || p_brand AS t FROM part")
+
+
+def meta_html() -> Column:
+    return F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<meta property="og:updated_time" content="'), F.date_format(order_day(), "yyyy-MM-dd"), F.lit('T10:00">'))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('<script>{"dateModified" : "'), F.date_format(order_day(), "yyyy-MM-dd"), F.lit('"}</script>'))).otherwise("<p>")
+
+
+Q.add("x5_own_dates", lambda t: t.orders.select("o_orderkey", freshness.meta_date(meta_html()).alias("meta"), freshness.jsonld_date(meta_html()).alias("jsonld")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN {DAY_SQL} ELSE '' END AS meta, CASE WHEN o_orderkey % 3 = 1 THEN {DAY_SQL} ELSE '' END AS jsonld FROM orders")
+
+
+def broken() -> Column:
+    return F.concat(F.lit('{"@type":"JobPosting", "title":"'), "p_name", F.lit('"} {"@type" : "JobPosting","title": "'), "p_brand", F.lit('"}}'))
+
+
+Q.add("x6_broken_json", lambda t: t.part.select("p_partkey", F.array_join(F.transform(postings(broken()), lambda p: p["title"]), "|").alias("t")), "SELECT p_partkey, p_name || '|' || p_brand AS t FROM part")
 
 # Composite rules.
-ORG = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (" hospital", " trade association", " think tank", " vzw", " works")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+
+
+def org() -> Column:
+    return F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (" hospital", " trade association", " think tank", " vzw", " works")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+
+
 ORG_SQL = "p_name || [' hospital', ' trade association', ' think tank', ' vzw', ' works'][p_partkey % 5 + 1]"
-Q.add("c7_sector", lambda t: t.part.select("p_partkey", classify.sector(ORG, F.col("p_type"), F.when(F.col("p_size") > 25, "Media")).alias("sector")), f"SELECT p_partkey, {first_sql("lower(" + ORG_SQL + " || ' ' || p_type || ' ' || CASE WHEN p_size > 25 THEN 'Media' ELSE '' END)", vocab.SECTOR_RULES, "CASE WHEN p_size > 25 THEN 'Media' ELSE 'Other' END")} AS sector FROM part")
+Q.add("c7_sector", lambda t: t.part.select("p_partkey", classify.sector(org(), F.col("p_type"), F.when(F.col("p_size") > 25, "Media")).alias("sector")), f"SELECT p_partkey, {first_sql("lower(" + ORG_SQL + " || ' ' || p_type || ' ' || CASE WHEN p_size > 25 THEN 'Media' ELSE '' END)", vocab.SECTOR_RULES, "CASE WHEN p_size > 25 THEN 'Media' ELSE 'Other' END")} AS sector FROM part")
 Q.add("c9_register_sector", lambda t: t.part.select("p_partkey", classify.register_sector(F.concat(F.upper("p_name"), F.when(F.col("p_partkey") % 2 == 0, " Think Tanks").otherwise(" Academic"))).alias("sector")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Think tank' ELSE 'University & research' END AS sector FROM part")
-REC = lambda t: t.part.select("p_partkey", ORG.alias("organisation"), F.col("p_type").alias("category"), F.lit("").alias("type"), F.when(F.col("p_size") > 30, "works in Peru").otherwise("").alias("description"), F.lit("").alias("why_fits"), F.lit("").alias("languages"), F.lit("").alias("base"), F.when(F.col("p_partkey") % 2 == 0, "University & research").otherwise("Other").alias("sector"), F.lit(False).alias("latam_relevant"), F.lit(False).alias("phd_relevant"))
+REC = lambda t: t.part.select("p_partkey", org().alias("organisation"), F.col("p_type").alias("category"), F.lit("").alias("type"), F.when(F.col("p_size") > 30, "works in Peru").otherwise("").alias("description"), F.lit("").alias("why_fits"), F.lit("").alias("languages"), F.lit("").alias("base"), F.when(F.col("p_partkey") % 2 == 0, "University & research").otherwise("Other").alias("sector"), F.lit(False).alias("latam_relevant"), F.lit(False).alias("phd_relevant"))
 Q.add("c8_themes", lambda t: classify.themes(REC(t), research=("red", "blue")).select("p_partkey", "latam_relevant", "phd_relevant"), f"SELECT p_partkey, regexp_matches(lower(concat_ws(' ', {ORG_SQL}, p_type, CASE WHEN p_size > 30 THEN 'works in Peru' ELSE '' END)), {lits(vocab.REGION_HINTS)}) AS latam_relevant, p_partkey % 2 = 0 AND regexp_matches(p_name, 'red|blue') AS phd_relevant FROM part")
 Q.add("c20_union_body", lambda t: t.part.select("p_partkey", *[v.alias(k) for k, v in classify.union_body(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " Executive Agency").otherwise(" shop"))).items()]), "SELECT p_partkey, p_partkey % 2 = 0 AS is_body, CASE WHEN p_partkey % 2 = 0 THEN 'EU institution' ELSE 'European & intl institution' END AS sector, CASE WHEN p_partkey % 2 = 0 THEN 'EU institutions' ELSE 'International org' END AS category, CASE WHEN p_partkey % 2 = 0 THEN 'EU body / agency' ELSE 'Intergovernmental organisation' END AS type FROM part")
 Q.add("c16_method_trust", lambda t: t.part.select("p_partkey", openings.method_confidence(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ats", "rendered", "generic", "guess")]), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit(":x"))).alias("c")), "SELECT p_partkey, ['high', 'medium', 'medium', 'low'][p_partkey % 4 + 1] AS c FROM part")
-Q.add("c18_untick", lambda t: t.orders.select("o_orderkey", should_untick(F.col("o_orderstatus") == "O", F.col("o_orderkey") % 5 == 0, F.date_format(D, "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2000-01-01").otherwise("")).alias("u")), "SELECT o_orderkey, o_orderstatus = 'O' AND (o_orderkey % 5 = 0 OR (o_orderkey % 2 = 0 AND CAST(o_orderdate AS DATE) > DATE '2000-01-01')) AS u FROM orders")
+Q.add("c18_untick", lambda t: t.orders.select("o_orderkey", should_untick(F.col("o_orderstatus") == "O", F.col("o_orderkey") % 5 == 0, F.date_format(order_day(), "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2000-01-01").otherwise("")).alias("u")), "SELECT o_orderkey, o_orderstatus = 'O' AND (o_orderkey % 5 = 0 OR (o_orderkey % 2 = 0 AND CAST(o_orderdate AS DATE) > DATE '2000-01-01')) AS u FROM orders")
 Q.add("c19_sticky", lambda t: t.part.select("p_partkey", F.array_join(sticky(F.when(F.col("p_partkey") % 2 == 0, "has_openings").otherwise("unknown"), F.filter(F.array("p_name"), lambda x: F.col("p_size") > 10), F.array("p_brand")), ",").alias("new")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size > 10 THEN p_name ELSE p_brand END AS new FROM part")
-KEY = F.col("o_orderkey")
-CUR, PREV = F.when(KEY % 11 != 0, F.when(KEY % 2 == 0, "a").otherwise("b")).otherwise(""), F.when(KEY % 3 == 0, "").when(KEY % 3 == 1, "a").otherwise("b")
-GIVEN = [F.when(KEY % 5 == i, F.date_format(D, "yyyy-MM-dd")).otherwise("") for i in range(4)]
+
+
+def order_key() -> Column:
+    return F.col("o_orderkey")
+
+
+def cur() -> Column:
+    return F.when(order_key() % 11 != 0, F.when(order_key() % 2 == 0, "a").otherwise("b")).otherwise("")
+
+
+def prev() -> Column:
+    return F.when(order_key() % 3 == 0, "").when(order_key() % 3 == 1, "a").otherwise("b")
+
+
+def given() -> list[Column]:
+    return [F.when(order_key() % 5 == i, F.date_format(order_day(), "yyyy-MM-dd")).otherwise("") for i in range(4)]
+
+
 Q.add(
-    "c11_ladder", lambda t: t.orders.select("o_orderkey", *[v.alias(k) for k, v in freshness.ladder(CUR, PREV, F.when(KEY % 7 == 0, "").otherwise("1999-09-09"), *GIVEN, day).items()]),
+    "c11_ladder", lambda t: t.orders.select("o_orderkey", *[v.alias(k) for k, v in freshness.ladder(cur(), prev(), F.when(order_key() % 7 == 0, "").otherwise("1999-09-09"), *given(), day()).items()]),
     f"""WITH x AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS cur, ['', 'a', 'b'][o_orderkey % 3 + 1] AS prev, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '1999-09-09' END AS prev_date FROM orders),
         y AS (SELECT *, cur <> '' AND prev <> '' AND cur <> prev AS moved, cur <> '' AND prev <> '' AND prev_date <> '' AS carried FROM x),
         z AS (SELECT *, CASE WHEN moved THEN 'hash' WHEN o_orderkey % 5 < 4 THEN ['meta', 'jsonld', 'sitemap', 'http'][o_orderkey % 5 + 1] WHEN carried THEN 'hash' WHEN cur <> '' THEN 'hash-seeded' ELSE '' END AS source,
@@ -185,10 +275,15 @@ Q.add(
         SELECT o_orderkey, date, source, CASE WHEN moved THEN 'high' WHEN date = '' THEN 'none' WHEN source IN ('meta', 'jsonld') THEN 'high' WHEN source IN ('sitemap', 'hash') THEN 'medium' ELSE 'low' END AS trust,
                CAST(CASE WHEN moved THEN 0 WHEN date <> '' THEN date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') END AS INT) AS age_days, CASE WHEN moved THEN '{AS_OF}' ELSE '' END AS changed_at, cur AS hash FROM z""",
 )
-OWN = F.when(F.col("page_id") % 2 == 0, urls.label_stem(urls.domain(F.col("url")))).otherwise("zzqq")
+
+
+def own_name() -> Column:
+    return F.when(F.col("page_id") % 2 == 0, urls.label_stem(urls.domain(F.col("url")))).otherwise("zzqq")
+
+
 Q.add(
     "c3_score_candidate",
-    lambda t: discover.score_candidates(t.pages.select("page_id", "url"), F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/careers"))).otherwise(F.col("url")), F.lit("a job"), F.lit(""), (F.col("page_id") % 5).cast("int"), OWN, F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")).select("page_id", F.col("cand_score").alias("score")),
+    lambda t: discover.score_candidates(t.pages.select("page_id", "url"), F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/careers"))).otherwise(F.col("url")), F.lit("a job"), F.lit(""), (F.col("page_id") % 5).cast("int"), own_name(), F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")).select("page_id", F.col("cand_score").alias("score")),
     f"""WITH p AS (SELECT *, lower(CASE WHEN page_id % 4 = 0 THEN url || '/careers' ELSE url END) AS u, {DOMAIN_SQL} AS d FROM pages),
         q AS (SELECT *, substring(u, instr(u, d) + length(d)) AS path, page_id % 4 = 0 OR {' OR '.join(f"regexp_matches(substring(u, instr(u, d) + length(d)), '{p}')" for p, _ in vocab.PATH_POINTS)} AS shaped FROM p),
         s AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(path, '{p}') THEN {n}" for p, n in vocab.PATH_POINTS)} ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END
@@ -197,9 +292,14 @@ Q.add(
               + CASE WHEN (page_id % 2 = 0 OR page_id % 3 = 0) AND regexp_matches(u, {lits(vocab.HOME_HINTS)}) THEN 2 ELSE 0 END + 2 + greatest(0, 3 - page_id % 5) AS free FROM q)
         SELECT page_id, CAST(CASE WHEN page_id % 2 <> 0 AND regexp_matches(u, {lits(vocab.AGGREGATORS)}) THEN -100 WHEN shaped THEN free ELSE least(free, 9) END AS INT) AS score FROM s""",
 )
-JOBBY = F.concat(F.when(F.col("page_id") % 3 == 0, "<p>Apply now. Job description. Full-time.</p>").when(F.col("page_id") % 3 == 1, "<p>Become a member</p>").otherwise(""), "html")
+
+
+def jobby() -> Column:
+    return F.concat(F.when(F.col("page_id") % 3 == 0, "<p>Apply now. Job description. Full-time.</p>").when(F.col("page_id") % 3 == 1, "<p>Become a member</p>").otherwise(""), "html")
+
+
 Q.add(
-    "c4_verify_page", lambda t: discover.verify_pages(t.pages, F.col("page_id") % 7 != 0, F.when(F.col("page_id") % 2 == 0, 403).otherwise(404), F.lit("https://x.example/about"), JOBBY).select("page_id", F.col("page_score").alias("score")),
+    "c4_verify_page", lambda t: discover.verify_pages(t.pages, F.col("page_id") % 7 != 0, F.when(F.col("page_id") % 2 == 0, 403).otherwise(404), F.lit("https://x.example/about"), jobby()).select("page_id", F.col("page_score").alias("score")),
     f"""WITH v AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower({visible_sql("(CASE page_id % 3 WHEN 0 THEN '<p>Apply now. Job description. Full-time.</p>' WHEN 1 THEN '<p>Become a member</p>' ELSE '' END || html)", text.VERIFY_CHROME)}) AS v FROM pages),
         h AS (SELECT *, {' + '.join(f"CAST(contains(v, '{b}') AS INT)" for b in vocab.BODY_HINTS)} AS hits, {' + '.join(f"CAST(contains(v, '{b}') AS INT)" for b in vocab.MEMBER_HINTS)} AS members, regexp_matches(title, 'job|vacanc|career|carrière|emploi|work with us|vacature|empleo|recruit|karriere|stellen') AS titled FROM v)
         SELECT page_id, CAST(CASE WHEN page_id % 7 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 0 ELSE -50 END ELSE least(6, 2 * hits) + CASE WHEN titled THEN 4 ELSE 0 END + CASE WHEN hits = 0 AND NOT titled AND members > 0 THEN CASE WHEN members >= 3 THEN -6 ELSE -4 END ELSE 0 END END AS INT) AS score FROM h""",
