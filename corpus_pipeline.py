@@ -30,13 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row that the digest index keeps."""
-    kept = DigestIndex.temporary(spark).ingest(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Of equal texts, the row that the digest index keeps. Rows of one id stay or go together, rows without an id
+    stay."""
+    ids = DigestIndex.temporary(spark).ingest(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return docs.join(ids.filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
+    """Of each class of near duplicates, the document with the smallest id. Rows of one id stay or go together, rows
+    without an id stay."""
     gone = jaccard_join.near_duplicates(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
