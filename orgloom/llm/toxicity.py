@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.common import stored
+
 SIZES = (3, 4, 5)
 BITS = 20
 #: Words that a worker remembers the sums of; it only saves time.
@@ -78,7 +80,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, i
     return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, least_docs: int = 3, ridge: float = 1e-3) -> NgramModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, least_docs: int = 3, ridge: float = 5e-3) -> NgramModel:
     """Fit on at most ``max_rows`` labelled documents of each class, the ones whose hashed id is smallest.
 
     ``max_rows`` is the documented bound of what reaches the driver; the intercept is corrected to the classes' shares
@@ -89,30 +91,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     if not shares.get(0) or not shares.get(1):
         return NgramModel(np.zeros(1 << bits, np.float32), 20.0 if shares.get(1) else -20.0, bits)
 
+    size = 1 << bits
+    parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
+    sample = stored(parts[0].unionByName(parts[1]), "toxicity-sample")
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return NgramModel(np.zeros(size, np.float32), float(np.log(shares[1] / shares[0])), bits)
+
+    def counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((2, size), np.int32)
+        for b in batches:
+            for y, text in zip(b["y"], b["text"], strict=True):
+                held[y, np.unique(_buckets(text, bits))] += 1
+        some = np.flatnonzero(held.any(axis=0))
+        yield pd.DataFrame({"bucket": some, "clean": held[0, some], "toxic": held[1, some]})
+
+    # Weaker ratios scale their counts to next to nothing, so only stronger ones reach the driver.
+    ratio = F.log((F.sum("toxic") + 1) / F.lit(n[1] + 2.0)) - F.log((F.sum("clean") + 1) / F.lit(n[0] + 2.0))
+    strong = sample.mapInPandas(counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum(F.col("clean") + F.col("toxic")).alias("docs"), ratio.alias("ratio"))
+    strong = strong.filter((F.col("docs") >= least_docs) & (F.abs("ratio") > 0.7)).select("bucket", "ratio").toPandas()
+    ratios = np.zeros(size)
+    ratios[strong["bucket"]] = strong["ratio"]
+    used = sample.sparkSession.sparkContext.broadcast(ratios != 0)
+
     def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sparse = [np.unique(_buckets(x, bits), return_counts=True) for x in b["text"]]
+            sparse = [np.unique(f[used.value[f]], return_counts=True) for f in (_buckets(x, bits) for x in b["text"])]
             yield pd.DataFrame({"y": b["y"], "f": [f.astype(np.int32).tobytes() for f, _ in sparse], "c": [np.minimum(c, 255).astype(np.uint8).tobytes() for _, c in sparse]})
 
-    parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
-    got = parts[0].unionByName(parts[1]).mapInPandas(features, "y int, f binary, c binary").toPandas()
+    got = sample.mapInPandas(features, "y int, f binary, c binary").toPandas()
     y = got["y"].to_numpy(float)
-    if len(np.unique(y)) < 2:
-        return NgramModel(np.zeros(1 << bits, np.float32), float(np.log(shares[1] / shares[0])), bits)
     index = np.frombuffer(b"".join(got["f"]), np.int32)
-    count = np.frombuffer(b"".join(got["c"]), np.uint8).astype(np.float32)
-    doc = np.repeat(np.arange(len(y)), [len(f) // 4 for f in got["f"]])
-    size = 1 << bits
-    often = np.bincount(index, minlength=size) >= least_docs
-    p = 1.0 + np.bincount(index[y[doc] == 1], minlength=size)
-    q = 1.0 + np.bincount(index[y[doc] == 0], minlength=size)
-    ratio = np.where(often, np.log(p / (y.sum() + 2)) - np.log(q / (len(y) - y.sum() + 2)), 0.0)
-    use = np.abs(ratio[index]) > 0.7  # weaker ratios scale their counts to next to nothing
-    index, doc, value = index[use], doc[use], count[use] * ratio[index[use]]
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) // 4 for f in got["f"]])
+    value = np.frombuffer(b"".join(got["c"]), np.uint8) * ratios[index]
     weights, bias = _logistic(index, doc, value, y, size, ridge)
     true = np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    weights = np.where(often & (np.abs(ratio) > 0.7), weights * ratio, 0.0)
-    return NgramModel(weights.astype(np.float32), float(bias + true), bits)
+    return NgramModel((weights * ratios).astype(np.float32), float(bias + true), bits)
 
 
 def _logistic(index: np.ndarray, doc: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, ridge: float, steps: int = 120) -> tuple[np.ndarray, float]:
@@ -153,19 +167,26 @@ def with_score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> Da
         model = shared.value
         known: dict[str, float] = {}
         for texts in parts:
-            split = [distinct_words(x) for x in texts]
-            new = list({w for words in split for w in words if w not in known})
-            for i in range(0, len(new), 200_000):
-                part = new[i : i + 200_000]
-                known.update(zip(part, model.word_sums(part).tolist(), strict=True))
-            z = np.fromiter((math.fsum(map(known.__getitem__, words)) for words in split), float, len(split)) + model.bias
+            z = np.full(len(texts), model.bias)
+            for at in range(0, len(texts), 500):  # few documents' words are held at a time
+                split = [distinct_words(x) for x in texts.iloc[at : at + 500]]
+                new = list({w for words in split for w in words if w not in known})
+                for i in range(0, len(new), 50_000):
+                    part = new[i : i + 50_000]
+                    known.update(zip(part, model.word_sums(part).tolist(), strict=True))
+                z[at : at + 500] += [math.fsum(map(known.__getitem__, words)) for words in split]
+                if len(known) > CACHE_WORDS:
+                    known = {}
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-            if len(known) > CACHE_WORDS:
-                known = {}
 
     return docs.withColumn("score", scores(F.col(text_col)))
 
 
+def word_value(model: NgramModel, word: str) -> float:
+    """What one word adds to a document's log odds."""
+    return float(model.word_sums([word.lower()])[0])
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether a row is kept from training: CRC-32 of the key as text, modulo ``parts``."""
     return F.crc32(key.cast("string").cast("binary")) % parts == part
