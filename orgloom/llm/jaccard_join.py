@@ -180,26 +180,25 @@ def _spread(group: np.ndarray, sketch: np.ndarray, label: np.ndarray, need: int)
                 apart = apart[~moved]
 
 
-def exact_links(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of the left side, the later or right-side members at the threshold or above.
+def exact_links(sets: list[np.ndarray], left: np.ndarray | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member the later members at the threshold or above; every pair is met once.
 
-    Where all are on the left, every pair is met once; else only pairs of a left and a right member.
+    With two sides, where ``left`` marks one of them, only pairs of a left and a right member are met.
     """
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     flag = np.zeros(int(ids.max()) + 1, np.int32)
-    whole = left.all()
-    for i in np.flatnonzero(left):
+    for i in range(len(sets)) if left is None else np.flatnonzero(left):
         own = ids[starts[i] : starts[i] + sizes[i]]
-        first = i + 1 if whole else 0
+        first = i + 1 if left is None else 0
         if first == len(sets):
             break
         flag[own] = 1
         shared = np.add.reduceat(flag[ids[starts[first] :]], starts[first:] - starts[first])
         flag[own] = 0
         hit = shared >= threshold * (sizes[i] + sizes[first:] - shared) - 1e-9
-        if not whole:
+        if left is not None:
             hit &= ~left
         yield i, np.flatnonzero(hit) + first
 
@@ -290,7 +289,8 @@ def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, forest:
                     x = root[x]
                 return x
 
-            for i, hit in exact_links(sets, np.array(left), threshold):
+            one_chunk = run["lo"].iloc[0] == run["hi"].iloc[0]
+            for i, hit in exact_links(sets, None if one_chunk else np.array(left), threshold):
                 links[i] += weight[hit].sum()
                 links[hit] += weight[i]
                 for j in hit.tolist():

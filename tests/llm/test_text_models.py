@@ -111,7 +111,7 @@ def test_messages_are_exact_on_a_chain():
 
 def labelled(spark, good, bad, n=120):
     rng = random.Random(7)
-    rows = [(i, " ".join(rng.choices(good, k=40)) + (" " + " ".join(rng.choices(bad, k=3)) if i % 3 == 0 else ""), "s", 1, 1, None) for i in range(1, n)]
+    rows = [(i, " ".join(rng.choices(good, k=40)) + (" " + " ".join(bad) if i % 3 == 0 else ""), "s", 1, 1, None) for i in range(1, n)]
     return spark.createDataFrame([*rows, (None, None, "s", 1, 1, None), (n, "", "s", 1, 1, None)], DOCS), spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 != 0)) for i in range(1, n)], "doc_id long, toxic int, quality int")
 
 
