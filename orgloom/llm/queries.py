@@ -15,7 +15,7 @@ from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_s
 
 END_ID = 2
 #: How far the trees' pruning goes beyond exact search.
-VP_FACTOR = 4.0
+VP_FACTOR = 1.25
 
 
 def _gpt_ids():
@@ -93,6 +93,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op3_pii, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS size FROM s GROUP BY 1
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), e AS (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.size + b.size - shared) - 1e-9
+        ), r AS (
+            SELECT doc_id AS node, doc_id AS met FROM documents UNION SELECT node, y FROM r JOIN e ON met = x
+        ), c AS (
+            SELECT node, min(met) AS class_id FROM r GROUP BY 1
+        ), l AS (
+            SELECT x, count(*) AS n FROM e GROUP BY 1
+        )
+        SELECT w.doc_id, class_id, coalesce(n, 0) AS n_links,
+               CASE WHEN len(words) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY words) END AS n_copies
+        FROM w JOIN c ON node = w.doc_id LEFT JOIN l ON x = w.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
