@@ -220,7 +220,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     text = F.col(text_col)
     lines = F.concat_ws("\n", F.filter(F.split(text, "\n"), lambda x: x.rlike("[0-9@]")))
     sample = docs.filter((F.length(text) <= max_chars) & text.rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), lines.alias("text"))
-    texts = [r["text"] for r in sample.orderBy("h", "text").limit(max_docs).collect()]
+    last = sample.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]  # hashes only are sorted
+    texts = [r["text"] for r in sample.filter(F.col("h") <= last).sort("h", "text").limit(max_docs).collect()] if last is not None else []
     return train(nodes_of(texts, [base_spans(x) for x in texts]))
 
 
