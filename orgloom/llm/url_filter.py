@@ -133,39 +133,34 @@ def fit(labelled: DataFrame, key_col: str, max_rows: int = 20_000, trees: int =
         got = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "k").limit(keys).collect()
         names |= {r["k"]: (r["b"] + 8 * share) / (r["n"] + 8) for r in got}
     data = rows.select("block", *[c.alias(k) for k, c in model.features(F.col("url"), F.col("host"), F.col("path")).items()])
-    data = stored(data, "url-features").coalesce(4)
+    data = stored(data, "url-features")
     at = [i / bins for i in range(1, bins)]
     quantiles = data.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(quantiles[f])) for f in FEATURES}
+    binned = {f"bin_{f}": sum(((F.col(f) > float(c)).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES}
+    data = stored(data.withColumns(binned).coalesce(4), "url-bins")
     for _ in range(trees):
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin()))
         scored = data.withColumn("g", F.col("block") - p).withColumn("w", p * (1 - p))
         splits: dict[str, tuple[str, float]] = {}
-        leaves: dict[str, float] = {}
-        for level in range(depth + 1):
-            sums = _histogram(scored.withColumn("node", _walk(splits, None)), cuts)
-            for node, by_feature in sums.items():
-                if len(node) < level:
-                    continue
-                g, w = (sum(x[i] for x in next(iter(by_feature.values())).values()) for i in (0, 1))
-                leaves[node] = rate * g / (w + 1.0)
-                best = _best(by_feature, cuts, g, w) if level < depth else None
-                if best:
-                    splits[node] = best
-            if not any(len(s) == level for s in splits):
+        leaves: dict[str, float] = {"": 0.0}
+        for level in range(depth):
+            new = 0
+            for node, by_feature in _histogram(scored.withColumn("node", _walk(splits, None))).items():
+                if len(node) == level and (best := _best(by_feature, cuts)):
+                    splits[node], sides = best
+                    for side, (g, w) in zip("01", sides, strict=True):
+                        leaves[node + side] = rate * g / (w + 1.0)
+                    new += 1
+            if not new:
                 break
-        for node in splits:  # a child that no row reaches keeps its parent's value
-            for child in (node + "0", node + "1"):
-                leaves.setdefault(child, leaves[node])
         model.trees.append((splits, leaves))
     return model
 
 
-def _histogram(scored: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[str, dict[int, tuple[float, float]]]]:
+def _histogram(scored: DataFrame) -> dict[str, dict[str, dict[int, tuple[float, float]]]]:
     """Sums of gradient and weight by node, feature and bin."""
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("f"), sum(((F.col(f) > float(c)).cast("int") for c in cuts[f]), F.lit(0)).alias("b")) for f in FEATURES
-    ])
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"bin_{f}").alias("b")) for f in FEATURES])
     got = scored.select("node", "g", "w", F.explode(pairs).alias("p")).groupBy("node", "p.f", "p.b").agg(F.sum("g").alias("g"), F.sum("w").alias("w")).collect()
     out: dict[str, dict[str, dict[int, tuple[float, float]]]] = {}
     for r in sorted(got, key=lambda r: (r["node"], FEATURES.index(r["f"]), r["b"])):
@@ -173,7 +168,9 @@ def _histogram(scored: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dic
     return out
 
 
-def _best(by_feature: dict[str, dict[int, tuple[float, float]]], cuts: dict[str, list[float]], g: float, w: float) -> tuple[str, float] | None:
+def _best(by_feature: dict[str, dict[int, tuple[float, float]]], cuts: dict[str, list[float]]) -> tuple[tuple[str, float], tuple[tuple[float, float], tuple[float, float]]] | None:
+    """The best split of a node, and the sums of gradient and weight on its two sides."""
+    g, w = (sum(x[i] for x in next(iter(by_feature.values())).values()) for i in (0, 1))
     best, found = 1e-6 + g * g / (w + 1.0), None
     for f, sums in by_feature.items():
         left_g = left_w = 0.0
@@ -182,7 +179,7 @@ def _best(by_feature: dict[str, dict[int, tuple[float, float]]], cuts: dict[str,
             if left_w > 1e-3 and w - left_w > 1e-3:
                 gain = left_g**2 / (left_w + 1.0) + (g - left_g) ** 2 / (w - left_w + 1.0)
                 if gain > best + 1e-9:
-                    best, found = gain, (f, cut)
+                    best, found = gain, ((f, cut), ((left_g, left_w), (g - left_g, w - left_w)))
     return found
 
 
