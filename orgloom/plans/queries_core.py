@@ -92,16 +92,16 @@ Q.add(
 ORDER_VIEW = lambda t: t.orders.withColumn("hiring", F.col("o_orderstatus") == "O").withColumn("fit_here", F.col("hiring") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
 Q.add(
     "w1_five_keys",
-    lambda t: ORDER_VIEW(t).orderBy(F.desc("fit_here"), F.desc("hiring"), F.desc("o_totalprice"), F.asc("o_orderpriority"), F.asc("o_orderkey")).limit(100).select("o_orderkey", "fit_here", "o_totalprice"),
+    lambda t: ORDER_VIEW(t).orderBy(F.desc("fit_here"), F.desc("hiring"), F.desc("o_totalprice"), F.asc("o_orderpriority"), F.asc("o_orderkey")).select("o_orderkey", "fit_here", "o_totalprice"),
     "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS fit_here, o_totalprice FROM orders ORDER BY fit_here DESC, o_orderstatus = 'O' DESC, o_totalprice DESC, o_orderpriority, o_orderkey LIMIT 100",
 )
 Q.add(
     "w2_nulls_last",
-    lambda t: t.orders.withColumn("d", F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate"))).orderBy(F.col("d").desc_nulls_last(), "o_orderkey").limit(50).select("o_orderkey", "d"),
+    lambda t: t.orders.withColumn("d", F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate"))).orderBy(F.col("d").desc_nulls_last(), "o_orderkey").select("o_orderkey", "d"),
     "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders ORDER BY d DESC NULLS LAST, o_orderkey LIMIT 50",
 )
 Q.add(
-    "w3_two_keys", lambda t: ORDER_VIEW(t).orderBy(F.desc("hiring"), F.desc("o_orderdate"), "o_orderkey").limit(60).select("o_orderkey", "hiring"),
+    "w3_two_keys", lambda t: ORDER_VIEW(t).orderBy(F.desc("hiring"), F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "hiring"),
     "SELECT o_orderkey, o_orderstatus = 'O' AS hiring FROM orders ORDER BY hiring DESC, o_orderdate DESC, o_orderkey LIMIT 60",
 )
 Q.add(

@@ -1,0 +1,35 @@
+"""Queries over their whole tables, against SQL or Python without the caps that the registered SQL has."""
+
+import datetime
+
+import duckdb
+import pytest
+
+from orgloom.plans import queries_core
+from orgloom.plans.registry import Tables
+
+HIRING, FIT = "o_orderstatus = 'O'", "(o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH'))"
+DATED = "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END"
+RANKED = {
+    "w1_five_keys": f"SELECT o_orderkey, {FIT}, o_totalprice FROM t ORDER BY {FIT} DESC, {HIRING} DESC, o_totalprice DESC, o_orderpriority, o_orderkey",
+    "w2_nulls_last": f"SELECT o_orderkey, {DATED} AS d FROM t ORDER BY d DESC NULLS LAST, o_orderkey",
+    "w3_two_keys": f"SELECT o_orderkey, {HIRING} FROM t ORDER BY {HIRING} DESC, o_orderdate DESC, o_orderkey",
+}
+
+
+def whole(sf_dir, table, sql):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW t AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    return con.execute(sql).fetchall()
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_whole_orders_are_ranked(spark, sf_dir, name):
+    got = [tuple(r) for r in queries_core.Q.plans[name](Tables(spark, sf_dir)).collect()]
+    assert got == whole(sf_dir, "orders", RANKED[name])
+
+
+def test_undated_orders_come_last(spark, sf_dir):
+    days = [r["d"] for r in queries_core.Q.plans["w2_nulls_last"](Tables(spark, sf_dir)).collect()]
+    dated = [d for d in days if d is not None]
+    assert 0 < len(dated) < len(days) and days[: len(dated)] == dated and isinstance(dated[0], datetime.date)
