@@ -105,7 +105,7 @@ Q.add(
     "SELECT o_orderkey, o_orderstatus = 'O' AS hiring FROM orders ORDER BY hiring DESC, o_orderdate DESC, o_orderkey LIMIT 60",
 )
 Q.add(
-    "w4_rank_by_titles", lambda t: ALL_TITLES(t).select("p_brand", score_openings(F.slice("titles", 1, 3), PARTS)["best_score"].alias("new_fit")).orderBy(F.desc("new_fit"), "p_brand").limit(10),
+    "w4_rank_by_titles", lambda t: t.part.groupBy("p_brand").agg(F.max(score_title(F.col("p_name"), PARTS)["score"]).alias("new_fit")).orderBy(F.desc("new_fit"), "p_brand"),
     f"WITH s AS ({SCORED} QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3) SELECT p_brand, max(score) AS new_fit FROM s GROUP BY 1 ORDER BY new_fit DESC, p_brand LIMIT 10",
 )
 Q.add(

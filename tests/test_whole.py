@@ -33,3 +33,9 @@ def test_undated_orders_come_last(spark, sf_dir):
     days = [r["d"] for r in queries_core.Q.plans["w2_nulls_last"](Tables(spark, sf_dir)).collect()]
     dated = [d for d in days if d is not None]
     assert 0 < len(dated) < len(days) and days[: len(dated)] == dated and isinstance(dated[0], datetime.date)
+
+
+def test_whole_titles_rank_brands(spark, sf_dir):
+    got = [tuple(r) for r in queries_core.Q.plans["w4_rank_by_titles"](Tables(spark, sf_dir)).collect()]
+    want = whole(sf_dir, "part", f"SELECT p_brand, max({queries_core.SCORE_SQL.format(t='p_name')}) AS fit FROM t GROUP BY 1 ORDER BY fit DESC, p_brand")
+    assert got == want and len(got) > 10
