@@ -161,7 +161,7 @@ Q.add(
     f"SELECT o_orderkey, coalesce(strftime(DATE '{AS_OF}' - n, '%Y-%m-%d'), '') AS d, coalesce(strftime(DATE '{AS_OF}' - n, '%Y-%m-%d'), '') AS b FROM (SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 3 THEN o_orderkey % 20 * 7 WHEN 4 THEN o_orderkey % 20 * 30 END AS INT) AS n FROM orders)",
 )
 Q.add(
-    "d3_next_deadline", lambda t: t.orders.filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)").select("o_orderkey", dates.next_deadline(F.concat(F.lit("Deadline "), F.date_format(order_day(), "d MMMM"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(order_day(), " yyyy")).otherwise("")), F.lit("2001-07-01").cast("date")).alias("d")),
+    "d3_next_deadline", lambda t: t.orders.select("o_orderkey", dates.next_deadline(F.concat(F.lit("Deadline "), F.date_format(order_day(), "d MMMM"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(order_day(), " yyyy")).otherwise("")), F.lit("2001-07-01").cast("date")).alias("d")),
     "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN make_date(2001, month(o_orderdate), day(o_orderdate)) < DATE '2001-06-01' THEN make_date(2002, month(o_orderdate), day(o_orderdate)) ELSE make_date(2001, month(o_orderdate), day(o_orderdate)) END, '%Y-%m-%d') AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)",
 )
 Q.add("d4_closing_date", lambda t: t.orders.select("o_orderkey", dates.closing_date(F.concat(F.lit("Position closing date: "), F.date_format(order_day(), "MMM d, yyyy"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")

@@ -55,3 +55,11 @@ def test_whole_texts_make_merge_keys(spark, sf_dir):
     texts = whole(sf_dir, "documents", "SELECT doc_id, text FROM t")
     assert got == {i: merge_key(x + " (X) asbl") if x is not None else "" for i, x in texts}
     assert max(map(len, got.values())) > 60
+
+
+def test_leap_days_have_deadlines(spark, sf_dir):
+    got = {r["o_orderkey"]: r["d"] for r in queries_text.Q.plans["d3_next_deadline"](Tables(spark, sf_dir)).collect()}
+    days = dict(whole(sf_dir, "orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) FROM t"))
+    assert got.keys() == days.keys()
+    leap = {k: d for k, d in days.items() if (d.month, d.day) == (2, 29)}
+    assert leap and all(got[k] == ("" if k % 2 else d.isoformat()) for k, d in leap.items())
