@@ -1,8 +1,9 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what they miss.
 
 Patterns find the base spans. Tokens that hold a digit or an at sign are the field's nodes; each has a label: nothing
-or a kind of personal data. Neighbouring nodes share chain potentials, and successive nodes of the same digits or
-address, wherever they stand in the document, share skip potentials. Weights are fitted by pseudo-likelihood on
+or a kind of personal data. Neighbouring nodes share chain potentials. Successive mentions of the same or similar digits or
+address, wherever they stand in the document, share skip potentials: a mention is a base span, a token or run of tokens
+of at least 7 digits, or a part of a run that is like a base span. Weights are fitted by pseudo-likelihood on
 documents labelled by the base spans; loopy message passing over all documents of a batch at once gives each node's
 chances. Runs of nodes that are sure of a kind and touch no base span become added spans.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -113,13 +115,129 @@ def _shape(token: str) -> str:
     return token
 
 
+#: Digits that a number has at least, if no pattern finds it, to share skip potentials.
+LEAST_DIGITS = 7
+#: Digits of the longest card number, the longest kind of number; longer ones are alike by all or the last digits only.
+MOST_DIGITS = 19
+
+
+def keys_of(groups: list[str]) -> list[tuple]:
+    """Keys that equal or similar numbers share: all digits, the last seven, and all but one of the groups written or,
+    of long numbers, of the blocks of four digits."""
+    digits = "".join(groups)
+    out: list[tuple] = [("all", digits)]
+    if len(digits) >= LEAST_DIGITS:
+        out.append(("end", digits[-LEAST_DIGITS:]))
+    if len(digits) > MOST_DIGITS:  # longer than any number that is personal data
+        return out
+    if len(groups) >= 3:
+        out += [("group", i, *groups[:i], *groups[i + 1 :]) for i in range(len(groups))]
+    if len(digits) >= 12:
+        out += [("block", i, len(digits), digits[:i] + digits[i + 4 :]) for i in range(0, len(digits), 4)]
+    return out
+
+
+@dataclass
+class Mention:
+    """Nodes ``first`` to ``last`` of a document as one number or address, and the digits that each has."""
+
+    first: int
+    last: int
+    counts: list[int]
+    base: bool
+    keys: list[tuple]
+
+    def node_at(self, from_end: int) -> int:
+        """The node that has the digit so many places before the end, or the first."""
+        for i in range(self.last, self.first, -1):
+            from_end -= self.counts[i - self.first]
+            if from_end < 0:
+                return i
+        return self.first
+
+
+def _mentions(text: str, found: list[Span], places: list[tuple[int, int]], linked: list[bool]) -> list[Mention]:
+    """The mentions among a document's nodes, by their first node, those of base spans first."""
+    tokens = [text[a:b] for a, b in places]
+    groups = [re.findall(r"[0-9]+", x) for x in tokens]
+    counts = [sum(map(len, g)) for g in groups]
+    out: dict[tuple[int, int], Mention] = {}
+
+    def put(i: int, j: int, keys: list[tuple], base: bool) -> None:
+        m = out.setdefault((i, j), Mention(i, j, counts[i : j + 1], base, []))
+        m.keys += [k for k in keys if k not in m.keys]
+        m.base |= base
+
+    at, like = 0, set()
+    for k, a, b in found:
+        while at < len(places) and places[at][1] <= a:
+            at += 1
+        last = at
+        while last + 1 < len(places) and places[last + 1][0] < b:
+            last += 1
+        if at < len(places):
+            keys = [("mail", text[a:b].lower())] if k == 0 else keys_of(re.findall(r"[0-9]+", text[a:b]))
+            put(at, last, keys, True)
+            like.update(keys if k else ())
+    start = 0
+    for i, token in enumerate(tokens):
+        if "@" in token:
+            put(i, i, [("mail", re.sub(r"\A\W+|\W+\Z", "", token).lower())], False)
+            start = i + 1
+            continue
+        if start < i and not linked[i]:
+            start = i
+        if counts[i] >= LEAST_DIGITS:
+            put(i, i, keys_of(groups[i]), False)
+        if i > start and (i + 1 == len(tokens) or not linked[i + 1] or "@" in tokens[i + 1]):
+            run = list(itertools.chain(*groups[start : i + 1]))
+            if sum(counts[start : i + 1]) >= LEAST_DIGITS:
+                put(start, i, keys_of(run), False)
+        if like:  # parts of the run that end here
+            part: list[str] = []
+            for j in range(i, start - 1, -1):
+                part = groups[j] + part
+                if sum(map(len, part)) > MOST_DIGITS:
+                    break
+                keys = [x for x in keys_of(part) if x in like]
+                if keys:
+                    put(j, i, keys, False)
+    return sorted(out.values(), key=lambda m: (m.first, not m.base, m.last))
+
+
+def _skips(mentions: list[Mention]) -> list[tuple[int, int]]:
+    """Edges between each mention and the one before it by each key, node by node from the end."""
+    seen: dict[tuple, Mention] = {}
+    edges: dict[tuple[int, int], None] = {}
+    for m in mentions:
+        for key in m.keys:
+            old = seen.get(key)
+            if old is None or old.last < m.first:
+                seen[key] = m
+            elif m.base and not old.base:
+                seen[key] = m
+                continue
+            else:
+                continue
+            if old is None:
+                continue
+            for one, other, swap in ((m, old, False), (old, m, True)):
+                after = 0
+                for i in range(one.last, one.first - 1, -1):
+                    pair = (other.node_at(after), i)
+                    edges[pair[::-1] if swap else pair] = None
+                    after += one.counts[i - one.first]
+    return list(edges)
+
+
 def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
     """The field over all the documents; a node's features are its shape, counts, and its neighbours' shapes."""
     doc, start, end, label, features, chain, skip = [], [], [], [], [], [], []
     for d, (text, found) in enumerate(zip(texts, spans, strict=True)):
         if not _HINT.search(text):
             continue
-        at, last_end, seen = 0, -2, {}
+        at, last_end, first = 0, -2, len(doc)
+        linked: list[bool] = []
         found = sorted(found, key=lambda s: s[1])
         for m in _NODE.finditer(text):
             a, b, token = m.start(), m.end(), m[0]
@@ -130,7 +248,8 @@ def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
             shape = _shape(core)
             names = [f"s:{shape}", f"n:{min(len(digits), 24)}:{shape[:12]}", f"l:{shape}:{','.join(str(min(len(x), 5)) for x in re.findall(r'[0-9]+', core)[:5])}", f"p:{token[0] in '+('}:{min(len(digits), 24)}"]
             here = len(doc)
-            if a - last_end <= 1:  # one space apart
+            linked.append(a - last_end <= 1)  # one space apart
+            if linked[-1]:
                 chain.append((here - 1, here))
                 names.append("c")
             features.append([_cached_bucket(x) for x in names] + [BUCKETS] * (5 - len(names)))
@@ -139,11 +258,8 @@ def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
             end.append(b)
             label.append(1 + found[at][0] if at < len(found) and found[at][1] < b else 0)
             last_end = b
-            key = core.lower() if "@" in core else digits if len(digits) >= 7 else None
-            if key is not None:
-                if key in seen:
-                    skip.append((seen[key], here))
-                seen[key] = here
+        places = list(zip(start[first:], end[first:], strict=True))
+        skip += [(first + i, first + j) for i, j in _skips(_mentions(text, found, places, linked))]
     edges = lambda x: np.array(x, dtype=np.int64).reshape(-1, 2)
     return Nodes(np.array(doc, int), np.array(start, int), np.array(end, int), np.array(label, int), np.array(features, int).reshape(-1, 5), edges(chain), edges(skip))
 
