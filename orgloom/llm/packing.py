@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm.byte_bpe import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 SEQUENCES = "sequence_id long, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
+PACKED = SEQUENCES + ", position_ids array<int>"
 Encode = Callable[[str], np.ndarray]
 
 
@@ -234,3 +235,8 @@ def write_packed(sequences: DataFrame, path: str, capacity: int, pad_id: int) ->
         F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1))).alias("position_ids"),
         "doc_ids", "pieces", "starts",
     ).write.mode("overwrite").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_packed`` wrote."""
+    return spark.read.schema(PACKED).parquet(path)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm import jaccard_join, pii, quality, sentencepieces, toxicity, url_filter, vptree
-from orgloom.llm.common import table
+from orgloom.llm.common import shared_dir, table
 from orgloom.llm.exact_dedup import DigestIndex
-from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, token_source
+from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, read_packed, token_source, write_packed
 
 END_ID = 2
+PAD_ID = 0
+CAPACITY = 1024
 #: How far the trees' pruning goes beyond exact search.
 VP_FACTOR = 1.25
 
@@ -30,8 +32,11 @@ def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed by best fit decreasing; a row per piece, its checksum taken from the packed matrix."""
-    return pieces_of(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids()))
+    """Documents packed by best fit decreasing and written as a padded matrix with restarting positions; a row per
+    piece, its checksum taken from the matrix read back."""
+    path = shared_dir(spark, "packed")
+    write_packed(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids(), CAPACITY), path, CAPACITY, PAD_ID)
+    return pieces_of(read_packed(spark, path))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
