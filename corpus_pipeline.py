@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm import jaccard_join, pii, toxicity
@@ -29,18 +29,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_score(docs, model).filter(F.col("score") < TOXIC).select(COLUMNS)
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a ``row_key`` of their own, stored so that it stays the same."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), name)
+
+
+def _order() -> Column:
+    """Rows by id, null ids last, then by key."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_key").alias("row_key"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row that the digest index keeps. Rows of one id stay or go together, rows without an id
-    stay."""
-    ids = DigestIndex.temporary(spark).ingest(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(ids.filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    """Of equal texts, the row that the digest index keeps: the longest, then the smallest id. One of wholly equal rows
+    stays; ids may repeat or be null."""
+    rows = _keyed(docs, "rows-exact")
+    found = DigestIndex.temporary(spark).ingest(rows.select(_order().alias("row"), "text"), "row")
+    return rows.join(found.filter("NOT kept").select(F.col("doc_id.row_key").alias("row_key")), "row_key", "left_anti").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id. Rows of one id stay or go together, rows
-    without an id stay."""
-    gone = jaccard_join.near_duplicates(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each class of near duplicates, the row with the smallest id. Rows are told apart by a key; ids may repeat or
+    be null."""
+    rows = _keyed(docs, "rows-near")
+    near = jaccard_join.near_duplicates(rows.select("row_key", "text"), "row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+    near = stored(near.join(rows.select("row_key", "doc_id"), "row_key").select("class_id", _order().alias("row")), "near-classes")
+    best = near.groupBy("class_id").agg(F.min("row").alias("best"))
+    kept = best.select(F.col("best.row_key").alias("row_key"))
+    return rows.join(kept, "row_key", "left_semi").select(COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
