@@ -93,20 +93,20 @@ ORDER_VIEW = lambda t: t.orders.withColumn("hiring", F.col("o_orderstatus") == "
 Q.add(
     "w1_five_keys",
     lambda t: ORDER_VIEW(t).orderBy(F.desc("fit_here"), F.desc("hiring"), F.desc("o_totalprice"), F.asc("o_orderpriority"), F.asc("o_orderkey")).select("o_orderkey", "fit_here", "o_totalprice"),
-    "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS fit_here, o_totalprice FROM orders ORDER BY fit_here DESC, o_orderstatus = 'O' DESC, o_totalprice DESC, o_orderpriority, o_orderkey LIMIT 100",
+    "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS fit_here, o_totalprice FROM orders ORDER BY fit_here DESC, o_orderstatus = 'O' DESC, o_totalprice DESC, o_orderpriority, o_orderkey",
 )
 Q.add(
     "w2_nulls_last",
     lambda t: t.orders.withColumn("d", F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate"))).orderBy(F.col("d").desc_nulls_last(), "o_orderkey").select("o_orderkey", "d"),
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders ORDER BY d DESC NULLS LAST, o_orderkey LIMIT 50",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders ORDER BY d DESC NULLS LAST, o_orderkey",
 )
 Q.add(
     "w3_two_keys", lambda t: ORDER_VIEW(t).orderBy(F.desc("hiring"), F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "hiring"),
-    "SELECT o_orderkey, o_orderstatus = 'O' AS hiring FROM orders ORDER BY hiring DESC, o_orderdate DESC, o_orderkey LIMIT 60",
+    "SELECT o_orderkey, o_orderstatus = 'O' AS hiring FROM orders ORDER BY hiring DESC, o_orderdate DESC, o_orderkey",
 )
 Q.add(
     "w4_rank_by_titles", lambda t: t.part.groupBy("p_brand").agg(F.max(score_title(F.col("p_name"), PARTS)["score"]).alias("new_fit")).orderBy(F.desc("new_fit"), "p_brand"),
-    f"WITH s AS ({SCORED} QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 3) SELECT p_brand, max(score) AS new_fit FROM s GROUP BY 1 ORDER BY new_fit DESC, p_brand LIMIT 10",
+    f"WITH s AS ({SCORED}) SELECT p_brand, max(score) AS new_fit FROM s GROUP BY 1 ORDER BY new_fit DESC, p_brand",
 )
 Q.add(
     "w5_first_best", lambda t: t.part.withColumn("score", score_title(F.col("p_name"), PARTS)["score"]).groupBy("p_type").agg(F.max_by(F.struct("p_partkey", "score"), F.struct("score", -F.col("p_partkey"))).alias("b")).select("p_type", "b.*"),

@@ -87,7 +87,7 @@ Q.add("f14_sha256", lambda t: t.documents.select("doc_id", F.sha2("text", 256).a
 Q.add("f16_prefix", lambda t: t.pages.select("page_id", F.col("url").startswith("https:").alias("secure"), F.col("url").endswith(".html").alias("page")), "SELECT page_id, starts_with(url, 'https:') AS secure, ends_with(url, '.html') AS page FROM pages")
 Q.add("f17_city", lambda t: t.customer.select("c_custkey", F.coalesce(F.nullif(F.initcap(F.lower(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(""))), F.lit("")), F.lit("Belgium")).alias("city")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(substring(c_mktsegment, 1, 1)) || lower(substring(c_mktsegment, 2)) ELSE 'Belgium' END AS city FROM customer")
 KEY_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '\\s*\\([^)]*\\)', ' ', 'g'), '\\b(" + "|".join(text.KEY_STOP) + ")\\b', ' ', 'g'), '[^a-z0-9]', '', 'g')"
-Q.add("m1_merge_key", lambda t: t.documents.select("doc_id", text.merge_key(F.concat("text", F.lit(" (X) asbl"))).alias("key")), f"SELECT doc_id, {KEY_SQL.format(c="(substring(text, 1, 60) || ' (X) asbl')")} AS key FROM documents")
+Q.add("m1_merge_key", lambda t: t.documents.select("doc_id", text.merge_key(F.concat("text", F.lit(" (X) asbl"))).alias("key")), f"SELECT doc_id, coalesce({KEY_SQL.format(c="(text || ' (X) asbl')")}, '') AS key FROM documents")
 Q.add(
     "m5_dedup_domain", lambda t: t.pages.select("page_id", urls.dedup_domain(F.col("url"), F.lit("")).alias("d")),
     f"SELECT page_id, CASE WHEN regexp_matches(d, {lits(vocab.SHARED_HOSTS)}) THEN '' ELSE d END AS d FROM (SELECT page_id, replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') AS d FROM pages)",
@@ -162,7 +162,7 @@ Q.add(
 )
 Q.add(
     "d3_next_deadline", lambda t: t.orders.select("o_orderkey", dates.next_deadline(F.concat(F.lit("Deadline "), F.date_format(order_day(), "d MMMM"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(order_day(), " yyyy")).otherwise("")), F.lit("2001-07-01").cast("date")).alias("d")),
-    "SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) WHEN make_date(2001, month(o_orderdate), day(o_orderdate)) < DATE '2001-06-01' THEN make_date(2002, month(o_orderdate), day(o_orderdate)) ELSE make_date(2001, month(o_orderdate), day(o_orderdate)) END, '%Y-%m-%d') AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)",
+    "WITH days AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS given, try_cast(strftime(o_orderdate, '2001-%m-%d') AS DATE) AS this, try_cast(strftime(o_orderdate, '2002-%m-%d') AS DATE) AS next FROM orders) SELECT o_orderkey, coalesce(strftime(CASE WHEN o_orderkey % 2 = 0 THEN given WHEN this < DATE '2001-06-01' THEN next ELSE this END, '%Y-%m-%d'), '') AS d FROM days",
 )
 Q.add("d4_closing_date", lambda t: t.orders.select("o_orderkey", dates.closing_date(F.concat(F.lit("Position closing date: "), F.date_format(order_day(), "MMM d, yyyy"))).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
 Q.add(

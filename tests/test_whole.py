@@ -1,4 +1,4 @@
-"""Queries over their whole tables, against SQL or Python without the caps that the registered SQL has."""
+"""Ranked and keyed queries over their whole tables, in order, against plain SQL or Python."""
 
 import datetime
 import re
