@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder in ``spark.checkpoint.dir``; only where that is unset, below a local one."""
+    """A fresh path below the folder in ``spark.checkpoint.dir``. Where that is unset a local session makes one; any
+    other raises, as executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="orgloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orgloom/{name}-{uuid.uuid4().hex[:12]}"
