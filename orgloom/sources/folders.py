@@ -13,7 +13,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     other raises, as executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="orgloom-")
         spark.conf.set("spark.checkpoint.dir", base)
