@@ -42,8 +42,11 @@ def _order() -> Column:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row that the digest index keeps: the longest, then the smallest id. One of wholly equal rows
     stays; ids may repeat or be null."""
-    rows = _keyed(docs, "rows-exact")
-    found = DigestIndex.temporary(spark).ingest(rows.select(_order().alias("row"), "text"), "row")
+    rows, index = _keyed(docs, "rows-exact"), DigestIndex.temporary(spark)
+    try:
+        found = index.ingest(rows.select(_order().alias("row"), "text"), "row")
+    finally:
+        index.drop()
     return rows.join(found.filter("NOT kept").select(F.col("doc_id.row_key").alias("row_key")), "row_key", "left_anti").select(COLUMNS)
 
 

@@ -4,20 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Open scopes; each lists the paths that go when it ends.
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a local session, as in tests, makes one; any
+    other raises, as executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="orgloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/orgloom/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/orgloom/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever the session's file systems find it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made inside go at the end; what must outlive the scope is stored by ``kept``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            removed(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -28,5 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Stored as a table of the scope around the present one."""
+    inner = _SCOPES.pop()
+    try:
+        return stored(df, name)
+    finally:
+        _SCOPES.append(inner)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -91,8 +91,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents ingested into a new digest index."""
-    return DigestIndex.temporary(spark).ingest(table(spark, sf_dir, "documents"))
+    """All documents ingested into a new digest index, which goes afterwards."""
+    index = DigestIndex.temporary(spark)
+    try:
+        return index.ingest(table(spark, sf_dir, "documents"))
+    finally:
+        index.drop()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op3_pii, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
