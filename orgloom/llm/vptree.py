@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product through vantage-point trees, one per shard.
 
-Rows are dealt to shards of a bounded size by a hash. A shard's vectors get one more component that makes all norms
-equal, so that the largest inner product is the least distance, and are laid out as a balanced vantage-point tree:
-the tree's shape follows from the number of rows, and each inner node keeps the median distance to its vantage point.
-Query rows are sent to every shard in blocks and stream through the tree; a leaf is skipped when ``factor`` times
-the bound that the triangle inequality gives is beyond the query's present worst neighbour. Factor 1 is exact.
+Repeated rows are merged, and rows are dealt to shards of a bounded size by a hash of id and vector. A shard's vectors
+get one more component that makes all norms equal, so that the largest inner product is the least distance, and are
+laid out as a balanced vantage-point tree: the tree's shape follows from the number of rows, and each inner node keeps
+the median distance to its vantage point. Query rows are sent in blocks to groups of shards and stream through a
+group's trees one after another; a leaf is skipped when ``factor`` times the bound that the triangle inequality gives
+is beyond the query's present worst neighbour. Factor 1 is exact.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 from orgloom.llm.common import stored
 
-INDEX = "dim int, shard int, pos int, ids array<long>, vector array<double>, radius double"
+INDEX = "dim int, shard int, pos int, ids array<long>, vector array<double>, radius double, most int"
 FOUND = "query_id long, vec_id long, score double"
 LEAF = 64
-#: Copies of one vector that a shard keeps: more than k + 1 of them can't be among k neighbours.
+#: A query's own id takes one of the places that are searched for.
 SPARE = 1
+#: Bytes of vectors whose trees one task of the search holds.
+TREE_BYTES = 64 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -54,21 +57,24 @@ def _lift(x: np.ndarray) -> np.ndarray:
 def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192) -> tuple[DataFrame, int]:
     """All usable rows as trees (``INDEX``), written to the shared folder, and the number of shards of each dimension.
 
-    Equal vectors of a shard become one entry with its k + 1 smallest ids, which is exact for k neighbours.
+    Rows that repeat id and vector count once. Equal vectors of a shard become one entry with its k + 1 smallest ids,
+    which is exact for k neighbours. ``most`` is how many entries of a shard one id has at most.
     """
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull())
     shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    most = k + SPARE
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + 0.0)).dropDuplicates(["id", "vector"])
+    rows = rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int"))
+    held = k + SPARE
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vector"].to_numpy()) + 0.0
+        x = np.stack(pdf["vector"].to_numpy())
         ids = pdf["id"].to_numpy()
         sort = np.lexsort((ids, *x.T))
         x, ids = x[sort], ids[sort]
         new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
-        groups = [g[:most].tolist() for g in np.split(ids, np.flatnonzero(new)[1:])]
+        groups = [g[:held].tolist() for g in np.split(ids, np.flatnonzero(new)[1:])]
+        most = int(np.unique(ids, return_counts=True)[1].max())
         x = x[new]
         y, n = _lift(x), len(x)
         order, radius = np.random.default_rng(n).permutation(n), np.full(n, np.nan)
@@ -78,7 +84,8 @@ def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col:
             near = np.argpartition(d, mid - lo - 1)
             order[lo:hi] = rest[near]
             radius[at] = d[near[mid - lo - 1]]
-        return pd.DataFrame({"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "pos": np.arange(n), "ids": [groups[i] for i in order], "vector": list(x[order]), "radius": radius})
+        head = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "pos": np.arange(n)}
+        return pd.DataFrame(head | {"ids": [groups[i] for i in order], "vector": list(x[order]), "radius": radius, "most": most})
 
     return stored(rows.groupBy("dim", "shard").applyInPandas(build, INDEX), "vp-index"), shards
 
@@ -86,8 +93,8 @@ def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col:
 class Tree:
     """A shard's tree, ready for search."""
 
-    def __init__(self, vectors: np.ndarray, ids: list, radius: np.ndarray):
-        self.x, self.ids, self.radius = vectors, ids, radius
+    def __init__(self, vectors: np.ndarray, ids: list, radius: np.ndarray, most: int = 1):
+        self.x, self.ids, self.radius, self.most = vectors, ids, radius, most
         self.y = _lift(vectors)
         self.high = float(np.einsum("ij,ij->i", self.y, self.y).max())
         self.inner, self.leaves = _nodes(len(vectors))
@@ -104,36 +111,61 @@ class Tree:
             low[mid] = np.maximum(here, self.radius[v] - dist[:, j])
         return np.column_stack([low[lo] for lo, _ in self.leaves]), at, score
 
-    def search(self, q: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> tuple[pd.DataFrame, int]:
-        """Neighbours of each query in this shard, ties and the k-th included, and the number of scores taken."""
+    def search(self, q: np.ndarray, query_ids: np.ndarray, k: int, factor: float, known: np.ndarray | None = None) -> tuple[pd.DataFrame, int]:
+        """Neighbours ``at, vec_id, score`` of each query in this shard, ties and the k-th included, where ``at`` is the
+        query's place, and the number of scores taken.
+
+        ``known`` has scores that k other ids of earlier shards are known to reach; what is below them may be left out.
+        """
         square = np.einsum("ij,ij->i", q, q)
         low, at, score = self._bounds(q, square)
         scores = np.full((len(q), len(self.x)), -np.inf)
         scores[:, at] = score
         rank = np.argsort(np.argsort(low, axis=1, kind="stable"), axis=1, kind="stable")
-        need = min(k + SPARE, len(self.x))
-        worst, taken = np.full(len(q), np.inf), score.size
-        kth = np.full(len(q), -np.inf)
+        need = min((k + SPARE) * self.most, len(self.x))  # so many entries have k ids besides the query's own
+        known = np.full(len(q), -np.inf) if known is None else known
+        taken, kth = score.size, known
+        slack = 1e-9 * np.sqrt(square * self.high)
         for first, last in ((0, 1), (1, 4), (4, 16), (16, 64), (64, len(self.x))):
+            worst = np.where(np.isneginf(kth), np.inf, np.sqrt(np.maximum(square + self.high - 2 * np.where(np.isneginf(kth), 0, kth - slack), 0)))
             wanted = (rank >= first) & (rank < last) & (factor * low <= worst[:, None] + 1e-9)
             for j, (lo, hi) in enumerate(self.leaves):
                 rows = np.flatnonzero(wanted[:, j])
                 if len(rows):
                     scores[rows, lo:hi] = q[rows] @ self.x[lo:hi].T
                     taken += len(rows) * (hi - lo)
-            if not wanted.any():
-                continue
-            kth = np.partition(scores, -need, axis=1)[:, -need]
-            worst = np.sqrt(np.maximum(square + self.high - 2 * kth, 0))
-            worst[np.isneginf(kth)] = np.inf
-        slack = 1e-9 * np.sqrt(square * self.high)
+            kth = np.maximum(known, np.partition(scores, -need, axis=1)[:, -need])
         row, col = np.nonzero((scores >= (kth - slack)[:, None]) & ~np.isneginf(scores))
         exact = np.zeros(len(row))
         for d in range(q.shape[1]):  # one order of addition, so that equal vectors get equal scores everywhere
             exact += q[row, d] * self.x[col, d]
         times = np.array([len(x) for x in self.ids], dtype=int)[col]
-        out = pd.DataFrame({"query_id": np.repeat(query_ids[row], times), "vec_id": np.array([i for c in col for i in self.ids[c]], dtype=np.int64), "score": np.repeat(exact, times)})
-        return out[out["query_id"] != out["vec_id"]], taken
+        out = pd.DataFrame({"at": np.repeat(row, times), "vec_id": np.array([i for c in col for i in self.ids[c]], dtype=np.int64), "score": np.repeat(exact, times)})
+        return out[query_ids[out["at"]] != out["vec_id"]], taken
+
+
+def nearest(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best ids for each query, each with its best score, ties to the smaller id."""
+    found = found.sort_values(["at", "score", "vec_id"], ascending=[True, False, True], kind="stable").drop_duplicates(["at", "vec_id"])
+    return found[found.groupby("at").cumcount() < k]
+
+
+def search_trees(trees: list[Tree], q: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[pd.DataFrame, int]:
+    """The nearest of each query in all the trees, and the scores taken; later trees are pruned by what earlier had."""
+    best, known, total = None, np.full(len(q), -np.inf), 0
+    for tree in trees:
+        found, taken = tree.search(q, ids, k, factor, known)
+        best, total = nearest(found if best is None else pd.concat([best, found]), k), total + taken
+        last = best.groupby("at")["score"].agg(["size", "min"])
+        known[last.index] = last["min"].where(last["size"] == k, -np.inf)
+    return best, total
+
+
+def _tree(parts: list[pd.DataFrame]) -> list[Tree]:
+    if not parts:
+        return []
+    own = pd.concat(parts)
+    return [Tree(np.stack(own["vector"].to_numpy()), [x.tolist() for x in own["ids"]], own["radius"].to_numpy(float), int(own["most"].iloc[0]))]
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int, factor: float, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536) -> DataFrame:
@@ -141,40 +173,46 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int, factor: fl
 
     A query is never its own neighbour (nor is any row with its id); with fewer than k others all are returned; null
     ids and unusable vectors take no part; vectors meet only those of their own dimension; other columns are ignored;
-    repeated query rows count once.
+    repeated rows, of queries or of the index, count once; of several vectors of one id the best counts. A query goes
+    to groups of shards: as many shards as ``TREE_BYTES`` hold, fewer where that would leave cores idle.
     """
     v = F.col(vector_col).cast("array<double>")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull()).dropDuplicates(["id", "vector"])
     blocks = max(1, -(-asked.count() // block_rows))
-    trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(0))
+    size = index.groupBy("dim", "shard").agg((F.count(F.lit(1)) * F.col("dim") * 8).alias("bytes")).agg(F.max("bytes")).first()[0] or 1
+    busy = 2 * index.sparkSession.sparkContext.defaultParallelism
+    groups = min(shards, max(-(-shards * size // TREE_BYTES), -(-busy // blocks)))
+    group = F.pmod("shard", F.lit(groups)).cast("int")
+    nothing = F.lit(None).cast("double")
+    trees = index.select("dim", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "pos", "ids", "vector", "radius", "most")
     sent = asked.select(
-        F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("pos"), F.array("id").alias("ids"), "vector",
-        F.lit(None).cast("double").alias("radius"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"),
+        F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
+        F.lit(shards).alias("shard"), F.lit(0).alias("pos"), F.array("id").alias("ids"), "vector", nothing.alias("radius"), F.lit(0).alias("most"),
     )
 
     def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, parts, tree = None, [], None
+        key, trees, parts = None, [], []
         for b in batches:
-            group = list(zip(b["dim"], b["shard"], b["block"], strict=True))
-            kinds = b["kind"].to_numpy()
-            cuts = [i for i in range(len(b)) if i == 0 or group[i] != group[i - 1] or kinds[i] != kinds[i - 1]]
+            names = np.column_stack([b[c].to_numpy() for c in ("dim", "group", "block", "shard")])
+            cuts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1))) if len(b) else []
             for lo, hi in zip(cuts, [*cuts[1:], len(b)], strict=True):
-                part = b.iloc[lo:hi]
-                if group[lo] != key:
-                    key, parts, tree = group[lo], [], None
-                if kinds[lo] == 0:
+                name, part = tuple(names[lo].tolist()), b.iloc[lo:hi]
+                if key is not None and name != key:
+                    trees += _tree(parts)
+                    parts = []
+                    if name[:3] != key[:3]:
+                        trees = []
+                key = name
+                if name[3] < shards:
                     parts.append(part)
                     continue
-                if tree is None and parts:
-                    own = pd.concat(parts)
-                    tree, parts = Tree(np.stack(own["vector"].to_numpy()), [x.tolist() for x in own["ids"]], own["radius"].to_numpy(float)), []
-                if tree is not None:
+                if trees:
                     q, ids = np.stack(part["vector"].to_numpy()), np.array([x[0] for x in part["ids"]])
                     for i in range(0, len(q), 256):
-                        yield tree.search(q[i : i + 256], ids[i : i + 256], k, factor)[0]
+                        best = search_trees(trees, q[i : i + 256], ids[i : i + 256], k, factor)[0]
+                        yield pd.DataFrame({"query_id": ids[i : i + 256][best["at"]], "vec_id": best["vec_id"], "score": best["score"]})
 
-    both = trees.select(*sent.columns).unionByName(sent)
-    dealt = both.repartition(min(shards * blocks, 20_000), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind", "pos")
+    dealt = trees.unionByName(sent).repartition(min(groups * blocks, 20_000), "dim", "group", "block").sortWithinPartitions("dim", "group", "block", "shard", "pos")
     found = dealt.mapInPandas(task, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from orgloom.llm import jaccard_join, vptree
 from orgloom.llm.components import components
@@ -41,6 +42,50 @@ def test_exact_factor_is_brute_force(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 300])
+def test_repeated_rows_and_ids(spark, shard_rows):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) / 50).tolist()) for i in range(1000, 1400)]
+    rows += [(5, [1.0, 0.0, 0.0, 0.0])] * 25 + [(i, [1.0, 0.0, 0.0, 0.0]) for i in (6, 7, 8)]  # one row often
+    rows += [(9, [0.0, 9.0 + i / 100, 0.0, 0.0]) for i in range(60)] + [(1000, [0.0, 9.5, 0.0, 0.0])] * 2  # one id with many vectors
+    rows += [(0, [1.0, 0.0, 0.0, 0.0]), (20, [0.0, 1.0, 0.0, 0.0]), (40, [0.5, 0.5, 0.0, -0.0])]
+    best = {}
+    for q, v in rows:
+        for i, w in rows:
+            if q % 20 == 0 and i != q:
+                s = sum(float(np.float32(a)) * float(np.float32(b)) for a, b in zip(v, w, strict=True))
+                best.setdefault(q, {})[i] = max(s, best.get(q, {}).get(i, -np.inf))
+    df = spark.createDataFrame([(i, v, 1, 1.0, 5) for i, v in rows], VECTORS)
+    index, shards = vptree.build_index(df, 20, shard_rows=shard_rows)
+    got = {}
+    for r in vptree.search(index, shards, df.filter("vec_id % 20 = 0"), 20, 1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got.keys() == best.keys()
+    for q, found in got.items():
+        want = sorted(best[q].items(), key=lambda x: (-round(x[1], 9), x[0]))[:20]
+        assert [i for _, i, _ in sorted(found)] == [i for i, _ in want], q
+    assert {5, 6, 7, 8} <= {i for _, i, _ in got[0]}
+
+
+def test_trees_search_one_after_another():
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(900, 6)), rng.normal(size=(40, 6))
+    trees = []
+    for part in np.split(np.arange(900), 3):
+        order, radius = np.arange(300), np.full(300, np.nan)
+        y = vptree._lift(x[part])
+        for at, lo, mid, hi in vptree._nodes(300)[0]:
+            rest = order[lo:hi]
+            d = np.linalg.norm(y[rest] - y[order[at]], axis=1)
+            order[lo:hi] = rest[np.argsort(d)]
+            radius[at] = np.sort(d)[mid - lo - 1]
+        trees.append(vptree.Tree(x[part][order], [[int(i)] for i in part[order]], radius))
+    exact, all_taken = vptree.search_trees(trees, q, np.full(40, -1), 5, 1.0)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert exact["vec_id"].to_numpy().reshape(40, 5).tolist() == want.tolist()
+    assert vptree.search_trees(trees, q, np.full(40, -1), 5, 3.0)[1] < all_taken
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(0, None, 1, 1.0, 5)], VECTORS)
     index, shards = vptree.build_index(df, 20)
