@@ -1,11 +1,13 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what they miss.
 
-Patterns find the base spans. Tokens that hold a digit or an at sign are the field's nodes; each has a label: nothing
-or a kind of personal data. Neighbouring nodes share chain potentials. Successive mentions of the same or similar digits or
-address, wherever they stand in the document, share skip potentials: a mention is a base span, a token or run of tokens
-of at least 7 digits, or a part of a run that is like a base span. Weights are fitted by pseudo-likelihood on
-documents labelled by the base spans; loopy message passing over all documents of a batch at once gives each node's
-chances. Runs of nodes that are sure of a kind and touch no base span become added spans.
+Patterns find the base spans. Tokens that hold a digit or an at sign, and tokens equal to the local part of an address
+found, are the field's nodes; each has a label: nothing or a kind of personal data. Neighbouring nodes share chain
+potentials. Successive mentions of the same or similar digits or address, wherever they stand in the document, share
+skip potentials: a mention is a base span, a token or run of tokens of at least 7 digits, a part of a run that is like a
+base span, or such a local part. Weights are fitted by pseudo-likelihood on documents labelled by the base spans; a node
+that is no base span but like one has no known label, so it is left out there. Loopy message passing over all documents
+of a batch at once gives each node's chances. Runs of nodes that are sure of a kind and touch no base span become added
+spans.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 BUCKETS = 4096
-#: What repeated tokens gain by equal labels, before the data say more.
-SKIP_PRIOR = 1.5
+#: What mentions alike gain by equal labels, before the data say more.
+SKIP_PRIOR = 9.0
+#: What other labels lose where a pattern has found a span.
+OBSERVED = 30.0
 Span = tuple[int, int, int]
 
 # Fixed patterns of the base spans; they are written so that no text takes more than linear time.
@@ -35,8 +39,10 @@ _TAIL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"\S*[0-9@]\S*")
+_NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+_WORD = re.compile(r"\S+")
 _HINT = re.compile(r"[0-9@]")
+_INNER = re.compile(r"\w")
 _SHAPE = ((re.compile(r"[0-9]+"), "d"), (re.compile(r"[^\W\d_]+"), "a"))
 
 
@@ -105,11 +111,26 @@ def _bucket(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()) % BUCKETS
 
 
-_cached_bucket = functools.lru_cache(100_000)(_bucket)
+_cached = functools.lru_cache(100_000)(_bucket)
+
+
+def _cached_bucket(text: str) -> int:
+    return _cached(text) if len(text) < 200 else _bucket(text)
+
+
+def _core(token: str) -> str:
+    """The token without marks at its ends, or all of one that has only marks."""
+    first = _INNER.search(token)
+    if not first:
+        return token
+    end = len(token)
+    while not _INNER.match(token, end - 1):
+        end -= 1
+    return token[first.start() : end]
 
 
 def _shape(token: str) -> str:
-    token = token.lower()[:80]
+    token = token.lower()
     for pattern, to in _SHAPE:
         token = pattern.sub(to, token)
     return token
@@ -168,7 +189,7 @@ def _mentions(text: str, found: list[Span], places: list[tuple[int, int]], linke
         m.keys += [k for k in keys if k not in m.keys]
         m.base |= base
 
-    at, like = 0, set()
+    at, like, names = 0, set(), set()
     for k, a, b in found:
         while at < len(places) and places[at][1] <= a:
             at += 1
@@ -176,20 +197,29 @@ def _mentions(text: str, found: list[Span], places: list[tuple[int, int]], linke
         while last + 1 < len(places) and places[last + 1][0] < b:
             last += 1
         if at < len(places):
-            keys = [("mail", text[a:b].lower())] if k == 0 else keys_of(re.findall(r"[0-9]+", text[a:b]))
+            if k == 0:
+                local = _local(text, a, b)
+                keys = [("mail", text[a:b].lower()), *([("local", local)] if local else [])]
+                names.update([local] if local else [])
+            else:
+                keys = keys_of(re.findall(r"[0-9]+", text[a:b]))
             put(at, last, keys, True)
             like.update(keys if k else ())
     start = 0
     for i, token in enumerate(tokens):
-        if "@" in token:
-            put(i, i, [("mail", re.sub(r"\A\W+|\W+\Z", "", token).lower())], False)
+        core = _core(token).lower() if names or "@" in token else ""
+        if core in names:
+            put(i, i, [("local", core)], False)
+        if "@" in token or not counts[i]:
+            if "@" in token:
+                put(i, i, [("mail", core)], False)
             start = i + 1
             continue
         if start < i and not linked[i]:
             start = i
         if counts[i] >= LEAST_DIGITS:
             put(i, i, keys_of(groups[i]), False)
-        if i > start and (i + 1 == len(tokens) or not linked[i + 1] or "@" in tokens[i + 1]):
+        if i > start and (i + 1 == len(tokens) or not linked[i + 1] or "@" in tokens[i + 1] or not counts[i + 1]):
             run = list(itertools.chain(*groups[start : i + 1]))
             if sum(counts[start : i + 1]) >= LEAST_DIGITS:
                 put(start, i, keys_of(run), False)
@@ -230,6 +260,29 @@ def _skips(mentions: list[Mention]) -> list[tuple[int, int]]:
     return list(edges)
 
 
+def _local(text: str, a: int, b: int) -> str | None:
+    """The local part of an address, if it is none that an ordinary word could be."""
+    local = text[a:b].partition("@")[0].strip("._%+-").lower()
+    return local if len(local) > 4 and re.search(r"[._0-9-]", local) else None
+
+
+def _places(text: str, found: list[Span]) -> Iterator[tuple[int, int]]:
+    """Where the nodes are."""
+    locals_ = {x for k, a, b in found if k == 0 and (x := _local(text, a, b))}
+    if not locals_:
+        yield from (m.span() for m in _NODE.finditer(text))
+        return
+    for m in _WORD.finditer(text):
+        if _HINT.search(m[0]) or _core(m[0]).lower() in locals_:
+            yield m.span()
+
+
+def _word_before(text: str, at: int) -> str:
+    """The last word of letters in the 24 characters before a place; longer ones have no name in common."""
+    words = re.findall(r"[^\W\d_]+", text[max(0, at - 24) : at])
+    return words[-1].lower() if words else ""
+
+
 def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
     """The field over all the documents; a node's features are its shape, counts, and its neighbours' shapes."""
     doc, start, end, label, features, chain, skip = [], [], [], [], [], [], []
@@ -239,11 +292,11 @@ def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
         at, last_end, first = 0, -2, len(doc)
         linked: list[bool] = []
         found = sorted(found, key=lambda s: s[1])
-        for m in _NODE.finditer(text):
-            a, b, token = m.start(), m.end(), m[0]
+        for a, b in _places(text, found):
+            token = text[a:b]
             while at < len(found) and found[at][2] <= a:
                 at += 1
-            core = re.sub(r"\A\W+|\W+\Z", "", token) or token
+            core = _core(token)
             digits = re.sub(r"[^0-9]", "", token)
             shape = _shape(core)
             names = [f"s:{shape}", f"n:{min(len(digits), 24)}:{shape[:12]}", f"l:{shape}:{','.join(str(min(len(x), 5)) for x in re.findall(r'[0-9]+', core)[:5])}", f"p:{token[0] in '+('}:{min(len(digits), 24)}"]
@@ -252,7 +305,9 @@ def nodes_of(texts: list[str], spans: list[list[Span]]) -> Nodes:
             if linked[-1]:
                 chain.append((here - 1, here))
                 names.append("c")
-            features.append([_cached_bucket(x) for x in names] + [BUCKETS] * (5 - len(names)))
+            else:
+                names.append(f"w:{_word_before(text, a)}")
+            features.append([_cached_bucket(x) for x in names])
             doc.append(d)
             start.append(a)
             end.append(b)
@@ -273,8 +328,9 @@ class SkipChainField:
     skip: np.ndarray
 
     def marginals(self, n: Nodes, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
-        """Each node's chances of the labels, by loopy message passing."""
+        """Each node's chances of the labels, by loopy message passing; nodes of base spans are observed."""
         score = self.emission[n.features].sum(axis=1)
+        score[n.label > 0] -= OBSERVED * (1 - np.eye(LABELS)[n.label[n.label > 0]])
         edges = np.concatenate([n.chain, n.skip])
         if len(edges):
             pair = np.concatenate([np.broadcast_to(self.chain, (len(n.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(n.skip), LABELS, LABELS))])
@@ -303,21 +359,27 @@ def train(n: Nodes, steps: int = 200, ridge: float = 1e-3, rate: float = 1.0) ->
     if not len(n.label):
         emission[:, 0] = 5.0
         return SkipChainField(emission, chain, skip)
+    a, b = n.skip.T
+    unsure = (n.label[a] > 0) != (n.label[b] > 0)  # like a base span, but none: its label isn't known
+    known = np.ones(len(n.label))
+    known[np.where(n.label[a] > 0, b, a)[unsure]] = 0.0
+    keep = lambda edges: edges[(known[edges] > 0).all(axis=1)]
+    n_chain, n_skip = keep(n.chain), keep(n.skip)
     gold = np.eye(LABELS)[n.label]
     sums = [np.zeros_like(x) for x in (emission, chain, skip)]
     for _ in range(steps):
         score = emission[n.features].sum(axis=1)
-        for edges, pair in ((n.chain, chain), (n.skip, skip)):
+        for edges, pair in ((n_chain, chain), (n_skip, skip)):
             for i, j, p in ((0, 1, pair.T), (1, 0, pair)):
                 for k in range(LABELS):
                     score[:, k] += np.bincount(edges[:, i], p[n.label[edges[:, j]], k], len(score))
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        err = gold - p / p.sum(axis=1, keepdims=True)
+        err = (gold - p / p.sum(axis=1, keepdims=True)) * known[:, None]
         grads = [np.zeros_like(emission), np.zeros_like(chain), np.zeros_like(skip)]
         for f in range(n.features.shape[1]):
             for k in range(LABELS):
                 grads[0][:, k] += np.bincount(n.features[:, f], err[:, k], BUCKETS + 1)
-        for edges, g in ((n.chain, grads[1]), (n.skip, grads[2])):
+        for edges, g in ((n_chain, grads[1]), (n_skip, grads[2])):
             np.add.at(g, n.label[edges[:, 0]], err[edges[:, 1]])
             np.add.at(g.T, n.label[edges[:, 1]], err[edges[:, 0]])
         for x, g, s in zip((emission, chain, skip), grads, sums, strict=True):
@@ -327,18 +389,32 @@ def train(n: Nodes, steps: int = 200, ridge: float = 1e-3, rate: float = 1.0) ->
     return SkipChainField(emission, chain, skip)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1500, max_chars: int = 20_000) -> SkipChainField:
-    """Fit on at most ``max_docs`` documents of at most ``max_chars`` characters that have candidate tokens.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 15_000) -> SkipChainField:
+    """Fit on at most ``max_docs`` documents, those whose hashed id is smallest, whatever their length.
 
-    Those whose hashed id is smallest are taken; only their lines with candidates reach the driver. Both bounds are
-    for fitting only. The labels are the base spans.
+    The bound is for fitting only. The labels are the base spans; nodes are made on the executors, and only their
+    features, labels and edges reach the driver. With no such nodes every weight but that of "nothing" is 0.
     """
-    text = F.col(text_col)
-    lines = F.concat_ws("\n", F.filter(F.split(text, "\n"), lambda x: x.rlike("[0-9@]")))
-    sample = docs.filter((F.length(text) <= max_chars) & text.rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), lines.alias("text"))
-    last = sample.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]  # hashes only are sorted
-    texts = [r["text"] for r in sample.filter(F.col("h") <= last).sort("h", "text").limit(max_docs).collect()] if last is not None else []
-    return train(nodes_of(texts, [base_spans(x) for x in texts]))
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
+    last = keyed.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return train(nodes_of([], []))
+
+    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [nodes_of([x], [base_spans(x)]) for x in b["text"]]
+            parts = {k: [getattr(n, k).astype(np.int32).tobytes() for n in made] for k in ("label", "features", "chain", "skip")}
+            yield pd.DataFrame({"h": b["h"], "t": b["t"], **parts})
+
+    rows = keyed.filter((F.col("h") <= last) & F.col("text").rlike("[0-9@]")).select("h", F.xxhash64("text").alias("t"), "text")
+    got = rows.mapInPandas(task, "h long, t long, label binary, features binary, chain binary, skip binary").orderBy("h", "t").limit(max_docs).toPandas()
+    read = lambda k, width: [np.frombuffer(x, np.int32).reshape(-1, width).astype(int) for x in got[k]]
+    label, features = read("label", 1), read("features", 5)
+    first = np.cumsum([0, *map(len, label)])
+    joined = lambda parts, width: np.concatenate([np.zeros((0, width), int), *parts])
+    chain, skip = (joined([e + at for e, at in zip(read(k, 2), first, strict=False)], 2) for k in ("chain", "skip"))
+    where = np.zeros(first[-1], int)
+    return train(Nodes(where, where, where, joined(label, 1)[:, 0], joined(features, 5), chain, skip))
 
 
 def all_spans(texts: list[str], field: SkipChainField, sure: float = 0.95) -> tuple[list[list[Span]], list[list[Span]]]:
@@ -359,7 +435,8 @@ def all_spans(texts: list[str], field: SkipChainField, sure: float = 0.95) -> tu
                 runs.append([i])
         for run in runs:
             text, a, b = texts[n.doc[run[0]]], int(n.start[run[0]]), int(n.end[run[-1]])
-            while a < b and not (text[a].isalnum() or text[a] in "+("):
+            lead = "+(" if KINDS[int(best[run[0]]) - 1] == "phone" else ""
+            while a < b and not (text[a].isalnum() or text[a] in lead):
                 a += 1
             while a < b and not text[b - 1].isalnum():
                 b -= 1
