@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features count, for each n-gram of characters, the distinct words that hold it (words in lower case,
-marked at both ends; n-grams are hashed to a fixed number of buckets). Each count is scaled by the log ratio of its
-smoothed shares in toxic and clean training documents, and a logistic regression is fitted on the scaled counts. As a
-score is then a sum over distinct words, a worker scores each frequent word once.
+A document's features count, for each n-gram of characters, the places in its distinct words that hold it (words in
+lower case, marked at both ends; no n-gram crosses a word's end; n-grams are hashed to a fixed number of buckets).
+Each count is scaled by the log ratio of the n-gram's smoothed document shares in toxic and clean training documents,
+and a logistic regression is fitted on the scaled counts. As a score is then a sum over distinct words, the matrix of
+training features is held as the product of a matrix of documents by words and one of words by n-grams, whole and
+small, and a worker scores each frequent word once.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import stored
-
 SIZES = (3, 4, 5)
 BITS = 20
 #: Words that a worker remembers the sums of; it only saves time.
@@ -61,13 +61,6 @@ def distinct_words(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
-def _buckets(text: str | None, bits: int) -> np.ndarray:
-    words = sorted(distinct_words(text))
-    if not words:
-        return np.zeros(0, np.int32)
-    return np.concatenate([b[h] for b, _, h in _ngrams(words, bits)]).astype(np.int32)
-
-
 def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``text, y`` of at most ``max_rows`` labelled documents, those whose hashed id is smallest.
 
@@ -80,73 +73,146 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, i
     return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, least_docs: int = 3, ridge: float = 5e-3) -> NgramModel:
+@dataclass
+class Features:
+    """Counts of n-grams in documents as two sparse matrices: documents by words, and words by n-grams, the latter by
+    rows and by columns; every word has an n-gram and every n-gram a word."""
+
+    doc: np.ndarray
+    word: np.ndarray
+    docs: int
+    gram: np.ndarray
+    word_first: np.ndarray
+    holder: np.ndarray
+    gram_first: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The sum of a document's n-grams weighted by ``w``."""
+        if not len(self.gram):
+            return np.zeros(self.docs)
+        return np.bincount(self.doc, np.add.reduceat(w[self.gram], self.word_first)[self.word], self.docs)
+
+    def back(self, x: np.ndarray) -> np.ndarray:
+        """The sum over documents, weighted by ``x``, of an n-gram's counts."""
+        if not len(self.gram):
+            return np.zeros(0)
+        return np.add.reduceat(np.bincount(self.word, x[self.doc], len(self.word_first))[self.holder], self.gram_first)
+
+    def holders(self, y: np.ndarray) -> np.ndarray:
+        """Of each class the documents that hold an n-gram at all."""
+        out = np.zeros((2, len(self.gram_first)))
+        first = np.append(self.word_first, len(self.gram)).tolist()
+        cuts = np.searchsorted(self.doc, np.arange(self.docs + 1))
+        for d in range(self.docs):
+            held = [self.gram[first[w] : first[w + 1]] for w in self.word[cuts[d] : cuts[d + 1]].tolist()]
+            if held:
+                out[int(y[d]), np.unique(np.concatenate(held))] += 1
+        return out
+
+
+def features(texts: Iterable[str | None], bits: int = BITS) -> tuple[Features, np.ndarray]:
+    """All features of the texts, and the bucket of each n-gram."""
+    place: dict[str, int] = {}
+    doc, word = [], []
+    n = 0
+    for n, text in enumerate(texts, 1):
+        own = [place.setdefault(w, len(place)) for w in sorted(distinct_words(text))]
+        word += own
+        doc += [n - 1] * len(own)
+    gram_word, buckets, words = [], [], list(place)
+    for at in range(0, len(words), 50_000):
+        part = words[at : at + 50_000]
+        lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        for b, _, holds in _ngrams(part, bits):
+            gram_word.append((np.repeat(np.arange(at, at + len(part)), lengths)[holds]).astype(np.int32))
+            buckets.append(b[holds].astype(np.int32))
+    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+    holder = np.concatenate(gram_word) if gram_word else np.zeros(0, np.int32)
+    order = np.argsort(holder, kind="stable")
+    holder = holder[order]
+    used, gram = np.unique(bucket[order], return_inverse=True)
+    by_gram = np.argsort(gram, kind="stable")
+    word_first, gram_first = np.searchsorted(holder, np.arange(len(words))), np.searchsorted(gram[by_gram], np.arange(len(used)))
+    return Features(np.array(doc, np.int32), np.array(word, np.int32), n, gram.astype(np.int32), word_first, holder[by_gram], gram_first), used
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, ridge: float = 1e-3) -> NgramModel:
     """Fit on at most ``max_rows`` labelled documents of each class, the ones whose hashed id is smallest.
 
-    ``max_rows`` is the documented bound of what reaches the driver; the intercept is corrected to the classes' shares
-    among all labels. Rows without a label are ignored, null texts count as empty; with no rows of either class every
-    score is that class's share.
+    ``max_rows`` is the documented bound of what reaches the driver, each text as its distinct words; every n-gram of
+    those texts is a feature, counted as in scoring. The intercept is corrected to the classes' shares among all
+    labels. Rows without a label are ignored, null texts count as empty; with no rows of either class every score is
+    that class's share.
     """
     shares = {r["y"]: r["n"] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares.get(0) or not shares.get(1):
         return NgramModel(np.zeros(1 << bits, np.float32), 20.0 if shares.get(1) else -20.0, bits)
 
-    size = 1 << bits
-    parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
-    sample = stored(parts[0].unionByName(parts[1]), "toxicity-sample")
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
-        return NgramModel(np.zeros(size, np.float32), float(np.log(shares[1] / shares[0])), bits)
-
-    def counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((2, size), np.int32)
+    def distinct(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for y, text in zip(b["y"], b["text"], strict=True):
-                held[y, np.unique(_buckets(text, bits))] += 1
-        some = np.flatnonzero(held.any(axis=0))
-        yield pd.DataFrame({"bucket": some, "clean": held[0, some], "toxic": held[1, some]})
-
-    # Weaker ratios scale their counts to next to nothing, so only stronger ones reach the driver.
-    ratio = F.log((F.sum("toxic") + 1) / F.lit(n[1] + 2.0)) - F.log((F.sum("clean") + 1) / F.lit(n[0] + 2.0))
-    strong = sample.mapInPandas(counts, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum(F.col("clean") + F.col("toxic")).alias("docs"), ratio.alias("ratio"))
-    strong = strong.filter((F.col("docs") >= least_docs) & (F.abs("ratio") > 0.7)).select("bucket", "ratio").toPandas()
-    ratios = np.zeros(size)
-    ratios[strong["bucket"]] = strong["ratio"]
-    used = sample.sparkSession.sparkContext.broadcast(ratios != 0)
-
-    def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sparse = [np.unique(f[used.value[f]], return_counts=True) for f in (_buckets(x, bits) for x in b["text"])]
-            yield pd.DataFrame({"y": b["y"], "f": [f.astype(np.int32).tobytes() for f, _ in sparse], "c": [np.minimum(c, 255).astype(np.uint8).tobytes() for _, c in sparse]})
+            yield pd.DataFrame({"text": [" ".join(sorted(distinct_words(x))) for x in b["text"]], "y": b["y"]})
 
-    got = sample.mapInPandas(features, "y int, f binary, c binary").toPandas()
+    parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
+    got = parts[0].unionByName(parts[1]).mapInPandas(distinct, "text string, y int").toPandas().sort_values(["y", "text"], ignore_index=True)
     y = got["y"].to_numpy(float)
-    index = np.frombuffer(b"".join(got["f"]), np.int32)
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) // 4 for f in got["f"]])
-    value = np.frombuffer(b"".join(got["c"]), np.uint8) * ratios[index]
-    weights, bias = _logistic(index, doc, value, y, size, ridge)
-    true = np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return NgramModel((weights * ratios).astype(np.float32), float(bias + true), bits)
-
-
-def _logistic(index: np.ndarray, doc: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, ridge: float, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient descent, each column scaled by its own curvature."""
-    used, col = np.unique(index, return_inverse=True)
-    n, m = len(y), len(used)
-    row_norm = np.bincount(doc, np.abs(value), n)
-    curve = np.bincount(col, np.abs(value) * row_norm[doc], m) / (4 * n) + ridge
-    w, last, b, last_b = np.zeros(m), np.zeros(m), 0.0, 0.0
-    for t in range(steps):
-        push = t / (t + 3)
-        v, vb = w + push * (w - last), b + push * (b - last_b)
-        z = np.bincount(doc, value * v[col], n) + vb
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        last, last_b = w, b
-        w = v - (np.bincount(col, value * err[doc], m) / n + ridge * v) / curve
-        b = vb - err.mean()
-    out = np.zeros(size)
-    out[used] = w
-    return out, b
+    if len(got) == 0 or y.min() == y.max():
+        return NgramModel(np.zeros(1 << bits, np.float32), float(np.log(shares[1] / shares[0])), bits)
+    return train(got["text"], y, float(np.log(shares[1] / shares[0])), bits, ridge)
+
+
+def train(texts: Iterable[str | None], y: np.ndarray, log_odds: float, bits: int = BITS, ridge: float = 1e-3) -> NgramModel:
+    """The model of texts of both classes, where ``log_odds`` of label 1 hold among all labels."""
+    counts, used = features(texts, bits)
+    clean, toxic = counts.holders(y)
+    n = len(y) - y.sum(), y.sum()
+    ratio = np.log((toxic + 1) / (n[1] + 2)) - np.log((clean + 1) / (n[0] + 2))
+    weights, bias = _logistic(counts, ratio, y, ridge)
+    out = np.zeros(1 << bits, np.float32)
+    out[used] = weights * ratio
+    return NgramModel(out, float(bias + log_odds - np.log(n[1] / n[0])), bits)
+
+
+def _logistic(x: Features, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 12, inner: int = 20) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps, each solved by conjugate gradients."""
+    n = len(y)
+    w = np.zeros(len(scale) + 1)  # the last is the intercept
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    keep = np.append(np.full(len(scale), ridge), 0.0)
+
+    def rows(v: np.ndarray) -> np.ndarray:
+        return x.times(scale * v[:-1]) + v[-1]
+
+    def columns(r: np.ndarray) -> np.ndarray:
+        return np.append(scale * x.back(r), r.sum()) / n
+
+    def loss(z: np.ndarray, v: np.ndarray) -> float:
+        return float((np.logaddexp(0, z) - y * z).mean() + (keep * v * v).sum() / 2)
+
+    z = rows(w)
+    start = None
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        curve = p * (1 - p)
+        rest = -columns(p - y) - keep * w
+        own = np.append(scale * scale * x.back(curve), curve.sum()) / n + keep + 1e-9  # about the diagonal of the curvature
+        size = rest @ (rest / own)
+        start = start or size
+        if size <= 1e-8 * start:
+            break
+        step, way, first = np.zeros_like(w), rest / own, size
+        for _ in range(inner):
+            moved = columns(curve * rows(way)) + keep * way
+            along = size / max(way @ moved, 1e-300)
+            step, rest = step + along * way, rest - along * moved
+            size, old = rest @ (rest / own), size
+            if size <= 1e-3 * first:
+                break
+            way = rest / own + size / old * way
+        ahead, here, share = rows(step), loss(z, w), 1.0
+        while loss(z + share * ahead, w + share * step) > here and share > 1e-3:
+            share /= 2
+        w, z = w + share * step, z + share * ahead
+    return w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,5 +254,5 @@ def word_value(model: NgramModel, word: str) -> float:
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
-    """Whether a row is kept from training: CRC-32 of the key as text, modulo ``parts``."""
-    return F.crc32(key.cast("string").cast("binary")) % parts == part
+    """Whether a row is kept from training: CRC-32 of the key as text, modulo ``parts``; a null key is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))

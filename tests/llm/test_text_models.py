@@ -1,8 +1,10 @@
 """Sentencepiece offsets, personal data, toxicity, quality and URLs."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -126,6 +128,66 @@ def test_toxicity_learns_ngrams(spark):
     assert toxicity.word_value(model, "rotten") > toxicity.word_value(model, "river")
 
 
+def plain_counts(text, bits):
+    """Hashed n-grams in the distinct words of a text, one by one."""
+    row = np.zeros(1 << bits)
+    for word in set((text or "").lower().split()):
+        line = "\0" + word + "\0"
+        for n in toxicity.SIZES:
+            for i in range(len(line) - n + 1):
+                h = 0
+                for c in line[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + n) % 2**64
+                h ^= h >> 29
+                row[h * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - bits] += 1
+    return row
+
+
+def test_toxicity_is_the_plain_model():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=12)) + " rotten" * (i % 3 == 0) for i in range(60)] + ["", None, "a" * 3000]
+    y, bits, ridge = np.array([float(i % 3 == 0) for i in range(63)]), 12, 1e-3
+    model = toxicity.train(texts, y, float(np.log(y.sum() / (len(y) - y.sum()))), bits, ridge)
+    x = np.array([plain_counts(t, bits) for t in texts])
+    shares = [((x[y == k] > 0).sum(axis=0) + 1) / ((y == k).sum() + 2) for k in (0, 1)]
+    scale = np.where(x.any(axis=0), np.log(shares[1]) - np.log(shares[0]), 0)
+    weights = model.weights.astype(float)
+    assert not weights[scale == 0].any()
+    z = x @ weights + model.bias
+    for text, want in zip([*texts, "rotten ab", "ROTTEN Ab ab", "é " * 2000], [*z, *(plain_counts(t, bits) @ weights + model.bias for t in ("rotten ab", "ROTTEN Ab ab", "é " * 2000))], strict=True):
+        assert abs(model.bias + sum(toxicity.word_value(model, w) for w in toxicity.distinct_words(text)) - want) < 1e-3
+    own = np.divide(weights, scale, out=np.zeros_like(scale), where=scale != 0)
+    slope = lambda p, w: np.append(scale * (x.T @ (p - y)), (p - y).sum()) / len(y) + ridge * np.append(w, 0)
+    assert np.abs(slope(1 / (1 + np.exp(-z)), own)).max() < 0.01 * np.abs(slope(np.full(len(y), y.mean()), 0 * own)).max()
+
+
+def test_odd_rows_are_scored(spark):
+    df, labels = labelled(spark, ["garden", "river", "table", "walks", "green"], ["rotten !!!!! 99999", "rottish"])
+    long = "river " * 60_000 + "rotten"
+    extra = spark.createDataFrame([(7, "garden", "s", 1, 1, None), (7, "rotten", "s", 1, 1, None), (7, "rotten", "s", 1, 1, None), (None, long, "s", 1, 1, None), (500, long, "s", 1, 1, None)], DOCS)
+    whole = df.unionByName(extra)
+    for module, col in ((toxicity, "toxic"), (quality, "quality")):
+        model = module.fit(whole, labels.withColumn("text", F.lit("clash")).unionByName(labels.withColumn("text", F.lit("again"))), col)
+        got = module.score(whole, model).collect()
+        assert len(got) == 126 and sum(r["doc_id"] == 7 for r in got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["doc_id"] is None or r["doc_id"] in (120, 500)}) == 2  # empty texts, and long ones
+        assert module.score(df.select("doc_id", F.lit(None).cast("string").alias("text")).limit(3), model).count() == 3
+    held = {r["doc_id"]: r["h"] for r in whole.select("doc_id", toxicity.held_out(F.col("doc_id"), 4, 2).alias("h")).collect()}
+    assert held == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in held}
+
+
+def test_quality_column_is_the_plain_rules(spark):
+    df, labels = labelled(spark, ["garden", "river", "table", "Walks", "green."], ["!!!!! 99999 %%%%%"] * 2)
+    model = quality.fit(df, labels)
+    assert model.rules
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in quality.score(df, model).collect():
+        stats = quality.statistics(texts[r["doc_id"]])
+        z = model.bias + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all(low < stats[s] <= high for s, low, high in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and [r[s] for s in quality.STATS] == stats
+
+
 def test_quality_rules(spark):
     df, labels = labelled(spark, ["garden", "river", "table", "walks", "green"], ["!!!!! 99999 %%%%%"] * 2)
     model = quality.fit(df, labels.filter("doc_id < 80"))
