@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm.byte_bpe import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-SEQUENCES = "sequence_id long, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
-PACKED = SEQUENCES + ", position_ids array<int>"
+PACKED = "sequence_id long, input_ids binary, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
 Encode = Callable[[str], np.ndarray]
 
 
@@ -170,45 +170,62 @@ def pack_online(docs: DataFrame, encode: Encode, capacity: int = 1024, open_bins
     return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(task, PIECES)
 
 
-def pack_decreasing(docs: DataFrame, encode: Encode, capacity: int = 1024, window_tokens: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+
+
+def packed_rows(window: list[tuple], capacity: int, pad_id: int, base: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The sequences of a window of ``(doc_id, piece, start, ids)``, packed by best fit decreasing."""
+    length = np.array([len(x[3]) for x in window], np.int64)
+    at, offset = np.array(best_fit_decreasing(length.tolist(), capacity), np.int64).reshape(-1, 2).T
+    order = np.lexsort((offset, at))
+    at, offset, length = at[order], offset[order], length[order]
+    places = np.arange(capacity, dtype=np.int32)
+    bins = int(at[-1]) + 1 if len(at) else 0
+    cuts = np.searchsorted(at, np.append(np.arange(0, bins, rows), bins))
+    for first, (lo, hi) in zip(range(0, bins, rows), zip(cuts, cuts[1:])):
+        n = min(rows, bins - first)
+        ids, position = np.full((n, capacity), pad_id, "<u4"), np.zeros((n, capacity), np.int32)
+        row, seg = at[lo:hi] - first, [window[i] for i in order[lo:hi].tolist()]
+        for r, a, m, x in zip(row.tolist(), offset[lo:hi].tolist(), length[lo:hi].tolist(), seg, strict=True):
+            ids[r, a : a + m] = x[3]
+            position[r, a : a + m] = places[:m]
+        count = np.bincount(row, minlength=n)
+        used = np.bincount(row, length[lo:hi], n).astype(np.int64)
+        ends = np.zeros(hi - lo + n, np.int32)
+        ends[np.arange(hi - lo) + row + 1] = offset[lo:hi] + length[lo:hi]
+        starts = pa.array(np.arange(n + 1, dtype=np.int32) * 4 * capacity)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(base + first + np.arange(n)), pa.Array.from_buffers(pa.binary(), n, [None, starts.buffers()[1], pa.py_buffer(ids)]),
+            _lists(pa.array(ends), count + 1), _lists(pa.array(position[places < used[:, None]]), used),
+            _lists(pa.array([x[0] for x in seg], pa.int64()), count), _lists(pa.array([x[1] for x in seg], pa.int32()), count), _lists(pa.array([x[2] for x in seg], pa.int64()), count),
+        ], [x.split()[0] for x in PACKED.split(", ")])
+
+
+def pack_decreasing(docs: DataFrame, encode: Encode, capacity: int = 1024, pad_id: int = 0, window_tokens: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sequence, packed by best fit decreasing in windows of about ``window_tokens`` ids a task.
 
-    Returns ``sequence_id, input_ids`` (little-endian unsigned 32-bit ids, without padding), ``cu_seqlens`` (0, then
-    the end of each segment: positions reset at each entry but the last), and for each segment ``doc_ids, pieces,
-    starts``. Every id of every document is in just one sequence. The rules for odd rows are those of ``pack_online``.
+    Returns ``sequence_id, input_ids`` (a matrix row of ``capacity`` little-endian unsigned 32-bit ids, padded),
+    ``cu_seqlens`` (0, then the end of each segment), ``position_ids`` of all but the padding, which restart at 0 in
+    each segment, and for each segment ``doc_ids, pieces, starts``. Every id of every document is in just one sequence.
+    The rules for odd rows are those of ``pack_online``.
     """
 
-    def packed(window: list[tuple], base: int) -> Iterator[tuple]:
-        seats: dict[int, list] = {}
-        for seg, (at, offset) in zip(window, best_fit_decreasing([len(x[3]) for x in window], capacity), strict=True):
-            seats.setdefault(at, []).append((offset, seg))
-        for at, segs in seats.items():
-            segs.sort(key=lambda x: x[0])
-            parts = [x[1] for x in segs]
-            ends = np.cumsum([0, *(len(x[3]) for x in parts)]).astype(np.int32)
-            yield base + at, b"".join(x[3].tobytes() for x in parts), ends, [x[0] for x in parts], [x[1] for x in parts], [x[2] for x in parts]
-
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SEQUENCES.split(", ")]
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, tokens, base = [], 0, _task_base()
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = encode(text or "")
+                window += [(doc_id, k, start, ids[start : start + length]) for k, (start, length) in enumerate(cut(len(ids), capacity))]
+                tokens += len(ids)
+                if tokens >= window_tokens:
+                    for out in packed_rows(window, capacity, pad_id, base):
+                        base += out.num_rows
+                        yield out
+                    window, tokens = [], 0
+        yield from packed_rows(window, capacity, pad_id, base)
 
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal base
-            rows = list(packed(window, base))
-            base += len(rows)
-            for i in range(0, len(rows), 4096):
-                yield pd.DataFrame(rows[i : i + 4096], columns=names)
-
-        for doc_id, text in _texts(batches):
-            ids = encode(text)
-            window += [(doc_id, k, start, ids[start : start + length]) for k, (start, length) in enumerate(cut(len(ids), capacity))]
-            tokens += len(ids)
-            if tokens >= window_tokens:
-                yield from flush()
-                window, tokens = [], 0
-        yield from flush()
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(task, SEQUENCES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(task, PACKED)
 
 
 def pieces_of(sequences: DataFrame) -> DataFrame:
@@ -222,19 +239,9 @@ def pieces_of(sequences: DataFrame) -> DataFrame:
     )
 
 
-def write_packed(sequences: DataFrame, path: str, capacity: int, pad_id: int) -> None:
-    """Write the sequences as Parquet: ``input_ids`` padded to a matrix row of ``capacity`` little-endian 32-bit ids,
-    ``cu_seqlens``, and ``position_ids`` that restart at 0 in each segment."""
-    pad = F.unhex(F.lit(pad_id.to_bytes(4, "little").hex()))
-    free = F.lit(capacity) - F.get("cu_seqlens", F.size("cu_seqlens") - 1)
-    lengths = F.transform(F.sequence(F.lit(1), F.size("cu_seqlens") - 1), lambda i: F.get("cu_seqlens", i) - F.get("cu_seqlens", i - 1))
-    sequences.select(
-        "sequence_id",
-        F.concat("input_ids", F.unhex(F.repeat(F.hex(pad), free))).alias("input_ids"),
-        "cu_seqlens",
-        F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1))).alias("position_ids"),
-        "doc_ids", "pieces", "starts",
-    ).write.mode("overwrite").parquet(path)
+def write_packed(sequences: DataFrame, path: str) -> None:
+    """Write packed sequences as Parquet."""
+    sequences.write.mode("overwrite").parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed by best fit decreasing and written as a padded matrix with restarting positions; a row per
     piece, its checksum taken from the matrix read back."""
     path = shared_dir(spark, "packed")
-    write_packed(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids(), CAPACITY), path, CAPACITY, PAD_ID)
+    write_packed(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids(), CAPACITY, PAD_ID), path)
     return pieces_of(read_packed(spark, path))
 
 

@@ -153,7 +153,7 @@ def test_packed_pieces_hold_every_id(spark, kind):
 
 def test_written_matrix_round_trips(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, DOCS).filter("doc_id < 9")
-    write_packed(pack_decreasing(docs, token_source(JSON, RANKS, 2)), str(tmp_path / "m"), 1024, 50256)
+    write_packed(pack_decreasing(docs, token_source(JSON, RANKS, 2), pad_id=50256), str(tmp_path / "m"))
     found = {}
     for r in spark.read.parquet(str(tmp_path / "m")).collect():
         ids = np.frombuffer(r["input_ids"], "<u4")
