@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Open scopes; each lists the paths that go when it ends.
 _SCOPES: list[list[str]] = []
@@ -58,12 +59,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Stored as a table of the scope around the present one."""
-    inner = _SCOPES.pop()
+    inner = _SCOPES.pop() if _SCOPES else None
     try:
         return stored(df, name)
     finally:
-        _SCOPES.append(inner)
+        if inner is not None:
+            _SCOPES.append(inner)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those whose 64-bit hash ``key`` is smallest; hardly more than these are sorted."""
+    total = df.count()
+    if total > 2 * n:
+        df = df.filter(F.col(key) < int(-(1 << 63) + (1 << 64) * 1.2 * n / total))
+    return df.orderBy(key).limit(n)

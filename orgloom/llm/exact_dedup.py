@@ -19,7 +19,6 @@ from orgloom.llm.common import kept, scratch, stored
 WHITE = " \t\n\x0b\x0c\r"
 #: Digests with at least 1/HOT_SHARE of the rows count as hot; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
-INDEX = "digest binary, keep_id {id}, keep_chars int, group_size long, batch string"
 
 
 def digest(text: Column) -> Column:
@@ -69,10 +68,10 @@ class DigestIndex:
             best = F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
             groups = rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
             groups = stored(groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars"), F.col("best.row").alias("keep_row"), "group_size"), "digest-groups")
+            entries = groups.select("digest", "keep_id", "keep_chars", "group_size", F.lit(batch).alias("batch"))
             if not self.spark.catalog.tableExists(self.name):
-                self.append(self.spark.createDataFrame([], INDEX.format(id=rows.schema["doc_id"].dataType.simpleString())))
-            new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-            self.append(stored(new.select("digest", "keep_id", "keep_chars", "group_size", F.lit(batch).alias("batch")), "digests-new"))
+                self.append(entries.limit(0))
+            self.append(stored(entries.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"), "digests-new"))
             return kept(self._assigned(rows, groups, batch), "digests-assigned")
 
     def _assigned(self, rows: DataFrame, groups: DataFrame, batch: str) -> DataFrame:

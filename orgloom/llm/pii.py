@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.common import smallest
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 BUCKETS = 4096
@@ -396,7 +398,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     features, labels and edges reach the driver. With no such nodes every weight but that of "nothing" is 0.
     """
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    last = keyed.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    last = smallest(keyed.select("h"), "h", max_docs).agg(F.max("h")).first()[0]
     if last is None:
         return train(nodes_of([], []))
 

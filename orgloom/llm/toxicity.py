@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.common import smallest
+
 SIZES = (3, 4, 5)
 BITS = 20
 #: Words that a worker remembers the sums of; it only saves time.
@@ -68,7 +70,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, i
     with one id the least text counts, and of an id's labels the largest.
     """
     ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_rows)
+    ids = smallest(ids.withColumn("h", F.xxhash64(F.col("id").cast("string"))), "h", max_rows).select("id", "y")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 

@@ -2,7 +2,7 @@
 
 Everything is DataFrame operations. The trees are grown on labelled URLs by histograms: features are cut into few
 bins, and each level of a tree costs one aggregation of gradients by node, feature and bin, whose result has a fixed
-size. The finished trees are compiled into one column.
+size. Suffix statistics are joined; the finished trees are compiled into one column.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import stored
+from orgloom.llm.common import kept, scratch, smallest, stored
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "mark_ratio", "entropy", "parameters", "has_fragment", "suffix_rate", "domain_rate"]
@@ -81,105 +81,129 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _rates(keys: dict[str, float], key: Column, prior: float) -> Column:
-    if not keys:
-        return F.lit(prior)
-    known = F.create_map(*[F.lit(x) for kv in sorted(keys.items()) for x in kv])
-    return F.coalesce(F.element_at(known, key), F.lit(prior))
+def _number(x: float) -> Column:
+    return F.lit(float(x))
+
+
+def _array(values: list) -> Column:
+    """A constant array; constants of one kind give one compiled plan, whatever their values."""
+    return F.array(*[F.lit(x) for x in values])
+
+
+def _bin(value: Column, cuts: list[float]) -> Column:
+    """How many cuts are below a value."""
+    return F.size(F.filter(_array(cuts), lambda c: c < value))
+
+
+@dataclass
+class Tree:
+    """A tree of nodes numbered from 1, the children of i being 2i (at most the cut) and 2i + 1."""
+
+    splits: dict[int, tuple[int, int]] = field(default_factory=dict)
+    leaves: dict[int, float] = field(default_factory=dict)
 
 
 @dataclass
 class UrlModel:
-    """Boosted trees; a tree maps a path of 0s (at most the cut) and 1s to (feature, cut), and leaves to values."""
+    """Boosted trees over the bins of features, which ``cuts`` part; suffix statistics are tables of ``key, rate``, of
+    no more rows than the sample had."""
 
     prior: float
     bias: float
-    suffix_rate: dict[str, float] = field(default_factory=dict)
-    domain_rate: dict[str, float] = field(default_factory=dict)
-    trees: list[tuple[dict[str, tuple[str, float]], dict[str, float]]] = field(default_factory=list)
-
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        one, two = suffixes(host)
-        rates = {"suffix_rate": _rates(self.suffix_rate, one, self.prior), "domain_rate": _rates(self.domain_rate, two, self.prior)}
-        return {k: v.cast("double") for k, v in (lexical(url, host, path) | rates).items()}
+    rates: dict[str, DataFrame] = field(default_factory=dict)
+    cuts: dict[str, list[float]] = field(default_factory=dict)
+    trees: list[Tree] = field(default_factory=list)
+
+    def with_features(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``url, host, path`` with the columns ``FEATURES``; suffixes that the sample lacks get its share."""
+        rows = rows.withColumns({k: c.cast("double") for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()})
+        for name, key in zip(("suffix_rate", "domain_rate"), suffixes(F.col("host")), strict=True):
+            if name in self.rates:
+                rows = rows.withColumn("key", key).join(F.broadcast(self.rates[name].withColumnRenamed("rate", name)), "key", "left").drop("key")
+                rows = rows.withColumn(name, F.coalesce(name, _number(self.prior)))
+            else:
+                rows = rows.withColumn(name, _number(self.prior))
+        return rows
 
     def margin(self) -> Column:
         """The log odds of "block" as a column over the features."""
-        return sum((_walk(splits, leaves) for splits, leaves in self.trees), F.lit(float(self.bias)))
-
+        return sum((self._value(t, 1) for t in self.trees), _number(self.bias))
 
-def _walk(splits: dict[str, tuple[str, float]], leaves: dict[str, float] | None, at: str = "") -> Column:
-    """A leaf's value, or without values the path of the node a row is in."""
-    if at not in splits:
-        return F.lit(at) if leaves is None else F.lit(float(leaves[at]))
-    feature, cut = splits[at]
-    return F.when(F.col(feature) <= float(cut), _walk(splits, leaves, at + "0")).otherwise(_walk(splits, leaves, at + "1"))
+    def _value(self, tree: Tree, node: int) -> Column:
+        if node not in tree.splits:
+            return _number(tree.leaves.get(node, 0.0))
+        f, k = tree.splits[node]
+        return F.when(F.col(FEATURES[f]) <= _number(self.cuts[FEATURES[f]][k]), self._value(tree, 2 * node)).otherwise(self._value(tree, 2 * node + 1))
 
 
-def fit(labelled: DataFrame, key_col: str, max_rows: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.5, keys: int = 256) -> UrlModel:
-    """Fit on ``url, host, path, block (0 or 1)`` of at most ``max_rows`` rows, those whose hashed key is smallest.
+def fit(labelled: DataFrame, key_col: str, max_rows: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.5) -> UrlModel:
+    """Fit on ``url, host, path, block (0 or 1)`` of at most ``max_rows`` rows, those whose hash of key and URL is
+    smallest.
 
-    Suffix statistics hold the smoothed share of blocked rows of the ``keys`` most frequent suffixes of that sample;
-    others get the sample's share. With no rows, or of one class only, there are no trees.
+    Suffix statistics hold the smoothed share of blocked rows of every suffix of that sample; others get the sample's
+    share. With no rows, or of one class only, there are no trees. Rows keep their margin in a stored table, and each
+    level of a tree is one aggregation.
     """
-    rows = labelled.select("url", "host", "path", F.col("block").cast("double").alias("block"), F.xxhash64(F.col(key_col).cast("string")).alias("h")).orderBy("h").limit(max_rows)
-    rows = stored(rows, "url-sample")
+    rows = labelled.select("url", "host", "path", F.col("block").cast("double").alias("block"), F.xxhash64(F.col(key_col).cast("string"), "url").alias("h"))
+    rows = stored(smallest(rows, "h", max_rows), "url-sample")
     n, blocked = rows.agg(F.count(F.lit(1)), F.sum("block")).first()
     share = (blocked or 0.0) / n if n else 0.5
     model = UrlModel(share, math.log((share + 1e-3) / (1 - share + 1e-3)))
     if not n or share in (0.0, 1.0):
         return model
-    for names, key in zip((model.suffix_rate, model.domain_rate), suffixes(F.col("host")), strict=True):
-        got = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "k").limit(keys).collect()
-        names |= {r["k"]: (r["b"] + 8 * share) / (r["n"] + 8) for r in got}
-    data = rows.select("block", *[c.alias(k) for k, c in model.features(F.col("url"), F.col("host"), F.col("path")).items()])
-    data = stored(data, "url-features")
-    at = [i / bins for i in range(1, bins)]
-    quantiles = data.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(quantiles[f])) for f in FEATURES}
-    binned = {f"bin_{f}": sum(((F.col(f) > float(c)).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES}
-    data = stored(data.withColumns(binned).coalesce(4), "url-bins")
+    for name, key in zip(("suffix_rate", "domain_rate"), suffixes(F.col("host")), strict=True):
+        smoothed = (F.sum("block") + 8 * share) / (F.count(F.lit(1)) + 8)
+        model.rates[name] = kept(rows.groupBy(key.alias("key")).agg(smoothed.alias("rate")), name)
+    data = stored(model.with_features(rows).select("block", *FEATURES), "url-features")
+    quantiles = data.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in FEATURES]).first()
+    model.cuts = {f: sorted(set(quantiles[f])) for f in FEATURES}
+    places = [_bin(F.col(f), model.cuts[f]) for f in FEATURES]
+    data = data.select("block", _number(model.bias).alias("margin"), F.array(*places).alias("bins"))
     for _ in range(trees):
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin()))
-        scored = data.withColumn("g", F.col("block") - p).withColumn("w", p * (1 - p))
-        splits: dict[str, tuple[str, float]] = {}
-        leaves: dict[str, float] = {"": 0.0}
+        data = stored(data, "url-margins")
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+        grown, tree = data.select("block", "margin", "bins", (F.col("block") - p).alias("g"), (p * (1 - p)).alias("w"), F.lit(1).alias("node")), Tree()
         for level in range(depth):
-            new = 0
-            for node, by_feature in _histogram(scored.withColumn("node", _walk(splits, None))).items():
-                if len(node) == level and (best := _best(by_feature, cuts)):
+            first, splits = 1 << level, {}
+            for node, sums in _histogram(grown).items():
+                if node >= first and (best := _best(sums, model.cuts)):
                     splits[node], sides = best
-                    for side, (g, w) in zip("01", sides, strict=True):
-                        leaves[node + side] = rate * g / (w + 1.0)
-                    new += 1
-            if not new:
+                    for side, (g, w) in enumerate(sides):
+                        tree.leaves[2 * node + side] = rate * g / (w + 1.0)
+            if not splits:
                 break
-        model.trees.append((splits, leaves))
+            tree.splits |= splits
+            of = [splits.get(i, (-1, 0)) for i in range(1, 2 * first)]
+            f, cut = (F.element_at(_array([x[k] for x in of]), F.least("node", F.lit(2 * first - 1))) for k in (0, 1))
+            below = 2 * F.col("node") + (F.element_at("bins", F.greatest(f, F.lit(0)) + 1) > cut).cast("int")
+            grown = grown.withColumn("node", F.when((F.col("node") >= first) & (f >= 0), below).otherwise(F.col("node")))
+        values = _array([float(tree.leaves.get(i, 0.0)) for i in range(1, 2 << depth)])
+        data = grown.select("block", (F.col("margin") + F.element_at(values, F.col("node"))).alias("margin"), "bins")
+        model.trees.append(tree)
     return model
 
 
-def _histogram(scored: DataFrame) -> dict[str, dict[str, dict[int, tuple[float, float]]]]:
+def _histogram(grown: DataFrame) -> dict[int, dict[int, dict[int, tuple[float, float]]]]:
     """Sums of gradient and weight by node, feature and bin."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"bin_{f}").alias("b")) for f in FEATURES])
-    got = scored.select("node", "g", "w", F.explode(pairs).alias("p")).groupBy("node", "p.f", "p.b").agg(F.sum("g").alias("g"), F.sum("w").alias("w")).collect()
-    out: dict[str, dict[str, dict[int, tuple[float, float]]]] = {}
-    for r in sorted(got, key=lambda r: (r["node"], FEATURES.index(r["f"]), r["b"])):
+    got = grown.select("node", "g", "w", F.posexplode("bins").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("w").alias("w")).collect()
+    out: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
+    for r in sorted(got, key=lambda r: (r["node"], r["f"], r["b"])):
         out.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["w"])
     return out
 
 
-def _best(by_feature: dict[str, dict[int, tuple[float, float]]], cuts: dict[str, list[float]]) -> tuple[tuple[str, float], tuple[tuple[float, float], tuple[float, float]]] | None:
-    """The best split of a node, and the sums of gradient and weight on its two sides."""
+def _best(by_feature: dict[int, dict[int, tuple[float, float]]], cuts: dict[str, list[float]]) -> tuple[tuple[int, int], list[tuple[float, float]]] | None:
+    """The best split of a node as feature and cut, and the sums of gradient and weight on its two sides."""
     g, w = (sum(x[i] for x in next(iter(by_feature.values())).values()) for i in (0, 1))
     best, found = 1e-6 + g * g / (w + 1.0), None
     for f, sums in by_feature.items():
         left_g = left_w = 0.0
-        for k, cut in enumerate(cuts[f]):
+        for k in range(len(cuts[FEATURES[f]])):
             left_g, left_w = left_g + sums.get(k, (0.0, 0.0))[0], left_w + sums.get(k, (0.0, 0.0))[1]
             if left_w > 1e-3 and w - left_w > 1e-3:
                 gain = left_g**2 / (left_w + 1.0) + (g - left_g) ** 2 / (w - left_w + 1.0)
                 if gain > best + 1e-9:
-                    best, found = gain, ((f, cut), ((left_g, left_w), (g - left_g, w - left_w)))
+                    best, found = gain, ((f, k), [(left_g, left_w), (g - left_g, w - left_w)])
     return found
 
 
@@ -187,16 +211,16 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     """``page_id, host, path, rule, verdict, score``: the longest fitting rule's verdict, else the trees'.
 
     The trees learn from the URLs that rules decide. ``score`` is the trees' chance of "block"; null or broken URLs
-    have empty host and path and are judged by the trees on that. Rows are never merged, other columns are ignored,
-    an empty table gives no rows.
+    have empty host and path and are judged by the trees on that. Rows are never merged, whole URLs of any length are
+    read, other columns are ignored, an empty table gives no rows.
     """
-    url = F.col("url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    host, path = host_and_path(url)
+    host, path = host_and_path(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", text).withColumn("ruled", verdict)
-    model = fit(rows.filter(F.col("ruled").isNotNull()).withColumn("block", (F.col("ruled") == "block").cast("int")), "page_id", max_rows)
-    scored = rows.withColumns(model.features(url, F.col("host"), F.col("path"))).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin())))
+    with scratch(pages.sparkSession):
+        model = fit(rows.filter(F.col("ruled").isNotNull()).withColumn("block", (F.col("ruled") == "block").cast("int")), "page_id", max_rows)
+    scored = model.with_features(rows).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-model.margin())))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")

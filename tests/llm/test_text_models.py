@@ -214,5 +214,5 @@ def test_url_trees_learn(spark):
     host, path = url_filter.host_and_path(F.col("url"))
     df = df.withColumn("host", host).withColumn("path", path).withColumn("block", (F.col("page_id") % 2).cast("int"))
     model = url_filter.fit(df.filter("page_id < 200"), "page_id", trees=2, depth=2)
-    rest = df.filter("page_id >= 200").withColumns(model.features(F.col("url"), F.col("host"), F.col("path")))
+    rest = model.with_features(df.filter("page_id >= 200"))
     assert rest.filter((model.margin() > 0) != (F.col("block") == 1)).count() == 0
