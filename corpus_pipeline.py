@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm import jaccard_join, pii, toxicity
-from orgloom.llm.common import stored, table
+from orgloom.llm.common import outside, removed, scratch, shared_dir, stored, table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_online, token_source
 
@@ -24,7 +24,8 @@ END_ID = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't find toxic; rows with null ids are judged like others."""
+    """Documents that the classifier doesn't find toxic. Every row is judged by its whole text, those with null or
+    repeated ids like others, null text as empty; an empty table gives no rows, other columns than ``COLUMNS`` go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs, model).filter(F.col("score") < TOXIC).select(COLUMNS)
 
@@ -41,7 +42,7 @@ def _order() -> Column:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row that the digest index keeps: the longest, then the smallest id. One of wholly equal rows
-    stays; ids may repeat or be null."""
+    stays; ids may repeat or be null; null text counts as empty; an empty table gives no rows."""
     rows, index = _keyed(docs, "rows-exact"), DigestIndex.temporary(spark)
     try:
         found = index.ingest(rows.select(_order().alias("row"), "text"), "row")
@@ -52,7 +53,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the row with the smallest id. Rows are told apart by a key; ids may repeat or
-    be null."""
+    be null; texts without words are near to nothing and stay; an empty table gives no rows."""
     rows = _keyed(docs, "rows-near")
     near = jaccard_join.near_duplicates(rows.select("row_key", "text"), "row_key").select(F.col("doc_id").alias("row_key"), "class_id")
     near = stored(near.join(rows.select("row_key", "doc_id"), "row_key").select("class_id", _order().alias("row")), "near-classes")
@@ -62,12 +63,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data masked, with the new number of characters."""
-    return pii.mask(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """All rows, the personal data of their whole texts masked, with the new number of characters; null text stays
+    null and has 0. Ids may repeat or be null; an empty table gives no rows."""
+    return pii.mask(docs, pii.fit(docs)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a packed sequence."""
+    """A row per piece of a packed sequence. Null text counts as empty and gives its end id; null and repeated ids are
+    carried as they are; an empty table gives no rows."""
     return pack_online(docs, token_source(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), END_ID))
 
 
@@ -79,13 +82,21 @@ STAGES: list[tuple[str, Stage]] = [
     ("pii", mask_personal_data),
     ("packing", pack),
 ]
-#: No SQL can express the trained stages; tests hold each stage against a plain version.
+#: No SQL can express the trained stages; tests hold what each stage keeps, masks and packs against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table ``documents`` to packed pieces."""
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            with outside():
+                path = shared_dir(spark, f"stage-{name}")
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if old:
+            removed(spark, old)
+        old = path
     return docs

@@ -57,16 +57,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Stored as a table of the scope around the present one."""
+@contextmanager
+def outside() -> Iterator[None]:
+    """Folders that are made inside belong to the scope around the present one."""
     inner = _SCOPES.pop() if _SCOPES else None
     try:
-        return stored(df, name)
+        yield
     finally:
         if inner is not None:
             _SCOPES.append(inner)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Stored as a table of the scope around the present one."""
+    with outside():
+        return stored(df, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import stored
+from orgloom.llm.common import kept, scratch, stored
 from orgloom.llm.components import components
 
 WIDTH = 5
@@ -30,6 +30,8 @@ THRESHOLD = 0.8
 #: Members of a bucket, and shingles of a cluster, that one task holds from each of two chunks.
 CHUNK_MEMBERS = 20_000
 CHUNK_SHINGLES = 1_000_000
+#: Members times shingles that one task compares, some seconds of work.
+CHUNK_WORK = 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -212,8 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class is the own id, links 0, copies 1. Repeated ids are separate rows. Other columns are ignored; an empty table
     gives no rows.
     """
-    forest = forest or Forest()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        return kept(_joined(rows, forest or Forest()), "near-duplicates")
+
+
+def _joined(rows: DataFrame, forest: Forest) -> DataFrame:
     signed = stored(_signatures(rows, forest), "signatures")
     classes = stored(
         signed.filter("key IS NOT NULL").groupBy("key").agg(
@@ -262,9 +268,10 @@ def _candidates(classes: DataFrame, forest: Forest) -> DataFrame:
 def _verified(rows: DataFrame, classes: DataFrame, clusters: DataFrame, forest: Forest) -> DataFrame:
     """``key, links, root``: exact links of a class, counted in rows, and a class that they connect it to."""
     known = clusters.withColumnRenamed("node", "key").join(classes.select("key", "first_id", "copies", "size"), "key")
-    mass = known.groupBy("component").agg(F.sum("size").alias("mass"))
-    known = known.join(mass, "component").select("component", "key", "copies", "mass", F.col("first_id").alias("doc_id"))
-    known = _chunked(known.join(rows.hint("merge"), "doc_id"), F.ceil(F.col("mass") / CHUNK_SHINGLES), "key")
+    mass, members = F.sum("size").cast("double"), F.count(F.lit(1))
+    parts = known.groupBy("component").agg(F.greatest(F.ceil(mass / CHUNK_SHINGLES), F.ceil(F.sqrt(members * mass / CHUNK_WORK))).alias("parts"))
+    known = known.join(parts, "component").select("component", "key", "copies", "parts", F.col("first_id").alias("doc_id"))
+    known = _chunked(known.join(rows.hint("merge"), "doc_id"), F.col("parts"), "key")
     threshold = forest.threshold
 
     def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm import jaccard_join, pii, quality, sentencepieces, toxicity, url_filter, vptree
-from orgloom.llm.common import shared_dir, table
+from orgloom.llm.common import kept, scratch, shared_dir, table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, read_packed, token_source, write_packed
 
@@ -27,14 +27,15 @@ def _gpt_ids():
 def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20, among all."""
     vectors = table(spark, sf_dir, "embeddings")
-    index, shards = vptree.build_index(vectors, 20)
-    return vptree.search(index, shards, vectors.filter(F.col("vec_id") % 20 == 0), 20, VP_FACTOR)
+    with scratch(spark):
+        index, shards = vptree.build_index(vectors, 20)
+        return kept(vptree.search(index, shards, vectors.filter(F.col("vec_id") % 20 == 0), 20, VP_FACTOR), "neighbours")
 
 
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed by best fit decreasing and written as a padded matrix with restarting positions; a row per
     piece, its checksum taken from the matrix read back."""
-    path = shared_dir(spark, "packed")
+    path = shared_dir(spark, "packed")  # the operator's output, so it stays
     write_packed(pack_decreasing(table(spark, sf_dir, "documents"), _gpt_ids(), CAPACITY, PAD_ID), path)
     return pieces_of(read_packed(spark, path))
 
