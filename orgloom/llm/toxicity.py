@@ -75,35 +75,46 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, i
     return texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
+#: Words whose n-grams are gone through at a time while fitting; it only bounds memory.
+PART_WORDS = 20_000
+
+
 @dataclass
 class Features:
-    """Counts of n-grams in documents as two sparse matrices: documents by words, and words by n-grams, the latter by
-    rows and by columns; every word has an n-gram and every n-gram a word."""
+    """Counts of n-grams in documents as two sparse matrices: documents by words, and words by n-grams (the n-grams of
+    word i are ``gram[first[i]:first[i + 1]]``; every word has some)."""
 
     doc: np.ndarray
     word: np.ndarray
     docs: int
     gram: np.ndarray
-    word_first: np.ndarray
-    holder: np.ndarray
-    gram_first: np.ndarray
+    first: np.ndarray
+    grams: int
+
+    def _parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        words = len(self.first) - 1
+        for lo in range(0, words, PART_WORDS):
+            hi = min(lo + PART_WORDS, words)
+            yield lo, hi, self.gram[self.first[lo] : self.first[hi]], self.first[lo : hi + 1] - self.first[lo]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """The sum of a document's n-grams weighted by ``w``."""
-        if not len(self.gram):
-            return np.zeros(self.docs)
-        return np.bincount(self.doc, np.add.reduceat(w[self.gram], self.word_first)[self.word], self.docs)
+        sums = np.zeros(len(self.first) - 1)
+        for lo, hi, gram, first in self._parts():
+            sums[lo:hi] = np.add.reduceat(w[gram], first[:-1])
+        return np.bincount(self.doc, sums[self.word], self.docs)
 
     def back(self, x: np.ndarray) -> np.ndarray:
         """The sum over documents, weighted by ``x``, of an n-gram's counts."""
-        if not len(self.gram):
-            return np.zeros(0)
-        return np.add.reduceat(np.bincount(self.word, x[self.doc], len(self.word_first))[self.holder], self.gram_first)
+        held, out = np.bincount(self.word, x[self.doc], len(self.first) - 1), np.zeros(self.grams)
+        for lo, hi, gram, first in self._parts():
+            out += np.bincount(gram, np.repeat(held[lo:hi], np.diff(first)), self.grams)
+        return out
 
     def holders(self, y: np.ndarray) -> np.ndarray:
         """Of each class the documents that hold an n-gram at all."""
-        out = np.zeros((2, len(self.gram_first)))
-        first = np.append(self.word_first, len(self.gram)).tolist()
+        out = np.zeros((2, self.grams))
+        first = self.first.tolist()
         cuts = np.searchsorted(self.doc, np.arange(self.docs + 1))
         for d in range(self.docs):
             held = [self.gram[first[w] : first[w + 1]] for w in self.word[cuts[d] : cuts[d + 1]].tolist()]
@@ -115,27 +126,26 @@ class Features:
 def features(texts: Iterable[str | None], bits: int = BITS) -> tuple[Features, np.ndarray]:
     """All features of the texts, and the bucket of each n-gram."""
     place: dict[str, int] = {}
-    doc, word = [], []
+    doc, word = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     n = 0
     for n, text in enumerate(texts, 1):
         own = [place.setdefault(w, len(place)) for w in sorted(distinct_words(text))]
-        word += own
-        doc += [n - 1] * len(own)
-    gram_word, buckets, words = [], [], list(place)
-    for at in range(0, len(words), 50_000):
-        part = words[at : at + 50_000]
+        word.append(np.array(own, np.int32))
+        doc.append(np.full(len(own), n - 1, np.int32))
+    words, buckets, times = list(place), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), PART_WORDS):
+        part = words[at : at + PART_WORDS]
         lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
-        for b, _, holds in _ngrams(part, bits):
-            gram_word.append((np.repeat(np.arange(at, at + len(part)), lengths)[holds]).astype(np.int32))
-            buckets.append(b[holds].astype(np.int32))
-    bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
-    holder = np.concatenate(gram_word) if gram_word else np.zeros(0, np.int32)
-    order = np.argsort(holder, kind="stable")
-    holder = holder[order]
-    used, gram = np.unique(bucket[order], return_inverse=True)
-    by_gram = np.argsort(gram, kind="stable")
-    word_first, gram_first = np.searchsorted(holder, np.arange(len(words))), np.searchsorted(gram[by_gram], np.arange(len(used)))
-    return Features(np.array(doc, np.int32), np.array(word, np.int32), n, gram.astype(np.int32), word_first, holder[by_gram], gram_first), used
+        holder = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+        found = [(holder[holds], b[holds].astype(np.int32)) for b, _, holds in _ngrams(part, bits)]
+        holder = np.concatenate([h for h, _ in found])
+        buckets.append(np.concatenate([b for _, b in found])[np.argsort(holder, kind="stable")])
+        times.append(np.bincount(holder, minlength=len(part)))
+    bucket = np.concatenate(buckets)
+    used = np.flatnonzero(np.bincount(bucket, minlength=1 << bits))
+    number = np.zeros(1 << bits, np.int32)
+    number[used] = np.arange(len(used))
+    return Features(np.concatenate(doc), np.concatenate(word), n, number[bucket], np.cumsum(np.concatenate(times)), len(used)), used
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, ridge: float = 1e-3) -> NgramModel:
