@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from orgloom.llm.byte_bpe import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-PACKED = "sequence_id long, input_ids binary, cu_seqlens array<int>, position_ids array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
+PACKED = "sequence_id long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>, starts array<long>"
 Encode = Callable[[str], np.ndarray]
 
 
@@ -174,30 +174,38 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
+def _matrix(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix, each as its bytes."""
+    starts = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x[:1].nbytes)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, starts.buffers()[1], pa.py_buffer(x)])
+
+
+def position_type(capacity: int) -> str:
+    """Positions take 16 bits where that is enough, else 32."""
+    return "<u2" if capacity <= 1 << 16 else "<u4"
+
+
 def packed_rows(window: list[tuple], capacity: int, pad_id: int, base: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The sequences of a window of ``(doc_id, piece, start, ids)``, packed by best fit decreasing."""
     length = np.array([len(x[3]) for x in window], np.int64)
     at, offset = np.array(best_fit_decreasing(length.tolist(), capacity), np.int64).reshape(-1, 2).T
     order = np.lexsort((offset, at))
     at, offset, length = at[order], offset[order], length[order]
-    places = np.arange(capacity, dtype=np.int32)
+    places = np.arange(capacity, dtype=position_type(capacity))
     bins = int(at[-1]) + 1 if len(at) else 0
     cuts = np.searchsorted(at, np.append(np.arange(0, bins, rows), bins))
     for first, (lo, hi) in zip(range(0, bins, rows), zip(cuts, cuts[1:])):
         n = min(rows, bins - first)
-        ids, position = np.full((n, capacity), pad_id, "<u4"), np.zeros((n, capacity), np.int32)
+        ids, position = np.full((n, capacity), pad_id, "<u4"), np.zeros((n, capacity), places.dtype)
         row, seg = at[lo:hi] - first, [window[i] for i in order[lo:hi].tolist()]
         for r, a, m, x in zip(row.tolist(), offset[lo:hi].tolist(), length[lo:hi].tolist(), seg, strict=True):
             ids[r, a : a + m] = x[3]
             position[r, a : a + m] = places[:m]
         count = np.bincount(row, minlength=n)
-        used = np.bincount(row, length[lo:hi], n).astype(np.int64)
         ends = np.zeros(hi - lo + n, np.int32)
         ends[np.arange(hi - lo) + row + 1] = offset[lo:hi] + length[lo:hi]
-        starts = pa.array(np.arange(n + 1, dtype=np.int32) * 4 * capacity)
         yield pa.RecordBatch.from_arrays([
-            pa.array(base + first + np.arange(n)), pa.Array.from_buffers(pa.binary(), n, [None, starts.buffers()[1], pa.py_buffer(ids)]),
-            _lists(pa.array(ends), count + 1), _lists(pa.array(position[places < used[:, None]]), used),
+            pa.array(base + first + np.arange(n)), _matrix(ids), _lists(pa.array(ends), count + 1), _matrix(position),
             _lists(pa.array([x[0] for x in seg], pa.int64()), count), _lists(pa.array([x[1] for x in seg], pa.int32()), count), _lists(pa.array([x[2] for x in seg], pa.int64()), count),
         ], [x.split()[0] for x in PACKED.split(", ")])
 
@@ -206,9 +214,9 @@ def pack_decreasing(docs: DataFrame, encode: Encode, capacity: int = 1024, pad_i
     """One row per sequence, packed by best fit decreasing in windows of about ``window_tokens`` ids a task.
 
     Returns ``sequence_id, input_ids`` (a matrix row of ``capacity`` little-endian unsigned 32-bit ids, padded),
-    ``cu_seqlens`` (0, then the end of each segment), ``position_ids`` of all but the padding, which restart at 0 in
-    each segment, and for each segment ``doc_ids, pieces, starts``. Every id of every document is in just one sequence.
-    The rules for odd rows are those of ``pack_online``.
+    ``cu_seqlens`` (0, then the end of each segment), ``position_ids`` (a matrix row of ``position_type``, which
+    restarts at 0 in each segment and is 0 in the padding), and for each segment ``doc_ids, pieces, starts``. Every id
+    of every document is in just one sequence. The rules for odd rows are those of ``pack_online``.
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

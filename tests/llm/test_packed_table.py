@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 from orgloom.llm import queries
 from orgloom.llm.common import shared_dir
 
@@ -17,7 +18,7 @@ def test_op2_writes_the_padded_matrix(spark, sf_dir):
         ends = list(r["cu_seqlens"])
         assert len(r["input_ids"]) == 4 * queries.CAPACITY
         assert bytes(r["input_ids"][4 * ends[-1] :]) == pad * (queries.CAPACITY - ends[-1])
-        assert r["position_ids"] == [i for a, b in zip(ends, ends[1:]) for i in range(b - a)]
+        assert np.frombuffer(r["position_ids"], "<u2").tolist() == [i for a, b in zip(ends, ends[1:]) for i in range(b - a)] + [0] * (queries.CAPACITY - ends[-1])
     assert sum(len(r["doc_ids"]) for r in rows.values()) == len(pieces)
     assert all(p["offset"] in rows[p["sequence_id"]]["cu_seqlens"] for p in pieces)
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
