@@ -16,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgloom.llm.common import smallest
 
@@ -227,37 +229,54 @@ def _logistic(x: Features, scale: np.ndarray, y: np.ndarray, ridge: float, round
     return w[:-1], float(w[-1])
 
 
+class Scorer:
+    """Chances of texts, in a worker; frequent words' sums are remembered."""
+
+    def __init__(self, model: NgramModel):
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        z = np.full(len(texts), self.model.bias)
+        for at in range(0, len(texts), 500):  # few documents' words are held at a time
+            split = [distinct_words(x) for x in texts.iloc[at : at + 500]]
+            new = list({w for words in split for w in words if w not in self.known})
+            for i in range(0, len(new), PART_WORDS):
+                part = new[i : i + PART_WORDS]
+                self.known.update(zip(part, self.model.word_sums(part).tolist(), strict=True))
+            z[at : at + 500] += [math.fsum(map(self.known.__getitem__, words)) for words in split]
+            if len(self.known) > CACHE_WORDS:
+                self.known = {}
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+
+
 def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score``: the chance that a whole text is toxic; null and empty texts get the intercept's.
 
     Null and repeated ids are carried as they are, other columns are ignored, an empty table gives no rows. The model
     that is broadcast has a fixed size, whatever the data.
     """
-    return with_score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scorer(shared.value)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": scores(b["text"])})
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(task, "doc_id long, score double")
 
 
 def with_score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:
     """The rows as they are, with a ``score`` in place of any column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.drop("score")
+    at, schema = rows.columns.index(text_col), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scorer(shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(pd.Series(b.column(at).to_pylist(), dtype=object)))], [*b.schema.names, "score"])
 
-    @F.pandas_udf("double")
-    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        known: dict[str, float] = {}
-        for texts in parts:
-            z = np.full(len(texts), model.bias)
-            for at in range(0, len(texts), 500):  # few documents' words are held at a time
-                split = [distinct_words(x) for x in texts.iloc[at : at + 500]]
-                new = list({w for words in split for w in words if w not in known})
-                for i in range(0, len(new), 50_000):
-                    part = new[i : i + 50_000]
-                    known.update(zip(part, model.word_sums(part).tolist(), strict=True))
-                z[at : at + 500] += [math.fsum(map(known.__getitem__, words)) for words in split]
-                if len(known) > CACHE_WORDS:
-                    known = {}
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-
-    return docs.withColumn("score", scores(F.col(text_col)))
+    return rows.mapInArrow(task, schema)
 
 
 def word_value(model: NgramModel, word: str) -> float:
