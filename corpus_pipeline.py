@@ -35,6 +35,12 @@ def _keyed(docs: DataFrame, name: str) -> DataFrame:
     return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), name)
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those with the keys in ``gone``. These are stored, so that Spark knows their size: it broadcasts
+    them below its threshold and otherwise merges."""
+    return rows.join(stored(gone, "rows-gone"), "row_key", "left_anti").select(COLUMNS)
+
+
 def _order() -> Column:
     """Rows by id, null ids last, then by key."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_key").alias("row_key"))
@@ -48,18 +54,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = index.ingest(rows.select(_order().alias("row"), "text"), "row")
     finally:
         index.drop()
-    return rows.join(found.filter("NOT kept").select(F.col("doc_id.row_key").alias("row_key")), "row_key", "left_anti").select(COLUMNS)
+    return _without(rows, found.filter("NOT kept").select(F.col("doc_id.row_key").alias("row_key")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the row with the smallest id. Rows are told apart by a key; ids may repeat or
     be null; texts without words are near to nothing and stay; an empty table gives no rows."""
     rows = _keyed(docs, "rows-near")
-    near = jaccard_join.near_duplicates(rows.select("row_key", "text"), "row_key").select(F.col("doc_id").alias("row_key"), "class_id")
-    near = stored(near.join(rows.select("row_key", "doc_id"), "row_key").select("class_id", _order().alias("row")), "near-classes")
-    best = near.groupBy("class_id").agg(F.min("row").alias("best"))
-    kept = best.select(F.col("best.row_key").alias("row_key"))
-    return rows.join(kept, "row_key", "left_semi").select(COLUMNS)
+    near = jaccard_join.near_duplicates(rows.select("row_key", "text"), "row_key").filter("n_links > 0").select(F.col("doc_id").alias("row_key"), "class_id")
+    near = stored(near.join(rows.select("row_key", "doc_id"), "row_key").select("class_id", "row_key", _order().alias("row")), "near-classes")
+    best = near.groupBy("class_id").agg(F.min("row").alias("best")).select(F.col("best.row_key").alias("row_key"))
+    return _without(rows, near.select("row_key").join(best, "row_key", "left_anti"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
