@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orgloom.functions.dates import DEADLINE_HINT
+
 _S = T.StringType()
 
 
@@ -18,28 +21,48 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-LINK = _struct(("pos", T.IntegerType()), ("href", _S), ("text", _S), ("alt", _S), ("row", _S), ("datetime", _S))
-PAGE = _struct(("title", _S), ("text", _S), ("links", T.ArrayType(LINK)), ("metas", T.ArrayType(_struct(("key", _S), ("content", _S)))), ("scripts", T.ArrayType(_S)))
+#: ``row`` is the place in ``rows`` of the link's nearest row, or of the link itself where it stands in none.
+LINK = _struct(("pos", T.IntegerType()), ("href", _S), ("text", _S), ("alt", _S), ("row", T.IntegerType()))
+#: ``deadline`` says that a deadline's cue stands in the time or in the element around it.
+TIME = _struct(("datetime", _S), ("deadline", T.BooleanType()))
+ROW = _struct(("text", _S), ("times", T.ArrayType(TIME)))
+POSTING = T.ArrayType(_struct(("title", _S), ("url", _S), ("location", _S), ("posted", _S), ("deadline", _S)))
+PAGE = _struct(
+    ("title", _S), ("text", _S), ("links", T.ArrayType(LINK)), ("rows", T.ArrayType(ROW)), ("metas", T.ArrayType(_struct(("key", _S), ("content", _S)))),
+    ("scripts", T.ArrayType(_S)), ("postings", POSTING), ("listed", POSTING),
+)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ROWS = frozenset(("li", "article", "tr", "div"))
+_DEADLINE = re.compile(DEADLINE_HINT)
 _CHROME = frozenset(("script", "style", "nav", "footer", "header", "noscript"))
 
 
+class _Element:
+    """An element that is or was open: where its text begins and ends, and its place in the order of tags."""
+
+    def __init__(self, tag: str, start: int, number: int):
+        self.tag, self.start, self.number = tag, start, number
+        self.end = self.last = None
+
+    def close(self, end: int, last: int) -> None:
+        if self.end is None:
+            self.end, self.last = end, last
+
+
 class _Page(HTMLParser):
-    """Collects title, text outside chrome, anchors with their nearest row's text, metas and JSON scripts."""
+    """Collects title, text outside chrome, anchors with their nearest rows, times, metas and JSON scripts."""
 
     def __init__(self, drop: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.drop = drop
         self.title: list[str] = []
         self.text: list[str] = []
-        self.links: list[dict] = []
+        self.anchors: list[tuple[dict, _Element, _Element]] = []
         self.metas: list[dict] = []
         self.scripts: list[str] = []
-        self.open: list[tuple[str, int]] = []
-        self.times: list[tuple[int, str]] = []
-        self.rows: list[tuple[int, int]] = []
-        self.hidden = 0
+        self.open: list[_Element] = []
+        self.times: list[tuple[str, _Element, _Element | None]] = []
+        self.hidden = self.tags = 0
         self.anchor: dict | None = None
         self.json = False
 
@@ -53,58 +76,63 @@ class _Page(HTMLParser):
             self.anchor["alt"] = a.get("alt", "")
         if tag in _VOID:
             return
+        self.tags += 1
+        own = _Element(tag, len(self.text), self.tags)
         if tag == "time" and a.get("datetime"):
-            self.times.append((len(self.text), a["datetime"]))
-        self.open.append((tag, len(self.text)))
+            self.times.append((a["datetime"], own, self.open[-1] if self.open else None))
+        self.open.append(own)
         self.hidden += tag in self.drop
         if tag == "script":
             self.json = "ld+json" in a.get("type", "")
             self.scripts.append("")
         if tag == "a" and "href" in a and not self.hidden:
-            rows = [i for i, (t, _) in enumerate(self.open) if t in _ROWS]
-            self.anchor = {"pos": len(self.links), "href": a["href"], "text": len(self.text), "alt": "", "row": rows[-1] if rows else None, "start": self.open[rows[-1]][1] if rows else len(self.text)}
-            self.links.append(self.anchor)
+            row = next((e for e in reversed(self.open) if e.tag in _ROWS), own)
+            self.anchor = {"pos": len(self.anchors), "href": a["href"], "text": "", "alt": ""}
+            self.anchors.append((self.anchor, own, row))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "a" and self.anchor is not None:
-            self.anchor["text"] = " ".join(" ".join(self.text[self.anchor["text"] :]).split())
+        if tag == "a":
             self.anchor = None
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for t, _ in self.open[i:]:
-                    self.hidden -= t in self.drop
-                for link in self.links:
-                    if isinstance(link["row"], int) and link["row"] >= i:
-                        self._close_row(link)
+            if self.open[i].tag == tag:
+                for e in self.open[i:]:
+                    self.hidden -= e.tag in self.drop
+                    e.close(len(self.text), self.tags)
                 del self.open[i:]
                 break
 
-    def _close_row(self, link: dict) -> None:
-        link["row"] = " ".join(" ".join(self.text[link["start"] :]).split())
-        link["datetime"] = next((d for at, d in self.times if at >= link["start"]), "")
-
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] == "script":
+        if self.open and self.open[-1].tag == "script":
             if self.json or "JobPosting" in data:
                 self.scripts[-1] += data
-        elif self.open and self.open[-1][0] == "title":
+        elif self.open and self.open[-1].tag == "title":
             self.title.append(data)
             self.text.append(data)
         elif not self.hidden:
             self.text.append(data)
 
+    def _of(self, e: _Element) -> str:
+        return " ".join(" ".join(self.text[e.start : e.end]).split())
+
     def result(self) -> dict:
-        for link in self.links:
-            if isinstance(link["text"], int):
-                link["text"] = " ".join(" ".join(self.text[link["text"] :]).split())
-            if not isinstance(link["row"], str):
-                if link["row"] is None:
-                    link["row"] = link["text"]
-                else:
-                    self._close_row(link)
-            link.setdefault("datetime", "")
-            del link["start"]
-        return {"title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": self.links, "metas": self.metas, "scripts": [x for x in self.scripts if x]}
+        for e in self.open:
+            e.close(len(self.text), self.tags)
+        around = {id(p): bool(_DEADLINE.search(self._of(p))) for _, _, p in self.times if p is not None}
+        times = [(e.number, {"datetime": at, "deadline": around.get(id(p), False) or bool(_DEADLINE.search(self._of(e)))}) for at, e, p in self.times]
+        numbers = [n for n, _ in times]
+        rows: dict[int, int] = {}
+        found, links = [], []
+        for link, own, row in self.anchors:
+            if id(row) not in rows:
+                rows[id(row)] = len(found)
+                inside = times[bisect.bisect_left(numbers, row.number) : bisect.bisect_right(numbers, row.last)]
+                found.append({"text": self._of(row), "times": [t for _, t in inside]})
+            links.append(link | {"text": self._of(own), "row": rows[id(row)]})
+        scripts = [x for x in self.scripts if x]
+        return {
+            "title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": links, "rows": found, "metas": self.metas, "scripts": scripts,
+            "postings": [p for x in scripts for p in find_postings(x)], "listed": [p for x in scripts for p in find_postings(x, nested=False)],
+        }
 
 
 def read_page(html: str | None, drop: frozenset[str] = _CHROME) -> dict:
@@ -117,12 +145,11 @@ def read_page(html: str | None, drop: frozenset[str] = _CHROME) -> dict:
 
 @F.pandas_udf(PAGE)
 def parse_page(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Title, text, links in order, metas and JSON-LD scripts of HTML."""
+    """Title, text, links in order and their rows, metas, JSON-LD scripts and their postings: all of HTML, read once."""
     for part in pages:
-        yield pd.DataFrame([read_page(x) for x in part], columns=["title", "text", "links", "metas", "scripts"])
+        yield pd.DataFrame([read_page(x) for x in part], columns=PAGE.names)
 
 
-POSTING = T.ArrayType(_struct(("title", _S), ("url", _S), ("location", _S), ("posted", _S), ("deadline", _S)))
 _TYPE = re.compile(r'"@type"\s*:\s*"JobPosting"')
 _TITLE = re.compile(r'"title"\s*:\s*"([^"]{5,120})"')
 

@@ -44,7 +44,8 @@ def ladder(cur_hash: Column, prev_hash: Column, prev_date: Column, meta: Column,
     """``date, source, trust, age_days, changed_at, hash`` of a page.
 
     A changed fingerprint says today, and only that sets ``changed_at``. Else the page's own dates count, best source
-    first; else an unchanged fingerprint carries the date known before, and a fingerprint without one is a seed.
+    first; else an unchanged fingerprint carries the date known before, and a fingerprint without one is a seed. If the
+    date that counts doesn't exist in the calendar, there is no date, source or trust.
     """
     has, had = is_filled(cur_hash, "string"), is_filled(prev_hash, "string")
     moved = has & had & (cur_hash != prev_hash)
@@ -58,6 +59,8 @@ def ladder(cur_hash: Column, prev_hash: Column, prev_date: Column, meta: Column,
         source = F.when(is_filled(d, "string"), name).otherwise(source)
     source = F.when(moved, "hash").otherwise(source)
     date = F.when(moved, F.date_format(as_of, "yyyy-MM-dd")).otherwise(F.coalesce(own, F.when(carried, prev_date), F.lit("")))
+    wrong = (date != "") & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNull()
+    date, source = F.when(wrong, "").otherwise(date), F.when(wrong, "").otherwise(source)
     trust = F.lit("none")
     for name, level in TRUST:
         trust = F.when(source == name, level).otherwise(trust)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orgloom.functions import vocab
 from orgloom.functions.dates import deadline_near_cue, listing_dates, structured_deadline
-from orgloom.functions.html import listed_postings, parse_page, postings
+from orgloom.functions.html import parse_page
 from orgloom.functions.rules import has_any
 from orgloom.functions.text import BODY_CHROME, clean, is_opening_title, looks_like_listing, looks_like_opening, visible_text
 from orgloom.functions.urls import join_url
@@ -30,6 +30,7 @@ LISTING_EMPTY = (
     r"(?iu)(no (current |open )?(vacanc|job|position|opening)\w*|no vacancies at this time|there are currently no"
     r"|pas d'offre|aucune offre|geen vacature|check back (later|soon)|at the moment)"
 )
+#: Fixed patterns and words: paths of jobs and listings, and titles that need none.
 _JOB_PATH = (
     r"(?iu)/(job|jobs|vacanc|vacature|career|carriere|offre|emploi|stelle|stellenangebot|position|opening|opportunit|stage|praktik|empleo|oferta"
     r"|lavora|posizione|traineeship|internship|recruit)[a-z-]*/"
@@ -47,15 +48,9 @@ def detect(pages: DataFrame, key: str = "url", html: str = "text", ok: str = "ok
     """
     page = F.col(html)
     read = pages.withColumn("parsed", parse_page(F.when(F.col(ok), page)))
-    exploded = read.select(key, F.posexplode("parsed.scripts").alias("at", "script")).select(key, "at", F.posexplode(postings("script")).alias("nth", "posting"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "nth", F.col("posting.title").alias("title")))), lambda x: x["title"])
-    scripted = exploded.groupBy(key).agg(in_order.alias("scripted"))
     link = F.filter("parsed.links", lambda x: looks_like_opening(x["text"]) & (x["href"].rlike(_JOB_PATH) | has_any(F.lower(x["text"]), _STRONG_OPENING)))
     body = visible_text(page, BODY_CHROME)
-    full = read.join(scripted, key, "left").withColumns({
-        "body": body, "linked": F.transform(link, lambda x: clean(x["text"])),
-        "scripted": F.coalesce("scripted", F.array().cast("array<string>")),
-    })
+    full = read.withColumns({"body": body, "linked": F.transform(link, lambda x: clean(x["text"])), "scripted": F.transform("parsed.postings", lambda p: p["title"])})
     given = distinct_titles(F.filter(F.transform("scripted", clean), is_opening_title))
     full = full.withColumn("given", given).withColumn("titles", F.when(F.size("given") > 0, F.col("given")).otherwise(distinct_titles(F.col("linked"))))
     readable, some = F.coalesce(F.col(ok), F.lit(False)), F.size("titles") > 0
@@ -71,20 +66,33 @@ def detect(pages: DataFrame, key: str = "url", html: str = "text", ok: str = "ok
     )
 
 
+def _row_dates(row: Column, as_of: Column) -> Column:
+    """``posted, deadline`` of a row: its times first, then its text. A time with a deadline's cue is the deadline,
+    if no other time stands before it."""
+    good = F.filter(row["times"], lambda t: t["datetime"].rlike(r"^\d{4}-\d{2}-\d{2}"))
+    plain = F.filter(good, lambda t: ~t["deadline"])
+    ahead = F.filter(good, lambda t, i: t["deadline"] & (F.size(F.filter(F.slice(good, 1, i + 1), lambda o: ~o["deadline"])) == 0))
+    first = lambda found: F.substring(F.get(found, F.lit(0))["datetime"], 1, 10)
+    posted, deadline = listing_dates(row["text"], as_of)
+    return F.struct(F.coalesce(first(plain), posted).alias("posted"), F.coalesce(first(ahead), deadline).alias("deadline"))
+
+
 def listings(pages: DataFrame, as_of: Column, url: str = "url", html: str = "html") -> DataFrame:
-    """Jobs of pages, a row each with its ``method``: postings in scripts, else links that read like listings."""
-    read = pages.withColumn("parsed", parse_page(F.col(html)))
-    scripted = read.select(url, F.explode("parsed.scripts").alias("script")).select(url, F.explode(listed_postings("script")).alias("p"))
-    exact = scripted.select(url, F.col("p.title").alias("title"), F.when(F.col("p.url") != "", join_url(F.col(url), F.col("p.url"))).otherwise(F.col(url)).alias("job_url"), "p.location", "p.posted", "p.deadline", F.lit("jsonld").alias("method"))
-    anchors = read.join(exact.select(url).distinct(), url, "left_anti").select(url, F.explode("parsed.links").alias("x"))
-    anchors = anchors.filter(~F.col("x.href").rlike("^(#|mailto:|tel:|javascript:)")).withColumn("text", clean(F.col("x.text"))).withColumn("job_url", join_url(F.col(url), F.col("x.href")))
+    """Jobs of pages, a row each with its ``method``: postings in scripts, else links that read like listings.
+
+    A page is parsed once; only jobs and likely links leave it, each with the dates of its row."""
+    read = pages.select(url, parse_page(F.col(html)).alias("parsed")).select(url, "parsed.listed", "parsed.links", F.transform("parsed.rows", lambda r: _row_dates(r, as_of)).alias("dates"))
+    exact = F.transform("listed", lambda p: F.struct(p["title"].alias("text"), p["url"].alias("href"), p["location"].alias("location"), p["posted"].alias("posted"), p["deadline"].alias("deadline"), F.lit("jsonld").alias("method")))
+    likely = F.filter("links", lambda x: ~x["href"].rlike("^(#|mailto:|tel:|javascript:)") & looks_like_listing(clean(x["text"])))
+    dated = lambda x, name: F.get("dates", x["row"])[name].alias(name)
+    linked = F.transform(likely, lambda x: F.struct(clean(x["text"]).alias("text"), x["href"].alias("href"), F.lit("").alias("location"), dated(x, "posted"), dated(x, "deadline"), F.lit("generic").alias("method")))
+    jobs = read.select(url, F.posexplode(F.when(F.size("listed") > 0, exact).otherwise(linked)).alias("pos", "job")).select(url, "pos", "job.*")
+    jobs = jobs.withColumn("job_url", F.when((F.col("method") == "jsonld") & (F.col("href") == ""), F.col(url)).otherwise(join_url(F.col(url), F.col("href"))))
     path = F.regexp_extract("job_url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    anchors = anchors.filter(looks_like_listing(F.col("text")) & (path.rlike(_LISTING_PATH) | has_any(F.lower("text"), _STRONG_LISTING)))
-    first = anchors.groupBy(url, "job_url").agg(F.min_by(F.struct("text", "x"), F.col("x.pos")).alias("a"))
-    posted, deadline = listing_dates(F.col("a.x.row"), as_of)
-    stamp = F.regexp_extract("a.x.datetime", r"^\d{4}-\d{2}-\d{2}", 0)
-    generic = first.select(url, F.col("a.text").alias("title"), "job_url", F.lit("").alias("location"), F.coalesce(F.nullif(stamp, F.lit("")), posted).alias("posted"), deadline.alias("deadline"), F.lit("generic").alias("method"))
-    return exact.unionByName(generic)
+    jobs = jobs.filter((F.col("method") == "jsonld") | path.rlike(_LISTING_PATH) | has_any(F.lower("text"), _STRONG_LISTING))
+    same = F.when(F.col("method") == "generic", F.col("job_url")).otherwise(F.col("pos").cast("string"))  # links to one job are one job
+    first = jobs.groupBy(url, "method", same.alias("same")).agg(F.min_by(F.struct(F.col("text").alias("title"), "job_url", "location", "posted", "deadline"), "pos").alias("j"))
+    return first.select(url, "j.*", "method")
 
 
 def layered(layers: list[DataFrame], url: str = "url") -> DataFrame:

@@ -15,6 +15,12 @@ from orgloom.functions.rules import is_filled
 ORG_FIELDS = ("organisation", "sector", "category", "type", "base", "languages", "size", "description", "target_roles", "why_fits", "priority", "eu_nationality", "phd_relevant", "latam_relevant", "remote_friendly", "homepage", "search_url")
 #: Fields of a current version that an empty value never overwrites.
 KEPT_FIELDS = ("last_updated", "last_updated_source", "last_updated_trust", "content_hash", "content_hash_at", "page_text", "changed_at")
+#: What every scan of a page says anew.
+SNAPSHOT_FIELDS = ("openings_state", "openings_count", "openings_titles", "openings_deadline", "openings_checked_at", "last_updated_age_days")
+#: What a version gets when it is made.
+MADE_FIELDS = ("confidence", "score", "reasons", "method")
+TEXT_DEFAULTS = {"openings_state": "unknown", "openings_deadline": "", "confidence": "none", "method": "search+verify"}
+OTHER_DEFAULTS = {"openings_count": lambda: F.lit(0), "score": lambda: F.lit(0), "openings_titles": lambda: F.array().cast("array<string>"), "reasons": lambda: F.array().cast("array<string>")}
 VERDICTS = ("good", "wrong", "dead", "outdated", "blocked", "unsure")
 
 
@@ -50,29 +56,91 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, fields: Sequence[
     return both.select(F.coalesce(key, "new_key").alias(key), *[F.coalesce(f"new_{f}", f).alias(f) for f in fields], *rest, action.alias("action"))
 
 
+def _scanned(field: str) -> Column:
+    """A catalogue's value of a field as a version holds it: what is missing gets the field's default."""
+    value = F.col(f"new_{field}")
+    return F.coalesce(F.when(value != "", value), F.lit(TEXT_DEFAULTS[field])) if field in TEXT_DEFAULTS else F.coalesce(value, OTHER_DEFAULTS[field]()) if field in OTHER_DEFAULTS else value
+
+
 def sync_versions(versions: DataFrame, catalogue: DataFrame, run_id: str, at: Column) -> DataFrame:
     """The next history of addresses, with an ``action``: keep, patch, supersede or insert.
 
-    ``versions`` has ``org, url, superseded, run_id, discovered_at`` and ``KEPT_FIELDS``; ``catalogue`` has ``org,
-    url`` and ``KEPT_FIELDS``. An unchanged address is patched in place where the new value is filled. A changed one
-    supersedes the current row, whose page text is cleared, and adds a new current row. Rows without an address
-    change nothing.
+    ``versions`` has ``org, url, superseded, run_id, discovered_at``, ``KEPT_FIELDS`` and, where it holds them,
+    ``SNAPSHOT_FIELDS``, ``MADE_FIELDS`` and ``version_id``; ``catalogue`` has ``org, url`` and the same fields. The
+    current row of an unchanged address that was scanned is patched: what the scan saw of openings and age is taken as
+    it is, ``KEPT_FIELDS`` only where filled. A changed address supersedes the current row, whose page text is cleared,
+    and adds a new current row. Rows without an address change nothing.
     """
     kinds = dict(versions.dtypes)
-    new = catalogue.filter(is_filled(F.col("url"), "string")).select("org", F.col("url").alias("new_url"), *[F.col(f).alias(f"new_{f}") for f in KEPT_FIELDS])
+    seen = [f for f in SNAPSHOT_FIELDS if f in kinds]
+    fields = [*KEPT_FIELDS, *seen, *[f for f in MADE_FIELDS if f in kinds]]
+    new = catalogue.filter(is_filled(F.col("url"), "string")).select("org", F.col("url").alias("new_url"), *[F.col(f).alias(f"new_{f}") for f in fields])
     current = versions.join(new, "org", "left")
     live = ~F.col("superseded") & F.col("new_url").isNotNull()
-    same, moved = live & (F.col("url") == F.col("new_url")), live & (F.col("url") != F.col("new_url"))
+    scanned = is_filled(F.col("new_content_hash"), "string")
+    if "openings_checked_at" in kinds:
+        scanned |= is_filled(F.col("new_openings_checked_at"), kinds["openings_checked_at"])
+    elif not seen:
+        scanned = F.lit(True)
+    same, moved = live & (F.col("url") == F.col("new_url")) & scanned, live & (F.col("url") != F.col("new_url"))
     patched = {f: F.when(same & is_filled(F.col(f"new_{f}"), kinds[f]), F.col(f"new_{f}")).otherwise(F.col(f)) for f in KEPT_FIELDS}
+    patched |= {f: F.when(same, _scanned(f)).otherwise(F.col(f)).cast(kinds[f]) for f in seen}
     patched["page_text"] = F.when(moved, F.lit("")).otherwise(patched["page_text"])
     kept = current.withColumn("action", F.when(moved, "supersede").when(same, "patch").otherwise("keep"))
     kept = kept.withColumns(patched).withColumn("superseded", F.col("superseded") | F.coalesce(moved, F.lit(False))).select(*versions.columns, "action")
     live_now = versions.filter(~F.col("superseded")).select("org", F.col("url").alias("old_url"))
     added = new.join(live_now, "org", "left").filter(~F.col("new_url").eqNullSafe(F.col("old_url")))
-    made = {"org": F.col("org"), "url": F.col("new_url"), "superseded": F.lit(False), "run_id": F.lit(run_id), "discovered_at": at} | {f: F.col(f"new_{f}") for f in KEPT_FIELDS}
+    made = {"org": F.col("org"), "url": F.col("new_url"), "superseded": F.lit(False), "run_id": F.lit(run_id), "discovered_at": at, "version_id": version_id(F.col("org"), F.col("new_url"), F.lit(run_id))} | {f: _scanned(f) for f in fields}
     return kept.unionByName(added.select(*[(made[c] if c in made else F.lit(None)).cast(kinds[c]).alias(c) for c in versions.columns], F.lit("insert").alias("action")))
 
 
+def version_id(org: Column, url: Column, run_id: Column) -> Column:
+    """The id of the version that a run adds, the same if the run is repeated."""
+    return F.substring(F.sha2(F.concat_ws("\n", org.cast("string"), url, run_id), 256), 1, 15)
+
+
+def sync(orgs: DataFrame, versions: DataFrame, catalogue: DataFrame, run_id: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """A whole run: the next organisations, and the next versions with their ``action``.
+
+    Organisations of the catalogue are created or updated in those ``ORG_FIELDS`` that both tables have, and
+    ``current_url`` is pointed to the version that the run added, if any.
+    """
+    fields = [f for f in ORG_FIELDS if f in orgs.columns and f in catalogue.columns]
+    synced = sync_versions(versions, catalogue, run_id, at)
+    added = synced.filter("action = 'insert'").select("org", F.col("version_id").alias("added_url"))
+    rest = [c for c in orgs.columns if c != "current_url"]
+    pointed = upsert(orgs, catalogue, "org", fields).join(added, "org", "left")
+    return pointed.select(*rest, F.coalesce("added_url", "current_url").alias("current_url"), "action"), synced
+
+
+def batch_write(table: DataFrame, ops: DataFrame, key: str, fields: Sequence[str], chunk: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Ordered writes ``op_no`` (0, 1, ...), ``kind`` (create, update, delete), ``key`` and ``fields``, in chunks.
+
+    A chunk applies as a whole or not at all, and the first that fails ends the run: creating a key that is there, or
+    changing one that isn't, fails. An update leaves fields that it has null as they are. Gives the next table, and the
+    operations with their ``chunk`` and ``status`` (applied, failed, or skipped in and after the failing chunk).
+    """
+    from pyspark.sql import Window
+
+    earlier = Window.partitionBy(key).orderBy("op_no").rowsBetween(Window.unboundedPreceding, -1)
+    there = ops.join(table.select(key, F.lit(True).alias("held")), key, "left")
+    before = F.coalesce(F.last("kind").over(earlier) != "delete", F.col("held"), F.lit(False))
+    tried = there.withColumn("chunk", F.floor(F.col("op_no") / chunk)).withColumn("failed", F.when(F.col("kind") == "create", before).otherwise(~before)).drop("held")
+    last = tried.filter("failed").agg(F.min("chunk").alias("bad"))
+    tried = tried.crossJoin(F.broadcast(last))  # one row
+    done = F.col("bad").isNull() | (F.col("chunk") < F.col("bad"))
+    status = tried.withColumn("status", F.when(done, "applied").when(F.col("failed") & (F.col("chunk") == F.col("bad")), "failed").otherwise("skipped"))
+    applied = status.filter("status = 'applied'")
+    reset = applied.groupBy(key).agg(F.max(F.when(F.col("kind") != "update", F.col("op_no"))).alias("reset"), F.max_by("kind", "op_no").alias("last_kind"))
+    since = applied.join(reset, key).filter("reset IS NULL OR op_no >= reset")
+    values = since.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("op_no"))).alias(f"new_{f}") for f in fields])
+    state = reset.join(values, key).withColumn("touched", F.lit(True))
+    both = table.join(state, key, "full_outer").filter("touched IS NULL OR last_kind <> 'delete'")
+    value = {f: F.when(F.col("reset").isNotNull(), F.col(f"new_{f}")).otherwise(F.coalesce(f"new_{f}", f)) for f in fields}
+    rest = [c for c in table.columns if c != key and c not in fields]
+    return both.select(key, *[v.alias(f) for f, v in value.items()], *rest), status.drop("bad", "failed")
+
+
 def split_by_key(incoming: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Incoming rows whose key exists, and those whose key doesn't."""
     known = existing.select(key)

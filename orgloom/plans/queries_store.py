@@ -97,31 +97,64 @@ Q.add(
 
 
 def store(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A history of addresses from the first half of the events, and a catalogue from the second."""
+    """A history of addresses from the first half of the events, and a catalogue from the second. Catalogue rows of
+    every fourth organisation were scanned without openings, of every fifth not scanned at all."""
     a, b = HALVES(t)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kept = {f: F.lit("old" if f == "page_text" else "").alias(f) for f in versions.KEPT_FIELDS}
     first = a.withColumn("before", F.lag("event_type").over(w)).filter("before IS NULL OR before <> event_type").withColumn("after", F.lead("ts").over(w))
-    history = first.select(F.col("user_id").alias("org"), F.col("event_type").alias("url"), F.col("after").isNotNull().alias("superseded"), F.lit("r0").alias("run_id"), F.col("ts").alias("discovered_at"), *kept.values())
-    new = LAST(b).select(F.col("user_id").alias("org"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("url"), *[F.lit("h" if f == "content_hash" else "").alias(f) for f in versions.KEPT_FIELDS])
+    org, empty = F.col("user_id"), F.array().cast("array<string>")
+    history = first.select(
+        org.alias("org"), F.col("event_type").alias("url"), F.col("after").isNotNull().alias("superseded"), F.lit("r0").alias("run_id"), F.col("ts").alias("discovered_at"), *kept.values(),
+        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version_id"), F.lit("low").alias("confidence"), F.lit(1).alias("score"), empty.alias("reasons"), F.lit("old").alias("method"),
+        F.lit("has_openings").alias("openings_state"), F.lit(9).alias("openings_count"), F.array(F.lit("old")).alias("openings_titles"), F.lit("1999-01-01").alias("openings_deadline"),
+        F.lit("t0").alias("openings_checked_at"), F.lit(99).alias("last_updated_age_days"),
+    )
+    scanned, some = org % 5 != 0, org % 4 != 0
+    new = LAST(b).select(
+        org.alias("org"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("url"), *[F.when(scanned, "h" if f == "content_hash" else "").otherwise("").alias(f) for f in versions.KEPT_FIELDS],
+        F.when(some, "high").alias("confidence"), F.when(some, org.cast("int")).alias("score"), F.when(some, F.array(F.lit("why"))).alias("reasons"), F.when(some, "probe").otherwise("").alias("method"),
+        F.when(scanned & some, "has_openings").alias("openings_state"), F.when(scanned & some, 2).alias("openings_count"), F.when(scanned & some, F.array(F.lit("a"), F.lit("b"))).alias("openings_titles"),
+        F.when(scanned & some, "2001-01-01").alias("openings_deadline"), F.when(scanned, "t1").alias("openings_checked_at"), F.when(scanned & some, 3).alias("last_updated_age_days"),
+    )
     return history, new
 
 
-STORE_SQL = f"""h AS (SELECT user_id AS org, event_type AS url, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS superseded FROM
+STORE_SQL = f"""h AS (SELECT user_id AS org, event_type AS url, event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS superseded FROM
     (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE ts < TIMESTAMP '2024-01-15') WHERE before IS NULL OR before <> event_type),
-    n AS (SELECT user_id AS org, event_type AS new_url FROM ({LAST_SQL.format(op='>=')}) WHERE event_type <> 'error'), c AS (SELECT org, url FROM h WHERE NOT superseded)"""
-Q.add(
-    "m14_sync_versions", lambda t: versions.sync_versions(*store(t), "r1", half_time()).groupBy("org", "url", "superseded", "action", "content_hash", "page_text").agg(F.count(F.lit(1)).alias("n")),
-    f"""WITH {STORE_SQL}, r AS (SELECT h.org, h.url, h.superseded OR (new_url IS NOT NULL AND new_url <> h.url) AS superseded, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url = h.url THEN 'patch' ELSE 'supersede' END AS action,
-            CASE WHEN NOT h.superseded AND new_url = h.url THEN 'h' ELSE '' END AS content_hash, CASE WHEN NOT h.superseded AND new_url <> h.url THEN '' ELSE 'old' END AS page_text FROM h LEFT JOIN n ON h.org = n.org
-        UNION ALL SELECT n.org, new_url, false, 'insert', 'h', '' FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url)
-        SELECT org, url, superseded, action, content_hash, page_text, count(*) AS n FROM r GROUP BY ALL""",
-)
+    n AS (SELECT user_id AS org, event_type AS new_url FROM ({LAST_SQL.format(op='>=')}) WHERE event_type <> 'error'), c AS (SELECT org, url FROM h WHERE NOT superseded),
+    a AS (SELECT h.org, h.url, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url <> h.url THEN 'supersede' WHEN h.org % 5 <> 0 THEN 'patch' ELSE 'keep' END AS action, h.superseded, event_id FROM h LEFT JOIN n ON h.org = n.org
+        UNION ALL SELECT n.org, new_url, 'insert', false, NULL FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url),
+    r AS (SELECT *, action IN ('patch', 'insert') AND org % 5 <> 0 AND org % 4 <> 0 AS whole, action IN ('patch', 'insert') AS fresh FROM a)"""
+VERSION_SQL = """SELECT org, url, superseded OR action = 'supersede' AS superseded, action, CASE WHEN fresh AND org % 5 <> 0 THEN 'h' ELSE '' END AS content_hash, CASE WHEN action IN ('supersede', 'insert') THEN '' ELSE 'old' END AS page_text,
+    CASE WHEN whole THEN 'has_openings' WHEN fresh THEN 'unknown' ELSE 'has_openings' END AS openings_state, CASE WHEN whole THEN 2 WHEN fresh THEN 0 ELSE 9 END AS openings_count,
+    CASE WHEN whole THEN 'a|b' WHEN fresh THEN '' ELSE 'old' END AS openings_titles, CASE WHEN whole THEN '2001-01-01' WHEN fresh THEN '' ELSE '1999-01-01' END AS openings_deadline,
+    CASE WHEN fresh AND org % 5 <> 0 THEN 't1' WHEN fresh THEN NULL ELSE 't0' END AS openings_checked_at, CASE WHEN whole THEN 3 WHEN fresh THEN NULL ELSE 99 END AS last_updated_age_days,
+    CASE WHEN action <> 'insert' THEN 'low' WHEN org % 4 <> 0 THEN 'high' ELSE 'none' END AS confidence, CASE WHEN action <> 'insert' THEN 1 WHEN org % 4 <> 0 THEN CAST(org AS INT) ELSE 0 END AS score,
+    CASE WHEN action = 'insert' AND org % 4 <> 0 THEN 'why' ELSE '' END AS reasons, CASE WHEN action <> 'insert' THEN 'old' WHEN org % 4 <> 0 THEN 'probe' ELSE 'search+verify' END AS method,
+    CASE WHEN action = 'insert' THEN 'r1' ELSE 'r0' END AS run_id FROM r"""
+SYNCED = lambda df: df.select("org", "url", "superseded", "action", "content_hash", "page_text", "openings_state", "openings_count", F.array_join("openings_titles", "|").alias("openings_titles"), "openings_deadline", "openings_checked_at", "last_updated_age_days", "confidence", "score", F.array_join("reasons", "|").alias("reasons"), "method", "run_id")
+Q.add("m14_sync_versions", lambda t: SYNCED(versions.sync_versions(*store(t), "r1", half_time())), f"WITH {STORE_SQL} {VERSION_SQL}")
+
+
+def pointed(t: Tables) -> DataFrame:
+    """A whole sync: organisations created or changed, and pointed to the version that the run added."""
+    history, new = store(t)
+    orgs = LAST(HALVES(t)[0]).filter("user_id % 3 <> 0").select(F.col("user_id").alias("org"), F.lit("unnamed").alias("organisation"), F.lit("p").alias("sector"), F.concat(F.lit("v-"), "event_type").alias("current_url"))
+    named = new.withColumns({"organisation": F.concat(F.lit("Org "), F.col("org").cast("string")), "sector": F.when(F.col("org") % 2 == 0, "s")})
+    orgs, synced = versions.sync(orgs, history, named, "r1", half_time())
+    added = synced.filter("action = 'insert'").select("org", F.col("version_id").alias("current_url"), F.lit(True).alias("added"))
+    return orgs.join(added, ["org", "current_url"], "left").select("org", "organisation", "sector", F.coalesce("added", F.lit(False)).alias("moved"), F.when(F.col("added").isNull(), F.col("current_url")).alias("kept_version"))
+
+
 Q.add(
-    "m15_one_organisation", lambda t: (lambda h, n: versions.sync_versions(h.filter("org = 7"), n.filter("org = 7"), "r1", half_time()).groupBy("org", "url", "superseded", "action").agg(F.count(F.lit(1)).alias("n")))(*store(t)),
-    f"""WITH {STORE_SQL}, r AS (SELECT h.org, h.url, h.superseded OR (new_url IS NOT NULL AND new_url <> h.url) AS superseded, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url = h.url THEN 'patch' ELSE 'supersede' END AS action FROM h LEFT JOIN n ON h.org = n.org
-        UNION ALL SELECT n.org, new_url, false, 'insert' FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url) SELECT org, url, superseded, action, count(*) AS n FROM r WHERE org = 7 GROUP BY ALL""",
+    "m14_whole_sync", pointed,
+    f"""WITH {STORE_SQL}, o AS (SELECT user_id AS org, event_type FROM ({LAST_SQL.format(op='<')}) WHERE user_id % 3 <> 0), b AS (SELECT user_id AS org FROM ({LAST_SQL.format(op='>=')})), i AS (SELECT org FROM r WHERE action = 'insert')
+        SELECT coalesce(o.org, b.org) AS org, CASE WHEN b.org IS NULL THEN 'unnamed' ELSE 'Org ' || b.org END AS organisation, CASE WHEN b.org % 2 = 0 THEN 's' WHEN o.org IS NOT NULL THEN 'p' END AS sector,
+               i.org IS NOT NULL AS moved, CASE WHEN i.org IS NULL AND o.org IS NOT NULL THEN 'v-' || o.event_type END AS kept_version
+        FROM o FULL JOIN b ON o.org = b.org LEFT JOIN i ON i.org = coalesce(o.org, b.org)""",
 )
+Q.add("m15_one_organisation", lambda t: (lambda h, n: SYNCED(versions.sync_versions(h.filter("org = 7"), n.filter("org = 7"), "r1", half_time())))(*store(t)), f"WITH {STORE_SQL} {VERSION_SQL} WHERE org = 7")
 Q.add("m16_settings", lambda t: versions.upsert(t.nation.select("n_nationkey", "n_name"), t.region.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey", ["n_name"]), "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, CASE WHEN r_name IS NOT NULL AND r_name <> n_name THEN 'update' ELSE 'keep' END AS action FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
 Q.add(
     "m17_set_reviewed",
@@ -161,7 +194,8 @@ Q.add(
 
 def careers_page() -> Column:
     return F.concat(
-        F.lit("<html><head><title>Careers</title></head><body><nav><a href='/x'>officer in nav</a></nav><ul><li><a href='/jobs/a-1/'>"), "p_name", F.lit(" officer</a> Posted 3 July 2000. Deadline 4 August 2000.</li>"),
+        F.lit("<html><head><title>Careers</title></head><body><nav><a href='/x'>officer in nav</a></nav><ul><li><a href='/jobs/a-1/'>"), "p_name", F.lit(" officer</a> Posted 3 July 2000. Deadline 4 August 2000."),
+        F.when(F.col("p_partkey") % 4 == 1, "<p>Closes <time datetime='2000-06-30'>at noon</time></p>").when(F.col("p_partkey") % 4 == 2, "<p><time datetime='2000-05-05'>in May</time></p>").otherwise(""), F.lit("</li>"),
         F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"'), "p_brand", F.lit(' lead","validThrough":"2000-08-09"}</script>'))).otherwise(""),
         F.lit("<li><a href='/about'>About us</a></li></ul></body></html>"),
     )
@@ -179,7 +213,7 @@ LISTED = lambda t: openings.listings(FETCHED(t).select("url", F.col("text").alia
 Q.add(
     "c15_listings", LISTED,
     """SELECT 'https://p.example/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' lead' ELSE p_name || ' officer' END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'https://p.example/' || p_partkey ELSE 'https://p.example/jobs/a-1/' END AS job_url, '' AS location,
-        CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2000-07-03' END AS posted, CASE WHEN p_partkey % 3 = 0 THEN '2000-08-09' ELSE '2000-08-04' END AS deadline, CASE WHEN p_partkey % 3 = 0 THEN 'jsonld' ELSE 'generic' END AS method FROM part WHERE p_partkey % 5 <> 0""",
+        CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 4 = 2 THEN '2000-05-05' ELSE '2000-07-03' END AS posted, CASE WHEN p_partkey % 3 = 0 THEN '2000-08-09' WHEN p_partkey % 4 = 1 THEN '2000-06-30' ELSE '2000-08-04' END AS deadline, CASE WHEN p_partkey % 3 = 0 THEN 'jsonld' ELSE 'generic' END AS method FROM part WHERE p_partkey % 5 <> 0""",
 )
 ATS = lambda t: t.part.filter("p_partkey % 4 = 0").select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string")).alias("source_url"), F.concat(F.lit('{"jobs":[{"title":" '), "p_name", F.lit('  x","absolute_url":"https://a.example/1","location":{"name":"Gent"},"updated_at":"2000-05-06T01:02"}]}')).alias("body"))
 Q.add(

@@ -263,7 +263,9 @@ def prev() -> Column:
 
 
 def given() -> list[Column]:
-    return [F.when(order_key() % 5 == i, F.date_format(order_day(), "yyyy-MM-dd")).otherwise("") for i in range(4)]
+    """The page's own dates; every thirteenth is one that no calendar has."""
+    day_given = F.when(order_key() % 13 == 0, "2024-02-31").otherwise(F.date_format(order_day(), "yyyy-MM-dd"))
+    return [F.when(order_key() % 5 == i, day_given).otherwise("") for i in range(4)]
 
 
 Q.add(
@@ -271,7 +273,8 @@ Q.add(
     f"""WITH x AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS cur, ['', 'a', 'b'][o_orderkey % 3 + 1] AS prev, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '1999-09-09' END AS prev_date FROM orders),
         y AS (SELECT *, cur <> '' AND prev <> '' AND cur <> prev AS moved, cur <> '' AND prev <> '' AND prev_date <> '' AS carried FROM x),
         z AS (SELECT *, CASE WHEN moved THEN 'hash' WHEN o_orderkey % 5 < 4 THEN ['meta', 'jsonld', 'sitemap', 'http'][o_orderkey % 5 + 1] WHEN carried THEN 'hash' WHEN cur <> '' THEN 'hash-seeded' ELSE '' END AS source,
-              CASE WHEN moved THEN '{AS_OF}' WHEN o_orderkey % 5 < 4 THEN {DAY_SQL} WHEN carried THEN prev_date ELSE '' END AS date FROM y)
+              CASE WHEN moved THEN '{AS_OF}' WHEN o_orderkey % 5 < 4 THEN {DAY_SQL} WHEN carried THEN prev_date ELSE '' END AS date FROM y WHERE moved OR o_orderkey % 5 = 4 OR o_orderkey % 13 <> 0
+              UNION ALL SELECT *, '' AS source, '' AS date FROM y WHERE NOT (moved OR o_orderkey % 5 = 4 OR o_orderkey % 13 <> 0))
         SELECT o_orderkey, date, source, CASE WHEN moved THEN 'high' WHEN date = '' THEN 'none' WHEN source IN ('meta', 'jsonld') THEN 'high' WHEN source IN ('sitemap', 'hash') THEN 'medium' ELSE 'low' END AS trust,
                CAST(CASE WHEN moved THEN 0 WHEN date <> '' THEN date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') END AS INT) AS age_days, CASE WHEN moved THEN '{AS_OF}' ELSE '' END AS changed_at, cur AS hash FROM z""",
 )

@@ -97,12 +97,30 @@ def test_links(spark):
 
 def test_html():
     page = read_page("<title>T</title><nav><a href=x>no</a></nav><ul><li><a href='/j'>Job <b>one</b></a> Posted 1 May 2020</li></ul><script>var a='<p>'</script>")
-    assert page["title"] == "T" and [x["text"] for x in page["links"]] == ["Job one"] and "Posted 1 May 2020" in page["links"][0]["row"]
+    assert page["title"] == "T" and [x["text"] for x in page["links"]] == ["Job one"] and "Posted 1 May 2020" in page["rows"][page["links"][0]["row"]]["text"]
     assert read_page(None)["links"] == []
     assert [p["title"] for p in find_postings('{"@graph":[{"@type":"JobPosting","name":"A"},{"@type":"JobPosting","name":"B"}]}')] == ["B", "A"]
     assert find_postings('{"title":"no posting"}') == []
 
 
+def test_times_near_a_cue_are_deadlines(spark):
+    pages = {
+        "a": "<li><a href='/jobs/one-1/x'>Policy officer</a> <p>Deadline <time datetime=2024-06-30>then</time></p></li>",
+        "b": "<li><a href='/jobs/one-1/x'>Policy officer</a> <p><time datetime=2024-05-01T10:00>here</time></p> <p>Closes <time datetime=2024-06-30>then</time></p></li>",
+        "c": "<li><a href='/jobs/one-1/x'>Policy officer</a> <p>Apply by <time datetime=2024-06-30>x</time></p> <p><time datetime=2024-05-01>y</time> <time datetime=soon>z</time></p></li>",
+        "d": "<li><a href='/jobs/one-1/x'>Policy officer</a></li><li><time datetime=2024-05-01>other row</time></li>",
+    }
+    rows = spark.createDataFrame([(f"https://{k}.example/", v) for k, v in pages.items()], "url string, html string")
+    got = {r["url"][8]: (r["posted"], r["deadline"]) for r in openings.listings(rows, F.lit("2024-01-01").cast("date")).collect()}
+    assert got == {"a": ("", "2024-06-30"), "b": ("2024-05-01", ""), "c": ("2024-05-01", "2024-06-30"), "d": ("", "")}
+
+
+def test_a_row_of_many_links_is_held_once():
+    page = read_page("<div>" + "".join(f"<a href='/jobs/{i}/'>Officer number {i}</a> " for i in range(2000)) + "<li><a href=x>in a row</a><a href=y>too</a></li></div>")
+    assert len(page["links"]) == 2002 and len(page["rows"]) == 2 and sum(len(r["text"]) for r in page["rows"]) < 2 * len(page["text"])
+    assert [x["row"] for x in page["links"][-2:]] == [1, 1] and page["rows"][1]["text"] == "in a row too"
+
+
 def test_openings_states(spark):
     html = {"a": "<li><a href='/jobs/1/'>Policy Officer</a></li>", "b": "<p>No current vacancies.</p>", "c": "<p>Geen vacatures</p>", "d": "<p>hello</p>", "e": None}
     rows = spark.createDataFrame([(k, v, v is not None, 200 if v else 403) for k, v in html.items()], "url string, text string, ok boolean, status int")
