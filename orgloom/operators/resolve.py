@@ -139,3 +139,15 @@ def newest_within(entries: DataFrame, key: str, at: str, as_of: Column, seconds:
     """The newest entry of each key that is younger than so many seconds."""
     young = entries.filter(F.col(at) > as_of - F.make_dt_interval(secs=F.lit(seconds)))
     return young.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), at).alias("row")).select(key, "row.*")
+
+
+def until_repeated(items: DataFrame, board: str, page: str, url: str) -> DataFrame:
+    """The items of a board's pages 1, 2, ... up to the first page that is missing, or whose addresses were all on pages
+    before: a board that ignores a page number serves an old page again. Items without an address go."""
+    first = items.filter(F.col(url).isNotNull()).groupBy(board, url).agg(F.min(page).alias("first_page"))
+    met = items.join(first, [board, url], "left")
+    pages = met.groupBy(board, page).agg(F.count(url).alias("urls"), F.count_if(F.col("first_page") == F.col(page)).alias("fresh"))
+    in_order = Window.partitionBy(board).orderBy(page)
+    ends = ((F.col("urls") > 0) & (F.col("fresh") == 0)) | (F.row_number().over(in_order) != F.col(page))
+    good = pages.withColumn("ends", ends).withColumn("over", F.max("ends").over(in_order)).filter(~F.col("over"))
+    return items.filter(F.col(url).isNotNull()).join(good.select(board, page), [board, page], "left_semi")

@@ -124,7 +124,7 @@ def batch_write(table: DataFrame, ops: DataFrame, key: str, fields: Sequence[str
 
     earlier = Window.partitionBy(key).orderBy("op_no").rowsBetween(Window.unboundedPreceding, -1)
     there = ops.join(table.select(key, F.lit(True).alias("held")), key, "left")
-    before = F.coalesce(F.last("kind").over(earlier) != "delete", F.col("held"), F.lit(False))
+    before = F.coalesce(F.last(F.when(F.col("kind") != "update", F.col("kind") == "create"), ignorenulls=True).over(earlier), F.col("held"), F.lit(False))
     tried = there.withColumn("chunk", F.floor(F.col("op_no") / chunk)).withColumn("failed", F.when(F.col("kind") == "create", before).otherwise(~before)).drop("held")
     last = tried.filter("failed").agg(F.min("chunk").alias("bad"))
     tried = tried.crossJoin(F.broadcast(last))  # one row

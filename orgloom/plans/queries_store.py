@@ -265,6 +265,14 @@ Q.add(
 )
 Q.add("s7_rendered", lambda t: readers.rendered_or_fetched(t.part.select(F.col("p_partkey").alias("url"), F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("").alias("text")), t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("text"))), "SELECT p_partkey AS url, CASE WHEN p_size > 25 THEN p_name WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS text FROM part")
 Q.add("s8_search_fallback", lambda t: readers.search_results(t.events.select(F.col("user_id").alias("query"), F.when(F.col("event_type") == "signup", "main").otherwise("other").alias("engine"), "event_id"), "main", "other").select("query", "engine", "event_id"), "SELECT user_id AS query, CASE WHEN event_type = 'signup' THEN 'main' ELSE 'other' END AS engine, event_id FROM events WHERE event_type = 'signup' OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+BOARD = lambda t: t.lineitem.select("l_orderkey", F.ceil(F.col("l_linenumber") / 2).cast("int").alias("page"), (F.col("l_suppkey") % 4).alias("url"), "l_linenumber")
+Q.add(
+    "s10_paged_boards", lambda t: resolve.until_repeated(BOARD(t), "l_orderkey", "page", "url"),
+    """WITH i AS (SELECT l_orderkey, CAST(ceil(l_linenumber / 2) AS INT) AS page, l_suppkey % 4 AS url, l_linenumber FROM lineitem), n AS (SELECT *, min(page) OVER (PARTITION BY l_orderkey, url) AS met FROM i),
+        p AS (SELECT l_orderkey, page, bool_and(met < page) AS repeated, row_number() OVER (PARTITION BY l_orderkey ORDER BY page) AS nth FROM n GROUP BY 1, 2),
+        s AS (SELECT l_orderkey, min(page) FILTER (repeated OR nth <> page) AS stop FROM p GROUP BY 1)
+        SELECT i.* FROM i JOIN s USING (l_orderkey) WHERE stop IS NULL OR page < stop""",
+)
 Q.add("s10_board_listing", lambda t: resolve.first_per_key(LISTED(t), ["job_url"], [F.asc("url")]).groupBy("method").agg(F.count(F.lit(1)).alias("n")), "SELECT method, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'jsonld' ELSE 'generic' END AS method, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE -1 END FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1")
 
 
@@ -293,6 +301,19 @@ Q.add("s13_harvest", lambda t: readers.harvest(DIRECTORY_PAGES(t)), "SELECT 'htt
 TITLED = " || ' ' || ".join(f"upper(substring(split_part(p_name, ' ', {i}), 1, 1)) || substring(split_part(p_name, ' ', {i}), 2)" for i in (1, 2))
 Q.add("s14_member_pages", lambda t: readers.member_pages(DIRECTORY_PAGES(t), "/onze-leden/"), f"SELECT 'https://d.example/' || p_partkey AS page, replace(p_name, ' ', '-') AS slug, {TITLED} AS organisation, 'https://d.example/onze-leden/' || replace(p_name, ' ', '-') || '/' AS homepage FROM part")
 Q.add("s15_filtered_scan", lambda t: t.orders.filter("o_orderstatus = 'P'").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+WRITES = lambda t: versions.batch_write(
+    t.customer.select("c_custkey", "c_name", "c_mktsegment"),
+    t.orders.select(F.col("o_orderkey").alias("op_no"), F.lit("update").alias("kind"), (F.col("o_custkey") * F.when(F.col("o_totalprice") > 300_000, -1).otherwise(1)).alias("c_custkey"), F.col("o_orderpriority").alias("c_name"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("c_mktsegment")),
+    "c_custkey", ["c_name", "c_mktsegment"],
+)
+WRITES_SQL = """o AS (SELECT o_orderkey AS op_no, o_custkey, o_totalprice > 300000 OR o_custkey NOT IN (SELECT c_custkey FROM customer) AS failed, o_orderpriority AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS segment, o_orderkey // 100 AS chunk FROM orders),
+    b AS (SELECT coalesce(min(chunk) FILTER (failed), 1 << 60) AS bad FROM o)"""
+Q.add(
+    "s17_batch_table", lambda t: WRITES(t)[0],
+    f"""WITH {WRITES_SQL}, a AS (SELECT o_custkey, arg_max(name, op_no) AS name, arg_max(segment, op_no) FILTER (segment IS NOT NULL) AS segment FROM o, b WHERE chunk < bad GROUP BY 1)
+        SELECT c_custkey, coalesce(name, c_name) AS c_name, coalesce(segment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN a ON c_custkey = o_custkey""",
+)
+Q.add("s17_batch_status", lambda t: WRITES(t)[1].select("op_no", "chunk", "status"), f"WITH {WRITES_SQL} SELECT op_no, chunk, CASE WHEN chunk < bad THEN 'applied' WHEN chunk = bad AND failed THEN 'failed' ELSE 'skipped' END AS status FROM o, b")
 Q.add("s16_find_one", lambda t: t.orders.filter("o_orderkey = 42").limit(1).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 42")
 
 
@@ -384,6 +405,22 @@ def latest(t: Tables) -> DataFrame:
 
 
 Q.add("t3_latest_checks_stream", latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+TTL_DAYS = 3
+
+
+def forgotten(t: Tables) -> DataFrame:
+    out, saved = work_dir(t.spark, "changes"), work_dir(t.spark, "checkpoint")
+    scans = _stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_type").alias("hash"))
+    state.run_available(state.detect_changes(scans, TTL_DAYS * 86_400_000), out, saved)
+    return t.spark.read.schema(state.CHANGES).parquet(out)
+
+
+Q.add(
+    "t4_forgotten_stream", forgotten,
+    f"""WITH g AS (SELECT CAST(user_id AS VARCHAR) AS url, ts AS scanned_at, event_type AS hash, event_id, lag(event_type) OVER w AS before, coalesce(ts - lag(ts) OVER w > INTERVAL {TTL_DAYS} DAY, true) AS anew FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        e AS (SELECT *, NOT anew AND before <> hash AS changed, sum(CASE WHEN anew THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY scanned_at, event_id) AS memory FROM g)
+        SELECT url, scanned_at, hash, changed, max(CASE WHEN changed THEN scanned_at END) OVER (PARTITION BY url, memory ORDER BY scanned_at) AS changed_at FROM e""",
+)
 Q.add("t4_expired", lambda t: t.events.groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", (F.col("last") < F.to_timestamp(F.lit("2024-01-30 00:00:00"))).alias("expired")), "SELECT user_id, max(ts) < TIMESTAMP '2024-01-30' AS expired FROM events GROUP BY 1")
 Q.add("t5_resumable", lambda t: discover.todo(t.events.select("event_id"), t.events.filter(F.col("ts") < half_time()).select("event_id", F.when(F.col("event_type") == "error", "none").otherwise("high").alias("confidence")), "event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' OR event_type = 'error'")
 

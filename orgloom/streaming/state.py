@@ -17,28 +17,33 @@ NEW_TITLES = "version string, scanned_at timestamp, new_titles array<string>"
 def detect_changes(scans: DataFrame, ttl_ms: int = 0) -> DataFrame:
     """Every scan ``url, scanned_at, hash`` with whether its hash differs from the last known of its address, and when
     that last happened. The first scan of an address is a seed; an empty hash neither changes nor blanks anything.
-    With ``ttl_ms`` the memory of an address ends after so long without a scan."""
+    With ``ttl_ms`` a scan that comes so long after the one before is a first scan again; scans may be as late, and
+    memories that nothing can need any more are dropped."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, changed_at = state.get if state.exists else (None, None)
+        last, changed_at, known_at = state.get if state.exists else (None, None, None)
         rows = pd.concat(list(batches)).sort_values("scanned_at", kind="stable")
         out: list[tuple[Any, ...]] = []
         for at, value in zip(rows["scanned_at"], rows["hash"], strict=True):
+            now = int(at.value // 1000)
+            if ttl_ms and known_at is not None and now - known_at > 1000 * ttl_ms:
+                last = changed_at = None
             changed = bool(value) and last is not None and value != last
             if changed:
-                changed_at = int(at.value // 1000)
-            last = value or last
+                changed_at = now
+            last, known_at = value or last, now
             out.append((key[0], at, value, changed, pd.NaT if changed_at is None else pd.Timestamp(changed_at, unit="us")))
-        state.update((last, changed_at))
+        state.update((last, changed_at, known_at))
         if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(known_at // 1000 + ttl_ms + 1)
         yield pd.DataFrame(out, columns=["url", "scanned_at", "hash", "changed", "changed_at"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return scans.groupBy("url").applyInPandasWithState(step, CHANGES, "last string, changed_at long", "append", timeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    scans = scans.withColumn("scanned_at", F.col("scanned_at").cast("timestamp")).withWatermark("scanned_at", f"{ttl_ms} milliseconds") if ttl_ms else scans
+    return scans.groupBy("url").applyInPandasWithState(step, CHANGES, "last string, changed_at long, known_at long", "append", timeout)
 
 
 def detect_new_titles(scans: DataFrame) -> DataFrame:

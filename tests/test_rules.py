@@ -1,5 +1,8 @@
 """Golden rows of rules, dates, pages and the store."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from orgloom.functions import dates, text, urls
@@ -135,6 +138,42 @@ def test_clusters_follow_order(spark):
     assert got == {"Radio Works (RWO)": ["register", "target list"], "Radio House": ["Regional registry"], "Other": ["register"]}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_batches_are_the_writes_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    table = {k: (f"n{k}", "s") for k in range(8)}
+    ops, now = [], dict(table)
+    for n in range(60):
+        key = rng.randrange(12)
+        kind = rng.choice(["update", "delete", "update"]) if key in now else "create"
+        if rng.random() < (0.04 if seed else 0):
+            kind = "create" if key in now else "delete"
+        new = (f"a{n}", rng.choice([None, f"b{n}"]))
+        ops.append((n, kind, key, *new))
+        if kind == "delete":
+            now.pop(key, None)
+        else:
+            now[key] = new if kind == "create" else (new[0], new[1] or now[key][1])
+    done, status = dict(table), {}
+    for at in range(0, 60, 10):
+        trial, bad = dict(done), False
+        for n, kind, key, name, group in ops[at : at + 10]:
+            wrong = (key in trial) == (kind == "create")
+            status[n], bad = "failed" if wrong else "skipped", bad or wrong
+            if kind == "delete":
+                trial.pop(key, None)
+            elif kind == "create" or key in trial:
+                trial[key] = (name, group) if kind == "create" else (name, group or trial[key][1])
+        if bad:
+            break
+        done = trial
+        status |= {n: "applied" for n in range(at, at + 10)}
+    held = spark.createDataFrame([(k, *v, 1) for k, v in table.items()], "id int, name string, kind_of string, rest int")
+    out, log = versions.batch_write(held, spark.createDataFrame(ops, "op_no int, kind string, id int, name string, kind_of string"), "id", ["name", "kind_of"], 10)
+    assert {r["id"]: (r["name"], r["kind_of"]) for r in out.collect()} == done
+    assert {r["op_no"]: r["status"] for r in log.collect()} == {n: status.get(n, "skipped") for n in range(60)}
+
+
 def test_one_current_version_each(spark):
     kept = {f: "" for f in versions.KEPT_FIELDS}
     history = spark.createDataFrame([dict(org=1, url="a", superseded=False, run_id="r", discovered_at="t", **(kept | {"page_text": "x", "content_hash": "h"}))], "org int, url string, superseded boolean, run_id string, discovered_at string, " + ", ".join(f"{f} string" for f in versions.KEPT_FIELDS))
