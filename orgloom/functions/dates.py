@@ -10,7 +10,7 @@ from orgloom.functions.vocab import MONTHS
 _NAMES = {name: i for i, names in enumerate(MONTHS, 1) for name in names}
 MONTH = "|".join(sorted(_NAMES, key=lambda x: (-len(x), x)))
 _ENGLISH = {n: i for i, names in enumerate(MONTHS, 1) for n in (names[0], names[0][:3])}
-#: Cue words of a deadline.
+#: Fixed patterns: cue words of a deadline, dates near them, and hints of what a date in a listing is.
 DEADLINE_CUE = (
     r"(deadline|apply by|applications? close|closing date|last day to apply|date limite|clôture|date de clôture|postuler avant|candidature.{0,15}avant"
     r"|sluitingsdatum|uiterlijk|solliciteer voor|bewerbungsfrist|bewerbungsschluss|frist|fecha límite|plazo|hasta el|antes del|scadenza|entro il)"
@@ -35,14 +35,28 @@ def _groups(text: Column, pattern: str, n: int) -> list[Column]:
     return [F.nullif(F.regexp_extract(text, pattern, i + 1), F.lit("")) for i in range(n)]
 
 
+def _dated(text: Column, pattern: str, order: str) -> Column:
+    """The date that a pattern of three groups finds, where ``order`` names them; its match is found once, and only
+    that is split."""
+    whole = F.regexp_extract(text, pattern, 0)
+
+    def split(match: Column) -> Column:
+        part = dict(zip(order, _groups(match, pattern, 3), strict=True))
+        return iso(part["y"], _month(part["M"], _NAMES) if "M" in part else part["m"], part["d"])
+
+    return F.get(F.transform(F.array(whole), split), F.lit(0))
+
+
 def parse_date(text: Column) -> Column:
     """The first readable date: ISO, then day month year, month day year, and day/month/year; an impossible date of
     one kind leaves the next kinds to try."""
-    y1, m1, d1 = _groups(text, r"\b(\d{4})-(\d{2})-(\d{2})\b", 3)
-    d2, m2, y2 = _groups(text, rf"(?iu)\b(\d{{1,2}})\s+({MONTH})\.?\s+(\d{{4}})\b", 3)
-    m3, d3, y3 = _groups(text, rf"(?iu)\b({MONTH})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3)
-    d4, m4, y4 = _groups(text, r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b", 3)
-    return F.coalesce(iso(y1, m1, d1), iso(y2, _month(m2, _NAMES), d2), iso(y3, _month(m3, _NAMES), d3), iso(y4, m4, d4), F.lit(""))
+    return F.coalesce(
+        _dated(text, r"\b(\d{4})-(\d{2})-(\d{2})\b", "ymd"),
+        _dated(text, rf"(?iu)\b(\d{{1,2}})\s+({MONTH})\.?\s+(\d{{4}})\b", "dMy"),
+        _dated(text, rf"(?iu)\b({MONTH})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", "Mdy"),
+        _dated(text, r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b", "dmy"),
+        F.lit(""),
+    )
 
 
 def relative_date(text: Column, as_of: Column, units: tuple[str, ...] = ("day", "week", "month", "hour", "minute"), words: bool = True) -> Column:
