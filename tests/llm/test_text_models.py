@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -216,3 +217,30 @@ def test_url_trees_learn(spark):
     model = url_filter.fit(df.filter("page_id < 200"), "page_id", trees=2, depth=2)
     rest = model.with_features(df.filter("page_id >= 200"))
     assert rest.filter((model.margin() > 0) != (F.col("block") == 1)).count() == 0
+
+
+def test_spans_through_a_character_map(spark, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = []
+    for source in (sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")):
+        made.append(sentencepiece_model_pb2.ModelProto())
+        made[-1].ParseFromString(source.serialized_model_proto())
+    made[0].normalizer_spec.precompiled_charsmap = made[1].normalizer_spec.precompiled_charsmap
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(made[0].SerializeToString())
+    texts = ["ﬁne ①② Ａbc", "é ㍿ x", "", None, "ｶﾞ ｶﾞ 🙂", "plain words", "½ ㎏ ™" * 50]
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = sentencepieces.encode(docs(spark, texts + texts), path).collect()
+    assert len(rows) == 14
+    for r in rows:
+        text = (texts + texts)[r["doc_id"] or 0] or ""
+        assert r["ids"] == lib.encode(text, add_eos=True) and r["decoded"] == lib.decode(r["ids"])
+        raw = text.encode()
+        assert all(0 <= b <= e <= len(raw) for b, e in zip(r["begins"], r["ends"])) and list(r["begins"]) == sorted(r["begins"])
+        pieces = {lib.id_to_piece(i).lstrip("▁"): raw[b:e].decode() for i, b, e in zip(r["ids"], r["begins"], r["ends"]) if b < e}
+        assert all(k in unicodedata.normalize("NFKC", v) for k, v in pieces.items() if k.isascii() and k.isalnum()), pieces  # the last piece of a character has its bytes
+    fi = sentencepieces.OffsetEncoder(path).encode("ﬁne")
+    assert (fi.begins.min(), fi.ends.max()) == (0, len("ﬁne".encode()))
