@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,9 @@ def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
     if total > 2 * n:
         df = df.filter(F.col(key) < int(-(1 << 63) + (1 << 64) * 1.2 * n / total))
     return df.orderBy(key).limit(n)
+
+
+def sliced(column: pa.Array, rows: int = 500) -> Iterator[list]:
+    """A column's values, few rows at a time, so that a worker never holds a whole batch as objects."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()

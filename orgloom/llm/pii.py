@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import smallest
+from orgloom.llm.common import sliced, smallest
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
@@ -451,15 +452,20 @@ def _apply(docs: DataFrame, field: SkipChainField, id_col: str, text_col: str, s
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["" if x is None else x for x in b.iloc[:, 1]]
-            base, full = all_spans(texts, shared.value)
-            out = pd.DataFrame([row(*x) for x in zip(texts, base, full, strict=True)], columns=names[1:])
-            out.insert(0, names[0], b.iloc[:, 0].astype("Int64").to_numpy())
-            yield out.astype({names[0]: "Int64"})
+            out = []
+            for part in sliced(b.column(1)):
+                texts = ["" if x is None else x for x in part]
+                out += [row(*x) for x in zip(texts, *all_spans(texts, shared.value), strict=True)]
+            columns = [pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], f.type) for f in _arrow(schema)[1:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(task, schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInPandas(task, schema)
+
+def _arrow(schema: str) -> list[pa.Field]:
+    return [pa.field(n, pa.string() if t == "string" else pa.int64()) for n, t in map(str.split, schema.split(", "))]
 
 
 def find(docs: DataFrame, field: SkipChainField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,12 +495,14 @@ def masked(text: str, spans: list[Span]) -> str:
 def mask(docs: DataFrame, field: SkipChainField, text_col: str = "text") -> DataFrame:
     """The documents with all spans of the text masked; other columns stay as they are, null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def hide(texts: pd.Series) -> pd.Series:
-        given = ["" if x is None else x for x in texts]
-        full = all_spans(given, shared.value)[1]
-        return pd.Series([None if x is None else masked(x, s) for x, s in zip(texts, full, strict=True)], dtype=object)
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[str | None] = []
+            for part in sliced(b.column(at)):
+                full = all_spans(["" if x is None else x for x in part], shared.value)[1]
+                out += [None if x is None else masked(x, s) for x, s in zip(part, full, strict=True)]
+            yield b.set_column(at, b.schema.names[at], pa.array(out, b.schema.types[at]))
 
-    hidden: Column = hide(F.col(text_col))
-    return docs.withColumn(text_col, hidden)
+    return docs.mapInArrow(task, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orgloom.llm.common import smallest
+from orgloom.llm.common import sliced, smallest
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -235,18 +235,18 @@ class Scorer:
     def __init__(self, model: NgramModel):
         self.model, self.known = model, {}
 
-    def __call__(self, texts: pd.Series) -> pd.Series:
-        z = np.full(len(texts), self.model.bias)
-        for at in range(0, len(texts), 500):  # few documents' words are held at a time
-            split = [distinct_words(x) for x in texts.iloc[at : at + 500]]
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        z = []
+        for part in sliced(texts):
+            split = [distinct_words(x) for x in part]
             new = list({w for words in split for w in words if w not in self.known})
             for i in range(0, len(new), PART_WORDS):
-                part = new[i : i + PART_WORDS]
-                self.known.update(zip(part, self.model.word_sums(part).tolist(), strict=True))
-            z[at : at + 500] += [math.fsum(map(self.known.__getitem__, words)) for words in split]
+                some = new[i : i + PART_WORDS]
+                self.known.update(zip(some, self.model.word_sums(some).tolist(), strict=True))
+            z += [math.fsum(map(self.known.__getitem__, words)) for words in split]
             if len(self.known) > CACHE_WORDS:
                 self.known = {}
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return pa.array(1 / (1 + np.exp(-np.clip(np.array(z) + self.model.bias, -35, 35))), pa.float64())
 
 
 def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,12 +257,12 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scorer(shared.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": scores(b["text"])})
+            yield pa.RecordBatch.from_arrays([b.column(0), scores(b.column(1))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(task, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, "doc_id long, score double")
 
 
 def with_score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:
@@ -274,7 +274,7 @@ def with_score(docs: DataFrame, model: NgramModel, text_col: str = "text") -> Da
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scorer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(pd.Series(b.column(at).to_pylist(), dtype=object)))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores(b.column(at))], [*b.schema.names, "score"])
 
     return rows.mapInArrow(task, schema)
 
