@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orgloom.functions import dates, rules, text, urls, vocab
-from orgloom.functions.html import listed_postings, postings
+from orgloom.functions.html import listed_postings, parse_page, postings
 from orgloom.functions.rules import alternation
 from orgloom.operators import classify, discover, freshness, openings
 from orgloom.operators.resolve import distinct_titles
@@ -215,6 +215,14 @@ def linked_data() -> Column:
 Q.add("x1_nested_postings", lambda t: t.part.select("p_partkey", F.array_join(F.transform(postings(linked_data()), lambda p: p["title"]), "|").alias("t")), "SELECT p_partkey, p_brand || '|' || p_name AS t FROM part")
 Q.add("x2_listed_postings", lambda t: t.part.select("p_partkey", F.explode(listed_postings(linked_data())).alias("p")).select("p_partkey", "p.title", "p.location"), "SELECT p_partkey, p_name AS title, 'Gent' AS location FROM part")
 Q.add("x3_anchors", lambda t: t.pages.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>'), F.lit(1)), " ").alias("hrefs")), "SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1), ' ') AS hrefs FROM pages")
+IN_PAGE = "html"
+for tag in ("script", "style", "nav", "footer", "header", "noscript"):
+    IN_PAGE = f"regexp_replace({IN_PAGE}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+Q.add(
+    "x3_page_links", lambda t: t.pages.select("page_id", parse_page(F.col("html")).alias("p")).select("page_id", F.array_join(F.transform("p.links", lambda x: x["href"]), " ").alias("hrefs"), F.size("p.links").alias("links")),
+    f"""WITH s AS (SELECT page_id, regexp_replace({IN_PAGE}, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages), a AS (SELECT page_id, regexp_extract_all(h, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS found FROM s)
+        SELECT page_id, replace(array_to_string(found, ' '), '&amp;', '&') AS hrefs, CAST(len(found) AS INT) AS links FROM a""",
+)
 Q.add("x4_visible_text", lambda t: t.pages.select("page_id", F.sha2(text.visible_text(F.col("html")), 256).alias("h")), f"SELECT page_id, sha256({visible_sql('html', text.CHROME)}) AS h FROM pages")
 Q.add("c10_fingerprint", lambda t: t.pages.select("page_id", text.fingerprint(text.visible_text(F.col("html"))).alias("h")), f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(lower({visible_sql('html', text.CHROME)}), '{text.VOLATILE.replace(chr(39), chr(39) * 2)}', '', 'g'), '\\s+', ' ', 'g'))) AS h FROM pages")
 
