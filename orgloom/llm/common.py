@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Open scopes; each lists the paths that go when it ends.
-_SCOPES: list[list[str]] = []
+#: Open scopes of this thread, the innermost last; each lists the paths that go when it ends.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,8 +31,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="orgloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/orgloom/{name}-{uuid.uuid4().hex[:12]}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     return path
 
 
@@ -42,11 +45,13 @@ def removed(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Folders that are made inside go at the end; what must outlive the scope is stored by ``kept``."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    before = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(before)
+        for path in paths:
             removed(spark, path)
 
 
@@ -61,12 +66,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def outside() -> Iterator[None]:
     """Folders that are made inside belong to the scope around the present one."""
-    inner = _SCOPES.pop() if _SCOPES else None
+    before = _SCOPES.set(_SCOPES.get()[:-1])
     try:
         yield
     finally:
-        if inner is not None:
-            _SCOPES.append(inner)
+        _SCOPES.reset(before)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -91,3 +95,13 @@ def sliced(column: pa.Array, rows: int = 500) -> Iterator[list]:
     """A column's values, few rows at a time, so that a worker never holds a whole batch as objects."""
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
+
+
+def slices(batch: pa.RecordBatch, text_column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have at most so many bytes, or are single."""
+    sizes = np.cumsum(pc.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgloom.llm import jaccard_join, pii, quality, sentencepieces, toxicity, url_filter, vptree
+from orgloom.llm import collocations, fill_in_middle, jaccard_join, merkle, pii, quality, sentencepieces, toxicity, url_filter, vptree
 from orgloom.llm.common import kept, scratch, shared_dir, table
 from orgloom.llm.exact_dedup import DigestIndex
 from orgloom.llm.packing import pack_decreasing, pack_online, pieces_of, read_packed, token_source, write_packed
@@ -100,7 +100,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op3_pii, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's Merkle fingerprint, compared with that of its edited text and of the next document."""
+    return merkle.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example: digests of the output, and of the text restored from it."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of every language."""
+    with scratch(spark):
+        return kept(collocations.best(collocations.mine(table(spark, sf_dir, "documents"))), "collocations")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_vptree, op2_packed_token_ids, op3_pii, op4_sentencepiece, op5_toxicity, op6_quality, op7_jaccard_join, op8_online_packing, op9_url_filter, op10_exact_dedup, op11_fingerprints, op12_fill_in_middle, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op7_jaccard_join": r"""
@@ -139,4 +157,52 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
     """,
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), r AS (
+            SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS r1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS r2,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+                        WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, array_to_string(units[1:least(r1, r2)], '') AS p, array_to_string(units[least(r1, r2) + 1:greatest(r1, r2)], '') AS m, array_to_string(units[greatest(r1, r2) + 1:], '') AS s FROM r
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_collocations": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words
+            FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)
+        ), grams AS (
+            SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase FROM (
+                SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS m) WHERE len(words) >= m
+            )
+        ), f AS (
+            SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+        ), total AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1
+        ), c AS (
+            SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10
+        ), cuts AS (
+            SELECT *, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+        ), scored AS (
+            SELECT c.lang, c.m, c.phrase, c.a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.m = k AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = rest
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), longer AS (
+            SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE m = 3
+        ), covered AS (
+            SELECT lang, phrase, max(a) AS most FROM longer GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM lowest LEFT JOIN covered USING (lang, phrase) JOIN total USING (lang)
+        WHERE most IS NULL OR 100 * most < 50 * a
+        QUALIFY rank <= 2000
+    """,
 }
