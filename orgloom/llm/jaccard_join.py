@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import kept, scratch, stored
+from orgloom.llm.common import kept, scratch, slices, stored
 from orgloom.llm.components import components
 
 WIDTH = 5
@@ -99,23 +100,27 @@ def minhash(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, forest: Forest) -> DataFrame:
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, short = WordHashes(), forest.shortest
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                words = text.split() if text else []
-                if not words or pd.isna(doc_id):
-                    rows.append((doc_id, None, 0, None, None))
-                    continue
-                h = shingles(words, hashes)
-                values = minhash(h, forest.trees * forest.depth)
-                prefixes = values.reshape(forest.trees, forest.depth)[:, :short].astype("<u4")
-                buckets = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) - (1 << 63) for t, p in enumerate(prefixes)]
-                rows.append((doc_id, class_key(words), len(h), (values & np.uint64(255)).astype(np.uint8).tobytes(), buckets))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "size", "sketch", "buckets"]).astype({"doc_id": "Int64"})
-
-    return docs.mapInPandas(task, "doc_id long, key binary, size int, sketch binary, buckets array<long>")
+            for part in slices(b, 1, 8_000_000):
+                rows = []
+                for known, text in zip(part.column(0).is_valid().to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = text.split() if text else []
+                    if not words or not known:
+                        rows.append((None, 0, None, None))
+                        continue
+                    h = shingles(words, hashes)
+                    values = minhash(h, forest.trees * forest.depth)
+                    prefixes = values.reshape(forest.trees, forest.depth)[:, :short].astype("<u4")
+                    buckets = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) - (1 << 63) for t, p in enumerate(prefixes)]
+                    rows.append((class_key(words), len(h), (values & np.uint64(255)).astype(np.uint8).tobytes(), buckets))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", "key", "size", "sketch", "buckets"])
+
+    return docs.mapInArrow(task, "doc_id long, key binary, size int, sketch binary, buckets array<long>")
 
 
 def _chunked(rows: DataFrame, chunks: Column, key: str) -> DataFrame:
@@ -215,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows.
     """
     with scratch(docs.sparkSession):
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         return kept(_joined(rows, forest or Forest()), "near-duplicates")
 
 

@@ -12,12 +12,12 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgloom.llm.byte_bpe import byte_bpe
+from orgloom.llm.common import slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PACKED = "sequence_id long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, pieces array<int>, starts array<long>"
@@ -118,18 +118,6 @@ def cut(total: int, capacity: int) -> Iterator[tuple[int, int]]:
         at, to = to, to + capacity
 
 
-def _texts(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, str]]:
-    for b in batches:
-        ids = b.iloc[:, 0]
-        yield from zip([None if pd.isna(x) else int(x) for x in ids], ["" if x is None else x for x in b.iloc[:, 1]], strict=True)
-
-
-def _columns(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out[names[0]] = out[names[0]].astype("Int64")
-    return out
-
-
 def _task_base() -> int:
     from pyspark import TaskContext
 
@@ -153,21 +141,28 @@ def pack_online(docs: DataFrame, encode: Encode, capacity: int = 1024, open_bins
     are; other columns are ignored; an empty table gives no rows.
     """
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [x.split() for x in PIECES.split(", ")]
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, [n for n, _ in fields])
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base, rows = OpenBins(capacity, open_bins), _task_base(), []
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        for doc_id, text in _texts(batches):
-            ids = encode(text)
-            for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                at, offset = bins.place(length)
-                rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), base + at, offset))
-            if len(rows) >= 20_000:
-                yield _columns(rows, names)
-                rows = []
+        for b in batches:
+            for part in slices(b, 1, 8_000_000):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "")
+                    for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                        at, offset = bins.place(length)
+                        rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), base + at, offset))
+                    if len(rows) >= 20_000:
+                        yield written(rows)
+                        rows = []
         if rows:
-            yield _columns(rows, names)
+            yield written(rows)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(task, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(task, PIECES)
 
 
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:

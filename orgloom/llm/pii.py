@@ -171,13 +171,15 @@ class Mention:
     base: bool
     keys: list[tuple]
 
-    def node_at(self, from_end: int) -> int:
-        """The node that has the digit so many places before the end, or the first."""
-        for i in range(self.last, self.first, -1):
-            from_end -= self.counts[i - self.first]
-            if from_end < 0:
-                return i
-        return self.first
+    def beside(self, other: Mention) -> Iterator[tuple[int, int]]:
+        """Each node, from the last, with the node of the other that has the digit as many places before its end."""
+        at, covered, after = other.last, other.counts[-1], 0
+        for i in range(self.last, self.first - 1, -1):
+            while covered <= after and at > other.first:
+                at -= 1
+                covered += other.counts[at - other.first]
+            yield at, i
+            after += self.counts[i - self.first]
 
 
 def _mentions(text: str, found: list[Span], places: list[tuple[int, int]], linked: list[bool]) -> list[Mention]:
@@ -254,12 +256,8 @@ def _skips(mentions: list[Mention]) -> list[tuple[int, int]]:
                 continue
             if old is None:
                 continue
-            for one, other, swap in ((m, old, False), (old, m, True)):
-                after = 0
-                for i in range(one.last, one.first - 1, -1):
-                    pair = (other.node_at(after), i)
-                    edges[pair[::-1] if swap else pair] = None
-                    after += one.counts[i - one.first]
+            edges.update(dict.fromkeys(m.beside(old)))
+            edges.update(dict.fromkeys((i, at) for at, i in old.beside(m)))
     return list(edges)
 
 

@@ -12,10 +12,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.common import slices
 from orgloom.llm.toxicity import sampled
 
 STATS = ["chars", "words", "word_chars", "distinct_share", "top_share", "repeat_share", "upper_share", "digit_share", "mark_share", "bang_share", "bar_share", "line_words", "line_repeat", "short_lines", "end_share", "squeeze"]
@@ -47,14 +48,16 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id``, the ``extra`` columns, and one double column per statistic."""
     extra = extra or {}
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = np.array([statistics(x) for x in b.pop("text")]).reshape(-1, len(STATS))
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(stats, columns=STATS)], axis=1).astype({"doc_id": "Int64"})
+            last = b.num_columns - 1
+            for part in slices(b, last, 8_000_000):
+                stats = np.array([statistics(x) for x in part.column(last).to_pylist()]).reshape(-1, len(STATS))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, stats.T)], [*part.schema.names[:-1], *STATS])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in extra.items()], F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in extra.items()], F.col(text_col).cast("string").alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(task, kept + "".join(f", {s} double" for s in STATS))
+    return rows.mapInArrow(task, kept + "".join(f", {s} double" for s in STATS))
 
 
 #: A rule: for some statistics, a half-open interval (low, high].

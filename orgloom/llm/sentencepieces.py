@@ -13,10 +13,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.common import slices
+
 MARK = "▁".encode()
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
@@ -136,25 +138,22 @@ def offset_encoder(model_path: str) -> OffsetEncoder:
     return OffsetEncoder(model_path)
 
 
-def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, str]]:
-    for b in batches:
-        yield from zip([None if pd.isna(x) else int(x) for x in b.iloc[:, 0]], ["" if x is None else x for x in b.iloc[:, 1]], strict=True)
+#: Bytes of texts whose pieces a task holds at a time.
+SLICE_BYTES = 2_000_000
+_TYPES = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, row, chunk: int) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+def _run(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
 
-    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, rows, chars = offset_encoder(model_path), [], 0
-        for doc_id, text in _rows(batches):
-            rows.append((doc_id, *row(encoder, text)))
-            chars += len(text)
-            if chars >= chunk:
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                rows, chars = [], 0
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = offset_encoder(model_path)
+        for b in batches:
+            for part in slices(b, 1, SLICE_BYTES):
+                made = zip(*[row(encoder, text or "") for text in part.column(1).to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, _TYPES[t]) for c, (_, t) in zip(made, fields[1:], strict=True))], [n for n, _ in fields])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(task, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(task, schema)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +168,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         e = encoder.encode(text)
         return e.ids, e.begins, e.ends, encoder.decode(e.ids)
 
-    return _run(docs, model_path, id_col, text_col, ENCODED, row, 2_000_000)
+    return _run(docs, model_path, id_col, text_col, ENCODED, row)
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,4 +180,4 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
         joined = " ".join(map(encoder.decimal.__getitem__, e.ids))
         return len(e.ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(encoder.decode(e.ids).encode()).hexdigest(), int((e.ends - e.begins).sum())
 
-    return _run(docs, model_path, id_col, text_col, DIGESTS, row, 20_000_000)
+    return _run(docs, model_path, id_col, text_col, DIGESTS, row)
