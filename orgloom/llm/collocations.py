@@ -4,7 +4,8 @@ Texts of a language are cut into blocks, and in a block every word has the list
 of pieces and documents leave a gap. Lists are rows of a table. The length of a phrase's lists over all blocks is its
 exact frequency. Level by level, the lists of frequent phrases are brought together by block and merge-joined with the
 lists of what stands at the next position: a phrase is extended by the adjacent word where the phrase that ends with
-that word is frequent too, as every part of a frequent phrase is. Frequencies are joined to lists by shuffles, so no
+that word is frequent too, as every part of a frequent phrase is. They are joined twice, first for the lengths alone,
+so that only lists of phrases found to be frequent are ever kept. Frequencies are joined to lists by shuffles, so no
 vocabulary is held in one place, and a word that is everywhere has one row a block only.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgloom.llm.common import slices, stored
+from orgloom.llm.common import outside, scratch, slices, stored
 
 #: Words of a language's block, and of all blocks that a task has open.
 BLOCK_WORDS, OPEN_WORDS = 2_000_000, 4_000_000
@@ -70,19 +71,32 @@ class OpenBlock:
 
 
 def packed(lengths: np.ndarray, positions: np.ndarray) -> pa.Array:
-    """Lists of ascending positions as bytes: the first, then steps, 32 bits each."""
-    steps = positions.astype(np.int32, copy=True)
+    """Lists of ascending positions as bytes: the first, then steps, each in as many groups of seven bits as it needs,
+    the lowest first; all groups of a number but the last have the eighth bit set."""
+    steps = positions.astype(np.int64)
     steps[1:] -= positions[:-1]
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     steps[starts] = positions[starts]
-    offsets = np.append(0, np.cumsum(4 * lengths)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(steps)])
+    width = 1 + sum((steps >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.append(0, np.cumsum(width))
+    data = np.zeros(ends[-1], np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(width > k)
+        data[ends[some] + k] = (steps[some] >> 7 * k & 127) | np.where(width[some] > k + 1, 128, 0)
+    offsets = ends[np.append(0, np.cumsum(lengths))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def unpacked(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and positions of such lists."""
-    lengths = np.array([len(x) // 4 for x in lists], np.int64)
-    steps = np.frombuffer(b"".join(lists), "<i4").astype(np.int64)
+    data = np.frombuffer(b"".join(lists), np.uint8)
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1)
+    steps = np.zeros(len(last), np.int64)
+    for k in range(5):
+        some = np.flatnonzero(last - first >= k)
+        steps[some] |= (data[first[some] + k].astype(np.int64) & 127) << 7 * k
+    lengths = np.diff(np.searchsorted(last, np.cumsum([0, *map(len, lists)])))
     total = np.cumsum(steps)
     starts = np.cumsum(lengths) - lengths
     return lengths, total - np.repeat(total[starts] - steps[starts], lengths)
@@ -95,7 +109,7 @@ def _block_base() -> int:
 
 
 def postings(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``lang, word, block, positions``: a row for each word of a block."""
+    """``lang, word, block, n, positions``: a row for each word of a block, with the length of its list."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, OpenBlock] = {}
@@ -110,8 +124,8 @@ def postings(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 hi = min(len(words), lo + 100_000)
                 first, last = lengths[:lo].sum(), lengths[:hi].sum()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * (hi - lo), pa.string()), pa.array(words[lo:hi], pa.string()), pa.array(np.full(hi - lo, block)), packed(lengths[lo:hi], positions[first:last]),
-                ], ["lang", "word", "block", "positions"])
+                    pa.array([lang] * (hi - lo), pa.string()), pa.array(words[lo:hi], pa.string()), pa.array(np.full(hi - lo, block)), pa.array(lengths[lo:hi]), packed(lengths[lo:hi], positions[first:last]),
+                ], ["lang", "word", "block", "n", "positions"])
             block += 1
 
         for b in batches:
@@ -130,7 +144,7 @@ def postings(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             yield from closed(lang)
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)), F.col(text_col).cast("string"))
-    return rows.mapInArrow(task, "lang string, word string, block long, positions binary")
+    return rows.mapInArrow(task, "lang string, word string, block long, n long, positions binary")
 
 
 def _extended(block: int, ids: np.ndarray, lists: list[bytes], with_positions: bool) -> pa.RecordBatch:
@@ -144,16 +158,15 @@ def _extended(block: int, ids: np.ndarray, lists: list[bytes], with_positions: b
     pair, positions = pair[order], positions[order]
     starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(pair)))
-    arrays = [pa.array(ids[pair[starts] // len(ids)]), pa.array(ids[pair[starts] % len(ids)]), pa.array(lengths)]
-    names = ["prefix", "suffix", "n"]
-    if with_positions:
-        arrays, names = [*arrays, pa.array(np.full(len(starts), block)), packed(lengths, positions)], [*names, "block", "positions"]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    ends = [pa.array(ids[pair[starts] // len(ids)]), pa.array(ids[pair[starts] % len(ids)])]
+    if not with_positions:
+        return pa.RecordBatch.from_arrays([*ends, pa.array(lengths)], ["prefix", "suffix", "n"])
+    return pa.RecordBatch.from_arrays([*ends, pa.array(np.full(len(starts), block)), packed(lengths, positions)], ["prefix", "suffix", "block", "positions"])
 
 
 def extended(lists: DataFrame, with_positions: bool) -> DataFrame:
-    """``prefix, suffix, n`` for each phrase that is one word longer, block by block, with ``block, positions`` if asked
-    for; ``lists`` has ``block, id, positions`` of frequent phrases of one length."""
+    """For each phrase that is one word longer, block by block, ``prefix, suffix`` and the length of its list, ``n``, or
+    ``block, positions``, the list itself; ``lists`` has ``block, id, positions`` of frequent phrases of one length."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, held = None, [], []
@@ -173,7 +186,7 @@ def extended(lists: DataFrame, with_positions: bool) -> DataFrame:
             yield _extended(block, np.concatenate(ids), held, with_positions)
 
     dealt = lists.select("block", "id", "positions").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(task, "prefix long, suffix long, n long" + (", block long, positions binary" if with_positions else ""))
+    return dealt.mapInArrow(task, "prefix long, suffix long, " + ("block long, positions binary" if with_positions else "n long"))
 
 
 @dataclass
@@ -198,22 +211,22 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, cover_percent: int
     phrase around it, within ``longest``, has ``cover_percent`` of its occurrences or more. Null languages are ``und``,
     null and empty texts have no words; repeated rows count each; other columns are ignored; an empty table gives none.
     """
-    lists = stored(postings(docs, text_col, lang_col), "postings")
-    counts = stored(lists.groupBy("lang", "word").agg(F.sum(F.octet_length("positions") / 4).cast("long").alias("f")), "word-counts")
-    none = F.array().cast("array<long>")
-    known = counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
-    known = stored(known, "phrases-1")
-    lists = lists.join(known.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"])
+    spark = docs.sparkSession
+    with scratch(spark):
+        every = stored(postings(docs, text_col, lang_col), "postings")
+        with outside():
+            counts = stored(every.groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
+            none = F.array().cast("array<long>")
+            known = counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
+            known = stored(known, "phrases-1")
+            lists = stored(every.join(known.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("block", "id", "positions"), "lists-1")
     levels: list[DataFrame] = []
     for words in range(2, longest + 1):
-        more = words < longest
-        found = extended(lists, more)
-        if more:
-            found = stored(found, f"postings-{words}")
-        often = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "prefix", "suffix", "f")
-        often = stored(often, f"frequent-{words}")
-        if more:
-            lists = found.join(often.select("id", "prefix", "suffix"), ["prefix", "suffix"])
+        often = extended(lists, False).groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        often = stored(often.select(F.monotonically_increasing_id().alias("id"), "prefix", "suffix", "f"), f"frequent-{words}")
+        if words < longest:
+            lists = extended(lists, True).join(often.select("id", "prefix", "suffix"), ["prefix", "suffix"]).select("block", "id", "positions")
+            lists = stored(lists, f"lists-{words}")
         left, right = (known.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lang", "phrase", "f", "heads", "tails")]) for side in ("prefix", "suffix"))
         known = often.join(left, "prefix").join(right, "suffix").select(
             "id", "prefix", "suffix", F.col("prefix_lang").alias("lang"), F.concat("prefix_phrase", F.lit(" "), F.substring_index("suffix_phrase", " ", -1)).alias("phrase"), "f",

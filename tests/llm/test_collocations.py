@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from orgloom.llm import collocations
@@ -70,3 +71,11 @@ def test_scores_beyond_64_bits(spark):
     row = spark.sql("SELECT 3000000000L AS a, 4000000000L AS l, 5000000001L AS r")
     score = row.select(collocations._score(row.a, row.l, row.r)).first()[0]
     assert score == 1_000_000 * 3_000_000_000**2 // (4_000_000_000 * 5_000_000_001)
+
+
+def test_lists_are_packed_without_loss():
+    rng = random.Random(3)
+    for size in (1, 5, 400):
+        lists = [sorted(rng.sample(range(rng.choice([10, 200, 20_000, 3_000_000, 2**31 - 1])), rng.randint(1, 9))) for _ in range(size)]
+        lengths, positions = collocations.unpacked(collocations.packed(np.array([len(x) for x in lists]), np.array(sum(lists, []))).to_pylist())
+        assert lengths.tolist() == [len(x) for x in lists] and positions.tolist() == sum(lists, [])
