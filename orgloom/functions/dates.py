@@ -124,10 +124,13 @@ def listing_dates(text: Column, as_of: Column) -> tuple[Column, Column]:
 
 
 def header_date(value: Column) -> Column:
-    """The day of an RFC 2822 date."""
-    rest = F.trim(F.regexp_replace(value, r"^[A-Za-z]{3},\s*", ""))
-    d, name, y = _groups(rest, r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) ", 3)
-    return F.coalesce(iso(y, _month(name, _ENGLISH), d), F.lit(""))
+    """The day of a header's date and time, as mail and web servers write them: RFC 2822, RFC 850 with dashes and years
+    of two digits (those from 69 on are of the last century), and that of C's ``asctime``; names short or whole."""
+    rest = F.trim(F.regexp_replace(value, r"^\s*[A-Za-z]+(,\s*|\s+(?=\d))", ""))
+    day, name, year = _groups(rest, r"^(\d{1,2})[ -]+([A-Za-z]{3,9})[ -]+(\d{4}|\d{2})\s+\d", 3)
+    name2, day2, year2 = _groups(rest, r"^(?:[A-Za-z]{3,9}\s+)?([A-Za-z]{3,9})\s+(\d{1,2})\s+[\d:]+\s+(?:[A-Z]{1,5}\s+)?(\d{4})\b", 3)
+    century = F.when(F.length(year) == 2, F.when(year.cast("int") > 68, "19").otherwise("20")).otherwise("")
+    return F.coalesce(iso(F.concat(century, year), _month(name, _ENGLISH), day), iso(year2, _month(name2, _ENGLISH), day2), F.lit(""))
 
 
 def age_days(day: Column, as_of: Column) -> Column:

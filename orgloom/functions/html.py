@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -59,8 +60,10 @@ class _Page(HTMLParser):
         self.text: list[str] = []
         self.anchors: list[tuple[dict, _Element, _Element]] = []
         self.metas: list[dict] = []
-        self.scripts: list[str] = []
+        self.scripts: list[list[str]] = []
         self.open: list[_Element] = []
+        self.open_rows: list[_Element] = []
+        self.opened: Counter[str] = Counter()
         self.times: list[tuple[str, _Element, _Element | None]] = []
         self.hidden = self.tags = 0
         self.anchor: dict | None = None
@@ -81,30 +84,35 @@ class _Page(HTMLParser):
         if tag == "time" and a.get("datetime"):
             self.times.append((a["datetime"], own, self.open[-1] if self.open else None))
         self.open.append(own)
+        self.opened[tag] += 1
+        if tag in _ROWS:
+            self.open_rows.append(own)
         self.hidden += tag in self.drop
         if tag == "script":
             self.json = "ld+json" in a.get("type", "")
-            self.scripts.append("")
+            self.scripts.append([])
         if tag == "a" and "href" in a and not self.hidden:
-            row = next((e for e in reversed(self.open) if e.tag in _ROWS), own)
+            row = self.open_rows[-1] if self.open_rows else own
             self.anchor = {"pos": len(self.anchors), "href": a["href"], "text": "", "alt": ""}
             self.anchors.append((self.anchor, own, row))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.anchor = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                for e in self.open[i:]:
-                    self.hidden -= e.tag in self.drop
-                    e.close(len(self.text), self.tags)
-                del self.open[i:]
+        while self.opened[tag]:  # what is open inside ends as well
+            e = self.open.pop()
+            self.opened[e.tag] -= 1
+            if e.tag in _ROWS:
+                self.open_rows.pop()
+            self.hidden -= e.tag in self.drop
+            e.close(len(self.text), self.tags)
+            if e.tag == tag:
                 break
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1].tag == "script":
             if self.json or "JobPosting" in data:
-                self.scripts[-1] += data
+                self.scripts[-1].append(data)
         elif self.open and self.open[-1].tag == "title":
             self.title.append(data)
             self.text.append(data)
@@ -117,7 +125,8 @@ class _Page(HTMLParser):
     def result(self) -> dict:
         for e in self.open:
             e.close(len(self.text), self.tags)
-        around = {id(p): bool(_DEADLINE.search(self._of(p))) for _, _, p in self.times if p is not None}
+        parents = {id(p): p for _, _, p in self.times if p is not None}
+        around = {k: bool(_DEADLINE.search(self._of(p))) for k, p in parents.items()}
         times = [(e.number, {"datetime": at, "deadline": around.get(id(p), False) or bool(_DEADLINE.search(self._of(e)))}) for at, e, p in self.times]
         numbers = [n for n, _ in times]
         rows: dict[int, int] = {}
@@ -128,7 +137,7 @@ class _Page(HTMLParser):
                 inside = times[bisect.bisect_left(numbers, row.number) : bisect.bisect_right(numbers, row.last)]
                 found.append({"text": self._of(row), "times": [t for _, t in inside]})
             links.append(link | {"text": self._of(own), "row": rows[id(row)]})
-        scripts = [x for x in self.scripts if x]
+        scripts = [x for x in map("".join, self.scripts) if x]
         return {
             "title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": links, "rows": found, "metas": self.metas, "scripts": scripts,
             "postings": [p for x in scripts for p in find_postings(x)], "listed": [p for x in scripts for p in find_postings(x, nested=False)],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ VOLATILE = (
     r"(csrf|csrftoken|nonce|session(id)?|sid|token|auth|__viewstate|__requestverificationtoken|_token|jsessionid|phpsessid|viewstate)"
     r"\s*[=:]\s*[\"']?[\w\-./+%]+|\b[0-9a-f]{16,}\b|\b[A-Za-z0-9\-_]{24,}\b|\d{1,2}:\d{2}(:\d{2})?|\d{4}-\d{2}-\d{2}t\d{2}:\d{2}"
 )
-_PLAIN = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xC0, 0x250)}
-_FROM = "".join(k for k, v in _PLAIN.items() if len(v) == 1)
-_TO = "".join(v for v in _PLAIN.values() if len(v) == 1)
+#: What characters beyond ASCII leave of themselves when they are decomposed, by the rule of compatibility forms.
+_PLAIN = {chr(c): v for c in range(0x80, 0x30000) if unicodedata.decomposition(chr(c)) and (v := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
+_LETTERS = {k: v for k, v in _PLAIN.items() if len(v) == 1}
+_LONGER = {k: v for k, v in _PLAIN.items() if len(v) > 1}
 
 
 def clean(c: Column) -> Column:
@@ -34,8 +36,16 @@ def clean(c: Column) -> Column:
 
 
 def to_ascii(c: Column) -> Column:
-    """Latin letters without their marks; other characters beyond ASCII go."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"[^\x00-\x7F]", "")
+    """Letters without their marks, compatibility forms (full width, ligatures, signs) as what they stand for; other
+    characters beyond ASCII go."""
+    some = f"[{''.join(_LONGER)}]"
+    table = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
+
+    def spelled(v: Column) -> Column:
+        parts = F.split(v, f"(?<={some})|(?={some})")
+        return F.when(v.rlike(some), F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(v)
+
+    return F.regexp_replace(F.translate(let(c, spelled), "".join(_LETTERS), "".join(_LETTERS.values())), r"[^\x00-\x7F]", "")
 
 
 def merge_key(name: Column) -> Column:
@@ -113,12 +123,43 @@ def is_place(c: Column) -> Column:
     return has_any(F.lower(c), vocab.PLACES)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def cut_spans(s: Column, opening: str, closing: str, written: str, opened: Callable[[Column], Column] | None = None) -> Column:
+    """A text with each span from the first match of ``opening`` to the next of ``closing`` replaced by a blank, what is
+    not closed staying. ``opened`` says of what follows an opening whether it is one.
+
+    The text is split at the closings, and each part at its first opening, so that any text takes linear time, where a
+    pattern over whole spans would search for the end of every opening anew. ``written`` stands for a closing that
+    closes nothing.
+    """
+    def part(p: Column) -> Column:
+        def cut(halves: Column) -> Column:
+            rest = F.get(halves, F.lit(1))
+            has = rest.isNotNull() if opened is None else F.coalesce(opened(rest), F.lit(False))
+            return F.when(has, F.concat(F.get(halves, F.lit(0)), F.lit(" "))).otherwise(F.concat(p, F.lit(written)))
+
+        return let(F.split(p, opening, 2), cut)
+
+    return let(F.split(s, closing, -1), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), part), ""), F.element_at(parts, -1)))
+
+
+def without_element(html: Column, tag: str) -> Column:
+    """A page without the elements of a tag that are closed."""
+    return cut_spans(html, rf"(?i)<{tag}\b", f"(?i)</{tag}>", f"</{tag}>", lambda rest: rest.contains(">"))
+
+
 def visible_text(html: Column, chrome: tuple[str, ...] = CHROME) -> Column:
-    """A page's text by patterns: chrome, comments and tags go, common entities are read, white space collapses."""
+    """A page's text by patterns: chrome, comments and tags go, common entities are read, white space collapses. Takes
+    linear time, whatever is left open."""
     s = F.coalesce(html, F.lit(""))
     for tag in chrome:
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", " "), "<[^>]+>", " ")
+        s = without_element(s, tag)
+    s = cut_spans(s, "<!--", "-->", "-->")
+    s = cut_spans(s, "<", ">", ">", lambda rest: rest != "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(s, r"\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgloom.functions import vocab
@@ -67,3 +67,14 @@ def score_openings(titles: Column, profile: Profile | None = None) -> Column:
         F.when(none, 0).otherwise(best["fit"]["score"]).alias("best_score"), F.when(none, "none").otherwise(best["fit"]["band"]).alias("best_band"),
         F.when(none, "").otherwise(best["title"]).alias("best_title"), count("strong").alias("strong"), count("possible").alias("possible"),
     )
+
+
+def rollup_openings(rows: DataFrame, key: str, title: str, order: str, profile: Profile | None = None) -> DataFrame:
+    """``score_openings`` for titles that are rows: one row a key with the best title, first of equals by ``order``, and
+    how many are strong or possible. Titles are scored where they are and combined before the shuffle, so a key may
+    have any number of them."""
+    fit = rows.select(key, order, F.col(title).alias("title"), score_title(F.col(title), profile).alias("fit"))
+    best = F.max_by(F.struct("fit.score", "fit.band", "title"), F.struct("fit.score", -F.col(order)))
+    count = lambda name: F.count_if(F.col("fit.band") == name).cast("int").alias(name)
+    found = fit.groupBy(key).agg(best.alias("best"), count("strong"), count("possible"))
+    return found.select(key, F.col("best.score").alias("best_score"), F.col("best.band").alias("best_band"), F.col("best.title").alias("best_title"), "strong", "possible")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orgloom.functions.dates import age_days, header_date
 from orgloom.functions.rules import is_filled
+from orgloom.functions.text import cut_spans, let, without_element
 
 #: Metas that hold a date of change, in order.
 META_KEYS = ("article:modified_time", "og:updated_time", "last-modified", "dateModified")
@@ -14,13 +15,21 @@ TRUST = (("meta", "high"), ("jsonld", "high"), ("sitemap", "medium"), ("hash", "
 
 
 def meta_date(html: Column) -> Column:
-    """The first date among a page's metas, by the order of keys; empty if none has one."""
-    out = []
-    for key in META_KEYS:
-        tag = F.regexp_extract(html, rf"(?i)<meta\b[^>]*(?:property|name|itemprop)\s*=\s*[\"']{key}[\"'][^>]*>", 0)
-        other = F.regexp_extract(tag, r"(?i)content\s*=\s*[\"']([^\"']*)[\"']", 1)
-        out.append(F.nullif(F.regexp_extract(other, r"\d{4}-\d{2}-\d{2}", 0), F.lit("")))
-    return F.coalesce(*out, F.lit(""))
+    """The first date among a page's metas, by the order of keys; empty if none has one. Values stand in quotes of
+    either kind or in none; metas in comments, scripts and styles don't count."""
+    page = cut_spans(without_element(without_element(F.coalesce(html, F.lit("")), "script"), "style"), "<!--", "-->", "-->")
+    tags = F.regexp_extract_all(page, F.lit(r"""(?i)<meta\b(?:[^<>"']|"[^"]*"|'[^']*')*+>"""), F.lit(0))
+
+    def first(tags: Column) -> Column:
+        out = []
+        for key in META_KEYS:
+            named = rf"""(?i)[\s"'](?:property|name|itemprop)\s*=\s*(?:"{key}"|'{key}'|{key}(?=[\s/>]))"""
+            given = F.transform(F.filter(tags, lambda x: x.rlike(named)), lambda x: F.regexp_extract(x, r"""(?i)[\s"']content\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1))  # noqa: B023
+            days = F.filter(F.transform(given, lambda x: F.regexp_extract(x, r"\d{4}-\d{2}-\d{2}", 0)), lambda x: x != "")
+            out.append(F.get(days, F.lit(0)))
+        return F.coalesce(*out, F.lit(""))
+
+    return let(tags, first)
 
 
 def jsonld_date(html: Column) -> Column:

@@ -135,10 +135,12 @@ def pool_candidates(found: DataFrame, group: str, query: str, rank: str, url: st
     return top.join(kept.select(group, "query_pos"), [group, "query_pos"]).groupBy(group, url).agg(F.min(rank).alias(rank))
 
 
-def newest_within(entries: DataFrame, key: str, at: str, as_of: Column, seconds: int) -> DataFrame:
-    """The newest entry of each key that is younger than so many seconds."""
+def newest_within(entries: DataFrame, key: str, at: str, as_of: Column, seconds: int, then: Sequence[str] = ()) -> DataFrame:
+    """The newest entry of each key that is younger than so many seconds; of entries of one time the last by ``then``,
+    or else by all columns, so that the same entry is found however rows are dealt."""
+    rest = [c for c in entries.columns if c != key]
     young = entries.filter(F.col(at) > as_of - F.make_dt_interval(secs=F.lit(seconds)))
-    return young.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), at).alias("row")).select(key, "row.*")
+    return young.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *(then or [F.to_json(F.struct(*rest))]))).alias("row")).select(key, "row.*")
 
 
 def until_repeated(items: DataFrame, board: str, page: str, url: str) -> DataFrame:

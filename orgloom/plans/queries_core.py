@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orgloom.functions import rules, text
-from orgloom.operators.fit import Profile, score_openings, score_title
+from orgloom.operators.fit import Profile, rollup_openings, score_title
 from orgloom.operators.records import as_int, conform, ensure_columns
 from orgloom.operators.resolve import first_per_key
 from orgloom.operators.versions import differs, latest_per_key, new_titles
@@ -62,10 +62,9 @@ Q.add(
     "a7_latest_check", lambda t: latest_per_key(t.events.select("user_id", "event_type", "value", "event_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")]).drop("ts"),
     "SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
-ALL_TITLES = lambda t, key="p_brand": t.part.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("titles"))
 Q.add(
     "a9_fit_rollup",
-    lambda t: ALL_TITLES(t).select("p_brand", score_openings(F.col("titles"), PARTS).alias("f")).select("p_brand", "f.*"),
+    lambda t: rollup_openings(t.part, "p_brand", "p_name", "p_partkey", PARTS),
     f"""WITH s AS ({SCORED}), b AS (SELECT *, {BAND_SQL} AS band FROM s)
         SELECT p_brand, max(score) AS best_score, arg_max(band, (score, -p_partkey)) AS best_band, arg_max(p_name, (score, -p_partkey)) AS best_title,
                CAST(count(*) FILTER (band = 'strong') AS INT) AS strong, CAST(count(*) FILTER (band = 'possible') AS INT) AS possible FROM b GROUP BY 1""",
@@ -207,7 +206,7 @@ Q.add(
         CASE WHEN contains(p_name, 'gizmo') THEN 'language named' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM s""",
 )
 Q.add(
-    "c2_apply_fit", lambda t: ALL_TITLES(t, "p_type").select("p_type", score_openings(F.col("titles"), PARTS).alias("f")).select("p_type", "f.best_score", "f.best_band", "f.strong"),
+    "c2_apply_fit", lambda t: rollup_openings(t.part, "p_type", "p_name", "p_partkey", PARTS).select("p_type", "best_score", "best_band", "strong"),
     f"WITH s AS ({SCORED}) SELECT p_type, max(score) AS best_score, CASE WHEN max(score) >= 65 THEN 'strong' WHEN max(score) >= 45 THEN 'possible' ELSE 'weak' END AS best_band, CAST(count(*) FILTER (score >= 65) AS INT) AS strong FROM s GROUP BY 1",
 )
 Q.add("n1_clamp", lambda t: t.part.select("p_partkey", rules.clamp(F.col("p_size") * 3 - 20, 0, 100).alias("c"), F.greatest(F.lit(0), 3 - F.col("p_size")).alias("bonus")), "SELECT p_partkey, least(greatest(p_size * 3 - 20, 0), 100) AS c, greatest(0, 3 - p_size) AS bonus FROM part")

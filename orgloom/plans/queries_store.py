@@ -89,7 +89,7 @@ Q.add(
         s AS (SELECT l_orderkey, min(qp) FILTER (so_far >= 4 AND qp <> 1) AS stop FROM a GROUP BY 1)
         SELECT l_orderkey, url, min(rank) AS rank FROM f JOIN s USING (l_orderkey) WHERE stop IS NULL OR qp <= stop GROUP BY 1, 2""",
 )
-Q.add("m12_ttl_lookup", lambda t: resolve.newest_within(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", F.to_timestamp(F.lit("2024-01-20 00:00:00")), 86400 * 7).select("user_id", "event_id"), "SELECT user_id, event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
+Q.add("m12_ttl_lookup", lambda t: resolve.newest_within(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", F.to_timestamp(F.lit("2024-01-20 00:00:00")), 86400 * 7, ["event_id"]).select("user_id", "event_id"), "SELECT user_id, event_id FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 Q.add(
     "m13_upsert", lambda t: (lambda a, b: versions.upsert(LAST(a).select("user_id", "event_type"), LAST(b).select("user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type")), "user_id", ["event_type"]))(*HALVES(t)),
     f"SELECT user_id, coalesce(CASE WHEN new <> 'error' THEN new END, old) AS event_type, CASE WHEN old IS NULL THEN 'insert' WHEN new IS NOT NULL AND new <> 'error' AND new <> old THEN 'update' ELSE 'keep' END AS action FROM {BOTH_SQL}",
@@ -245,12 +245,14 @@ Q.add("s1_sheet", sheet, "SELECT p_partkey AS id, p_name AS organisation, p_size
 
 def register(t: Tables) -> DataFrame:
     path = work_dir(t.spark, "register")
-    entry = F.concat(F.lit('<ns:interestRepresentative xmlns:ns="urn:x"><ns:a><ns:city> </ns:city></ns:a><ns:registrationCategory>Non-governmental organisations</ns:registrationCategory><ns:b><ns:country>'), F.when(F.col("p_partkey") % 2 == 0, "BELGIUM").otherwise("FRANCE"), F.lit("</ns:country><ns:city>GENT</ns:city></ns:b><ns:originalName>"), "p_name", F.lit("</ns:originalName><ns:membersFTE>"), (F.col("p_size") / 20).cast("string"), F.lit("</ns:membersFTE></ns:interestRepresentative>"))
-    t.part.select(F.replace(entry, F.lit("ns:"), F.lit("")).alias("value")).write.text(path)
+    start = F.element_at(F.array(*[F.lit(x) for x in ("<a:interestRepresentative>", '<ns.b:interestRepresentative xmlns:ns.b="urn:x" id="1">', "<interestRepresentative>", "<interestRepresentative xmlns='urn:y'\n>")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("a:", "ns.b:", "", "")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    body = F.concat(F.lit("<~a><~city> </~city></~a><~registrationCategory>Non-governmental organisations</~registrationCategory><~b><~country>"), F.when(F.col("p_partkey") % 3 == 0, "FRANCE").otherwise("BELGIUM"), F.lit("</~country><~city>GENT</~city></~b><~originalName>"), "p_name", F.lit("</~originalName><~membersFTE>"), (F.col("p_size") / 20).cast("string"), F.lit("</~membersFTE></~interestRepresentative>"))
+    t.part.select(F.concat(start, F.replace(body, F.lit("~"), prefix)).alias("value")).write.text(path)
     return readers.filter_register(readers.read_register(t.spark, path), "BELGIUM").select("originalName", "city", "membersFTE")
 
 
-Q.add("s4_register", register, "SELECT p_name AS \"originalName\", 'GENT' AS city, CAST(p_size / 20 AS VARCHAR) AS \"membersFTE\" FROM part WHERE p_partkey % 2 = 0 AND p_size / 20 >= 1")
+Q.add("s4_register", register, "SELECT p_name AS \"originalName\", 'GENT' AS city, CAST(p_size / 20 AS VARCHAR) AS \"membersFTE\" FROM part WHERE p_partkey % 3 <> 0 AND p_size / 20 >= 1")
 
 
 def xml_text() -> Column:
@@ -337,8 +339,7 @@ Q.add("s19_csv_export", csv_round, "SELECT p_partkey, p_name, p_retailprice FROM
 
 def envelopes(t: Tables) -> DataFrame:
     path = work_dir(t.spark, "jobs")
-    job = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("employer"))
-    readers.write_json(t.part.groupBy("p_brand").agg(F.lit("2000-01-01").alias("generated_at"), F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(job).alias("jobs")).drop("p_brand"), path)
+    readers.write_json(readers.envelopes(t.part.select("p_brand", F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("employer")).alias("job")), "p_brand", "job", F.lit("2000-01-01")), path)
     return readers.unwrap_jobs(t.spark.read.schema(f"generated_at string, count int, jobs array<struct<{readers.JOB.replace(' string', ':string').replace(' int', ':int')}>>").json(path)).groupBy("employer").agg(F.count(F.lit(1)).alias("n"))
 
 

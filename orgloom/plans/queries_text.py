@@ -88,6 +88,11 @@ Q.add("f16_prefix", lambda t: t.pages.select("page_id", F.col("url").startswith(
 Q.add("f17_city", lambda t: t.customer.select("c_custkey", F.coalesce(F.nullif(F.initcap(F.lower(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(""))), F.lit("")), F.lit("Belgium")).alias("city")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(substring(c_mktsegment, 1, 1)) || lower(substring(c_mktsegment, 2)) ELSE 'Belgium' END AS city FROM customer")
 KEY_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '\\s*\\([^)]*\\)', ' ', 'g'), '\\b(" + "|".join(text.KEY_STOP) + ")\\b', ' ', 'g'), '[^a-z0-9]', '', 'g')"
 Q.add("m1_merge_key", lambda t: t.documents.select("doc_id", text.merge_key(F.concat("text", F.lit(" (X) asbl"))).alias("key")), f"SELECT doc_id, coalesce({KEY_SQL.format(c="(text || ' (X) asbl')")}, '') AS key FROM documents")
+HARD_NAMES = (("Việt Nam", "vietnam"), ("ＡＢＣ Foundation", "abcfoundation"), ("ﬁnance ĳsland", "financeijsland"), ("№ 5", "no5"), ("Þór Østergård", "orstergard"), ("Ångström ㎏ ½", "angstromkg12"), ("The Ŝipo of İzmir", "sipoizmir"), ("𝐁old 中文", "bold"))
+Q.add(
+    "m1_hard_names", lambda t: t.part.select("p_partkey", text.merge_key(F.concat(F.element_at(F.array(*[F.lit(x) for x, _ in HARD_NAMES]), (F.col("p_partkey") % len(HARD_NAMES) + 1).cast("int")), F.lit(" "), "p_brand")).alias("key")),
+    f"SELECT p_partkey, [{', '.join(repr(k) for _, k in HARD_NAMES)}][p_partkey % {len(HARD_NAMES)} + 1] || lower(replace(p_brand, '#', '')) AS key FROM part",
+)
 Q.add(
     "m5_dedup_domain", lambda t: t.pages.select("page_id", urls.dedup_domain(F.col("url"), F.lit("")).alias("d")),
     f"SELECT page_id, CASE WHEN regexp_matches(d, {lits(vocab.SHARED_HOSTS)}) THEN '' ELSE d END AS d FROM (SELECT page_id, replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') AS d FROM pages)",
@@ -186,7 +191,9 @@ Q.add("d7_near_cue", lambda t: t.orders.select("o_orderkey", dates.deadline_near
 
 
 def header() -> Column:
-    return F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    """A day as servers write it: by RFC 2822, with long names, without a weekday, by RFC 850, and by asctime."""
+    forms = ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE, dd MMMM yyyy HH:mm:ss '+0000'", "d MMMM yyyy HH:mm:ss 'GMT'", "EEEE, dd-MMM-yy HH:mm:ss 'GMT'", "EEE MMM d HH:mm:ss yyyy")
+    return F.element_at(F.array(*[F.date_format("o_orderdate", x) for x in forms]), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
 
 
 Q.add("d8_header_date", lambda t: t.orders.select("o_orderkey", dates.header_date(header()).alias("d")), f"SELECT o_orderkey, {DAY_SQL} AS d FROM orders")
@@ -228,7 +235,11 @@ Q.add("c10_fingerprint", lambda t: t.pages.select("page_id", text.fingerprint(te
 
 
 def meta_html() -> Column:
-    return F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<meta property="og:updated_time" content="'), F.date_format(order_day(), "yyyy-MM-dd"), F.lit('T10:00">'))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('<script>{"dateModified" : "'), F.date_format(order_day(), "yyyy-MM-dd"), F.lit('"}</script>'))).otherwise("<p>")
+    """Pages with a meta of either kind of quotes or none, behind metas in a comment and a script, which don't count."""
+    day_ = F.date_format(order_day(), "yyyy-MM-dd")
+    hidden = F.lit('<!-- <meta property="og:updated_time" content="1999-01-01"> --><script>"<meta name=last-modified content=1999-01-02>"</script>')
+    quoted = [F.concat(hidden, F.lit(a), day_, F.lit(b)) for a, b in (('<meta property="og:updated_time" content="', 'T10:00">'), ("<META content='", "T10:00' name='last-modified'>"), ("<meta itemprop=dateModified content=", ">"))]
+    return F.when(F.col("o_orderkey") % 3 == 0, F.element_at(F.array(*quoted), (F.col("o_orderkey") % 9 / 3 + 1).cast("int"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('<script>{"dateModified" : "'), day_, F.lit('"}</script>'))).otherwise("<p>")
 
 
 Q.add("x5_own_dates", lambda t: t.orders.select("o_orderkey", freshness.meta_date(meta_html()).alias("meta"), freshness.jsonld_date(meta_html()).alias("jsonld")), f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN {DAY_SQL} ELSE '' END AS meta, CASE WHEN o_orderkey % 3 = 1 THEN {DAY_SQL} ELSE '' END AS jsonld FROM orders")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,12 @@ def keyword(columns: list[str], query: str) -> Column:
 
 
 def pattern(columns: list[str], regex: str) -> Column:
-    """Whether any column matches a pattern, whatever its case."""
+    """Whether any column matches a pattern, whatever its case; a pattern that can't be read raises ``ValueError`` here,
+    not in a task."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(f"(?iu){regex}")
+    except PySparkException as bad:
+        raise ValueError(f"not a pattern: {regex}") from bad
     out = F.lit(False)
     for c in columns:
         out |= F.coalesce(F.col(c).rlike(f"(?iu){regex}"), F.lit(False))

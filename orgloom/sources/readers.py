@@ -18,6 +18,8 @@ DIRECTORY = "organisation string, homepage string, category string, type string,
 FETCHES = "url string, fetched_at timestamp, ok boolean, status int, final_url string, text string, content_type string, headers map<string,string>, error string"
 RESULTS = "query string, rank int, url string, title string, snippet string, engine string"
 JOB = "title string, employer string, location string, url string, posted string, deadline string, category string, priority int, org_id string, source string, source_url string, method string, confidence string"
+#: A prefix of XML names, if there is one.
+_PREFIX = r"(?:[A-Za-z_][\w.-]*:)?"
 #: Fields of a register entry, found at any depth.
 REGISTER_FIELDS = ("registrationCategory", "country", "originalName", "acronym", "webSiteURL", "city", "membersFTE", "EPAccreditedNumber", "goals", "identificationCode")
 
@@ -34,18 +36,21 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_register(spark: SparkSession, path: str, entry: str = "interestRepresentative") -> DataFrame:
-    """Register entries from XML: the text is split at closing tags, so files of any size stream, and each field is
-    the first filled element of its name at any depth and in any namespace."""
-    raw = spark.read.option("lineSep", f"</{entry}>").text(path)
-    record = F.concat(F.regexp_extract("value", rf"(?s)<{entry}\b.*$", 0), F.lit(f"</{entry}>"))
-    rows = raw.filter(F.col("value").contains(f"<{entry}")).select(record.alias("xml"))
+    """Register entries from XML, whatever prefix their names have; each field is the first filled element of its name
+    at any depth and in any namespace. Files of any size stream: lines end at the entry's name before ``>``, so a part
+    is an entry where it ends in an end tag without its name, ``</`` or ``</prefix:``. It begins after its start tag,
+    if that has attributes, or else is the whole part, as the start tag has ended the part before."""
+    raw = spark.read.option("lineSep", f"{entry}>").text(path)
+    ended = raw.filter(F.col("value").rlike(rf"</{_PREFIX}$")).select(F.regexp_replace("value", rf"</{_PREFIX}$", "").alias("value"))
+    body = F.element_at(F.split("value", rf"<{_PREFIX}{entry}\s[^>]*>"), -1)
+    rows = ended.select(F.concat(F.lit("<entry>"), body, F.lit("</entry>")).alias("xml"))
     return rows.select(*[first_element(F.col("xml"), f).alias(f) for f in REGISTER_FIELDS])
 
 
 def first_element(xml: Column, name: str) -> Column:
     """The trimmed text of the first element of a name that has text; empty if none has."""
-    text = F.regexp_replace(xml, r"(</?)[A-Za-z0-9_]+:", "$1")
-    text = F.regexp_replace(text, r"\s[A-Za-z0-9_]+:[A-Za-z0-9_]+=\"[^\"]*\"|\sxmlns=\"[^\"]*\"", "")
+    text = F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:", "$1")
+    text = F.regexp_replace(text, r"""\s(?:[A-Za-z_][\w.-]*:[\w.-]+|xmlns)\s*=\s*(?:"[^"]*"|'[^']*')""", "")
     return F.coalesce(F.trim(F.xpath_string(text, F.lit(f"(//{name}[normalize-space()])[1]"))), F.lit(""))
 
 
@@ -147,6 +152,14 @@ def member_pages(pages: DataFrame, prefix: str, url: str = "url", html: str = "h
     return links.groupBy("page", "slug").agg(F.max_by(F.struct(name.alias("organisation"), F.col("href").alias("homepage")), F.col("x.pos")).alias("m")).select("page", "slug", "m.*")
 
 
+def envelopes(rows: DataFrame, by: str, job: str, at: Column, most: int = 10_000) -> DataFrame:
+    """Jobs of each ``by`` as ``generated_at, count, jobs[]``, in envelopes of some ``most`` jobs at the most: rows are
+    dealt into as many by their hash, so that no envelope, nor the task that makes it, holds all of a large one."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) * 1.5 / most).alias("parts"))
+    dealt = rows.join(sizes, by).withColumn("part", F.pmod(F.xxhash64(job), F.col("parts")))
+    return dealt.groupBy(by, "part").agg(at.alias("generated_at"), F.count(F.lit(1)).cast("int").alias("count"), F.collect_list(job).alias("jobs")).drop(by, "part")
+
+
 def unwrap_jobs(envelope: DataFrame) -> DataFrame:
     """The jobs of ``generated_at, jobs[]`` envelopes."""
     return envelope.selectExpr("generated_at", "inline(jobs)")
