@@ -35,7 +35,7 @@ PAGE = _struct(
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ROWS = frozenset(("li", "article", "tr", "div"))
 _DEADLINE = re.compile(DEADLINE_HINT)
-_CHROME = frozenset(("script", "style", "nav", "footer", "header", "noscript"))
+CHROME_TAGS = frozenset(("script", "style", "nav", "footer", "header", "noscript"))
 
 
 class _Element:
@@ -50,7 +50,7 @@ class _Element:
             self.end, self.last = end, last
 
 
-class _Page(HTMLParser):
+class Page(HTMLParser):
     """Collects title, text outside chrome, anchors with their nearest rows, times, metas and JSON scripts."""
 
     def __init__(self, drop: frozenset[str]):
@@ -65,7 +65,7 @@ class _Page(HTMLParser):
         self.open_rows: list[_Element] = []
         self.opened: Counter[str] = Counter()
         self.times: list[tuple[str, _Element, _Element | None]] = []
-        self.hidden = self.tags = 0
+        self.hidden = self.tags = self.given = 0
         self.anchor: dict | None = None
         self.json = False
 
@@ -93,7 +93,7 @@ class _Page(HTMLParser):
             self.scripts.append([])
         if tag == "a" and "href" in a and not self.hidden:
             row = self.open_rows[-1] if self.open_rows else own
-            self.anchor = {"pos": len(self.anchors), "href": a["href"], "text": "", "alt": ""}
+            self.anchor = {"pos": self.given + len(self.anchors), "href": a["href"], "text": "", "alt": ""}
             self.anchors.append((self.anchor, own, row))
 
     def handle_endtag(self, tag: str) -> None:
@@ -119,15 +119,20 @@ class _Page(HTMLParser):
         elif not self.hidden:
             self.text.append(data)
 
-    def _of(self, e: _Element) -> str:
+    def text_of(self, e: _Element) -> str:
         return " ".join(" ".join(self.text[e.start : e.end]).split())
 
-    def result(self) -> dict:
+    def finish(self) -> None:
+        """The page is over, and so is what is still open."""
+        self.close()
         for e in self.open:
             e.close(len(self.text), self.tags)
+
+    def result(self) -> dict:
+        self.finish()
         parents = {id(p): p for _, _, p in self.times if p is not None}
-        around = {k: bool(_DEADLINE.search(self._of(p))) for k, p in parents.items()}
-        times = [(e.number, {"datetime": at, "deadline": around.get(id(p), False) or bool(_DEADLINE.search(self._of(e)))}) for at, e, p in self.times]
+        around = {k: bool(_DEADLINE.search(self.text_of(p))) for k, p in parents.items()}
+        times = [(e.number, {"datetime": at, "deadline": around.get(id(p), False) or bool(_DEADLINE.search(self.text_of(e)))}) for at, e, p in self.times]
         numbers = [n for n, _ in times]
         rows: dict[int, int] = {}
         found, links = [], []
@@ -135,8 +140,8 @@ class _Page(HTMLParser):
             if id(row) not in rows:
                 rows[id(row)] = len(found)
                 inside = times[bisect.bisect_left(numbers, row.number) : bisect.bisect_right(numbers, row.last)]
-                found.append({"text": self._of(row), "times": [t for _, t in inside]})
-            links.append(link | {"text": self._of(own), "row": rows[id(row)]})
+                found.append({"text": self.text_of(row), "times": [t for _, t in inside]})
+            links.append(link | {"text": self.text_of(own), "row": rows[id(row)]})
         scripts = [x for x in map("".join, self.scripts) if x]
         return {
             "title": " ".join("".join(self.title).split()), "text": " ".join(" ".join(self.text).split()), "links": links, "rows": found, "metas": self.metas, "scripts": scripts,
@@ -144,11 +149,10 @@ class _Page(HTMLParser):
         }
 
 
-def read_page(html: str | None, drop: frozenset[str] = _CHROME) -> dict:
+def read_page(html: str | None, drop: frozenset[str] = CHROME_TAGS) -> dict:
     """What a page holds; an empty page for null."""
-    page = _Page(drop)
+    page = Page(drop)
     page.feed(html or "")
-    page.close()
     return page.result()
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from orgloom.functions import vocab
 from orgloom.functions.rules import is_filled
+from orgloom.functions.text import name_tokens
 from orgloom.functions.urls import dedup_domain
+from orgloom.operators.components import joined_by_words, written
 
 
 def merge_first_filled(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], union: Sequence[str] = ()) -> DataFrame:
@@ -63,12 +65,31 @@ def _filled(v: object) -> bool:
     return len(v) > 0 if hasattr(v, "__len__") else bool(v)
 
 
-def cluster_by_domain(rows: DataFrame, pos: str = "pos") -> DataFrame:
+#: Records of a domain that one task clusters; a larger domain is cut into groups that share no word.
+HOT_DOMAIN = 10_000
+
+
+def _dealt(keyed: DataFrame, most: int) -> DataFrame:
+    """Records with the ``piece`` of their domain: one for the whole domain, or for each component of records that
+    share words, over other records or not, where the domain has more than ``most``."""
+    hot = keyed.groupBy("domain_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("domain_key")
+    if hot.isEmpty():
+        return keyed.withColumn("piece", F.lit(0).cast("long"))
+    rows = written(keyed.withColumn("row_key", F.monotonically_increasing_id()), "records")
+    large = rows.join(hot, "domain_key", "left_semi").select("row_key", "domain_key", name_tokens(F.col("organisation")).alias("words"))
+    piece = joined_by_words(large, "row_key", "domain_key", "words").select(F.col("node").alias("row_key"), F.col("component").alias("piece"))
+    alone = large.filter(F.size("words") == 0).select("row_key", F.col("row_key").alias("piece"))
+    return rows.join(piece.union(alone.join(piece, "row_key", "left_anti")), "row_key", "left").withColumn("piece", F.coalesce("piece", F.lit(0))).drop("row_key")
+
+
+def cluster_by_domain(rows: DataFrame, pos: str = "pos", most: int = HOT_DOMAIN) -> DataFrame:
     """Records of one domain whose names share a word become one, in the order of ``pos``.
 
     Each record meets the clusters so far, not their members, and joins the first that shares a word; two curated
     records never join. The curated record survives and fills its gaps from the other; sources are united. Records
-    without a domain of their own stay. Rows stream through sorted partitions, so a task holds one domain's clusters.
+    without a domain of their own stay. Rows stream through sorted partitions, so a task holds one domain's clusters;
+    of a domain with more than ``most`` records, those of one component of records that share words, which no record of
+    another component can join.
     """
     columns = rows.columns
     keyed = rows.withColumn("domain_key", dedup_domain(F.col("homepage"), F.col("careers_url")))
@@ -78,7 +99,7 @@ def cluster_by_domain(rows: DataFrame, pos: str = "pos") -> DataFrame:
         for b in batches:
             out = []
             for rec in b.to_dict("records"):
-                own = rec.pop("domain_key")
+                own = rec.pop("domain_key"), rec.pop("piece")
                 if own != domain:
                     out += [c for c, _ in clusters]
                     domain, clusters = own, []
@@ -98,7 +119,7 @@ def cluster_by_domain(rows: DataFrame, pos: str = "pos") -> DataFrame:
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame([c for c, _ in clusters], columns=columns)
 
-    dealt = keyed.filter("domain_key <> ''").repartition("domain_key").sortWithinPartitions("domain_key", pos)
+    dealt = _dealt(keyed.filter("domain_key <> ''"), most).repartition("domain_key", "piece").sortWithinPartitions("domain_key", "piece", pos)
     return dealt.mapInPandas(task, rows.schema).unionByName(keyed.filter("domain_key = ''").drop("domain_key"))
 
 

@@ -113,6 +113,57 @@ def sync(orgs: DataFrame, versions: DataFrame, catalogue: DataFrame, run_id: str
     return pointed.select(*rest, F.coalesce("added_url", "current_url").alias("current_url"), "action"), synced
 
 
+#: What a scan says of openings.
+SCAN = "org, url, confidence, score, reasons, date, source, trust, age_days, hash, state, count, titles"
+
+
+def refresh(orgs: DataFrame, versions: DataFrame, scans: DataFrame, run_id: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Scans of single organisations, the columns of ``SCAN``: the next organisations, and the next versions with their
+    ``action`` (keep, patch, supersede, insert).
+
+    A moved address supersedes the current version and adds one made by "refresh", to which ``current_url`` points; an
+    unchanged one takes the page's date where that is known and another, and the fingerprint where there is one. What
+    was seen of openings goes to the current version, old or new. Titles that it did not have are its new ones, from a
+    page with openings; where there are none, the new titles of earlier scans stay. A review ends if the address moved
+    or the page's date is later than the reviewed one. Scans without an address change nothing.
+    """
+    kinds = dict(versions.dtypes)
+    seen = scans.filter(is_filled(F.col("url"), "string")).select("org", *[F.col(c.strip()).alias(f"scan_{c.strip()}") for c in SCAN.split(",")[1:]], F.lit(True).alias("scanned"))
+    both = versions.join(seen, "org", "left")
+    # made before openings_titles is replaced: inside a lambda its name would mean the new value
+    both = both.withColumn("found", F.when(F.col("scan_state") == "has_openings", new_titles(F.col("scan_titles"), F.col("openings_titles"))))
+    live = ~F.col("superseded") & F.coalesce(F.col("scanned"), F.lit(False))
+    moved, same = live & (F.col("url") != F.col("scan_url")), live & (F.col("url") == F.col("scan_url"))
+    dated = same & is_filled(F.col("scan_date"), "string") & ~F.col("scan_date").eqNullSafe(F.col("last_updated"))
+    hashed = same & is_filled(F.col("scan_hash"), "string")
+    brought = F.coalesce(F.size("found"), F.lit(0)) > 0
+    openings = {"openings_state": F.col("scan_state"), "openings_count": F.col("scan_count"), "openings_titles": F.col("scan_titles"), "openings_checked_at": at}
+    dates = {"last_updated": F.col("scan_date"), "last_updated_source": F.col("scan_source"), "last_updated_trust": F.col("scan_trust"), "last_updated_age_days": F.col("scan_age_days")}
+    prints = {"content_hash": F.col("scan_hash"), "content_hash_at": at}
+    fresh = {"openings_new_titles": F.col("found"), "openings_new_at": at}
+    put = {k: (v, same) for k, v in openings.items()} | {k: (v, dated) for k, v in dates.items()} | {k: (v, hashed) for k, v in prints.items()} | {k: (v, same & brought) for k, v in fresh.items()}
+    kept = both.withColumn("action", F.when(moved, "supersede").when(same, "patch").otherwise("keep"))
+    kept = kept.withColumns({k: F.when(when, v.cast(kinds[k])).otherwise(F.col(k)) for k, (v, when) in put.items()} | {"superseded": F.col("superseded") | moved}).select(*versions.columns, "action")
+
+    live_now = versions.filter(~F.col("superseded")).select("org", F.col("url").alias("old_url"))
+    added = seen.join(live_now, "org", "left").filter(~F.col("scan_url").eqNullSafe(F.col("old_url")))
+    first = F.when((F.col("scan_state") == "has_openings") & (F.size("scan_titles") > 0), F.col("scan_titles"))
+    made = openings | dates | {
+        "org": F.col("org"), "url": F.col("scan_url"), "superseded": F.lit(False), "run_id": F.lit(run_id), "discovered_at": at, "version_id": version_id(F.col("org"), F.col("scan_url"), F.lit(run_id)),
+        "confidence": F.coalesce("scan_confidence", F.lit("none")), "score": F.coalesce("scan_score", F.lit(0)), "reasons": F.coalesce("scan_reasons", F.array().cast("array<string>")), "method": F.lit("refresh"),
+        "content_hash": F.col("scan_hash"), "content_hash_at": F.when(is_filled(F.col("scan_hash"), "string"), at), "openings_new_titles": first, "openings_new_at": F.when(first.isNotNull(), at),
+    }
+    inserted = added.select(*[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in versions.columns], F.lit("insert").alias("action"))
+
+    now = seen.join(live_now, "org", "left").select("org", ~F.col("scan_url").eqNullSafe(F.col("old_url")), F.coalesce("scan_date", F.lit("")), made["version_id"]).toDF("org", "scan_moved", "scan_date", "scan_version")
+    joined = orgs.join(now, "org", "left")
+    ends = should_untick(F.col("reviewed"), F.coalesce("scan_moved", F.lit(False)), F.col("scan_date"), F.col("reviewed_page_date"))
+    blank = {"reviewed": F.lit(False), "reviewed_url": F.lit(""), "reviewed_page_date": F.lit(""), "reviewed_at": F.lit(None)}
+    after = {k: F.when(F.coalesce(ends, F.lit(False)), v).otherwise(F.col(k)) for k, v in blank.items() if k in orgs.columns}
+    after["current_url"] = F.when(F.col("scan_moved"), F.col("scan_version")).otherwise(F.col("current_url"))
+    return joined.withColumns(after).select(*orgs.columns), kept.unionByName(inserted)
+
+
 def batch_write(table: DataFrame, ops: DataFrame, key: str, fields: Sequence[str], chunk: int = 100) -> tuple[DataFrame, DataFrame]:
     """Ordered writes ``op_no`` (0, 1, ...), ``kind`` (create, update, delete), ``key`` and ``fields``, in chunks.
 

@@ -154,6 +154,42 @@ Q.add(
                i.org IS NOT NULL AS moved, CASE WHEN i.org IS NULL AND o.org IS NOT NULL THEN 'v-' || o.event_type END AS kept_version
         FROM o FULL JOIN b ON o.org = b.org LEFT JOIN i ON i.org = coalesce(o.org, b.org)""",
 )
+
+
+def refreshed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every organisation scanned in the second half is refreshed: pages are dated for every third, fingerprinted but
+    for every fifth, and read but for every fourth; all are reviewed before, at a date that every other has passed."""
+    history, new = store(t)
+    org = F.col("org")
+    history = history.withColumns({"openings_new_titles": F.array(F.lit("older")), "openings_new_at": F.lit("t0")})
+    read = org % 4 != 0
+    scans = new.select(
+        "org", "url", "confidence", "score", "reasons", F.when(org % 3 == 0, "2001-02-03").otherwise("").alias("date"), F.lit("meta").alias("source"), F.lit("high").alias("trust"), F.lit(7).alias("age_days"),
+        F.when(org % 5 != 0, "h").otherwise("").alias("hash"), F.when(read, "has_openings").otherwise("unknown").alias("state"), F.when(read, 2).otherwise(0).alias("count"),
+        F.when(read & (org % 7 != 0), F.array(F.lit(" OLD"), F.lit("b"))).when(read, F.array(F.lit("Old"))).otherwise(F.array().cast("array<string>")).alias("titles"),
+    )
+    orgs = history.select("org").distinct().select("org", F.lit("p").alias("current_url"), (org % 11 != 0).alias("reviewed"), F.lit("u").alias("reviewed_url"), F.when(org % 2 == 0, "2001-01-01").otherwise("2002-01-01").alias("reviewed_page_date"))
+    return versions.refresh(orgs, history, scans, "r1", F.lit("now"))
+
+
+REFRESH_SQL = f"""{STORE_SQL.rsplit("a AS (", 1)[0]}
+    a AS (SELECT h.org, h.url, CASE WHEN h.superseded OR new_url IS NULL THEN 'keep' WHEN new_url <> h.url THEN 'supersede' ELSE 'patch' END AS action, h.superseded FROM h LEFT JOIN n ON h.org = n.org
+        UNION ALL SELECT n.org, new_url, 'insert', false FROM n LEFT JOIN c ON n.org = c.org WHERE url IS NULL OR url <> new_url),
+    r AS (SELECT *, action IN ('patch', 'insert') AS fresh, org % 4 <> 0 AS readable, CASE WHEN org % 4 = 0 THEN '' WHEN org % 7 <> 0 THEN ' OLD|b' ELSE 'Old' END AS titles FROM a)"""
+Q.add(
+    "m15_refresh_versions", lambda t: refreshed(t)[1].select("org", "url", "superseded", "action", "last_updated", "last_updated_age_days", "content_hash", "openings_state", "openings_count", F.array_join("openings_titles", "|").alias("titles"), F.array_join("openings_new_titles", "|").alias("new_titles"), "openings_new_at", "method"),
+    f"""WITH {REFRESH_SQL} SELECT org, url, superseded OR action = 'supersede' AS superseded, action, CASE WHEN fresh AND org % 3 = 0 THEN '2001-02-03' ELSE '' END AS last_updated,
+        CASE WHEN action = 'insert' OR (action = 'patch' AND org % 3 = 0) THEN 7 ELSE 99 END AS last_updated_age_days, CASE WHEN fresh AND org % 5 <> 0 THEN 'h' ELSE '' END AS content_hash,
+        CASE WHEN fresh AND NOT readable THEN 'unknown' ELSE 'has_openings' END AS openings_state, CASE WHEN NOT fresh THEN 9 WHEN readable THEN 2 ELSE 0 END AS openings_count, CASE WHEN fresh THEN titles ELSE 'old' END AS titles,
+        CASE WHEN action = 'insert' AND readable THEN titles WHEN action = 'insert' THEN NULL WHEN action = 'patch' AND readable AND org % 7 <> 0 THEN 'b' ELSE 'older' END AS new_titles,
+        CASE WHEN action = 'insert' AND NOT readable THEN NULL WHEN (action = 'insert' OR org % 7 <> 0) AND fresh AND readable THEN 'now' ELSE 't0' END AS openings_new_at, CASE WHEN action = 'insert' THEN 'refresh' ELSE 'old' END AS method FROM r""",
+)
+Q.add(
+    "m15_refresh_reviews", lambda t: (lambda orgs, after: orgs.join(after.filter("action = 'insert'").select("org", F.col("version_id").alias("made")), "org", "left").select("org", "reviewed", "reviewed_url", "reviewed_page_date", (F.col("current_url") == F.col("made")).alias("moved")))(*refreshed(t)),
+    f"""WITH {REFRESH_SQL}, o AS (SELECT DISTINCT org FROM h), m AS (SELECT org FROM r WHERE action = 'insert'),
+        e AS (SELECT o.org, m.org IS NOT NULL AS moved, o.org % 11 <> 0 AS was, m.org IS NOT NULL OR (o.org IN (SELECT org FROM n) AND o.org % 3 = 0 AND o.org % 2 = 0) AS ends FROM o LEFT JOIN m ON o.org = m.org)
+        SELECT org, was AND NOT ends AS reviewed, CASE WHEN was AND ends THEN '' ELSE 'u' END AS reviewed_url, CASE WHEN was AND ends THEN '' WHEN org % 2 = 0 THEN '2001-01-01' ELSE '2002-01-01' END AS reviewed_page_date, CASE WHEN moved THEN true END AS moved FROM e""",
+)
 Q.add("m15_one_organisation", lambda t: (lambda h, n: SYNCED(versions.sync_versions(h.filter("org = 7"), n.filter("org = 7"), "r1", half_time())))(*store(t)), f"WITH {STORE_SQL} {VERSION_SQL} WHERE org = 7")
 Q.add("m16_settings", lambda t: versions.upsert(t.nation.select("n_nationkey", "n_name"), t.region.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey", ["n_name"]), "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, CASE WHEN r_name IS NOT NULL AND r_name <> n_name THEN 'update' ELSE 'keep' END AS action FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
 Q.add(
@@ -366,21 +402,21 @@ Q.add(
 )
 
 
-def _stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(t))
+#: Files that the writer makes of each half of the events, and that a batch of the stream takes.
+STREAM_FILES = 4
 
 
-def _folder(t: Tables) -> str:
-    """The events as a folder that a file stream can watch: two batches of them."""
+def event_stream(t: Tables) -> DataFrame:
+    """The events as a stream of two batches, the earlier half first, each of several files."""
     path = work_dir(t.spark, "stream-in")
-    t.events.filter(F.col("ts") < half_time()).coalesce(1).write.parquet(path)
-    t.events.filter(F.col("ts") >= half_time()).coalesce(1).write.mode("append").parquet(path)
-    return path
+    for half in (F.col("ts") < half_time(), F.col("ts") >= half_time()):
+        t.events.filter(half).repartition(STREAM_FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", STREAM_FILES).parquet(path)
 
 
 def changes(t: Tables) -> DataFrame:
     out, saved = work_dir(t.spark, "changes"), work_dir(t.spark, "checkpoint")
-    scans = _stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_type").alias("hash"))
+    scans = event_stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), F.col("event_type").alias("hash"))
     state.run_available(state.detect_changes(scans), out, saved)
     return t.spark.read.schema(state.CHANGES).parquet(out)
 
@@ -390,7 +426,7 @@ Q.add("t1_changes_stream", changes, f"SELECT *, max(CASE WHEN changed THEN scann
 
 def titles(t: Tables) -> DataFrame:
     out, saved = work_dir(t.spark, "titles"), work_dir(t.spark, "checkpoint")
-    scans = _stream(t).select(F.col("user_id").cast("string").alias("version"), F.col("ts").alias("scanned_at"), F.array("event_type").alias("titles"))
+    scans = event_stream(t).select(F.col("user_id").cast("string").alias("version"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), F.array("event_type").alias("titles"))
     state.run_available(state.detect_new_titles(scans), out, saved)
     return t.spark.read.schema(state.NEW_TITLES).parquet(out).select("version", "scanned_at", F.array_join("new_titles", ",").alias("new"))
 
@@ -400,7 +436,7 @@ Q.add("t2_new_titles_stream", titles, f"SELECT url AS version, scanned_at, CASE
 
 def latest(t: Tables) -> DataFrame:
     out, saved = work_dir(t.spark, "latest"), work_dir(t.spark, "checkpoint")
-    state.run_available(state.latest_checks(_stream(t).select("user_id", "event_id", "event_type", "ts"), "user_id", "ts"), out, saved, "complete")
+    state.run_available(state.latest_checks(event_stream(t).select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", ["event_id"]), out, saved, "complete")
     epochs = t.spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
     return epochs.join(epochs.agg(F.max("epoch").alias("epoch")), "epoch").select("user_id", "event_id", "event_type")
 
@@ -411,7 +447,7 @@ TTL_DAYS = 3
 
 def forgotten(t: Tables) -> DataFrame:
     out, saved = work_dir(t.spark, "changes"), work_dir(t.spark, "checkpoint")
-    scans = _stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_type").alias("hash"))
+    scans = event_stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), F.col("event_type").alias("hash"))
     state.run_available(state.detect_changes(scans, TTL_DAYS * 86_400_000), out, saved)
     return t.spark.read.schema(state.CHANGES).parquet(out)
 

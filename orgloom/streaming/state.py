@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -15,8 +15,8 @@ NEW_TITLES = "version string, scanned_at timestamp, new_titles array<string>"
 
 
 def detect_changes(scans: DataFrame, ttl_ms: int = 0) -> DataFrame:
-    """Every scan ``url, scanned_at, hash`` with whether its hash differs from the last known of its address, and when
-    that last happened. The first scan of an address is a seed; an empty hash neither changes nor blanks anything.
+    """Every scan ``url, scanned_at, nth, hash`` with whether its hash differs from the last known of its address, and when
+    that last happened; ``nth`` orders scans of one time. The first scan of an address is a seed; an empty hash neither changes nor blanks anything.
     With ``ttl_ms`` a scan that comes so long after the one before is a first scan again; scans may be as late, and
     memories that nothing can need any more are dropped."""
 
@@ -25,7 +25,7 @@ def detect_changes(scans: DataFrame, ttl_ms: int = 0) -> DataFrame:
             state.remove()
             return
         last, changed_at, known_at = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values("scanned_at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["scanned_at", "nth"], kind="stable")
         out: list[tuple[Any, ...]] = []
         for at, value in zip(rows["scanned_at"], rows["hash"], strict=True):
             now = int(at.value // 1000)
@@ -47,11 +47,11 @@ def detect_changes(scans: DataFrame, ttl_ms: int = 0) -> DataFrame:
 
 
 def detect_new_titles(scans: DataFrame) -> DataFrame:
-    """For each scan ``version, scanned_at, titles`` the titles that the scan before didn't have; none for the first."""
+    """For each scan ``version, scanned_at, nth, titles`` the titles that the scan before didn't have; none for the first."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = set(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("scanned_at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["scanned_at", "nth"], kind="stable")
         out = []
         for at, titles in zip(rows["scanned_at"], rows["titles"], strict=True):
             now = [] if titles is None else list(titles)
@@ -63,10 +63,10 @@ def detect_new_titles(scans: DataFrame) -> DataFrame:
     return scans.groupBy("version").applyInPandasWithState(step, NEW_TITLES, "titles array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_checks(checks: DataFrame, key: str = "org", at: str = "checked_at") -> DataFrame:
-    """The latest row of each key of an append-only log; runs in update or complete mode."""
+def latest_checks(checks: DataFrame, key: str = "org", at: str = "checked_at", then: Sequence[str] = ()) -> DataFrame:
+    """The latest row of each key of an append-only log, of one time the last by ``then``; in update or complete mode."""
     row = F.struct(*[c for c in checks.columns if c != key])
-    return checks.groupBy(key).agg(F.max_by(row, F.col(at)).alias("latest")).select(key, "latest.*")
+    return checks.groupBy(key).agg(F.max_by(row, F.struct(at, *then)).alias("latest")).select(key, "latest.*")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from orgloom.plans import queries_core, queries_store, queries_text
+from orgloom.plans import queries_core, queries_more, queries_store, queries_text
 from orgloom.plans.registry import Tables
 
-BOOKS = (queries_core.Q, queries_text.Q, queries_store.Q)
+BOOKS = (queries_core.Q, queries_text.Q, queries_store.Q, queries_more.Q)
 NAMES = [(book, name) for book in BOOKS for name in book.sql]
 
 
