@@ -95,6 +95,10 @@ def _bin(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(_array(cuts), lambda c: c < value))
 
 
+#: Folds of the sample whose suffix statistics are made without each other's labels.
+FOLDS = 5
+
+
 @dataclass
 class Tree:
     """A tree of nodes numbered from 1, the children of i being 2i (at most the cut) and 2i + 1."""
@@ -141,7 +145,8 @@ def fit(labelled: DataFrame, key_col: str, max_rows: int = 20_000, trees: int =
     smallest.
 
     Suffix statistics hold the smoothed share of blocked rows of every suffix of that sample; others get the sample's
-    share. With no rows, or of one class only, there are no trees. Rows keep their margin in a stored table, and each
+    share. While trees grow, a row has the statistics of the other ``FOLDS`` - 1 folds, so that no tree sees a row's own
+    label, nor that of a row with it in a fold, among its features. With no rows, or of one class only, there are no trees. Rows keep their margin in a stored table, and each
     level of a tree is one aggregation.
     """
     rows = labelled.select("url", "host", "path", F.col("block").cast("double").alias("block"), F.xxhash64(F.col(key_col).cast("string"), "url").alias("h"))
@@ -151,10 +156,15 @@ def fit(labelled: DataFrame, key_col: str, max_rows: int = 20_000, trees: int =
     model = UrlModel(share, math.log((share + 1e-3) / (1 - share + 1e-3)))
     if not n or share in (0.0, 1.0):
         return model
+    data = model.with_features(rows.withColumn("fold", F.pmod("h", F.lit(FOLDS))))
     for name, key in zip(("suffix_rate", "domain_rate"), suffixes(F.col("host")), strict=True):
-        smoothed = (F.sum("block") + 8 * share) / (F.count(F.lit(1)) + 8)
-        model.rates[name] = kept(rows.groupBy(key.alias("key")).agg(smoothed.alias("rate")), name)
-    data = stored(model.with_features(rows).select("block", *FEATURES), "url-features")
+        smoothed = lambda blocked, n: (blocked + 8 * share) / (n + 8)
+        folds = stored(data.groupBy(key.alias("key"), "fold").agg(F.sum("block").alias("own_sum"), F.count(F.lit(1)).alias("own_n")), f"folds-{name}")
+        whole = folds.groupBy("key").agg(F.sum("own_sum").alias("sum"), F.sum("own_n").alias("n"))
+        model.rates[name] = kept(whole.select("key", smoothed(F.col("sum"), F.col("n")).alias("rate")), name)
+        others = folds.join(whole, "key").select("key", "fold", smoothed(F.col("sum") - F.col("own_sum"), F.col("n") - F.col("own_n")).alias(name))
+        data = data.drop(name).withColumn("key", key).join(F.broadcast(others), ["key", "fold"]).drop("key")  # no more rows than the sample
+    data = stored(data.select("block", *FEATURES), "url-features")
     quantiles = data.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in FEATURES]).first()
     model.cuts = {f: sorted(set(quantiles[f])) for f in FEATURES}
     places = [_bin(F.col(f), model.cuts[f]) for f in FEATURES]
