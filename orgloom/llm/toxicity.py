@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,11 +150,12 @@ def features(texts: Iterable[str | None], bits: int = BITS) -> tuple[Features, n
     return Features(np.concatenate(doc), np.concatenate(word), n, number[bucket], np.cumsum(np.concatenate(times)), len(used)), used
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, ridge: float = 1e-3) -> NgramModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, bits: int = BITS, ridge: float = 1e-3, max_bytes: int = 48_000_000) -> NgramModel:
     """Fit on at most ``max_rows`` labelled documents of each class, the ones whose hashed id is smallest.
 
-    ``max_rows`` is the documented bound of what reaches the driver, each text as its distinct words; every n-gram of
-    those texts is a feature, counted as in scoring. The intercept is corrected to the classes' shares among all
+    ``max_rows`` and ``max_bytes`` are the documented bounds of what reaches the driver of a class, each text as its
+    distinct words: those texts count, by their hash, that come before so many bytes are full. Every n-gram of them is
+    a feature, counted as in scoring. The intercept is corrected to the classes' shares among all
     labels. Rows without a label are ignored, null texts count as empty; with no rows of either class every score is
     that class's share.
     """
@@ -167,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
             yield pd.DataFrame({"text": [" ".join(sorted(distinct_words(x))) for x in b["text"]], "y": b["y"]})
 
     parts = [sampled(docs, labels.filter(F.col(label_col) == y), label_col, max_rows) for y in (0, 1)]
-    got = parts[0].unionByName(parts[1]).mapInPandas(distinct, "text string, y int").toPandas().sort_values(["y", "text"], ignore_index=True)
+    rows = parts[0].unionByName(parts[1]).mapInPandas(distinct, "text string, y int")
+    before = Window.partitionBy("y").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("full", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).filter(F.col("full") < max_bytes)
+    got = rows.select("text", "y").toPandas().sort_values(["y", "text"], ignore_index=True)
     y = got["y"].to_numpy(float)
     if len(got) == 0 or y.min() == y.max():
         return NgramModel(np.zeros(1 << bits, np.float32), float(np.log(shares[1] / shares[0])), bits)

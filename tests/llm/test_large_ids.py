@@ -74,3 +74,13 @@ def test_long_runs_of_numbers_take_linear_time():
     started = time.perf_counter()
     n = pii.nodes_of([text], [pii.base_spans(text)])
     assert time.perf_counter() - started < 15 and len(n.skip) >= 100_000
+
+
+def test_toxicity_is_fitted_within_bytes(spark):
+    rows = [(i, f"text of words number{i} " * 3, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, few, one = (toxicity.fit(docs, labels, bits=14, max_bytes=n) for n in (10**9, 300, 1))
+    used = [int((m.weights != 0).sum()) for m in (whole, few, one)]
+    assert used[0] > used[1] > used[2]
+    assert toxicity.score(docs, few).count() == len(rows)
