@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orgloom.functions import links, terms
-from orgloom.operators import versions
+from orgloom.operators import attempts, versions
 from orgloom.plans.queries_store import SCANS_SQL, STORE_SQL, event_stream, half_time, store
 from orgloom.plans.queries_text import IN_PAGE
 from orgloom.plans.registry import Queries, Tables
@@ -138,3 +138,31 @@ Q.add(
     f"""WITH {STORE_SQL} SELECT org, url, superseded OR action = 'supersede' AS superseded, CASE WHEN action = 'insert' THEN 'r1' ELSE 'r0' END AS run_id,
         CASE WHEN action IN ('patch', 'insert') AND org % 5 <> 0 THEN 'h' ELSE '' END AS content_hash, CASE WHEN action IN ('supersede', 'insert') THEN '' ELSE 'old' END AS page_text FROM a""",
 )
+
+
+# A log of search attempts. Every user's events are a run; queries take turns of five attempts, the first ones at the
+# primary engine.
+def attempts_log(t: Tables) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = t.events.select(F.col("user_id").alias("run"), "event_type", "value", nth.alias("seq"))
+    first = F.col("seq") % 5 < F.floor(F.col("seq") / 5) % 5
+    bad = F.col("event_type").isin("error", "click")
+    return rows.select(
+        "run", F.floor(F.col("seq") / 5).alias("query"), F.when(first, "main").otherwise("other").alias("engine"), "seq",
+        F.when(~bad, 200).when(F.col("event_type") == "error", 403).otherwise(429).alias("status"), F.when(bad, 0).otherwise(F.floor(F.col("value")).cast("int") % 7).alias("found"),
+    )
+
+
+LOG_SQL = """n AS (SELECT user_id AS run, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+    l AS (SELECT run, seq // 5 AS query, CASE WHEN seq % 5 < seq // 5 % 5 THEN 'main' ELSE 'other' END AS engine, seq, CASE event_type WHEN 'error' THEN 403 WHEN 'click' THEN 429 ELSE 200 END AS status,
+        CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE CAST(floor(value) AS INT) % 7 END AS found FROM n),
+    r AS (SELECT run, seq, query, engine, status, found, 0 AS attempt, CASE WHEN engine = 'other' AND found <= 0 THEN 1 ELSE 0 END AS empties FROM l WHERE seq = 0
+        UNION ALL SELECT l.run, l.seq, l.query, l.engine, l.status, l.found, CASE WHEN l.query = r.query AND l.engine = r.engine THEN r.attempt + 1 ELSE 0 END,
+            CASE WHEN l.engine = 'main' THEN CASE WHEN r.empties >= 3 THEN 0 ELSE r.empties END WHEN l.found > 0 THEN 0 WHEN r.empties >= 3 THEN 1 ELSE r.empties + 1 END FROM r JOIN l ON l.run = r.run AND l.seq = r.seq + 1),
+    d AS (SELECT *, CASE WHEN engine = 'main' THEN CASE WHEN status = 200 THEN 'done' WHEN status = 429 AND attempt < 3 THEN 'retry' ELSE 'fallback' END WHEN found > 0 THEN 'done' WHEN attempt >= 3 THEN 'gave_up' ELSE 'retry' END AS decision,
+        CASE WHEN engine = 'main' THEN CASE WHEN status = 429 THEN 2 * (attempt + 1) ELSE 0 END WHEN found > 0 THEN 0 WHEN empties = 3 THEN 300 ELSE 12 * (attempt + 2) END AS wait FROM r)"""
+Q.add("s9_attempts", lambda t: attempts.decided(attempts_log(t), "main").select("run", "query", "engine", "seq", "attempt", "decision", "wait"), f"WITH RECURSIVE {LOG_SQL} SELECT run, query, engine, seq, CAST(attempt AS INT) AS attempt, decision, wait FROM d")
+Q.add(
+    "s9_outcomes", lambda t: attempts.outcomes(attempts.decided(attempts_log(t), "main")),
+    f"""WITH RECURSIVE {LOG_SQL} SELECT run, query, arg_max(engine, seq) AS engine, arg_max(decision, seq) AS decision, arg_max(CASE WHEN decision = 'done' THEN found ELSE 0 END, seq) AS found, count(*) AS attempts, sum(wait) AS waited FROM d GROUP BY 1, 2""",
+)
