@@ -12,6 +12,7 @@ from orgloom.operators import attempts, versions
 from orgloom.plans.queries_store import SCANS_SQL, STORE_SQL, event_stream, half_time, store
 from orgloom.plans.queries_text import IN_PAGE
 from orgloom.plans.registry import Queries, Tables
+from orgloom.sources import workbook
 from orgloom.sources.declared import Declared, sync_touched
 from orgloom.sources.folders import work_dir
 from orgloom.streaming import flags, ledger, state
@@ -166,3 +167,15 @@ Q.add(
     "s9_outcomes", lambda t: attempts.outcomes(attempts.decided(attempts_log(t), "main")),
     f"""WITH RECURSIVE {LOG_SQL} SELECT run, query, arg_max(engine, seq) AS engine, arg_max(decision, seq) AS decision, arg_max(CASE WHEN decision = 'done' THEN found ELSE 0 END, seq) AS found, count(*) AS attempts, sum(wait) AS waited FROM d GROUP BY 1, 2""",
 )
+
+
+# A workbook, written by the source and read again by ranges of rows.
+def workbook_round(t: Tables) -> DataFrame:
+    workbook.register(t.spark)
+    path = work_dir(t.spark, "workbook")
+    rows = t.part.select("p_partkey", F.concat("p_name", F.lit(" <&> \"é\"")).alias("p_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("p_size"), "p_retailprice", (F.col("p_size") > 25).alias("large"))
+    rows.repartition(3).write.format("workbook").mode("append").save(path)
+    return t.spark.read.format("workbook").schema("large boolean, p_name string, p_partkey long, p_retailprice double, p_size int, absent string").load(path)
+
+
+Q.add("s21_workbook", workbook_round, "SELECT p_partkey, p_name || ' <&> \"é\"' AS p_name, CASE WHEN p_size % 3 <> 0 THEN p_size END AS p_size, p_retailprice, p_size > 25 AS large, CAST(NULL AS VARCHAR) AS absent FROM part")

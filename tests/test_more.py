@@ -2,6 +2,7 @@
 
 import random
 import re
+import zipfile
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from orgloom.functions import html, links, terms
 from orgloom.operators import resolve
 from orgloom.operators.components import components
+from orgloom.sources import workbook
 from orgloom.sources.declared import Declared, sync_touched
 from orgloom.sources.folders import work_dir
 from orgloom.streaming import ledger
@@ -147,3 +149,33 @@ def test_declared_tables(spark, tmp_path):
             Declared(name, columns | {"org": "string"}).heal(spark)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_workbooks_of_other_writers(spark, tmp_path):
+    """Shared strings in runs, cells without places, a stated dimension dealt to several tasks, columns in any order."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="AB{i}" t="s"><v>{i % 2}</v></c>' + (f'<c r="C{i}" t="b"><v>1</v></c>' if i % 3 else "") + "</row>" for i in range(2, 51))
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>even</t></si><si><r><t>o</t></r><r><t>dd</t></r></si><si><t>id</t></si><si><t>word</t></si></sst>')
+        head = '<row r="1"><c r="A1" t="s"><v>2</v></c><c r="C1" t="inlineStr"><is><t>flag</t></is></c><c r="AB1" t="s"><v>3</v></c></row>'
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><dimension ref="A1:AB50"/><sheetData>{head}{rows}</sheetData></worksheet>')
+    workbook.register(spark)
+    df = spark.read.format("workbook").schema("word string, id int, flag boolean, other double").option("rowsPerTask", 10).load(str(tmp_path / "b.xlsx"))
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[1]) == [("odd" if i % 2 else "even", i, True if i % 3 else None, None) for i in range(2, 51)]
+
+
+def test_workbooks_are_written_whole(spark, tmp_path):
+    workbook.register(spark)
+    path = str(tmp_path / "w")
+    rows = [(1, " a <b> & \n c\r", 1.5, True, None), (2**53 + 1, "", -0.0, False, "x"), (None, None, None, None, "\x01y")]
+    df = spark.createDataFrame(rows, "i long, s string, d double, b boolean, t string")
+    df.write.format("workbook").mode("append").save(path)
+    df.limit(1).write.format("workbook").mode("append").save(path)
+    read = lambda: sorted(map(tuple, spark.read.format("workbook").schema(df.schema).load(path).collect()), key=str)
+    assert read() == sorted([*rows[:2], (*rows[2][:4], "y"), rows[0]], key=str)
+    df.limit(1).write.format("workbook").mode("overwrite").save(path)
+    assert read() == [rows[0]] and not [p for p in Path(path).iterdir() if p.name.startswith("_")]
+    assert spark.read.format("workbook").schema("i string, zz long").load(path).first()["i"] == "1"
+    df.limit(0).write.format("workbook").mode("overwrite").save(path)
+    assert read() == []
