@@ -82,15 +82,10 @@ FLAG_DAYS = 2
 
 
 def flagged(t: Tables) -> DataFrame:
-    key, store_ = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = t.spark.conf.get(key)
-    t.spark.conf.set(key, store_)
-    try:
-        out, saved = work_dir(t.spark, "flags"), work_dir(t.spark, "checkpoint")
-        scans = event_stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), F.col("event_type").alias("hash"))
+    out, saved = work_dir(t.spark, "flags"), work_dir(t.spark, "checkpoint")
+    scans = event_stream(t).select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), F.col("event_type").alias("hash"))
+    with flags.rocks_state(t.spark):
         state.run_available(flags.change_flags(scans, FLAG_DAYS), out, saved)
-    finally:
-        t.spark.conf.set(key, before)
     return t.spark.read.schema(flags.EVENTS).parquet(out)
 
 
@@ -102,6 +97,23 @@ Q.add(
 )
 
 
+def listed_titles(t: Tables) -> DataFrame:
+    """Every event lists its type and a word of its value's; what the user's event before didn't list is new."""
+    out, saved = work_dir(t.spark, "titles"), work_dir(t.spark, "checkpoint")
+    titles = F.when(F.col("event_id") % 6 != 0, F.array(F.upper("event_type"), F.concat(F.lit("v"), (F.floor("value") % 3).cast("string"))))
+    scans = event_stream(t).select(F.col("user_id").cast("string").alias("version"), F.col("ts").alias("scanned_at"), F.col("event_id").alias("nth"), titles.alias("titles"))
+    with flags.rocks_state(t.spark):
+        state.run_available(flags.new_titles(scans), out, saved)
+    return t.spark.read.schema(flags.NEW_TITLES).parquet(out)
+
+
+Q.add(
+    "t2_listed_titles", listed_titles,
+    """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 6 <> 0 THEN [upper(event_type), 'v' || CAST(floor(value) AS BIGINT) % 3] ELSE [] END AS titles FROM events),
+        p AS (SELECT *, lag(titles) OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id) AS before FROM s), u AS (SELECT user_id, ts, before, unnest(titles) AS title FROM p WHERE before IS NOT NULL)
+        SELECT CAST(user_id AS VARCHAR) AS version, date_trunc('millisecond', ts) AS happened_at, title FROM u WHERE NOT list_contains(before, title)""",
+)
+
 # Declared tables.
 ORDERS = Declared(
     "orders", {"o_orderkey": "long", "o_custkey": "long", "o_orderstatus": "string", "o_orderpriority": "string", "note": "string"}, {"o_orderpriority": 8, "o_orderstatus": 1}, ("o_orderstatus", "note"), (("o_orderkey",), ("o_custkey", "o_orderpriority")),

@@ -392,7 +392,11 @@ def evolved(t: Tables) -> DataFrame:
 
 
 Q.add("s22_schema_evolution", evolved, "SELECT p_name AS organisation, p_partkey, '' AS sector, 0 AS careers_score, 0 AS n FROM part UNION ALL SELECT p_brand, p_partkey, p_type, 0, 0 FROM part")
-Q.add("s2_registry", lambda t: readers.registry(t.spark, [("Alpha", "Gent", 10, True), ("Beta", "Mons", 20, False)], "name string, base string, size int, flag boolean"), "SELECT * FROM (VALUES ('Alpha', 'Gent', 10, true), ('Beta', 'Mons', 20, false)) v(name, base, size, flag)")
+REGISTRY = [("EUROPE", "Gent", 10, True), ("ASIA", "Mons", 20, False), ("ATLANTIS", "Sea", 0, True)]
+Q.add(
+    "s2_registry", lambda t: t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(F.broadcast(readers.registry(t.spark, REGISTRY, "listed string, base string, size int, flag boolean")), F.col("r_name") == F.col("listed"), "left").select("n_name", F.col("listed").isNotNull().alias("known"), F.coalesce("base", F.lit("")).alias("base"), "size", "flag"),
+    "SELECT n_name, listed IS NOT NULL AS known, coalesce(base, '') AS base, size, flag FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (VALUES ('EUROPE', 'Gent', 10, true), ('ASIA', 'Mons', 20, false), ('ATLANTIS', 'Sea', 0, true)) v(listed, base, size, flag) ON listed = r_name",
+)
 
 # Streams, and the batch plans that they equal.
 SCANS_SQL = """SELECT CAST(user_id AS VARCHAR) AS url, ts AS scanned_at, event_type AS hash, coalesce(lag(event_type) OVER w <> event_type, false) AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""

@@ -1,18 +1,33 @@
-"""A flag per page that a change raises and time lowers, as a stream with typed state and timers."""
+"""Streams with typed state and timers: a flag per page that a change raises and time lowers, and titles that are new."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "url string, happened_at timestamp, event string"
 _FOUND = "url string, ms long, event string"
+NEW_TITLES = "version string, happened_at timestamp, title string"
+_NEW = "version string, ms long, title string"
 DAY_MS = 86_400_000
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as typed state asks for."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class ChangeFlag(StatefulProcessor):
     """Holds a page's last fingerprint and, while its flag is up, when that ends; the end has a timer."""
 
@@ -64,9 +79,46 @@ class ChangeFlag(StatefulProcessor):
 def change_flags(scans: DataFrame, days: int = 14, late: str = "0 seconds") -> DataFrame:
     """Of scans ``url, scanned_at, nth, hash``, when each page's flag of change goes up and when it ends, ``days`` after
     the last change, though no scan of the page comes then. ``nth`` orders scans of one time; empty fingerprints change
-    nothing; scans may be ``late``. Times are whole milliseconds. The session's state store must be the one on RocksDB.
+    nothing; scans may be ``late``. Times are whole milliseconds. Start it inside ``rocks_state``.
     """
     at = F.col("scanned_at").cast("timestamp").alias("scanned_at")
     scans = scans.select("url", at, F.unix_millis(at).alias("ms"), F.col("nth").cast("long").alias("nth"), "hash").withWatermark("scanned_at", late)
     events = scans.groupBy("url").transformWithState(ChangeFlag(days * DAY_MS), _FOUND, "append", "eventTime")
     return events.select("url", F.timestamp_millis("ms").alias("happened_at"), "event")
+
+
+class LastTitles(StatefulProcessor):
+    """Holds the titles of a version's last scan, as a list, for as long as the state lives."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scanned = handle.getValueState("scanned", "nth long", self.ttl)
+        self.titles = handle.getListState("titles", "title string", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        before = {t[0] for t in self.titles.get()} if self.scanned.exists() else None
+        nth = 0
+        for ms, nth, titles in sorted((r.ms, r.nth, list(r.titles or [])) for r in rows):
+            if before is not None:
+                yield from (Row(version=key[0], ms=ms, title=t) for t in titles if t.lower().strip() not in before)
+            before = {t.lower().strip() for t in titles}
+        self.scanned.update((nth,))
+        if before:
+            self.titles.put([(t,) for t in sorted(before)])
+        else:
+            self.titles.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def new_titles(scans: DataFrame, ttl_days: int | None = None) -> DataFrame:
+    """Of scans ``version, scanned_at, nth, titles`` each title that the scan before did not have, as a row; none for a
+    version's first scan. A version that isn't scanned for ``ttl_days`` of the cluster's clock is forgotten; such
+    a stream asks for empty batches as time goes by, so it runs until it is stopped, not for what is available now."""
+    at = F.col("scanned_at").cast("timestamp")
+    scans = scans.select("version", F.unix_millis(at).alias("ms"), F.col("nth").cast("long").alias("nth"), "titles")
+    found = scans.groupBy("version").transformWithState(LastTitles(ttl_days * DAY_MS if ttl_days else None), _NEW, "append", "processingTime" if ttl_days else "none")
+    return found.select("version", F.timestamp_millis("ms").alias("happened_at"), "title")

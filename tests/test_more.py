@@ -1,5 +1,6 @@
 """Groups cut into components, tables that are declared, runs that are stopped, vocabularies, and links as rows."""
 
+import datetime
 import random
 import re
 import zipfile
@@ -15,7 +16,7 @@ from orgloom.operators.components import components
 from orgloom.sources import workbook
 from orgloom.sources.declared import Declared, sync_touched
 from orgloom.sources.folders import work_dir
-from orgloom.streaming import ledger
+from orgloom.streaming import flags, ledger, state
 
 RECORD = "pos long, organisation string, homepage string, careers_url string, sources array<string>"
 
@@ -179,3 +180,27 @@ def test_workbooks_are_written_whole(spark, tmp_path):
     assert spark.read.format("workbook").schema("i string, zz long").load(path).first()["i"] == "1"
     df.limit(0).write.format("workbook").mode("overwrite").save(path)
     assert read() == []
+
+
+def test_streams_go_on_after_a_restart(spark):
+    """Each batch in a run of its own: what a flag and a list of titles know is in the checkpoint."""
+    source, out, titles_out = work_dir(spark, "scans-in"), work_dir(spark, "flags-out"), work_dir(spark, "titles-out")
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    batches = [
+        [("a", day(1), 1, "x"), ("b", day(1), 1, "x"), ("a", day(2), 2, "y")], [("b", day(3), 2, "")], [("c", day(5), 1, "z"), ("a", day(5), 3, "y")],  # the flag of a ends on the fourth
+        [("b", day(6), 3, "w"), ("b", day(6, 1), 4, "x")], [("c", day(20), 2, "z")], [("c", day(21), 3, "q"), ("c", day(25), 4, "z")],
+    ]
+    schema = "url string, scanned_at timestamp, nth long, hash string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = lambda: spark.readStream.schema(schema).parquet(source)
+        with flags.rocks_state(spark):
+            state.run_available(flags.change_flags(stream(), 2), out, f"{out}-saved")
+            titles = stream().select(F.col("url").alias("version"), "scanned_at", "nth", F.filter(F.array("hash"), lambda h: h != "").alias("titles"))
+            state.run_available(flags.new_titles(titles), titles_out, f"{titles_out}-saved")
+    got = sorted((r["url"], r["happened_at"], r["event"]) for r in spark.read.schema(flags.EVENTS).parquet(out).collect())
+    assert got == [
+        ("a", day(2), "begun"), ("a", day(4), "ended"), ("b", day(6), "begun"), ("b", day(8, 1), "ended"), ("c", day(21), "begun"), ("c", day(23), "ended"), ("c", day(25), "begun"),
+    ]
+    new = sorted((r["version"], r["happened_at"], r["title"]) for r in spark.read.schema(flags.NEW_TITLES).parquet(titles_out).collect())
+    assert new == [("a", day(2), "y"), ("b", day(6), "w"), ("b", day(6, 1), "x"), ("c", day(21), "q"), ("c", day(25), "z")]
