@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from orgloom.functions import vocab
 from orgloom.functions.rules import has_any
 
-#: Tags whose content is not part of a page's text, by purpose.
+#: Tags whose content is not part of a page's text, by purpose.
 CHROME = ("script", "style", "nav", "footer", "header", "noscript")
 BODY_CHROME = ("script", "style", "nav", "footer", "header")
 VERIFY_CHROME = ("script", "style", "nav", "footer")
 PAGE_TEXT_CHARS = 20_000
-#: Words that a merge key leaves out.
+#: Words that a merge key leaves out.
 KEY_STOP = ("asbl", "vzw", "npo", "ngo", "the", "of", "and", "de", "het", "la", "le", "les")
 #: Fixed pattern: what changes on every load of a page: keyed tokens, blobs, clock times. Applied to lower-case text.
 VOLATILE = (

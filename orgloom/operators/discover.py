@@ -15,6 +15,7 @@ from orgloom.functions.urls import domain, is_document, label_stem, path_after,
 
 THRESHOLD, HIGH = 10, 18
 REJECTED = -100
+# Hosts, paths and words that tell careers pages from others.
 _CAREERS_HOST = "^(careers?|jobs?|vacan|emploi|recruit|werken)"
 _OFFICIAL = r"(^|\.)(europa\.eu|coe\.int|un\.org|nato\.int|oecd\.org|who\.int)$|\.int$"
 _MEMBER_PATH = (
