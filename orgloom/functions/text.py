@@ -24,6 +24,11 @@ VOLATILE = (
     r"(csrf|csrftoken|nonce|session(id)?|sid|token|auth|__viewstate|__requestverificationtoken|_token|jsessionid|phpsessid|viewstate)"
     r"\s*[=:]\s*[\"']?[\w\-./+%]+|\b[0-9a-f]{16,}\b|\b[A-Za-z0-9\-_]{24,}\b|\d{1,2}:\d{2}(:\d{2})?|\d{4}-\d{2}-\d{2}t\d{2}:\d{2}"
 )
+#: Java's forms of what RE2 and DuckDB mean: blanks without the vertical tab, words of ASCII, all blanks of Unicode trimmed.
+_BLANK = r"[\t\n\f\r ]"
+_WORD, _NO_WORD = r"[0-9A-Za-z_]", r"(?![0-9A-Za-z_])"
+_VOLATILE = VOLATILE.replace(r"\b", f"(?:(?<={_WORD}){_NO_WORD}|(?<!{_WORD})(?={_WORD}))").replace(r"\s", _BLANK)
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: What characters beyond ASCII leave of themselves when they are decomposed, by the rule of compatibility forms.
 _PLAIN = {chr(c): v for c in range(0x80, 0x30000) if unicodedata.decomposition(chr(c)) and (v := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
 _LETTERS = {k: v for k, v in _PLAIN.items() if len(v) == 1}
@@ -35,6 +40,10 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def _trimmed(c: Column) -> Column:
+    return F.trim(c, F.lit(_SPACES))
+
+
 def to_ascii(c: Column) -> Column:
     """Letters without their marks, compatibility forms (full width, ligatures, signs) as what they stand for; other
     characters beyond ASCII go."""
@@ -128,28 +137,24 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def cut_spans(s: Column, opening: str, closing: str, written: str, opened: Callable[[Column], Column] | None = None) -> Column:
+def cut_spans(s: Column, opening: str, closing: str) -> Column:
     """A text with each span from the first match of ``opening`` to the next of ``closing`` replaced by a blank, what is
-    not closed staying. ``opened`` says of what follows an opening whether it is one.
+    not closed staying.
 
-    The text is split at the closings, and each part at its first opening, so that any text takes linear time, where a
-    pattern over whole spans would search for the end of every opening anew. ``written`` stands for a closing that
-    closes nothing.
+    Where an opening is not closed, no later one is, so that what begins there is taken at once, and any text takes
+    linear time. A blank is added at the end of such a text.
     """
-    def part(p: Column) -> Column:
-        def cut(halves: Column) -> Column:
-            rest = F.get(halves, F.lit(1))
-            has = rest.isNotNull() if opened is None else F.coalesce(opened(rest), F.lit(False))
-            return F.when(has, F.concat(F.get(halves, F.lit(0)), F.lit(" "))).otherwise(F.concat(p, F.lit(written)))
+    return F.regexp_replace(s, f"(?s){opening}.*?{closing}|({opening_only(opening)}.*)\\z", "$1 ")
 
-        return let(F.split(p, opening, 2), cut)
 
-    return let(F.split(s, closing, -1), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), part), ""), F.element_at(parts, -1)))
+def opening_only(opening: str) -> str:
+    """The part of an opening before the rest of its tag."""
+    return opening.removesuffix("[^>]*>")
 
 
 def without_element(html: Column, tag: str) -> Column:
     """A page without the elements of a tag that are closed."""
-    return cut_spans(html, rf"(?i)<{tag}\b", f"(?i)</{tag}>", f"</{tag}>", lambda rest: rest.contains(">"))
+    return cut_spans(html, rf"(?iu:<{tag}){_NO_WORD}[^>]*>", f"(?iu:</{tag}>)")
 
 
 def visible_text(html: Column, chrome: tuple[str, ...] = CHROME) -> Column:
@@ -158,17 +163,22 @@ def visible_text(html: Column, chrome: tuple[str, ...] = CHROME) -> Column:
     s = F.coalesce(html, F.lit(""))
     for tag in chrome:
         s = without_element(s, tag)
-    s = cut_spans(s, "<!--", "-->", "-->")
-    s = cut_spans(s, "<", ">", ">", lambda rest: rest != "")
+    s = cut_spans(s, "<!--", "-->")
+    s = F.regexp_replace(s, r"<[^>]+>|(<[^>]+)\z", "$1 ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return _trimmed(F.regexp_replace(s, f"{_BLANK}+", " "))
+
+
+def stable_text(visible: Column) -> Column:
+    """A page's text in lower case, letter by letter, without what changes on every load."""
+    s = F.replace(F.replace(visible, F.lit("\u03a3"), F.lit("\u03c3")), F.lit("\u0130"), F.lit("i"))
+    return _trimmed(F.regexp_replace(F.regexp_replace(F.lower(s), _VOLATILE, ""), f"{_BLANK}+", " "))
 
 
 def fingerprint(visible: Column) -> Column:
     """SHA-256 of a page's text in lower case without what changes on every load; empty if nothing is left."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(visible), VOLATILE, ""), r"\s+", " "))
-    return F.replace(F.sha2(s, 256), F.lit(hashlib.sha256(b"").hexdigest()), F.lit(""))  # the text is made once
+    return F.replace(F.sha2(stable_text(visible), 256), F.lit(hashlib.sha256(b"").hexdigest()), F.lit(""))  # the text is made once
 
 
 def facet_label(c: Column) -> Column:

@@ -17,7 +17,7 @@ TRUST = (("meta", "high"), ("jsonld", "high"), ("sitemap", "medium"), ("hash", "
 def meta_date(html: Column) -> Column:
     """The first date among a page's metas, by the order of keys; empty if none has one. Values stand in quotes of
     either kind or in none; metas in comments, scripts and styles don't count."""
-    page = cut_spans(without_element(without_element(F.coalesce(html, F.lit("")), "script"), "style"), "<!--", "-->", "-->")
+    page = cut_spans(without_element(without_element(F.coalesce(html, F.lit("")), "script"), "style"), "<!--", "-->")
     tags = F.regexp_extract_all(page, F.lit(r"""(?i)<meta\b(?:[^<>"']|"[^"]*"|'[^']*')*+>"""), F.lit(0))
 
     def first(tags: Column) -> Column:
