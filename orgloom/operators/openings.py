@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgloom.functions import vocab
@@ -101,8 +101,8 @@ def layered(layers: list[DataFrame], url: str = "url") -> DataFrame:
     out = ranked[0]
     for df in ranked[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
-    best = out.groupBy(url).agg(F.min("layer").alias("layer"))
-    return out.join(best, [url, "layer"], "left_semi").drop("layer")
+    best = F.min("layer").over(Window.partitionBy(url))  # of one page's jobs; a join would make every layer twice
+    return out.filter(F.col(url).isNotNull()).withColumn("best", best).filter("layer = best").drop("layer", "best")
 
 
 def empty_method(found: Column, body: Column, ok: Column, status: Column) -> Column:

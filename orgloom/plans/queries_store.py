@@ -238,7 +238,7 @@ def careers_page() -> Column:
 
 
 EMPTY_PAGE = "<html><body><p>There are no current vacancies.</p></body></html>"
-FETCHED = lambda t: t.part.select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 5 == 0, EMPTY_PAGE).otherwise(careers_page()).alias("text"), (F.col("p_partkey") % 7 != 0).alias("ok"), F.when(F.col("p_partkey") % 7 != 0, 200).otherwise(403).alias("status"))
+FETCHED = lambda t: t.spread("part", "p_partkey").select(F.concat(F.lit("https://p.example/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 5 == 0, EMPTY_PAGE).otherwise(careers_page()).alias("text"), (F.col("p_partkey") % 7 != 0).alias("ok"), F.when(F.col("p_partkey") % 7 != 0, 200).otherwise(403).alias("status"))
 Q.add(
     "c12_openings", lambda t: openings.detect(FETCHED(t)).select("url", "state", "count", F.array_join("titles", "|").alias("titles"), "deadline", "note"),
     """SELECT 'https://p.example/' || p_partkey AS url, CASE WHEN k % 7 = 0 THEN 'unknown' WHEN k % 5 = 0 THEN 'no_openings' ELSE 'has_openings' END AS state, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 0 ELSE 1 END AS count,
@@ -334,7 +334,7 @@ def members() -> Column:
     return F.concat(F.lit("<body><a href='https://www."), F.lower("p_type"), F.lit(".org/a'>"), "p_name", F.lit("</a><a href='https://"), F.lower("p_type"), F.lit(".org/b'>"), "p_name", F.lit(" union</a><a href='https://facebook.com/x'>f</a><a href='/onze-leden/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/'></a></body>"))
 
 
-DIRECTORY_PAGES = lambda t: t.part.select(F.concat(F.lit("https://d.example/"), F.col("p_partkey").cast("string")).alias("url"), members().alias("html"))
+DIRECTORY_PAGES = lambda t: t.spread("part", "p_partkey").select(F.concat(F.lit("https://d.example/"), F.col("p_partkey").cast("string")).alias("url"), members().alias("html"))
 Q.add("s13_harvest", lambda t: readers.harvest(DIRECTORY_PAGES(t)), "SELECT 'https://d.example/' || p_partkey AS page, lower(p_type) || '.org' AS host, p_name || ' union' AS organisation, 'https://' || lower(p_type) || '.org' AS homepage FROM part")
 TITLED = " || ' ' || ".join(f"upper(substring(split_part(p_name, ' ', {i}), 1, 1)) || substring(split_part(p_name, ' ', {i}), 2)" for i in (1, 2))
 Q.add("s14_member_pages", lambda t: readers.member_pages(DIRECTORY_PAGES(t), "/onze-leden/"), f"SELECT 'https://d.example/' || p_partkey AS page, replace(p_name, ' ', '-') AS slug, {TITLED} AS organisation, 'https://d.example/onze-leden/' || replace(p_name, ' ', '-') || '/' AS homepage FROM part")

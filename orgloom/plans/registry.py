@@ -17,6 +17,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table of short rows, dealt by a key over the cluster before much work is done on each: a row group is read
+        by one task, and a million short rows may be one. The number is given, so that few bytes aren't put together."""
+        most = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return getattr(self, name).repartition(most, key)
+
 
 Plan = Callable[[Tables], DataFrame]
 
