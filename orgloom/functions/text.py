@@ -6,8 +6,10 @@ import hashlib
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orgloom.functions import vocab
 from orgloom.functions.rules import has_any
@@ -29,10 +31,6 @@ _BLANK = r"[\t\n\f\r ]"
 _WORD, _NO_WORD = r"[0-9A-Za-z_]", r"(?![0-9A-Za-z_])"
 _VOLATILE = VOLATILE.replace(r"\b", f"(?:(?<={_WORD}){_NO_WORD}|(?<!{_WORD})(?={_WORD}))").replace(r"\s", _BLANK)
 _SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-#: What characters beyond ASCII leave of themselves when they are decomposed, by the rule of compatibility forms.
-_PLAIN = {chr(c): v for c in range(0x80, 0x30000) if unicodedata.decomposition(chr(c)) and (v := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
-_LETTERS = {k: v for k, v in _PLAIN.items() if len(v) == 1}
-_LONGER = {k: v for k, v in _PLAIN.items() if len(v) > 1}
 
 
 def clean(c: Column) -> Column:
@@ -44,23 +42,17 @@ def _trimmed(c: Column) -> Column:
     return F.trim(c, F.lit(_SPACES))
 
 
-def to_ascii(c: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def to_ascii(texts: pd.Series) -> pd.Series:
     """Letters without their marks, compatibility forms (full width, ligatures, signs) as what they stand for; other
     characters beyond ASCII go."""
-    some = f"[{''.join(_LONGER)}]"
-    table = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
-
-    def spelled(v: Column) -> Column:
-        parts = F.split(v, f"(?<={some})|(?={some})")
-        return F.when(v.rlike(some), F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(v)
-
-    return F.regexp_replace(F.translate(let(c, spelled), "".join(_LETTERS), "".join(_LETTERS.values())), r"[^\x00-\x7F]", "")
+    return texts.map(lambda x: x if not isinstance(x, str) or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
 def merge_key(name: Column) -> Column:
     """The key under which names of one organisation meet."""
     s = F.lower(to_ascii(F.coalesce(name, F.lit(""))))
-    s = F.regexp_replace(s, r"\s*\([^)]*\)", " ")
+    s = F.regexp_replace(s, r"\([^)]*\)|(\([^)]*)\z", "$1 ")  # what isn't closed is taken at once
     s = F.regexp_replace(s, rf"\b({'|'.join(KEY_STOP)})\b", " ")
     return F.regexp_replace(s, "[^a-z0-9]", "")
 

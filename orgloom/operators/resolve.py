@@ -16,8 +16,9 @@ from orgloom.functions.urls import dedup_domain
 from orgloom.operators.components import joined_by_words, written
 
 
-def merge_first_filled(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], union: Sequence[str] = ()) -> DataFrame:
-    """One row per key: each field's first filled value by ``order``, and sorted unions of the ``union`` arrays.
+def merge_first_filled(rows: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], union: Sequence[str] = (), also: Sequence[Column] = ()) -> DataFrame:
+    """One row per key: each field's first filled value by ``order``, sorted unions of the ``union`` arrays, and what
+    ``also`` aggregates.
 
     A field that no row fills holds the first row's value. One aggregation, combined before the shuffle.
     """
@@ -25,7 +26,7 @@ def merge_first_filled(rows: DataFrame, key: str, order: Sequence[str], fields:
     at = F.struct(*order)
     aggs = [F.coalesce(F.min_by(F.when(is_filled(F.col(f), kinds[f]), F.col(f)), F.when(is_filled(F.col(f), kinds[f]), at)), F.min_by(f, at)).alias(f) for f in fields]
     aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(u)))).alias(u) for u in union]
-    return rows.filter(F.coalesce(F.col(key) != "", F.lit(False))).groupBy(key).agg(*aggs)
+    return rows.filter(F.coalesce(F.col(key) != "", F.lit(False))).groupBy(key).agg(*aggs, *also)
 
 
 def is_registry(sources: Column) -> Column:
@@ -41,13 +42,17 @@ def merge_catalogue(rows: DataFrame, key: str, order: Sequence[str], fields: Seq
 
     The first row of a key doesn't override itself; of several registry rows the last one counts.
     """
-    base = merge_first_filled(rows, key, order, fields, ("sources",))
     at = F.struct(*order)
-    later = rows.withColumn("first_at", F.min(at).over(Window.partitionBy(key))).filter((F.col("first_at") < at) & is_registry(F.col("sources")) & is_filled(F.col("sector"), "string"))
-    named = F.when(is_filled(F.col("type"), "string"), at)
-    over = later.groupBy(key).agg(F.max_by("sector", at).alias("sector_over"), F.max_by("type", named).alias("type_over"))
-    joined = base.join(over, key, "left")
-    return joined.withColumn("sector", F.coalesce("sector_over", "sector")).withColumn("type", F.coalesce("type_over", "type")).drop("sector_over", "type_over")
+    given = F.when(is_registry(F.col("sources")) & is_filled(F.col("sector"), "string"), at)
+    named = F.when(is_filled(F.col("type"), "string"), given)
+    # The last of them is no later row only if it is the first of all, so that no row needs to know the first.
+    over = [F.min(at).alias("first_at")]
+    for name, when in (("sector", given), ("type", named)):
+        over += [F.max(when).alias(f"{name}_at"), F.max_by(name, when).alias(f"{name}_over")]
+    merged = merge_first_filled(rows, key, order, fields, ("sources",), over)
+    for name in ("sector", "type"):
+        merged = merged.withColumn(name, F.coalesce(F.when(F.col(f"{name}_at") > F.col("first_at"), F.col(f"{name}_over")), name)).drop(f"{name}_at", f"{name}_over")
+    return merged.drop("first_at")
 
 
 def _words(name: str) -> set[str]:

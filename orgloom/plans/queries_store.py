@@ -61,8 +61,8 @@ Q.add(
 
 # Merging. Suppliers, then customers, then nations as sources of one catalogue.
 SOURCES = lambda t: (
-    t.supplier.select(F.concat(F.lit("Body "), F.col("s_nationkey").cast("string"), F.lit(" (S)")).alias("organisation"), F.lit(0).alias("src"), F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("").alias("description"), F.lit("sheet").alias("sector"), F.lit("").alias("type"), F.array(F.lit("target list")).alias("sources"))
-    .unionByName(t.customer.select(F.concat(F.lit("the body-"), F.col("c_nationkey").cast("string")).alias("organisation"), F.lit(1).alias("src"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("description"), F.col("c_mktsegment").alias("sector"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("type"), F.array(F.lit("Regional registry")).alias("sources")))
+    t.spread("supplier", "s_suppkey").select(F.concat(F.lit("Body "), F.col("s_nationkey").cast("string"), F.lit(" (S)")).alias("organisation"), F.lit(0).alias("src"), F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("").alias("description"), F.lit("sheet").alias("sector"), F.lit("").alias("type"), F.array(F.lit("target list")).alias("sources"))
+    .unionByName(t.spread("customer", "c_custkey").select(F.concat(F.lit("the body-"), F.col("c_nationkey").cast("string")).alias("organisation"), F.lit(1).alias("src"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("description"), F.col("c_mktsegment").alias("sector"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("type"), F.array(F.lit("Regional registry")).alias("sources")))
     .withColumn("key", merge_key(F.col("organisation")))
 )
 UNION_SQL = """u AS (SELECT 'body' || s_nationkey AS key, 0 AS src, s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS description, 'sheet' AS sector, '' AS type FROM supplier
