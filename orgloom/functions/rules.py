@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPECIAL = re.compile(r"([\\.^$|?*+()\[\]{}])")
 
@@ -24,6 +26,17 @@ def has_any(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(text.rlike(alternation(terms)), F.lit(False))
 
 
+def terms_of(text: Column, terms: Sequence[str]) -> Column:
+    """Which terms a text holds as substrings, in their order; none for null. For long texts and many terms, as Python's
+    search passes over most of a text without looking at it, which a pattern of all terms can't."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([[w for w in terms if w in x] for x in (t.as_py() or "" for t in texts)], type=pa.list_(pa.string()))
+
+    return held(text)
+
+
 def hit_count(text: Column, terms: Sequence[str]) -> Column:
     """How many different terms the text holds."""
     return sum((F.coalesce(text.contains(t), F.lit(False)).cast("int") for t in terms), F.lit(0))

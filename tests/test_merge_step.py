@@ -1,4 +1,4 @@
-"""Merge keys in linear time, catalogues merged without a window over a key's rows."""
+"""Merge keys and vocabularies in linear time, catalogues merged without a window over a key's rows."""
 
 import random
 import time
@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from orgloom.functions import text
+from orgloom.functions import rules, text
 from orgloom.operators.resolve import merge_catalogue
 
 
@@ -35,3 +35,8 @@ def test_merge_keys_of_open_parentheses(spark):
     start = time.perf_counter()
     assert [r[0] for r in df.select(text.merge_key(F.col("s"))).collect()] == ["b", "xe", "c"]
     assert time.perf_counter() - start < 15
+
+
+def test_terms_of(spark):
+    df = spark.createDataFrame([("abcd",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(rules.terms_of(F.col("s"), ("bc", "zz", "abc"))).collect()] == [["bc", "abc"], [], []]
