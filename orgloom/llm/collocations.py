@@ -2,11 +2,11 @@
 
 Texts of a language are cut into blocks, and in a block every word has the list of the positions where it stands; ends
 of pieces and documents leave a gap. Lists are rows of a table. The length of a phrase's lists over all blocks is its
-exact frequency. Level by level, the lists of frequent phrases are brought together by block and merge-joined with the
-lists of what stands at the next position: a phrase is extended by the adjacent word where the phrase that ends with
-that word is frequent too, as every part of a frequent phrase is. They are joined twice, first for the lengths alone,
-so that only lists of phrases found to be frequent are ever kept. Frequencies are joined to lists by shuffles, so no
-vocabulary is held in one place, and a word that is everywhere has one row a block only.
+exact frequency. For each length of phrases the lists of frequent words, as every word of a frequent phrase is, are
+brought together by block and merge-joined with the lists of what stands at the next positions. Only the lengths of the
+joined lists leave a task, at most a row an occurrence: how many phrases pass the least frequency grows faster than the
+text, so their own lists are neither kept nor joined with frequencies. Frequencies of words are joined to lists by
+shuffles, so no vocabulary is held in one place, and a word that is everywhere has one row a block only.
 """
 
 from __future__ import annotations
@@ -147,26 +147,25 @@ def postings(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return rows.mapInArrow(task, "lang string, word string, block long, n long, positions binary")
 
 
-def _extended(block: int, ids: np.ndarray, lists: list[bytes], with_positions: bool) -> pa.RecordBatch:
-    """Merge-joins all lists of a block: what stands at a position with what stands at the next."""
+def _columns(words: int) -> list[str]:
+    return [f"w{k}" for k in range(1, words + 1)]
+
+
+def _runs(ids: np.ndarray, lists: list[bytes], words: int) -> pa.RecordBatch:
+    """Merge-joins all lists of a block: what stands at a position with what stands at the next ones."""
     lengths, positions = unpacked(lists)
-    there = np.full(int(positions.max()) + 2, -1, np.int64)
+    there = np.full(int(positions.max()) + words, -1, np.int64)
     there[positions] = np.repeat(np.arange(len(ids)), lengths)
-    positions = np.flatnonzero((there[:-1] >= 0) & (there[1:] >= 0))
-    pair = there[positions] * len(ids) + there[positions + 1]
-    order = np.argsort(pair, kind="stable")
-    pair, positions = pair[order], positions[order]
-    starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(pair)))
-    ends = [pa.array(ids[pair[starts] // len(ids)]), pa.array(ids[pair[starts] % len(ids)])]
-    if not with_positions:
-        return pa.RecordBatch.from_arrays([*ends, pa.array(lengths)], ["prefix", "suffix", "n"])
-    return pa.RecordBatch.from_arrays([*ends, pa.array(np.full(len(starts), block)), packed(lengths, positions)], ["prefix", "suffix", "block", "positions"])
-
-
-def extended(lists: DataFrame, with_positions: bool) -> DataFrame:
-    """For each phrase that is one word longer, block by block, ``prefix, suffix`` and the length of its list, ``n``, or
-    ``block, positions``, the list itself; ``lists`` has ``block, id, positions`` of frequent phrases of one length."""
+    at = np.flatnonzero(np.logical_and.reduce([there[k : len(there) - words + 1 + k] >= 0 for k in range(words)]))
+    run = there[at]
+    for k in range(1, words):
+        _, first, run, n = np.unique(run * len(ids) + there[at + k], return_index=True, return_inverse=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(ids[there[at[first] + k]]) for k in range(words)), pa.array(n)], [*_columns(words), "n"])
+
+
+def runs(lists: DataFrame, words: int) -> DataFrame:
+    """For each phrase of a block its words, ``w1, w2, ...``, and the length of its list, ``n``; ``lists`` has ``block, id,
+    positions`` of frequent words. Its rows are at most the positions, whatever the phrases' frequencies."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, held = None, [], []
@@ -177,16 +176,16 @@ def extended(lists: DataFrame, with_positions: bool) -> DataFrame:
                 if lo == hi:
                     continue
                 if held and blocks[lo] != block:
-                    yield _extended(block, np.concatenate(ids), held, with_positions)
+                    yield _runs(np.concatenate(ids), held, words)
                     ids, held = [], []
                 block = int(blocks[lo])
                 ids.append(b.column(1).slice(lo, hi - lo).to_numpy())
                 held += b.column(2).slice(lo, hi - lo).to_pylist()
         if held:
-            yield _extended(block, np.concatenate(ids), held, with_positions)
+            yield _runs(np.concatenate(ids), held, words)
 
     dealt = lists.select("block", "id", "positions").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(task, "prefix long, suffix long, " + ("block long, positions binary" if with_positions else "n long"))
+    return dealt.mapInArrow(task, "".join(f"{c} long, " for c in _columns(words)) + "n long")
 
 
 @dataclass
@@ -218,18 +217,20 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, cover_percent: int
             counts = stored(every.groupBy("lang", "word").agg(F.sum("n").alias("f")), "word-counts")
             none = F.array().cast("array<long>")
             known = counts.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
-            known = stored(known, "phrases-1")
+            known = stored(known.withColumn("w1", F.col("id")), "phrases-1")
             lists = stored(every.join(known.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("block", "id", "positions"), "lists-1")
     levels: list[DataFrame] = []
     for words in range(2, longest + 1):
-        often = extended(lists, False).groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        often = stored(often.select(F.monotonically_increasing_id().alias("id"), "prefix", "suffix", "f"), f"frequent-{words}")
-        if words < longest:
-            lists = extended(lists, True).join(often.select("id", "prefix", "suffix"), ["prefix", "suffix"]).select("block", "id", "positions")
-            lists = stored(lists, f"lists-{words}")
-        left, right = (known.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lang", "phrase", "f", "heads", "tails")]) for side in ("prefix", "suffix"))
-        known = often.join(left, "prefix").join(right, "suffix").select(
-            "id", "prefix", "suffix", F.col("prefix_lang").alias("lang"), F.concat("prefix_phrase", F.lit(" "), F.substring_index("suffix_phrase", " ", -1)).alias("phrase"), "f",
+        all_words = _columns(words)
+        often = runs(lists, words).groupBy(*all_words).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        often = stored(often.select(F.monotonically_increasing_id().alias("id"), *all_words, "f"), f"frequent-{words}")
+        left, right = (
+            known.select(*[F.col(f"w{k}").alias(f"w{k + shift}") for k in range(1, words)], *[F.col(c).alias(f"{side}_{c}") for c in ("id", "lang", "phrase", "f", "heads", "tails")])
+            for shift, side in enumerate(("prefix", "suffix"))
+        )
+        known = often.join(left, all_words[:-1]).join(right, all_words[1:]).select(
+            "id", *all_words, F.col("prefix_id").alias("prefix"), F.col("suffix_id").alias("suffix"), F.col("prefix_lang").alias("lang"),
+            F.concat("prefix_phrase", F.lit(" "), F.substring_index("suffix_phrase", " ", -1)).alias("phrase"), "f",
             F.concat("prefix_heads", F.array("prefix_f")).alias("heads"), F.concat(F.array("suffix_f"), "suffix_tails").alias("tails"),
         )
         known = stored(known, f"phrases-{words}")

@@ -60,6 +60,24 @@ def test_like_counting(spark, monkeypatch, small):
         assert sorted(map(tuple, got)) == plain(rows, longest, least, most)
 
 
+def test_only_words_have_rows_per_block(spark, monkeypatch):
+    """Frequent phrases in many blocks: what is kept of phrases is one row each, not one for every block."""
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 40)
+    rows, stored = {}, collocations.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "stored", counted)
+    docs = spark.createDataFrame([("en", "one two three four. " * 10)] * 30, "lang string, text string").repartition(2)
+    got = best(mine(docs)).select("phrase", "a").collect()
+    assert sorted(map(tuple, got)) == [("one two three", 300), ("two three four", 300)]
+    assert rows["lists-1"] > 20 * 4
+    assert {n: k for n, k in rows.items() if n not in ("postings", "lists-1")} == {"word-counts": 4, "phrases-1": 4, "frequent-2": 3, "phrases-2": 3, "frequent-3": 2, "phrases-3": 2}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "lang string, text string")
     assert best(mine(docs)).collect() == []
