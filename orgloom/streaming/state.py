@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,36 +15,57 @@ CHANGES = "url string, scanned_at timestamp, hash string, changed boolean, chang
 NEW_TITLES = "version string, scanned_at timestamp, new_titles array<string>"
 
 
-def detect_changes(scans: DataFrame, ttl_ms: int = 0) -> DataFrame:
+#: Buckets that keys are hashed into. A call of Python and a state's row cost as much for one key as for hundreds.
+BUCKETS = 1024
+_NEVER = -(1 << 63)
+
+
+def bucket(key: str, buckets: int = BUCKETS) -> Column:
+    """A number from 0 below ``buckets`` for a key."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets).cast("long"))
+
+
+def detect_changes(scans: DataFrame, ttl_ms: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """Every scan ``url, scanned_at, nth, hash`` with whether its hash differs from the last known of its address, and when
     that last happened; ``nth`` orders scans of one time. The first scan of an address is a seed; an empty hash neither changes nor blanks anything.
     With ``ttl_ms`` a scan that comes so long after the one before is a first scan again; scans may be as late, and
-    memories that nothing can need any more are dropped."""
+    memories that nothing can need any more are dropped when their bucket is next scanned, or with the bucket's last.
+    Addresses share the state of a bucket, which is written whole in each batch that scans any of them."""
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, changed_at, known_at = state.get if state.exists else (None, None, None)
+        memory = {url: known for url, *known in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["scanned_at", "nth"], kind="stable")
-        out: list[tuple[Any, ...]] = []
-        for at, value in zip(rows["scanned_at"], rows["hash"], strict=True):
-            now = int(at.value // 1000)
+        times = rows["scanned_at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        found: list[tuple[bool, int]] = []
+        for url, now, value in zip(rows["url"].tolist(), times, rows["hash"].tolist(), strict=True):
+            last, changed_at, known_at = memory.get(url, (None, None, None))
             if ttl_ms and known_at is not None and now - known_at > 1000 * ttl_ms:
                 last = changed_at = None
             changed = bool(value) and last is not None and value != last
             if changed:
                 changed_at = now
-            last, known_at = value or last, now
-            out.append((key[0], at, value, changed, pd.NaT if changed_at is None else pd.Timestamp(changed_at, unit="us")))
-        state.update((last, changed_at, known_at))
+            memory[url] = (value or last, changed_at, now)
+            found.append((changed, _NEVER if changed_at is None else changed_at))
         if ttl_ms:
-            state.setTimeoutTimestamp(known_at // 1000 + ttl_ms + 1)
-        yield pd.DataFrame(out, columns=["url", "scanned_at", "hash", "changed", "changed_at"])
+            over = state.getCurrentWatermarkMs()
+            memory = {url: known for url, known in memory.items() if known[2] // 1000 + ttl_ms + 1 > over}
+        if memory:
+            state.update((list(memory), *map(list, zip(*memory.values(), strict=True))))
+            if ttl_ms:
+                state.setTimeoutTimestamp(max(known[2] for known in memory.values()) // 1000 + ttl_ms + 1)
+        elif state.exists:
+            state.remove()
+        changed, changed_at = zip(*found, strict=True)
+        at = np.array(changed_at, "int64").view("datetime64[us]").astype("datetime64[ns]")
+        yield pd.DataFrame({"url": rows["url"].to_numpy(), "scanned_at": rows["scanned_at"].to_numpy(), "hash": rows["hash"].to_numpy(), "changed": changed, "changed_at": at})
 
     timeout = GroupStateTimeout.EventTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     scans = scans.withColumn("scanned_at", F.col("scanned_at").cast("timestamp")).withWatermark("scanned_at", f"{ttl_ms} milliseconds") if ttl_ms else scans
-    return scans.groupBy("url").applyInPandasWithState(step, CHANGES, "last string, changed_at long, known_at long", "append", timeout)
+    known = "urls array<string>, lasts array<string>, changed_at array<long>, known_at array<long>"
+    return scans.withColumn("bucket", bucket("url", buckets)).groupBy("bucket").applyInPandasWithState(step, CHANGES, known, "append", timeout)
 
 
 def detect_new_titles(scans: DataFrame) -> DataFrame:
