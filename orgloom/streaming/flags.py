@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from orgloom.streaming.state import BUCKETS, bucket
+
 EVENTS = "url string, happened_at timestamp, event string"
 _FOUND = "url string, ms long, event string"
 NEW_TITLES = "version string, happened_at timestamp, title string"
@@ -88,37 +91,39 @@ def change_flags(scans: DataFrame, days: int = 14, late: str = "0 seconds") -> D
 
 
 class LastTitles(StatefulProcessor):
-    """Holds the titles of a version's last scan, as a list, for as long as the state lives."""
+    """Holds the titles of the last scan of a bucket's versions, as a list of versions, for as long as the state lives."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scanned = handle.getValueState("scanned", "nth long", self.ttl)
-        self.titles = handle.getListState("titles", "title string", self.ttl)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        before = {t[0] for t in self.titles.get()} if self.scanned.exists() else None
-        nth = 0
-        for ms, nth, titles in sorted((r.ms, r.nth, list(r.titles or [])) for r in rows):
-            if before is not None:
-                yield from (Row(version=key[0], ms=ms, title=t) for t in titles if t.lower().strip() not in before)
-            before = {t.lower().strip() for t in titles}
-        self.scanned.update((nth,))
-        if before:
-            self.titles.put([(t,) for t in sorted(before)])
-        else:
-            self.titles.clear()
+        self.known = handle.getListState("known", "version string, seen long, titles array<string>", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        known = {version: (seen, frozenset(titles)) for version, seen, titles in self.known.get() if not self.ttl or now - seen < self.ttl}
+        scans = [scan for r in rows for scan in zip(r["ms"].tolist(), r["nth"].tolist(), ([] if t is None else list(t) for t in r["titles"]), r["version"].tolist(), strict=True)]
+        found: list[tuple[str, int, str]] = []
+        for ms, _, titles, version in sorted(scans, key=lambda scan: scan[:3]):
+            lower = [t.lower().strip() for t in titles]
+            if version in known:
+                before = known[version][1]
+                found += [(version, ms, t) for t, low in zip(titles, lower, strict=True) if low not in before]
+            known[version] = (now, frozenset(lower))
+        self.known.put([(version, seen, sorted(titles)) for version, (seen, titles) in known.items()])
+        yield pd.DataFrame(found, columns=["version", "ms", "title"])
 
     def close(self) -> None:
         pass
 
 
-def new_titles(scans: DataFrame, ttl_days: int | None = None) -> DataFrame:
+def new_titles(scans: DataFrame, ttl_days: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Of scans ``version, scanned_at, nth, titles`` each title that the scan before did not have, as a row; none for a
     version's first scan. A version that isn't scanned for ``ttl_days`` of the cluster's clock is forgotten; such
-    a stream asks for empty batches as time goes by, so it runs until it is stopped, not for what is available now."""
+    a stream asks for empty batches as time goes by, so it runs until it is stopped, not for what is available now.
+    Versions share the state of a bucket, which is written whole in each batch that scans any of them."""
     at = F.col("scanned_at").cast("timestamp")
-    scans = scans.select("version", F.unix_millis(at).alias("ms"), F.col("nth").cast("long").alias("nth"), "titles")
-    found = scans.groupBy("version").transformWithState(LastTitles(ttl_days * DAY_MS if ttl_days else None), _NEW, "append", "processingTime" if ttl_days else "none")
+    scans = scans.select(bucket("version", buckets).alias("bucket"), "version", F.unix_millis(at).alias("ms"), F.col("nth").cast("long").alias("nth"), "titles")
+    processor = LastTitles(ttl_days * DAY_MS if ttl_days else None)
+    found = scans.groupBy("bucket").transformWithStateInPandas(processor, _NEW, "append", "processingTime" if ttl_days else "none")
     return found.select("version", F.timestamp_millis("ms").alias("happened_at"), "title")

@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from orgloom.streaming import state
+from orgloom.streaming import flags, state
 from orgloom.streaming.state import BUCKETS
 
 DAY = datetime.timedelta(days=1)
@@ -49,3 +49,18 @@ def test_changes_of_more_addresses_than_buckets(spark, tmp_path):
         got, most = run(spark, batches, "url string, scanned_at timestamp, nth long, hash string", lambda s, ttl=ttl: state.detect_changes(s, ttl * 86_400_000), state.CHANGES, tmp_path / str(ttl))
         assert got == sorted(want, key=repr)
         assert 0 < most <= BUCKETS
+
+
+def test_titles_of_more_versions_than_buckets(spark, tmp_path):
+    lists = [None, [], ["x"], ["X ", "y"], ["y", "z"], ["z", "x", "y"]]
+    batches = list(scans(2, 2000, lists))
+    want, memory = [], {}
+    for rows in batches:
+        for version, at, _, titles in sorted(rows, key=lambda r: r[1:3]):
+            if version in memory:
+                want += [(version, at, t) for t in titles or [] if t.lower().strip() not in memory[version]]
+            memory[version] = {t.lower().strip() for t in titles or []}
+    with flags.rocks_state(spark):
+        got, most = run(spark, batches, "version string, scanned_at timestamp, nth long, titles array<string>", flags.new_titles, flags.NEW_TITLES, tmp_path)
+    assert got == sorted(want, key=repr)
+    assert 0 < most <= BUCKETS
